@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from strandloom.llm import language_id, license_scan, packing, warc
+from strandloom.llm import hilbert_ann, language_id, lattice_dedup, license_scan, packing, warc
 
-_MODULES = [warc, language_id, packing, license_scan]
+_MODULES = [hilbert_ann, warc, lattice_dedup, language_id, packing, license_scan]
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: s for m in _MODULES for k, s in m.ORACLE_SQL.items()}

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import Scratch
+from strandloom.llm.common import Scratch, shuffle_partitions
 
 # Fixed values of the seekable format and of the WARC format.
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
@@ -237,7 +237,7 @@ def read_archives(index: DataFrame, folder: str, payloads: bool = True) -> DataF
                     if held:
                         yield _records(held)
 
-    return names.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), "bundle").mapInArrow(task, RECORD_SCHEMA)
+    return names.repartition(shuffle_partitions(spark)).mapInArrow(task, RECORD_SCHEMA)
 
 
 def _records(held: list[dict]) -> pa.RecordBatch:
