@@ -175,10 +175,8 @@ def text_chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int
         lo = hi
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of several texts, A-Z taken as a-z: (hash of each word, the
-    text it is in, hash of its last two bytes). Equal words have equal hashes; different words differ but for a chance
-    of 2**-64."""
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of several texts: (first byte, byte after the last, text)."""
     word = ~_WS[data]
     first = np.zeros(len(data) + 1, dtype=bool)
     first[offsets[:-1]] = True
@@ -187,17 +185,27 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     starts = np.flatnonzero(begins)
     last = word.copy()
     last[:-1] &= ~word[1:] | first[1:-1]
-    ends = np.flatnonzero(last) + 1
+    return starts, np.flatnonzero(last) + 1, np.searchsorted(offsets, starts, "right") - 1
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of bytes, A-Z taken as a-z. Equal spans have equal hashes; different
+    ones differ but for a chance of 2**-64."""
     up, down = _powers(len(data) + 1)
     values = _BYTE[data]
     values *= up[: len(data)]
     total = np.zeros(len(data) + 1, dtype=U64)
     np.cumsum(values, out=total[1:])
-    hashes = (total[ends] - total[starts]) * down[starts]
+    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64))
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each word, the text it is in, hash of its last two bytes)."""
+    starts, ends, doc = word_spans(data, offsets)
     tail = _BYTE[data[ends - 1]]
     before = ends - starts > 1
     tail[before] += _BYTE[data[ends[before] - 2]] * _P
-    return mix(hashes + (ends - starts).astype(U64)), np.searchsorted(offsets, starts, "right") - 1, mix(tail)
+    return span_hashes(data, starts, ends), doc, mix(tail)
 
 
 # ---------------------------------------------------------------- connected components

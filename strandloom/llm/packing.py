@@ -20,7 +20,6 @@ strings in a text are tokenised as the tokenizer's file says; a null id is carri
 from __future__ import annotations
 
 import bisect
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -29,81 +28,115 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer, normalizers, pre_tokenizers
+from tokenizers import Tokenizer, pre_tokenizers
 
-from strandloom.llm.common import Scratch, shuffle_partitions, text_chunks
+from strandloom.llm.common import U64, Scratch, mix, shuffle_partitions, span_hashes, text_chunks, word_spans
 
 # ---------------------------------------------------------------- tokens
 
-#: Words that are one letter run (a-z and Latin-1 letters), with or without one comma or full stop:
-#: the tokenizer's normaliser and splitter leave these as they are, lower-cased.
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
-#: White space to str.split() but not to the tokenizer's pattern.
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
-
-
 class WordTokens:
-    """Token ids of texts, word by word: white space never ends up inside a token of this kind of
-    tokenizer, so a text's ids are those of its words. Ids of words that were met are kept, up to
-    ``most`` words; a word beyond that is tokenised again whenever a run of texts has it."""
+    """Token ids of many texts at once, by their distinct words: white space never ends up inside a
+    token of this kind of tokenizer, so a text's ids are those of its words. Words that are one
+    letter run (a-z and Latin-1 letters) with or without one comma or full stop are looked up as
+    lower-cased run and mark, which is what the tokenizer's normaliser and splitter make of them;
+    any other word goes through the whole tokenizer. Ids of words that were met are kept, up to
+    ``most`` words, and then met anew."""
 
     def __init__(self, path: str, most: int = 400_000):
         self.whole = Tokenizer.from_file(path)
-        self.letters = Tokenizer.from_file(path)  # the same model for words that need no normaliser
-        self.letters.normalizer = normalizers.Sequence([])
-        self.letters.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        self.runs = Tokenizer(self.whole.model)  # the same model, for runs that need no normaliser
+        self.runs.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in printable]
         shown = dict(zip(printable, map(chr, printable), strict=True)) | {b: chr(256 + i) for i, b in enumerate(others)}
-        self.shown = {c: "".join(shown[b] for b in c.encode()) for c in map(chr, range(256))}
+        self.shown = {c: "".join(shown[b] for b in chr(c).encode()) for c in range(128, 256)}
+        self.ends = np.zeros(self.whole.get_vocab_size(), dtype=bool)
+        for token, i in self.whole.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
         self.most = most
-        self.known: dict[str, int] = {}
-        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
         self.marks = {m: self.whole.encode(m, add_special_tokens=False).ids for m in (".", ",")}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[int, int] = {}
+        self.sizes, self.starts, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def ids_of(self, words: list[str]) -> list[list[int]]:
-        out: list[list[int] | None] = [None] * len(words)
-        plain, odd = [], []
-        for i, w in enumerate(words):
-            (plain if (m := _PLAIN.fullmatch(w)) else odd).append((i, m))
-        shown = self.shown
-        texts = ["".join([shown[c] for c in m[1].lower()]) for _, m in plain]
-        for (i, m), e in zip(plain, self.letters.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            out[i] = e.ids + self.marks[m[2]] if m[2] else e.ids
-        for (i, _), e in zip(odd, self.whole.encode_batch_fast([words[i] for i, _ in odd], add_special_tokens=False), strict=True):
-            out[i] = e.ids
-        return out
-
-    def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
+    def _learn(self, keys: list[int], sizes: np.ndarray, ids: np.ndarray) -> None:
+        n = len(self.sizes)
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.flat = np.concatenate([self.flat, ids.astype(np.uint32)])
+        self.known.update(zip(keys, range(n, n + len(keys)), strict=True))
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, each with ``end`` behind it; where each begins)."""
         if len(self.known) > self.most:
-            self.known, self.starts, self.sizes, self.flat = {}, self.starts[:0], self.sizes[:0], self.flat[:0]
-        lists = [t.split() if not _ODD_SPACE.search(t) else None for t in texts]
+            self._forget()
+        if not self.known:
+            self._learn([0, 1, 2], np.array([1, len(self.marks["."]), len(self.marks[","])]), np.array([end, *self.marks["."], *self.marks[","]]))
+        lead = np.zeros(len(data), dtype=bool)
+        lead[1:] = data[:-1] == 0xC3
+        letter = _ASCII_LETTER[data] | (data == 0xC3) | (lead & (data >= 0x80) & (data <= 0xBF) & (data != 0x97) & (data != 0xB7))
+        low = np.where(lead & (data >= 0x80) & (data <= 0x9E), data + np.uint8(0x20), data)
+        starts, ends, doc = word_spans(data, offsets)
+        mark = (data[ends - 1] == 0x2E) + 2 * (data[ends - 1] == 0x2C)
+        mark[ends - starts == 1] = 0
+        stems = ends - (mark > 0)
+        letters = np.concatenate([[0], np.cumsum(letter)])
+        plain = letters[stems] - letters[starts] == stems - starts
+        mark[~plain] = 0
+        stems[~plain] = ends[~plain]
+        raw, lowered = data.tobytes(), low.tobytes()
+        other = span_hashes(data, starts, ends)
+        if b"<|" in raw:  # only in special tokens do capitals matter
+            other += span_hashes(((data >= 65) & (data <= 90)).astype(np.uint8), starts, ends)
+        hashes = np.where(plain, span_hashes(low, starts, stems), mix(other))
+        hashes = np.maximum(hashes, U64(3))
+        # Units: the words, their marks, and the end of each text.
+        texts = len(offsets) - 1
+        per_word = 1 + (mark > 0)
+        at = np.cumsum(per_word) - per_word + doc
+        last = np.cumsum(np.bincount(doc, per_word, texts).astype(np.int64)) + np.arange(texts)
+        units = np.zeros(int(per_word.sum()) + texts, dtype=U64)
+        units[at] = hashes
+        marked = mark > 0
+        units[at[marked] + 1] = mark[marked].astype(U64)
+        distinct, one, which = np.unique(units, return_index=True, return_inverse=True)
         known = self.known
-        fresh = list(dict.fromkeys(w for x in lists if x for w in x if w not in known))
-        if fresh:
-            ids = self.ids_of(fresh)
-            n = len(self.sizes)
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
-            self.sizes = np.concatenate([self.sizes, sizes])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))])
-            known.update(zip(fresh, range(n, n + len(fresh)), strict=True))
-        parts, begins, at = [], np.zeros(len(texts) + 1, np.int64), 0
-        tail = np.array([end], np.uint32)
-        for i, x in enumerate(lists):
-            if x is None:
-                ids = np.array(self.whole.encode(texts[i], add_special_tokens=False).ids, np.uint32)
-            else:
-                k = np.fromiter(map(known.__getitem__, x), np.int64, len(x))
-                sizes = self.sizes[k]
-                total = int(sizes.sum())
-                ids = self.flat[np.repeat(self.starts[k] - np.cumsum(sizes) + sizes, sizes) + np.arange(total)]
-            parts += [ids, tail]
-            at += len(ids) + 1
-            begins[i + 1] = at
-        return np.concatenate(parts) if parts else np.zeros(0, np.uint32), begins
+        found = np.fromiter((known.get(h, -1) for h in distinct.tolist()), np.int64, len(distinct))
+        fresh = np.flatnonzero(found < 0)
+        if len(fresh):
+            word = np.zeros(len(units), dtype=np.int64)
+            word[at] = np.arange(len(starts))
+            w = word[one[fresh]]
+            for is_plain in (True, False):
+                own = plain[w] == is_plain
+                keys = distinct[fresh[own]].tolist()
+                spans = zip(starts[w[own]].tolist(), stems[w[own]].tolist(), strict=True)
+                if not keys:
+                    continue
+                if is_plain:
+                    text = " ".join([lowered[a:b].decode() for a, b in spans]).lower().translate(self.shown)
+                    ids = np.array(self.runs.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+                    cuts = np.flatnonzero(self.ends[ids]) + 1
+                    sizes = np.diff(cuts, prepend=0)
+                else:
+                    got = [e.ids for e in self.whole.encode_batch_fast([raw[a:b].decode() for a, b in spans], add_special_tokens=False)]
+                    sizes = np.fromiter(map(len, got), np.int64, len(got))
+                    ids = np.array([i for x in got for i in x], np.uint32)
+                if len(sizes) != len(keys):
+                    raise AssertionError("words and ids are out of step")
+                self._learn(keys, sizes, ids)
+            found = np.fromiter((known[h] for h in distinct.tolist()), np.int64, len(distinct))
+        which = found[which]
+        sizes = self.sizes[which]
+        done = np.cumsum(sizes)
+        flat = self.flat[np.repeat(self.starts[which] - done + sizes, sizes) + np.arange(int(done[-1]) if len(done) else 0)]
+        return flat, np.concatenate([[0], done[last]])
+
+
+_ASCII_LETTER = np.zeros(256, dtype=bool)
+_ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
 
 
 _TOKENS: dict[str, WordTokens] = {}
@@ -119,8 +152,8 @@ def tokenize_pieces(documents: DataFrame, tokenizer: str, capacity: int, end: in
             _TOKENS[tokenizer] = WordTokens(tokenizer)
         words = _TOKENS[tokenizer]
         for batch in batches:
-            for lo, hi, _, _ in text_chunks(batch.column(1)):
-                flat, begins = words.encode([t or "" for t in batch.column(1).slice(lo, hi - lo).to_pylist()], end)
+            for lo, hi, data, offsets in text_chunks(batch.column(1)):
+                flat, begins = words.encode(data, offsets, end)
                 row, piece, start, length, crc, parts = [], [], [], [], [], []
                 for i, (a, b) in enumerate(zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)):
                     for j, s in enumerate(range(a, b, capacity)):
