@@ -1,6 +1,760 @@
-"""Registry of the queries and of the SQL that checks them."""
+"""The registered queries, each with the SQL that checks it where SQL can."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from strandloom.functions import encoding as enc
+from strandloom.functions import minimizers as mz
+from strandloom.operators import counting as ct
+from strandloom.operators import histogram as hg
+from strandloom.operators import membership as mb
+from strandloom.operators.graph import DeBruijnGraph, dense_ids, read_branching
+from strandloom.operators.iterate import checkpoint_dir, cut
+from strandloom.sources import readers as rd
+from strandloom.sources import writers as wr
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(f):
+        QUERIES[name or f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+# ---------------------------------------------------------------- inputs and the same in SQL
+
+BANKS = ["de", "en", "es", "fr"]
+_CLEAN = "translate(upper(regexp_replace(text, '[^ACGTacgt]', '', 'g')), 'ACTG', '0123')"
+_DIRTY = "translate(upper(regexp_replace(text, '[^ACGTNacgtn]', '', 'g')), 'ACTG', '0123')"
+READS = f"r AS (SELECT doc_id AS read_id, lang, source, {_CLEAN} AS d FROM documents)"
+DIRTY = f"r AS (SELECT doc_id AS read_id, {_DIRTY} AS d FROM documents)"
+FIXED = "r AS (SELECT event_id AS read_id, translate(md5(CAST(event_id AS VARCHAR)), '0123456789abcdef', '0123012301230123') AS d FROM events)"
+
+
+def rc_sql(x: str) -> str:
+    return f"reverse(translate({x}, '0123', '2301'))"
+
+
+def canon_sql(x: str) -> str:
+    return f"least({x}, {rc_sql(x)})"
+
+
+def km_sql(k: int, keep: str = "read_id, lang, source") -> str:
+    """Rows (keep, pos, f, kmer) of CTE km from CTE r."""
+    return f"k0 AS (SELECT {keep}, d, unnest(range(0, length(d) - {k} + 1)) AS pos FROM r WHERE length(d) >= {k}), k1 AS (SELECT {keep}, pos, substr(d, pos + 1, {k}) AS f FROM k0), km AS (SELECT {keep}, pos, f, {canon_sql('f')} AS kmer FROM k1 WHERE regexp_matches(f, '^[0-3]+$'))"
+
+
+def counts_sql(k: int, least: int = 1) -> str:
+    return f"{READS}, {km_sql(k)}, n AS (SELECT kmer, count(*) AS abundance FROM km GROUP BY kmer HAVING count(*) >= {least})"
+
+
+def edges_sql(k: int) -> str:
+    """CTEs o (oriented k-mers) and e (source, target) from CTE n."""
+    return f"o AS (SELECT kmer AS o, kmer FROM n UNION SELECT {rc_sql('kmer')}, kmer FROM n), e AS (SELECT a.o AS source, b.o AS target FROM o a JOIN o b ON substr(a.o, 2) = substr(b.o, 1, {k - 1}))"
+
+
+def degrees_sql(k: int) -> str:
+    return f"{edges_sql(k)}, outs AS (SELECT source, count(*) AS c FROM e GROUP BY source), deg AS (SELECT n.kmer, n.abundance, coalesce(i.c, 0) AS indegree, coalesce(x.c, 0) AS outdegree FROM n LEFT JOIN outs x ON x.source = n.kmer LEFT JOIN outs i ON i.source = {rc_sql('n.kmer')})"
+
+
+def banks_sql(k: int) -> str:
+    cols = ", ".join(f"count(*) FILTER (WHERE lang = '{b}') AS c{i}" for i, b in enumerate(BANKS))
+    return f"{READS}, {km_sql(k)}, n AS (SELECT kmer, {cols} FROM km GROUP BY kmer)"
+
+
+def min_sql(f: str, m: int, canon: bool = True) -> str:
+    x = canon_sql(f"substr({f}, i, {m})") if canon else f"substr({f}, i, {m})"
+    return f"coalesce(list_min(list_filter(list_transform(range(1, length({f}) - {m - 2}), lambda i: {x}), lambda x: NOT contains(substr(x, 2), '00'))), '{'3' * m}')"
+
+
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/documents.parquet")
+
+
+def clean_reads(spark: SparkSession, sf: str) -> DataFrame:
+    return documents(spark, sf).select(F.col("doc_id").alias("read_id"), "lang", "source", enc.clean_digits(F.col("text")).alias("d"))
+
+
+def dirty_reads(spark: SparkSession, sf: str) -> DataFrame:
+    return documents(spark, sf).select(F.col("doc_id").alias("read_id"), enc.digits(F.regexp_replace("text", "[^ACGTNacgtn]", "")).alias("d"))
+
+
+def fixed_reads(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_id").alias("read_id"), F.translate(F.md5(F.col("event_id").cast("string")), "0123456789abcdef", "0123012301230123").alias("d"))
+
+
+def graph(spark: SparkSession, sf: str, k: int, least: int = 3) -> DeBruijnGraph:
+    """Solid k-mers, counted once: the graph's operators read them several times."""
+    g = DeBruijnGraph.from_reads(clean_reads(spark, sf), k, least)
+    return DeBruijnGraph(cut(g.nodes), k)
+
+
+# ---------------------------------------------------------------- sources
+
+
+@query(f"WITH {READS} SELECT lang AS bank, count(*) AS reads, CAST(sum(length(d)) AS BIGINT) AS total_nt FROM r GROUP BY lang")
+def src_composite_bank(spark, sf):
+    parts = [clean_reads(spark, sf).where(F.col("lang") == b).withColumn("bank", F.lit(b)) for b in BANKS]
+    union = parts[0]
+    for p in parts[1:]:
+        union = union.unionByName(p)
+    return union.groupBy("bank").agg(F.count("*").alias("reads"), F.sum(F.length("d")).alias("total_nt"))
+
+
+@query("SELECT count(DISTINCT lang) AS composition FROM documents")
+def src_composition(spark, sf):
+    return documents(spark, sf).agg(F.count_distinct("lang").alias("composition"))
+
+
+@query("SELECT i AS read_id, 'seq_' || i AS comment, s AS seq FROM (VALUES (0, 'CATTGATAGTGG'), (1, 'ACTACGATCGATGTA'), (2, '')) t(i, s)")
+def src_in_memory_bank(spark, sf):
+    return rd.strings(spark, ["CATTGATAGTGG", "ACTACGATCGATGTA", ""]).select(F.col("read_id").cast("int").alias("read_id"), "comment", "seq")
+
+
+@query()
+def src_random_bank(spark, sf):
+    return rd.random_bank(spark, 1000, 100)
+
+
+@query(f"WITH {READS}, f AS (SELECT d FROM r ORDER BY length(d) DESC, read_id LIMIT 1), w AS (SELECT d, p AS pass, unnest(range(0, greatest(length(d) - 20, 1), 80)) AS start FROM f, range(0, 3) t(p)) SELECT pass, start, substr(d, start + 1, 100) AS read FROM w")
+def src_splitter(spark, sf):
+    longest = clean_reads(spark, sf).orderBy(F.desc(F.length("d")), "read_id").limit(1).select("d")
+    return rd.split_reference(longest, 100, 20, 3).select(F.col("pass").cast("bigint").alias("pass"), F.col("start").cast("bigint").alias("start"), "read")
+
+
+@query("SELECT lpad(list_reduce(list_transform(range(0, 5), lambda i: CAST((x >> CAST(2 * (4 - i) AS BIGINT)) & 3 AS VARCHAR)), lambda a, b: a || b), 5, '0') AS kmer FROM range(0, 1024) t(x)")
+def src_all_kmers(spark, sf):
+    return rd.all_kmers(spark, 5)
+
+
+@query(f"WITH {READS}, {km_sql(31)} SELECT read_id, pos, f AS kmer FROM km")
+def src_kmer_stream(spark, sf):
+    rows = clean_reads(spark, sf).select("read_id", F.posexplode(enc.kmers(F.col("d"), 31)).alias("pos", "kmer"))
+    return rows.select("read_id", F.col("pos").cast("bigint").alias("pos"), "kmer")
+
+
+@query("SELECT doc_id AS read_id, 'doc_' || doc_id || ' ' || lang || ' ' || source AS comment, 'doc_' || doc_id AS short FROM documents")
+def src_comment_modes(spark, sf):
+    reads = documents(spark, sf).select(F.col("doc_id").alias("read_id"), F.concat_ws(" ", F.concat(F.lit("doc_"), "doc_id"), "lang", "source").alias("comment"))
+    short = rd.comment_mode(reads, "IDONLY").select("read_id", F.col("comment").alias("short"))
+    return reads.join(short, "read_id")
+
+
+@query(f"WITH {DIRTY}, p AS (SELECT read_id, unnest(list_filter(string_split_regex(d, 'N+'), lambda x: length(x) >= 10)) AS seq FROM r) SELECT read_id, seq FROM p")
+def src_split_at_unknown(spark, sf):
+    return rd.split_at_unknown(dirty_reads(spark, sf).withColumnRenamed("d", "seq"), 10).select("read_id", "seq")
+
+
+@query("SELECT doc_id AS read_id FROM documents WHERE length(regexp_replace(text, '[^ACGT]', '', 'g')) * 50 > length(text)")
+def src_good_letter_filter(spark, sf):
+    return documents(spark, sf).where(F.length(F.regexp_replace("text", "[^ACGT]", "")) * 50 > F.length("text")).select(F.col("doc_id").alias("read_id"))
+
+
+@query(f"WITH {READS} SELECT count(*) AS number, CAST(sum(length(d)) AS BIGINT) AS total_size, max(length(d)) AS max_size FROM r")
+def src_estimate(spark, sf):
+    return rd.estimate(clean_reads(spark, sf), "d")
+
+
+@query("SELECT doc_id, count(*) AS tokens FROM (SELECT doc_id, unnest(list_filter(string_split_regex(text, '[ ,.]+'), lambda x: x <> '')) AS t FROM documents) GROUP BY doc_id")
+def src_tokenizer(spark, sf):
+    rows = documents(spark, sf).select("doc_id", F.explode(F.split("text", "[ ,.]+")).alias("t")).where("t <> ''")
+    return rows.groupBy("doc_id").agg(F.count("*").alias("tokens"))
+
+
+@query("SELECT x AS id FROM range(5, 1001) t(x)")
+def src_range(spark, sf):
+    return spark.range(5, 1001)
+
+
+def _files(spark, name: str) -> str:
+    import uuid
+
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex[:8]}"
+
+
+_LETTERS_SQL = f"SELECT 'doc_' || read_id || ' ' || lang AS comment, translate(d, '0123', 'ACTG') AS seq FROM r"
+
+
+def _lettered(spark, sf):
+    return clean_reads(spark, sf).select("read_id", F.concat_ws(" ", F.concat(F.lit("doc_"), "read_id"), "lang").alias("comment"), enc.letters(F.col("d")).alias("seq"), F.lit(None).cast("string").alias("quality"), F.lit(0).alias("bank_id"))
+
+
+@query(f"WITH {READS} {_LETTERS_SQL}")
+def snk_fasta_round_trip(spark, sf):
+    path = _files(spark, "fasta")
+    wr.write_fasta(_lettered(spark, sf), path)
+    return rd.fasta(spark, path).select("comment", "seq")
+
+
+@query(f"WITH {READS} {_LETTERS_SQL}")
+def snk_fastq_gz_round_trip(spark, sf):
+    path = _files(spark, "fastq")
+    wr.write_fastq(_lettered(spark, sf), path, gzip=True)
+    return rd.fastq(spark, path).select("comment", "seq")
+
+
+@query(f"WITH {READS} SELECT CAST(CASE lang WHEN 'de' THEN 0 WHEN 'en' THEN 1 WHEN 'es' THEN 2 ELSE 3 END AS INTEGER) AS bank_id, count(*) AS seq_number, CAST(sum(length(d)) AS BIGINT) AS total_nt FROM r GROUP BY 1")
+def snk_bank_converter(spark, sf):
+    reads = clean_reads(spark, sf).withColumn("bank_id", F.array_position(F.array(*map(F.lit, BANKS)), F.col("lang")).cast("int") - 1).withColumnRenamed("d", "seq")
+    return wr.convert_bank(reads.select("bank_id", "read_id", "seq"), _files(spark, "bank"))
+
+
+@query(f"WITH {counts_sql(21, 3)} SELECT kmer, abundance FROM n")
+def snk_solid_store(spark, sf):
+    path = _files(spark, "solid")
+    wr.write_solid(graph(spark, sf, 21).nodes, path, 8)
+    return spark.read.parquet(path).select("kmer", "abundance")
+
+
+@query(f"WITH {counts_sql(21)} SELECT abundance || chr(9) || count(*) AS value FROM n GROUP BY abundance")
+def snk_histogram_text(spark, sf):
+    return wr.histogram_lines(hg.histogram(ct.count_kmers(clean_reads(spark, sf), 21)))
+
+
+@query(f"WITH {counts_sql(21, 3)}, {edges_sql(21)} SELECT translate(source, '0123', 'ACTG') || ' -> ' || translate(target, '0123', 'ACTG') || ' ;' AS value FROM e")
+def snk_dot(spark, sf):
+    return wr.dot_lines(graph(spark, sf, 21).edges())
+
+
+@query()
+def snk_kff_sections(spark, sf):
+    return wr.kff_sections(graph(spark, sf, 21).nodes, 21)
+
+
+# ---------------------------------------------------------------- iterator algebra
+
+
+@query("SELECT a.r_regionkey AS x, b.n_nationkey AS y FROM region a, nation b")
+def it_product(spark, sf):
+    return spark.read.parquet(f"{sf}/region.parquet").select(F.col("r_regionkey").alias("x")).crossJoin(spark.read.parquet(f"{sf}/nation.parquet").select(F.col("n_nationkey").alias("y")))
+
+
+@query("SELECT a.p_partkey, b.s_suppkey FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS i FROM part) a JOIN (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) AS i FROM supplier) b USING (i)")
+def it_zip(spark, sf):
+    a = dense_ids(spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("kmer")), 4).select(F.col("kmer").alias("p_partkey"), "id")
+    b = dense_ids(spark.read.parquet(f"{sf}/supplier.parquet").select(F.col("s_suppkey").alias("kmer")), 4).select(F.col("kmer").alias("s_suppkey"), "id")
+    return a.join(b, "id").select("p_partkey", "s_suppkey")
+
+
+@query(f"WITH {READS}, {km_sql(15)} SELECT read_id, count(*) AS n FROM km GROUP BY read_id")
+def it_compound(spark, sf):
+    return ct.kmer_rows(clean_reads(spark, sf), 15, ("read_id",)).groupBy("read_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id FROM documents ORDER BY doc_id LIMIT 25")
+def it_truncate(spark, sf):
+    return documents(spark, sf).select("doc_id").orderBy("doc_id").limit(25)
+
+
+@query(f"WITH {READS} SELECT read_id FROM r WHERE length(d) >= 500")
+def it_filter(spark, sf):
+    return clean_reads(spark, sf).where(F.length("d") >= 500).select("read_id")
+
+
+@query(f"WITH {READS} SELECT read_id, length(d) AS n FROM r UNION ALL SELECT event_id, 32 FROM events")
+def it_concat(spark, sf):
+    return clean_reads(spark, sf).select("read_id", F.length("d").cast("bigint").alias("n")).unionAll(fixed_reads(spark, sf).select("read_id", F.lit(32).cast("bigint")))
+
+
+@query(f"WITH {READS} SELECT read_id, translate(d, '0123', 'ACTG') AS seq FROM r")
+def it_adaptor(spark, sf):
+    return clean_reads(spark, sf).select("read_id", enc.letters(F.col("d")).alias("seq"))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def it_index_filter(spark, sf):
+    return documents(spark, sf).select("doc_id").join(spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1").select("doc_id"), "doc_id", "left_semi")
+
+
+@query("SELECT * FROM region WHERE false")
+def it_null(spark, sf):
+    return spark.read.parquet(f"{sf}/region.parquet").limit(0)
+
+
+# ---------------------------------------------------------------- k-mer functions
+
+
+@query(f"WITH {FIXED}, {km_sql(15, 'read_id')} SELECT read_id, pos, f, kmer, CASE WHEN f = kmer THEN 1 ELSE 2 END AS strand FROM km")
+def km_canonical(spark, sf):
+    rows = fixed_reads(spark, sf).select("read_id", F.posexplode(enc.kmers(F.col("d"), 15)).alias("pos", "f"))
+    return rows.select("read_id", F.col("pos").cast("bigint").alias("pos"), "f", enc.canonical(F.col("f")).alias("kmer"), enc.strand(F.col("f")).alias("strand"))
+
+
+@query(f"WITH {FIXED} SELECT read_id, CAST(list_sum(list_transform(range(0, 15), lambda i: CAST(substr(d, i + 1, 1) AS BIGINT) << CAST(2 * (14 - i) AS BIGINT))) AS BIGINT) AS value FROM r")
+def km_value(spark, sf):
+    return fixed_reads(spark, sf).select("read_id", enc.value(enc.kmer_at(F.col("d"), 0, 15)).alias("value"))
+
+
+@query(f"WITH {DIRTY}, w AS (SELECT read_id, unnest(list_transform(range(1, length(d) - 9), lambda i: substr(d, i, 11))) AS f FROM r WHERE length(d) >= 11) SELECT count(*) FILTER (WHERE regexp_matches(f, '^[0-3]+$')) AS valid, count(*) FILTER (WHERE NOT regexp_matches(f, '^[0-3]+$')) AS invalid FROM w")
+def km_validity(spark, sf):
+    return ct.bank_statistics(dirty_reads(spark, sf), 11).select(F.col("kmers_nb_valid").alias("valid"), F.col("kmers_nb_invalid").alias("invalid"))
+
+
+@query("SELECT doc_id, reverse(translate(regexp_replace(substr(text, 1, 200), '[^ACGTacgt]', 'X', 'g'), 'ACGTacgt', 'TGCAtgca')) AS rc FROM documents")
+def km_revcomp_sequence(spark, sf):
+    return documents(spark, sf).select("doc_id", enc.revcomp_letters(F.substring("text", 1, 200)).alias("rc"))
+
+
+@query(f"WITH {FIXED} SELECT read_id, substr(d, -3, 1) AS nt, substr(substr(d, 1, 31), 2) || '2' AS next, '1' || substr(d, 1, 30) AS prev FROM r")
+def km_extensions(spark, sf):
+    d = F.col("d")
+    first = F.substr(d, F.lit(1), F.lit(31))
+    return fixed_reads(spark, sf).select("read_id", enc.nucleotide(d, 2).alias("nt"), enc.append_right(first, F.lit("2")).alias("next"), enc.append_left(first, F.lit("1"), 31).alias("prev"))
+
+
+@query("WITH k AS (SELECT list_reduce(list_transform(range(0, 6), lambda i: CAST((x >> CAST(2 * (5 - i) AS BIGINT)) & 3 AS VARCHAR)), lambda a, b: a || b) AS kmer FROM range(0, 4096) t(x)) SELECT kmer FROM k WHERE kmer = reverse(translate(kmer, '0123', '2301'))")
+def km_palindromes(spark, sf):
+    return rd.all_kmers(spark, 6).where(enc.is_palindrome(F.col("kmer")))
+
+
+@query(f"WITH {FIXED}, {km_sql(15, 'read_id')} SELECT read_id, pos, {min_sql('f', 5)} AS minimizer FROM km")
+def km_minimizer(spark, sf):
+    rows = mz.kmers_with_minimizers(fixed_reads(spark, sf), 15, 5)
+    return rows.select("read_id", F.col("pos").cast("bigint").alias("pos"), "minimizer")
+
+
+@query(f"WITH {FIXED}, {km_sql(15, 'read_id')}, q AS (SELECT read_id, pos, {min_sql('f', 5)} AS x FROM km), c AS (SELECT read_id, pos, x <> lag(x) OVER (PARTITION BY read_id ORDER BY pos) AS changed FROM q) SELECT read_id, count(*) FILTER (WHERE changed) AS changes FROM c GROUP BY read_id")
+def km_minimizer_changes(spark, sf):
+    rows = mz.kmers_with_minimizers(fixed_reads(spark, sf), 15, 5)
+    w = Window.partitionBy("read_id").orderBy("pos")
+    return rows.withColumn("changed", F.col("minimizer") != F.lag("minimizer").over(w)).groupBy("read_id").agg(F.count_if("changed").alias("changes"))
+
+
+_MM = f"{FIXED}, m0 AS (SELECT unnest(list_transform(range(1, length(d) - 3), lambda i: {canon_sql('substr(d, i, 5)')})) AS mmer FROM r), m AS (SELECT mmer, count(*) AS n FROM m0 GROUP BY mmer)"
+
+
+@query(f"WITH {_MM} SELECT mmer, n, row_number() OVER (ORDER BY n, mmer) - 1 AS rank FROM m")
+def km_frequency_ranks(spark, sf):
+    return mz.frequency_ranks(fixed_reads(spark, sf), 5)
+
+
+@query(f"WITH {_MM}, {km_sql(15, 'read_id')}, x AS (SELECT read_id, pos, unnest(list_transform(range(1, 12), lambda i: {canon_sql('substr(f, i, 5)')})) AS mmer FROM km), q AS (SELECT x.*, row_number() OVER (PARTITION BY read_id, pos ORDER BY n, x.mmer) AS k FROM x JOIN m USING (mmer)) SELECT mmer AS minimizer, count(*) AS kmers FROM q WHERE k = 1 GROUP BY mmer")
+def km_frequency_minimizer(spark, sf):
+    reads = fixed_reads(spark, sf)
+    ranks = mz.frequency_ranks(reads, 5)
+    held = ranks.agg(F.map_from_entries(F.collect_list(F.struct("mmer", "rank"))).alias("ranks"))  # 4**5 entries at most
+    rows = ct.kmer_rows(reads, 15, canon=False).join(F.broadcast(held))
+    best = mz.best_mmer(F.col("kmer"), 5, lambda x: F.element_at("ranks", x))
+    return rows.select(best.alias("minimizer")).groupBy("minimizer").agg(F.count("*").alias("kmers"))
+
+
+@query(f"WITH {FIXED}, {km_sql(15, 'read_id')} SELECT read_id, pos, list_max(list_transform(range(1, 12), lambda i: {canon_sql('substr(f, i, 5)')})) AS maximizer FROM km")
+def km_maximizer(spark, sf):
+    rows = fixed_reads(spark, sf).select("read_id", F.posexplode(enc.kmers(F.col("d"), 15)).alias("pos", "kmer"))
+    return rows.select("read_id", F.col("pos").cast("bigint").alias("pos"), mz.best_mmer(F.col("kmer"), 5, lambda x: F.translate(x, "0123", "3210")).alias("maximizer"))
+
+
+_SUPER = f"""{FIXED}, {km_sql(15, 'read_id')}, q AS (SELECT read_id, pos, {min_sql('f', 5)} AS x FROM km),
+c AS (SELECT *, CASE WHEN x = lag(x) OVER w AND pos - 1 = lag(pos) OVER w THEN 0 ELSE 1 END AS b FROM q WINDOW w AS (PARTITION BY read_id ORDER BY pos)),
+i AS (SELECT *, sum(b) OVER (PARTITION BY read_id ORDER BY pos) AS run FROM c), s AS (SELECT read_id, min(pos) AS start, count(*) AS n_kmers, any_value(x) AS minimizer FROM i GROUP BY read_id, run)"""
+
+
+@query(f"WITH {_SUPER} SELECT s.read_id, start, n_kmers, minimizer, substr(d, CAST(start + 1 AS BIGINT), CAST(n_kmers + 14 AS BIGINT)) AS seq FROM s JOIN r USING (read_id)")
+def km_superkmers(spark, sf):
+    return mz.superkmers(fixed_reads(spark, sf), 15, 5)
+
+
+@query(f"WITH {counts_sql(15)}, x AS (SELECT kmer, unnest(['0','1','2','3']) AS nt FROM n) SELECT kmer, 1 AS direction, nt, {canon_sql('(substr(kmer, 2) || nt)')} AS neighbour FROM x UNION ALL SELECT kmer, 2, nt, {canon_sql('(nt || substr(kmer, 1, 14))')} FROM x")
+def km_neighbours(spark, sf):
+    rows = ct.count_kmers(clean_reads(spark, sf), 15).select("kmer", F.explode(enc.neighbours(F.col("kmer"), 15)).alias("x"))
+    return rows.select("kmer", "x.direction", "x.nt", F.col("x.kmer").alias("neighbour"))
+
+
+# ---------------------------------------------------------------- counting
+
+
+@query(f"WITH {counts_sql(21, 3)} SELECT kmer, abundance FROM n")
+def kmer_count_k21(spark, sf):
+    return ct.count_kmers(clean_reads(spark, sf), 21).where("abundance >= 3")
+
+
+@query(f"WITH {counts_sql(31)} SELECT kmer, abundance FROM n")
+def kmer_count_k31(spark, sf):
+    return ct.count_kmers(clean_reads(spark, sf), 31)
+
+
+@query(f"WITH {FIXED}, {km_sql(15, 'read_id')} SELECT kmer, count(*) AS abundance FROM km GROUP BY kmer")
+def kmer_count_by_minimizer(spark, sf):
+    return ct.count_kmers_by_minimizer(fixed_reads(spark, sf), 15, 5)
+
+
+@query(f"WITH {counts_sql(21)} SELECT CAST(least(abundance, 10000) AS BIGINT) AS idx, count(*) AS abundance FROM n GROUP BY 1")
+def kmer_histogram_k21(spark, sf):
+    return hg.histogram(ct.count_kmers(clean_reads(spark, sf), 21))
+
+
+def _banks(spark, sf):
+    return ct.bank_counts(clean_reads(spark, sf), 15, "lang", BANKS)
+
+
+@query(f"WITH {banks_sql(15)} SELECT * FROM n")
+def ag_bank_counts(spark, sf):
+    return _banks(spark, sf)
+
+
+_SOLID = {
+    "sum": ("sum", [(3, 2147483647)], None, "c0 + c1 + c2 + c3 >= 3"),
+    "min": ("min", [(1, 50)], None, "least(c0, c1, c2, c3) BETWEEN 1 AND 50"),
+    "max": ("max", [(5, 1000)], None, "greatest(c0, c1, c2, c3) BETWEEN 5 AND 1000"),
+    "all": ("all", [(1, 100), (2, 100)], None, "c0 BETWEEN 1 AND 100 AND c1 BETWEEN 2 AND 100 AND c2 BETWEEN 2 AND 100 AND c3 BETWEEN 2 AND 100"),
+    "one": ("one", [(4, 9), (20, 99)], None, "c0 BETWEEN 4 AND 9 OR c1 BETWEEN 20 AND 99 OR c2 BETWEEN 20 AND 99 OR c3 BETWEEN 20 AND 99"),
+    "custom": ("custom", [(1, 100)], "1001", "c0 BETWEEN 1 AND 100 AND NOT c1 BETWEEN 1 AND 100 AND NOT c2 BETWEEN 1 AND 100 AND c3 BETWEEN 1 AND 100"),
+}
+for _name, (_kind, _ranges, _bits, _where) in _SOLID.items():
+    query(f"WITH {banks_sql(15)} SELECT kmer FROM n WHERE {_where}", f"ag_solid_{_name}")(lambda spark, sf, kind=_kind, ranges=_ranges, bits=_bits: _banks(spark, sf).where(ct.solid(kind, ranges, 4, bits)).select("kmer"))
+
+
+@query(f"WITH {banks_sql(15)} SELECT count(*) AS nb_distinct, count(*) FILTER (WHERE c0 + c1 + c2 + c3 >= 3) AS nb_solid, count(*) FILTER (WHERE c0 + c1 + c2 + c3 < 3) AS nb_weak, CAST(floor(count(*) FILTER (WHERE c0 + c1 + c2 + c3 < 3) * 10000 / count(*)) AS BIGINT) AS weak_bp FROM n")
+def ag_solidity_counters(spark, sf):
+    return ct.solidity_counters(_banks(spark, sf), ct.solid("sum", [(3, 2147483647)], 4))
+
+
+@query(f"WITH {DIRTY}, w AS (SELECT read_id, length(d) AS n, list_transform(range(1, length(d) - 9), lambda i: substr(d, i, 11)) AS a FROM r) SELECT count(*) AS seq_number, min(n) AS seq_size_min, max(n) AS seq_size_max, CAST(round(avg(n), 3) AS VARCHAR) AS mean, CAST(round(stddev_pop(n), 3) AS VARCHAR) AS deviation, CAST(sum(n) AS BIGINT) AS total_nt, CAST(sum(len(list_filter(a, lambda x: regexp_matches(x, '^[0-3]+$')))) AS BIGINT) AS valid, CAST(sum(len(list_filter(a, lambda x: NOT regexp_matches(x, '^[0-3]+$')))) AS BIGINT) AS invalid FROM w")
+def ag_bank_statistics(spark, sf):
+    s = ct.bank_statistics(dirty_reads(spark, sf), 11)
+    return s.select("seq_number", F.col("seq_size_min").cast("bigint").alias("seq_size_min"), F.col("seq_size_max").cast("bigint").alias("seq_size_max"), F.round("seq_size_mean", 3).cast("string").alias("mean"), F.round("seq_size_deviation", 3).cast("string").alias("deviation"), "total_nt", F.col("kmers_nb_valid").alias("valid"), F.col("kmers_nb_invalid").alias("invalid"))
+
+
+@query(f"WITH {banks_sql(15)} SELECT CAST(least(c1 + c2 + c3, 10000) AS BIGINT) AS rest, CAST(least(c0, 255) AS BIGINT) AS first, count(*) AS n FROM n GROUP BY 1, 2")
+def ag_histogram_2d(spark, sf):
+    return hg.histogram_2d(_banks(spark, sf), 4)
+
+
+#: The cutoff in SQL: smooth, first rise, first maximum after it, first minimum between, cap at a
+#: quarter of the volume, three at least.
+def cutoff_sql(by: str) -> str:
+    p = f"PARTITION BY {by} " if by else ""
+    g = f"{by}, " if by else ""
+    j = f"USING ({by})" if by else "ON true"
+    each = f"(SELECT DISTINCT {by} FROM h0)" if by else "(SELECT 1 AS one)"
+    same = lambda a, b: f"{a}.{by} = {b}.{by} AND " if by else ""
+    return f"""h AS (SELECT {('g.' + by + ', ') if by else ''}i AS idx, coalesce(h0.c, 0) AS c FROM {each} g CROSS JOIN range(0, 10002) t(i) LEFT JOIN h0 ON {same('h0', 'g')}h0.idx = i),
+s AS (SELECT *, CASE WHEN idx = 0 OR idx >= 10000 THEN 0 WHEN idx = 1 THEN trunc(CAST(0.6 AS DOUBLE) * c + CAST(0.4 AS DOUBLE) * lead(c) OVER w) ELSE trunc(CAST(0.2 AS DOUBLE) * lag(c) OVER w + CAST(0.6 AS DOUBLE) * c + CAST(0.2 AS DOUBLE) * lead(c) OVER w) END AS sm, sum(idx * c) OVER ({p}ORDER BY idx) AS vol, sum(idx * c) OVER ({('PARTITION BY ' + by) if by else ''}) AS total FROM h WINDOW w AS ({p}ORDER BY idx)),
+d AS (SELECT *, lag(sm) OVER ({p}ORDER BY idx) AS before FROM s),
+a AS (SELECT {g}min(idx) - 1 AS rise FROM d WHERE idx BETWEEN 2 AND 9999 AND before < sm {('GROUP BY ' + by) if by else 'HAVING count(*) > 0'}),
+b AS (SELECT {g}rise, arg_min(idx, -sm * 100000 + idx) AS peak FROM d JOIN a {j} WHERE idx > rise AND idx <= 9999 GROUP BY {g}rise),
+v AS (SELECT {g}peak, arg_min(idx, sm * 100000 + idx) AS valley FROM d JOIN b {j} WHERE idx BETWEEN rise AND peak GROUP BY {g}peak),
+m AS (SELECT {g}min(idx) + 1 AS cap FROM d WHERE vol / total >= 0.25 {('GROUP BY ' + by) if by else ''})"""
+
+
+@query(f"WITH {counts_sql(9)}, h0 AS (SELECT least(abundance, 10000) AS idx, count(*) AS c FROM n GROUP BY 1), {cutoff_sql('')} SELECT CAST(coalesce((SELECT greatest(least(valley, cap), 3) FROM v, m), 3) AS INTEGER) AS cutoff")
+def ag_auto_cutoff(spark, sf):
+    found = hg.cutoffs(hg.histogram(ct.count_kmers(clean_reads(spark, sf), 9)))
+    return spark.createDataFrame([(found.cutoff,)], "cutoff int")
+
+
+@query(f"WITH {READS}, {km_sql(9)}, n AS (SELECT source, kmer, count(*) AS abundance FROM km GROUP BY source, kmer), h0 AS (SELECT source, least(abundance, 10000) AS idx, count(*) AS c FROM n GROUP BY 1, 2), {cutoff_sql('source')} SELECT g.source, CAST(coalesce(greatest(least(valley, cap), 3), 3) AS INTEGER) AS cutoff FROM (SELECT DISTINCT source FROM h0) g LEFT JOIN v USING (source) LEFT JOIN m USING (source)")
+def ag_auto_cutoff_per_bank(spark, sf):
+    counts = ct.kmer_rows(clean_reads(spark, sf), 9, ("source",)).groupBy("source", "kmer").agg(F.count("*").alias("abundance"))
+    hist = counts.groupBy("source", F.least("abundance", F.lit(10_000)).alias("idx")).agg(F.count("*").alias("abundance"))
+    return spark.createDataFrame([(b, c.cutoff) for b, c in hg.cutoffs(hist, "source").items()], "source string, cutoff int")
+
+
+@query(f"WITH {banks_sql(15)}, l AS (SELECT kmer, 0 AS b FROM n WHERE c0 BETWEEN 2 AND 1000 UNION ALL SELECT kmer, 1 FROM n WHERE c1 BETWEEN 2 AND 1000 UNION ALL SELECT kmer, 2 FROM n WHERE c2 BETWEEN 2 AND 1000 UNION ALL SELECT kmer, 3 FROM n WHERE c3 BETWEEN 2 AND 1000), p AS (SELECT x.b AS i, y.b AS j, count(*) AS shared FROM l x JOIN l y USING (kmer) WHERE x.b <= y.b GROUP BY 1, 2) SELECT i, j, coalesce(shared, 0) AS shared FROM (SELECT a.i, b.j FROM range(0, 4) a(i), range(0, 4) b(j) WHERE a.i <= b.j) LEFT JOIN p USING (i, j)")
+def ag_shared_kmers(spark, sf):
+    return ct.shared_kmers(_banks(spark, sf), 4, 2, 1000)
+
+
+_BUCKET_SQL = "CAST(list_reduce(list_transform(range(1, 7), lambda i: instr('0123456789abcdef', substr(md5(kmer), i, 1)) - 1), lambda a, b: a * 16 + b) AS BIGINT)"
+
+
+@query(f"WITH {counts_sql(15)} SELECT count(DISTINCT {_BUCKET_SQL}) AS weight, round(-16777216.0 * ln((16777216.0 - count(DISTINCT {_BUCKET_SQL})) / 16777216.0), 3) AS estimate FROM n")
+def ag_linear_counter(spark, sf):
+    rows = ct.kmer_rows(clean_reads(spark, sf), 15)
+    return ct.linear_count(rows, 1 << 24, F.conv(F.substr(F.md5("kmer"), F.lit(1), F.lit(6)), 16, 10).cast("bigint"))
+
+
+@query(f"WITH {READS}, w AS (SELECT unnest(list_transform(range(1, length(d) - 13, 15), lambda i: substr(d, i, 15))) AS kmer FROM r WHERE length(d) >= 15), c AS (SELECT kmer, count(*) AS n FROM w GROUP BY kmer) SELECT n, count(*) AS kmers FROM c GROUP BY n")
+def ag_non_overlapping(spark, sf):
+    rows = clean_reads(spark, sf).select(F.explode(enc.kmers(F.col("d"), 15, 15)).alias("kmer"))
+    return rows.groupBy("kmer").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("kmers"))
+
+
+@query(f"WITH {_SUPER}, c AS (SELECT read_id, count(*) AS runs FROM s GROUP BY read_id) SELECT runs, count(*) AS reads FROM c GROUP BY runs")
+def ag_superkmers_per_read(spark, sf):
+    runs = mz.superkmers(fixed_reads(spark, sf), 15, 5).groupBy("read_id").agg(F.count("*").alias("runs"))
+    return runs.groupBy("runs").agg(F.count("*").alias("reads"))
+
+
+@query(f"WITH {counts_sql(15, 3)}, p AS (SELECT kmer, {min_sql('kmer', 5)} AS own FROM n), x AS (SELECT kmer, own, unnest(['0','1','2','3']) AS nt FROM p), y AS (SELECT kmer, own, {canon_sql('(substr(kmer, 2) || nt)')} AS z FROM x UNION ALL SELECT kmer, own, {canon_sql('(nt || substr(kmer, 1, 14))')} FROM x), q AS (SELECT kmer, any_value(own) AS own, count(*) FILTER (WHERE {min_sql('z', 5)} = own) AS same FROM y GROUP BY kmer) SELECT own AS minimizer, count(*) FILTER (WHERE same = 8) AS core, count(*) FILTER (WHERE same < 8) AS bound FROM q GROUP BY own")
+def ag_core_and_bound(spark, sf):
+    nodes = graph(spark, sf, 15).nodes.select("kmer", mz.minimizer(F.col("kmer"), 5).alias("minimizer"))
+    same = F.size(F.filter(enc.neighbours(F.col("kmer"), 15), lambda x: mz.minimizer(x.kmer, 5) == F.col("minimizer")))
+    return nodes.select("minimizer", (same == 8).alias("core")).groupBy("minimizer").agg(F.count_if("core").alias("core"), F.count_if(~F.col("core")).alias("bound"))
+
+
+@query(f"WITH {counts_sql(15, 3)}, {degrees_sql(15)} SELECT kmer FROM deg WHERE indegree = 0 AND outdegree = 0")
+def ag_isolated_kmers(spark, sf):
+    return graph(spark, sf, 15).isolated()
+
+
+_VALUE = "list_reduce(list_transform(range(1, length(kmer) + 1), lambda i: CAST(substr(kmer, i, 1) AS HUGEINT)), lambda a, b: a * 4 + b)"
+
+
+@query(f"WITH {counts_sql(21, 3)} SELECT CAST(sum({_VALUE}) % 18446744073709551616 AS VARCHAR) AS checksum FROM n")
+def ag_checksum(spark, sf):
+    return ct.checksum(graph(spark, sf, 21).nodes)
+
+
+@query(f"WITH {_SUPER} SELECT minimizer, count(*) AS superkmers, CAST(sum(n_kmers) AS BIGINT) AS kmers FROM s GROUP BY minimizer")
+def ag_minimizer_tallies(spark, sf):
+    return mz.superkmers(fixed_reads(spark, sf), 15, 5).groupBy("minimizer").agg(F.count("*").alias("superkmers"), F.sum("n_kmers").alias("kmers"))
+
+
+# ---------------------------------------------------------------- membership and joins
+
+
+@query(f"WITH {READS}, {km_sql(15)} SELECT kmer, array_to_string(list_sort(list(DISTINCT lang)), ',') AS banks FROM km GROUP BY kmer")
+def mb_bank_sets(spark, sf):
+    rows = ct.kmer_rows(clean_reads(spark, sf), 15, ("lang",))
+    return rows.groupBy("kmer").agg(F.array_join(F.sort_array(F.collect_set("lang")), ",").alias("banks"))
+
+
+_THR = "t AS (SELECT i, CASE WHEN i <= 70 THEN i WHEN i <= 85 THEN 70 + (i - 70) * 2 WHEN i <= 125 THEN 100 + (i - 85) * 10 WHEN i <= 150 THEN 500 + (i - 125) * 20 WHEN i <= 190 THEN 1000 + (i - 150) * 100 WHEN i <= 215 THEN 5000 + (i - 190) * 200 ELSE 10000 + (i - 215) * 1000 END AS v FROM range(0, 256) x(i))"
+
+
+@query(f"WITH {counts_sql(5)}, {_THR} SELECT kmer, abundance, max(i) AS class, max(v) AS value FROM n JOIN t ON v <= abundance GROUP BY kmer, abundance")
+def mb_discrete_abundance(spark, sf):
+    n = ct.count_kmers(clean_reads(spark, sf), 5)
+    return n.select("kmer", "abundance", hg.discrete_class(F.col("abundance")).alias("class"), hg.discrete_value(F.col("abundance")).alias("value"))
+
+
+@query(f"WITH {counts_sql(21, 3)} SELECT kmer, row_number() OVER (ORDER BY kmer) - 1 AS id FROM n")
+def mb_dense_id(spark, sf):
+    return dense_ids(graph(spark, sf, 21).nodes, 8)
+
+
+def _bits_sql(x: str, j: int, size: int) -> str:
+    return f"CAST(list_reduce(list_transform(range({7 * j + 1}, {7 * j + 8}), lambda i: instr('0123456789abcdef', substr(md5({x}), i, 1)) - 1), lambda a, b: a * 16 + b) AS BIGINT) % {size}"
+
+
+def _bloom_sql(size: int, hashes: int) -> str:
+    return " UNION ".join(f"SELECT {_bits_sql('kmer', j, size)} AS bit FROM n" for j in range(hashes))
+
+
+@query(f"WITH {counts_sql(21, 3)}, b AS ({_bloom_sql(65536, 4)}) SELECT count(*) AS bits_set FROM b")
+def mb_bloom_weight(spark, sf):
+    return mb.bloom_bits(graph(spark, sf, 21).nodes, 65536, 4).agg(F.count("*").alias("bits_set"))
+
+
+@query(f"WITH {counts_sql(21, 3)}, b AS ({_bloom_sql(65536, 4)}), x AS (SELECT kmer, unnest(['0','1','2','3']) AS nt FROM n), c AS (SELECT {canon_sql('(substr(kmer, 2) || nt)')} AS z FROM x UNION SELECT {canon_sql('(nt || substr(kmer, 1, 20))')} FROM x) SELECT z AS kmer FROM c WHERE z NOT IN (SELECT kmer FROM n) AND {' AND '.join(f'{_bits_sql(chr(122), j, 65536)} IN (SELECT bit FROM b)' for j in range(4))}")
+def mb_critical_false_positives(spark, sf):
+    return mb.critical_false_positives(graph(spark, sf, 21), 65536, 4)
+
+
+@query(f"WITH {counts_sql(21, 3)}, {edges_sql(21)} SELECT DISTINCT {canon_sql('source')} AS kmer, {canon_sql('target')} AS neighbour FROM e")
+def jn_neighbour_semi(spark, sf):
+    return graph(spark, sf, 21).neighbours().select("kmer", "neighbour").distinct()
+
+
+@query(f"WITH {counts_sql(21, 3)}, x AS (SELECT kmer, unnest(['0','1','2','3']) AS nt FROM n), c AS (SELECT {canon_sql('(substr(kmer, 2) || nt)')} AS z FROM x UNION SELECT {canon_sql('(nt || substr(kmer, 1, 20))')} FROM x) SELECT z AS kmer FROM c WHERE z NOT IN (SELECT kmer FROM n)")
+def jn_anti(spark, sf):
+    g = graph(spark, sf, 21)
+    found = g.nodes.select(F.explode(enc.neighbours(F.col("kmer"), 21)).alias("x")).select("x.kmer").distinct()
+    return found.join(g.nodes, "kmer", "left_anti")
+
+
+@query(f"WITH {counts_sql(21, 3)}, q AS (SELECT read_id, {canon_sql('substr(d, 1, 21)')} AS kmer FROM r WHERE length(d) >= 21) SELECT read_id, abundance FROM q JOIN n USING (kmer)")
+def jn_abundance_lookup(spark, sf):
+    g = graph(spark, sf, 21)
+    asked = clean_reads(spark, sf).where(F.length("d") >= 21).select("read_id", enc.kmer_at(F.col("d"), 0, 21).alias("q"))
+    return g.abundance_of(asked, "q").select("read_id", "abundance")
+
+
+@query(f"WITH {counts_sql(21, 3)}, {degrees_sql(21)}, h AS (SELECT read_id, count(*) AS c FROM km WHERE kmer IN (SELECT kmer FROM deg WHERE NOT (indegree = 1 AND outdegree = 1)) GROUP BY read_id) SELECT coalesce(c, 0) AS n_branching, count(*) AS n_reads FROM r LEFT JOIN h USING (read_id) GROUP BY 1")
+def jn_reads_branching(spark, sf):
+    return read_branching(graph(spark, sf, 21), clean_reads(spark, sf), "read_id", enc.canonical_kmers(F.col("d"), 21))
+
+
+@query(f"WITH {counts_sql(5)}, {_THR}, w AS (SELECT i, v AS lo, coalesce(lead(v) OVER (ORDER BY i), 1000000000) AS hi FROM t) SELECT i AS class, count(*) AS kmers FROM n JOIN w ON abundance >= lo AND abundance < hi GROUP BY i")
+def jn_range(spark, sf):
+    n = ct.count_kmers(clean_reads(spark, sf), 5)
+    thr = hg.discrete_thresholds()[:256]
+    classes = spark.createDataFrame([(i, lo, hi) for i, (lo, hi) in enumerate(zip(thr, [*thr[1:], 1_000_000_000], strict=True))], "class bigint, lo bigint, hi bigint")  # 256 rows
+    return n.join(F.broadcast(classes), (F.col("abundance") >= F.col("lo")) & (F.col("abundance") < F.col("hi"))).groupBy("class").agg(F.count("*").alias("kmers"))
+
+
+# ---------------------------------------------------------------- windows, sorts, sets
+
+
+@query(f"WITH {FIXED}, m AS (SELECT read_id, i - 1 AS pos, {canon_sql('substr(d, i, 5)')} AS x FROM (SELECT read_id, d, unnest(range(1, 29)) AS i FROM r)), w AS (SELECT read_id, pos, min(x) OVER (PARTITION BY read_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 10 FOLLOWING) AS smallest FROM m) SELECT read_id, pos, smallest FROM w WHERE pos <= 17")
+def wn_sliding_minimum(spark, sf):
+    rows = fixed_reads(spark, sf).select("read_id", F.posexplode(enc.canonical_kmers(F.col("d"), 5)).alias("pos", "x"))
+    w = Window.partitionBy("read_id").orderBy("pos").rowsBetween(0, 10)
+    return rows.withColumn("smallest", F.min("x").over(w)).where("pos <= 17").select("read_id", F.col("pos").cast("bigint").alias("pos"), "smallest")
+
+
+@query(f"WITH {counts_sql(9)}, h AS (SELECT CAST(least(abundance, 10000) AS BIGINT) AS idx, count(*) AS abundance FROM n GROUP BY 1) SELECT idx, abundance, CAST(sum(idx * abundance) OVER (ORDER BY idx) AS BIGINT) AS volume FROM h")
+def wn_cumulative_volume(spark, sf):
+    return hg.cumulative_volume(hg.histogram(ct.count_kmers(clean_reads(spark, sf), 9)))
+
+
+@query(f"WITH {counts_sql(9)}, h AS (SELECT CAST(least(abundance, 10000) AS BIGINT) AS idx, count(*) AS a FROM n GROUP BY 1), b AS (SELECT idx - 1 AS idx, a * 2 AS x FROM h UNION ALL SELECT idx, a * 6 FROM h UNION ALL SELECT idx + 1, a * 2 FROM h) SELECT idx, CAST(sum(x) // 10 AS BIGINT) AS smooth FROM b WHERE idx >= 1 GROUP BY idx")
+def wn_smoothing(spark, sf):
+    return hg.smoothed(hg.histogram(ct.count_kmers(clean_reads(spark, sf), 9)))
+
+
+@query(f"WITH {counts_sql(21, 3)}, {degrees_sql(21)}, c AS (SELECT indegree, outdegree, count(*) AS n FROM deg WHERE NOT (indegree = 1 AND outdegree = 1) GROUP BY 1, 2) SELECT indegree, outdegree, n, CAST(floor(sum(n) OVER (ORDER BY n DESC, indegree, outdegree) * 10000 / sum(n) OVER ()) AS BIGINT) AS cumulative_bp FROM c")
+def wn_topology_cumulative(spark, sf):
+    w = Window.orderBy(F.desc("n"), "indegree", "outdegree")  # 25 classes at most
+    return graph(spark, sf, 21).topology().withColumn("cumulative_bp", F.floor(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)) * 10000 / F.sum("n").over(Window.partitionBy())).cast("bigint"))
+
+
+@query(f"WITH {counts_sql(15)} SELECT kmer, abundance FROM n ORDER BY abundance DESC, kmer LIMIT 100")
+def so_top_kmers(spark, sf):
+    return ct.count_kmers(clean_reads(spark, sf), 15).orderBy(F.desc("abundance"), "kmer").limit(100)
+
+
+@query(f"WITH {READS}, {km_sql(15)} SELECT kmer FROM km WHERE lang = 'de' INTERSECT SELECT kmer FROM km WHERE lang = 'fr'")
+def st_intersection(spark, sf):
+    rows = ct.kmer_rows(clean_reads(spark, sf), 15, ("lang",))
+    return rows.where("lang = 'de'").select("kmer").intersect(rows.where("lang = 'fr'").select("kmer"))
+
+
+@query(f"WITH {READS}, {km_sql(15)} SELECT kmer FROM km WHERE lang = 'es' EXCEPT SELECT kmer FROM km WHERE lang = 'en'")
+def st_difference(spark, sf):
+    rows = ct.kmer_rows(clean_reads(spark, sf), 15, ("lang",))
+    return rows.where("lang = 'es'").select("kmer").subtract(rows.where("lang = 'en'").select("kmer"))
+
+
+@query(f"WITH {READS}, {km_sql(15)} SELECT kmer FROM km WHERE lang = 'es' UNION SELECT kmer FROM km WHERE lang = 'fr'")
+def st_union_distinct(spark, sf):
+    rows = ct.kmer_rows(clean_reads(spark, sf), 15, ("lang",))
+    return rows.where("lang IN ('es', 'fr')").select("kmer").distinct()
+
+
+@query(f"WITH {_SUPER} SELECT minimizer, CAST(sum(n_kmers) AS BIGINT) AS kmers FROM s GROUP BY minimizer", "so_minimizer_weights")
+def so_minimizer_weights(spark, sf):
+    return mz.superkmers(fixed_reads(spark, sf), 15, 5).groupBy("minimizer").agg(F.sum("n_kmers").alias("kmers"))
+
+
+@query()
+def so_balanced_partitions(spark, sf):
+    """Minimizers dealt to eight partitions, heaviest first, each to the lightest."""
+    weights = {x.minimizer: x.kmers for x in so_minimizer_weights(spark, sf).collect()}  # 4**5 rows at most
+    return spark.createDataFrame(sorted(mb.balance(weights, 8).items()), "minimizer string, partition int")
+
+
+# ---------------------------------------------------------------- graph
+
+
+@query(f"WITH {counts_sql(15, 3)}, {degrees_sql(15)} SELECT kmer, indegree, outdegree FROM deg")
+def gr_degrees(spark, sf):
+    return graph(spark, sf, 15).degrees()
+
+
+@query(f"WITH {counts_sql(15, 3)}, {degrees_sql(15)} SELECT kmer FROM deg WHERE NOT (indegree = 1 AND outdegree = 1)")
+def gr_branching(spark, sf):
+    return graph(spark, sf, 15).branching().select("kmer")
+
+
+@query(f"WITH {counts_sql(15, 3)}, {degrees_sql(15)} SELECT indegree, outdegree, count(*) AS n FROM deg WHERE NOT (indegree = 1 AND outdegree = 1) GROUP BY 1, 2")
+def gr_topology(spark, sf):
+    return graph(spark, sf, 15).topology()
+
+
+@query(f"WITH {counts_sql(21, 3)}, {edges_sql(21)} SELECT source, target, substr(target, -1) AS nt FROM e")
+def gr_edges(spark, sf):
+    return graph(spark, sf, 21).edges()
+
+
+@query(f"WITH {counts_sql(21, 3)}, {edges_sql(21)} SELECT source AS o, substr(target, -1) AS nt, target AS successor FROM e")
+def gr_successors(spark, sf):
+    g = graph(spark, sf, 21)
+    return g.successors(g.oriented())
+
+
+@query(f"WITH {counts_sql(21, 3)}, {edges_sql(21)} SELECT target AS o, substr(source, 1, 1) AS nt, source AS predecessor FROM e WHERE substr(source, 1, 1) = '2'")
+def gr_predecessor_by_nucleotide(spark, sf):
+    g = graph(spark, sf, 21)
+    return g.predecessors(g.oriented(), "2")
+
+
+@query(f"WITH {counts_sql(21, 3)}, {edges_sql(21)}, b AS (SELECT kmer FROM n ORDER BY kmer LIMIT 50) SELECT DISTINCT {canon_sql('target')} AS kmer FROM e WHERE {canon_sql('source')} IN (SELECT kmer FROM b)")
+def gr_neighbours_of_set(spark, sf):
+    g = graph(spark, sf, 21)
+    return g.neighbours_of(g.nodes.orderBy("kmer").limit(50).select("kmer"))
+
+
+@query(f"WITH {counts_sql(21, 3)}, {edges_sql(21)}, a AS (SELECT source, count(*) AS outs, min(target) AS nx FROM e GROUP BY source), i AS (SELECT target, count(*) AS ins FROM e GROUP BY target) SELECT o.o, CASE WHEN outs IS NULL THEN 0 WHEN outs > 1 THEN -1 WHEN ins > 1 THEN -2 ELSE 1 END AS step FROM o LEFT JOIN a ON a.source = o.o LEFT JOIN i ON i.target = a.nx")
+def gr_simple_path_step(spark, sf):
+    return graph(spark, sf, 21).avance()
+
+
+@query(f"WITH {counts_sql(21, 3)}, b AS (SELECT read_id, unnest(list_transform(range(1, length(d) - 19), lambda i: {canon_sql('substr(d, i, 21)')})) AS q FROM r WHERE length(d) >= 21) SELECT read_id, count(*) AS hits FROM b WHERE q IN (SELECT kmer FROM n) GROUP BY read_id")
+def gr_contains(spark, sf):
+    g = graph(spark, sf, 21)
+    rows = clean_reads(spark, sf).select("read_id", F.explode(enc.kmers(F.col("d"), 21)).alias("q"))
+    return g.contains(rows, "q").groupBy("read_id").agg(F.count("*").alias("hits"))
+
+
+@query(f"WITH {counts_sql(21, 3)} SELECT kmer, abundance FROM n WHERE abundance < 5")
+def gr_delete_nodes(spark, sf):
+    g = graph(spark, sf, 21)
+    return g.without(g.nodes.where("abundance >= 5").select("kmer")).nodes
+
+
+@query(f"WITH {counts_sql(21, 3)}, {degrees_sql(21)}, b AS (SELECT kmer FROM deg WHERE NOT (indegree = 1 AND outdegree = 1)) SELECT (SELECT count(*) FROM n) AS nb_solids, (SELECT CAST(sum(abundance) AS BIGINT) FROM n) AS sum_abundance, (SELECT count(*) FROM e) AS nb_edges, (SELECT count(*) FROM b) AS nb_branching, (SELECT CAST(sum({_VALUE}) % 18446744073709551616 AS VARCHAR) FROM n) AS checksum_nodes, (SELECT CAST(sum({_VALUE}) % 18446744073709551616 AS VARCHAR) FROM b) AS checksum_branching")
+def gr_digest(spark, sf):
+    return graph(spark, sf, 21).digest()
+
+
+#: Walks along simple paths from where they begin, in SQL.
+_WALK = f"""lk0 AS (SELECT source, min(target) AS nx FROM e GROUP BY source HAVING count(*) = 1), lk AS (SELECT source AS o, nx FROM lk0 WHERE nx IN (SELECT target FROM e GROUP BY target HAVING count(*) = 1) AND {canon_sql('source')} <> {canon_sql('nx')}),
+hd AS (SELECT o.o FROM o WHERE o.o NOT IN (SELECT nx FROM lk)), wk AS (SELECT o AS head, o, o AS s, 1 AS len FROM hd UNION ALL SELECT wk.head, lk.nx, wk.s || substr(lk.nx, -1), wk.len + 1 FROM wk JOIN lk ON lk.o = wk.o),
+un AS (SELECT arg_max(s, len) AS seq, CAST(max(len) AS BIGINT) AS n_kmers FROM wk GROUP BY head)"""
+
+
+@query(f"WITH RECURSIVE {counts_sql(21, 3)}, {edges_sql(21)}, {_WALK} SELECT seq, n_kmers FROM un WHERE seq <= {rc_sql('seq')}")
+def un_unitigs(spark, sf):
+    return graph(spark, sf, 21).unitigs().where("NOT circular").select("seq", "n_kmers")
+
+
+@query(f"WITH RECURSIVE {counts_sql(31, 3)}, {edges_sql(31)}, {_WALK} SELECT n_kmers, count(*) AS n FROM un WHERE seq <= {rc_sql('seq')} GROUP BY n_kmers")
+def un_length_histogram_k31(spark, sf):
+    return graph(spark, sf, 31).unitigs().where("NOT circular").groupBy("n_kmers").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH RECURSIVE {counts_sql(21, 3)}, {edges_sql(21)}, {_WALK}, u AS (SELECT seq FROM un WHERE seq <= {rc_sql('seq')}), b AS (SELECT seq, '+' AS sign, seq AS s FROM u UNION ALL SELECT seq, '-', {rc_sql('seq')} FROM u) SELECT x.seq AS from_seq, x.sign AS from_sign, y.seq AS to_seq, y.sign AS to_sign FROM b x JOIN b y ON substr(x.s, -20) = substr(y.s, 1, 20)")
+def un_links(spark, sf):
+    g = graph(spark, sf, 21)
+    return g.unitig_links(cut(g.unitigs().where("NOT circular").select("seq")))
+
+
+@query(f"WITH RECURSIVE {counts_sql(31, 3)}, {edges_sql(31)}, {_WALK}, m AS (SELECT seq, unnest(list_transform(range(1, length(seq) - 29), lambda i: {canon_sql('substr(seq, i, 31)')})) AS kmer FROM un WHERE seq <= {rc_sql('seq')}) SELECT seq, CAST(sum(abundance) AS BIGINT) AS kc, round(sum(abundance) / count(*), 6) AS km FROM m JOIN n USING (kmer) GROUP BY seq")
+def un_header_statistics(spark, sf):
+    u = graph(spark, sf, 31).unitigs().where("NOT circular")
+    return u.select("seq", "kc", F.round(F.col("kc") / F.col("n_kmers"), 6).alias("km"))
+
+
+@query(f"WITH RECURSIVE {counts_sql(31, 3)}, {degrees_sql(31)}, br AS (SELECT kmer FROM deg WHERE NOT (indegree = 1 AND outdegree = 1)), wk AS (SELECT e.source, e.target AS o, 1 AS len FROM e WHERE {canon_sql('e.source')} IN (SELECT kmer FROM br) UNION ALL SELECT wk.source, e.target, wk.len + 1 FROM wk JOIN e ON e.source = wk.o WHERE {canon_sql('wk.o')} NOT IN (SELECT kmer FROM br)) SELECT source, o AS target, CAST(len AS BIGINT) AS distance FROM wk WHERE {canon_sql('o')} IN (SELECT kmer FROM br)")
+def gr_branching_edges(spark, sf):
+    return graph(spark, sf, 31).branching_edges()
+
+
+@query(f"WITH RECURSIVE {counts_sql(31, 3)}, {edges_sql(31)}, u AS (SELECT DISTINCT {canon_sql('source')} AS a, {canon_sql('target')} AS b FROM e), w AS (SELECT kmer, kmer AS root FROM n UNION SELECT u.b, w.root FROM w JOIN u ON u.a = w.kmer) SELECT kmer, min(root) AS component FROM w GROUP BY kmer")
+def gr_components(spark, sf):
+    return graph(spark, sf, 31).components()
+
+
+@query(f"WITH RECURSIVE {counts_sql(31, 3)}, {degrees_sql(31)}, br AS (SELECT kmer FROM deg WHERE NOT (indegree = 1 AND outdegree = 1)), wk AS (SELECT e.source, e.target AS o, 1 AS len FROM e WHERE {canon_sql('e.source')} IN (SELECT kmer FROM br) UNION ALL SELECT wk.source, e.target, wk.len + 1 FROM wk JOIN e ON e.source = wk.o WHERE {canon_sql('wk.o')} NOT IN (SELECT kmer FROM br)) SELECT source, CAST(len AS BIGINT) AS distance FROM wk WHERE o = source")
+def gr_self_cycles(spark, sf):
+    return graph(spark, sf, 31).branching_edges().where("source = target").select("source", "distance")
+
+
+@query()
+def gr_snp_bubbles(spark, sf):
+    return graph(spark, sf, 21).snp_bubbles()
+
+
+from strandloom import queries_paths  # noqa: E402, F401  registers the queries of traversal, simplification and codecs

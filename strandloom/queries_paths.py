@@ -1,0 +1 @@
+"""Queries of traversal, simplification, codecs and streaming."""
