@@ -7,6 +7,9 @@ within the threshold misses n - ceil(t*n) of its shingles at most, so it meets t
 these cells. That window is what the triangle inequality leaves of the boundary; every linked pair
 shares a cell, no pair is lost. Common passages come last in the order and make no large cells.
 
+Before any sets are brought together, their signatures are: parities of the numbers of shingles in
+hash buckets, whose Hamming distance is a lower bound of the symmetric difference.
+
 Cells are then joined recursively. Each cell takes one of its sets as pivot, and the distance of all
 its sets to the pivot is computed: those within the threshold link to it. The others make the next
 cell; they can only link to a set of the pivot's component whose distance to the pivot differs by
@@ -66,34 +69,53 @@ def set_key(shingles: np.ndarray) -> int:
     return int(mix(np.array([total], dtype=U64)).view(np.int64)[0])
 
 
+def signature(shingles: np.ndarray) -> bytes:
+    """Parities of the numbers of shingles in hash buckets, two buckets a shingle at least. Two sets
+    differ in as many shingles at least as their signatures in bits."""
+    bits = 1 << max(6, (2 * len(shingles) - 1).bit_length())
+    return np.packbits((np.bincount((shingles & U64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """A lower bound of the symmetric difference; the longer signature is folded to the shorter."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _batch(names: list[str], *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
 
 def _describe(documents: DataFrame, size: int) -> DataFrame:
-    """Rows of kind 0: (id, n, g) of each document; of kind 1: (bucket, count) of the buckets of
+    """Rows of kind 0: (id, n, g, signature) of each document; of kind 1: (bucket, count) of the buckets of
     shingle hashes that a task sees more often than chance explains."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "id", "n", "g"]
+        names = ["kind", "id", "n", "g", "signature"]
         counts = np.zeros(1 << _SKETCH_BITS, dtype=np.int64)
         seen: set[int] = set()
         for batch in batches:
-            n, g = [], []
+            n, g, marks = [], [], []
             for _, s in shingle_sets(batch.column(1), size):
                 n.append(len(s))
                 g.append(set_key(s))
+                marks.append(signature(s) if len(s) else b"")
                 if g[-1] not in seen:
                     if len(seen) < 1 << 20:
                         seen.add(g[-1])
                     np.add.at(counts, (s >> U64(64 - _SKETCH_BITS)).astype(np.int64), 1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int64)), batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(g, pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int64)), batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(g, pa.int64()), pa.array(marks, pa.binary())], names=names)
         mean = counts.mean()
         often = np.flatnonzero(counts > mean + 3 * np.sqrt(mean) + 1)
         if len(often):
-            yield _batch(names, np.ones(len(often)), often, counts[often], np.zeros(len(often)))
+            few = _batch(names[:4], np.ones(len(often), np.int64), often, counts[often], np.zeros(len(often), np.int64))
+            yield pa.RecordBatch.from_arrays([*few.columns, pa.nulls(len(often), pa.binary())], names=names)
 
-    return documents.mapInArrow(task, "kind long, id long, n long, g long")
+    return documents.mapInArrow(task, "kind long, id long, n long, g long, signature binary")
 
 
 def needed(n, percent: int):
@@ -178,7 +200,22 @@ def _sets(documents: DataFrame, classes: DataFrame, size: int) -> DataFrame:
             if g:
                 yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(s, pa.binary())], names=["g", "s"])
 
-    return documents.join(classes.withColumnRenamed("id", "_id"), F.col("_id") == F.col("id")).select("text", "g").mapInArrow(task, "g long, s binary").dropDuplicates(["g"])
+    return documents.join(classes.withColumnRenamed("id", "_id"), F.col("_id") == F.col("id")).select("text", "g").mapInArrow(task, "g long, s binary")
+
+
+def _plausible(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, na, nb) whose signatures leave it possible that they link."""
+    own = lambda c: signatures.select(F.col("g").alias(c), F.col("signature").alias(f"s{c}"))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, na, nb, sa, sb = (c.to_pylist() for c in batch.columns)
+            # J >= t means a symmetric difference of (1 - t) / (1 + t) of both sizes at most
+            keep = [i for i in range(len(a)) if (100 + percent) * least_difference(sa[i], sb[i]) <= (100 - percent) * (na[i] + nb[i])]
+            if keep:
+                yield _batch(["a", "b"], [a[i] for i in keep], [b[i] for i in keep])
+
+    return pairs.join(own("a"), "a").join(own("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(task, "a long, b long")
 
 
 def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -209,7 +246,7 @@ def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.sortWithinPartitions("a", F.asc_nulls_first("b")).mapInArrow(task, "a long, b long, k long, u long")
 
 
-def similar_documents(documents: DataFrame, scratch: Scratch, size: int = 5, percent: int = 75, id_col: str = "doc_id", text: str = "text", small: int = 48, rounds: int = 6) -> DataFrame:
+def similar_documents(documents: DataFrame, scratch: Scratch, size: int = 5, percent: int = 75, id_col: str = "doc_id", text: str = "text", small: int = 48, rounds: int = 6, few: int = 500_000) -> DataFrame:
     """(id, n_shingles, component) of every row: documents link when 100 * intersection is
     ``percent`` * union at least; a component is named by its smallest id."""
     spark = scratch.spark
@@ -222,9 +259,9 @@ def similar_documents(documents: DataFrame, scratch: Scratch, size: int = 5, per
     cells = _cells(docs.where("id IS NOT NULL").select("text"), size, percent, sketch)
     cells = cells.repartition(shuffle_partitions(spark), "x").sortWithinPartitions("x", "g").mapInArrow(_shared, "x long, g long, n long")
     cells = scratch.table(cells, "cells")
-    classes = rows.where("n > 0 AND id IS NOT NULL").groupBy("g").agg(F.min("id").alias("id"))
-    meeting = cells.select("g").distinct().join(classes, "g")
-    sets = scratch.table(_sets(docs, meeting, size), "sets")
+    classes = scratch.table(rows.where("n > 0 AND id IS NOT NULL").groupBy("g").agg(F.min("id").alias("id")), "classes")
+    signatures = told.where("kind = 0 AND n > 0").join(classes.withColumnRenamed("id", "_id"), ["g"]).where("id = _id").dropDuplicates(["g"]).select("g", "signature")
+    signatures = scratch.table(signatures.join(cells.select("g").distinct(), "g", "left_semi"), "signatures")
 
     # Cells with the same sets are one cell.
     mark = cells.groupBy("x").agg(F.count("*").alias("m"), F.sum(F.xxhash64("g").cast("decimal(38,0)")).alias("h"))
@@ -238,10 +275,18 @@ def similar_documents(documents: DataFrame, scratch: Scratch, size: int = 5, per
 
     def verify(pairs: DataFrame, name: str) -> DataFrame:
         nonlocal ready, links
-        fresh = pairs.where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        swap = F.col("a") > F.col("b")
+        either = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
+        fresh = pairs.where(near).select(either("a", "b").alias("a"), either("b", "a").alias("b"), either("na", "nb").alias("na"), either("nb", "na").alias("nb")).distinct()
         if ready is not None:
             fresh = fresh.join(ready, ["a", "b"], "left_anti")
-        got = scratch.table(_overlaps(fresh, sets), name)
+        maybe = scratch.table(_plausible(fresh, signatures, percent), f"{name}-maybe")
+        wanted = scratch.table(maybe.select(F.explode(F.array("a", "b")).alias("g")).distinct().join(classes, "g"), f"{name}-wanted")
+        if wanted.count() <= few:  # 16 bytes each; beyond that, a shuffled join
+            wanted = F.broadcast(wanted)
+        sets = scratch.table(_sets(docs, wanted, size), f"{name}-sets")
+        got = scratch.table(_overlaps(maybe, sets).distinct(), name)
+        scratch.drop(f"{name}-sets")
         ready = got if ready is None else ready.unionByName(got)
         good = got.where(F.col("k") * 100 >= F.col("u") * percent).select("a", "b")
         links = good if links is None else links.unionByName(good)
