@@ -480,7 +480,7 @@ def ag_non_overlapping(spark, sf):
     return rows.groupBy("kmer").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("kmers"))
 
 
-@query(f"WITH {_SUPER}, c AS (SELECT read_id, count(*) AS runs FROM s GROUP BY read_id) SELECT runs, count(*) AS reads FROM c GROUP BY runs")
+@query(f"WITH {_SUPER}, per AS (SELECT read_id, count(*) AS runs FROM s GROUP BY read_id) SELECT runs, count(*) AS reads FROM per GROUP BY runs")
 def ag_superkmers_per_read(spark, sf):
     runs = mz.superkmers(fixed_reads(spark, sf), 15, 5).groupBy("read_id").agg(F.count("*").alias("runs"))
     return runs.groupBy("runs").agg(F.count("*").alias("reads"))
