@@ -7,7 +7,9 @@ within the threshold misses n - ceil(t*n) of its shingles at most, so it meets t
 these cells. That window is what the triangle inequality leaves of the boundary; every linked pair
 shares a cell, no pair is lost. Common passages come last in the order and make no large cells.
 
-Before any sets are brought together, their signatures are: parities of the numbers of shingles in
+Two sets are only compared in a cell if what is left of both, from there on in the order, can hold
+the overlap that they need; where they first meet, that is so for every linked pair. Before any sets
+are brought together, their signatures are: parities of the numbers of shingles in
 hash buckets, whose Hamming distance is a lower bound of the symmetric difference.
 
 Cells are then joined recursively. Each cell takes one of its sets as pivot, and the distance of all
@@ -124,8 +126,8 @@ def needed(n, percent: int):
 
 
 def _cells(documents: DataFrame, size: int, percent: int, sketch: np.ndarray) -> DataFrame:
-    """(x, g, n): the sets of each cell x, a set as often as it has windows; equal sets once a
-    task."""
+    """(x, g, n): the sets of each cell x, a set as often as it has windows; equal sets once a task.
+    n holds the set's size and, in the low 32 bits, how many of its shingles come before x."""
     held = documents.sparkSession.sparkContext.broadcast(sketch)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +148,7 @@ def _cells(documents: DataFrame, size: int, percent: int, sketch: np.ndarray) ->
                 first = s[:most] if not weight.any() else s[np.lexsort((s, weight))[:most]]
                 x.append(first)
                 g.append(np.full(most, key))
-                n.append(np.full(most, len(s)))
+                n.append((len(s) << 32) + np.arange(most))
                 rows += most
                 if rows > 1 << 16:
                     yield _batch(["x", "g", "n"], np.concatenate(x).view(np.int64), np.concatenate(g), np.concatenate(n))
@@ -246,7 +248,7 @@ def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.sortWithinPartitions("a", F.asc_nulls_first("b")).mapInArrow(task, "a long, b long, k long, u long")
 
 
-def similar_documents(documents: DataFrame, scratch: Scratch, size: int = 5, percent: int = 75, id_col: str = "doc_id", text: str = "text", small: int = 48, rounds: int = 6, few: int = 500_000) -> DataFrame:
+def similar_documents(documents: DataFrame, scratch: Scratch, size: int = 5, percent: int = 75, id_col: str = "doc_id", text: str = "text", small: int = 48, rounds: int = 4, few: int = 500_000) -> DataFrame:
     """(id, n_shingles, component) of every row: documents link when 100 * intersection is
     ``percent`` * union at least; a component is named by its smallest id."""
     spark = scratch.spark
@@ -258,18 +260,22 @@ def similar_documents(documents: DataFrame, scratch: Scratch, size: int = 5, per
         sketch[x.id] = min(x.n, 2**31 - 1)
     cells = _cells(docs.where("id IS NOT NULL").select("text"), size, percent, sketch)
     cells = cells.repartition(shuffle_partitions(spark), "x").sortWithinPartitions("x", "g").mapInArrow(_shared, "x long, g long, n long")
+    cells = cells.select("x", "g", F.shiftright("n", 32).alias("n"), F.col("n").bitwiseAND(F.lit((1 << 32) - 1)).alias("pos"))
     cells = scratch.table(cells, "cells")
     classes = scratch.table(rows.where("n > 0 AND id IS NOT NULL").groupBy("g").agg(F.min("id").alias("id")), "classes")
     signatures = told.where("kind = 0 AND n > 0").join(classes.withColumnRenamed("id", "_id"), ["g"]).where("id = _id").dropDuplicates(["g"]).select("g", "signature")
     signatures = scratch.table(signatures.join(cells.select("g").distinct(), "g", "left_semi"), "signatures")
 
-    # Cells with the same sets are one cell.
-    mark = cells.groupBy("x").agg(F.count("*").alias("m"), F.sum(F.xxhash64("g").cast("decimal(38,0)")).alias("h"))
-    kept = mark.groupBy("m", "h").agg(F.min("x").alias("x")).select("x", "m")
-    open_ = scratch.table(cells.join(kept, "x").select("x", "g", "n", "m"), "open-0")
+    # Cells with the same sets are one cell: the one that comes first in the order of pivots.
+    mark = cells.groupBy("x").agg(F.count("*").alias("m"), F.sum(F.xxhash64("g").cast("decimal(38,0)")).alias("h"), F.sum("pos").alias("p"))
+    kept = mark.groupBy("m", "h").agg(F.min_by("x", F.struct("p", "x")).alias("x")).select("x", "m")
+    open_ = scratch.table(cells.join(kept, "x").select("x", "g", "n", "pos", "m"), "open-0")
 
     ready = None  # all pairs whose overlap is known
     links = None
+    # Where two sets first meet, what is left of either must hold the overlap that they need.
+    overlap = lambda na, nb: F.ceil((na + nb) * percent / (100 + percent))
+    reach = lambda na, pa_, nb, pb: (na - pa_ >= overlap(na, nb)) & (nb - pb >= overlap(na, nb))
     near = (F.least("na", "nb") * 100) >= F.greatest("na", "nb") * percent
     eps = (100 - percent) / 100 + 1e-9
 
@@ -295,14 +301,16 @@ def similar_documents(documents: DataFrame, scratch: Scratch, size: int = 5, per
     i = 0
     while True:
         # Each cell's pivot, and its distance to all sets of the cell.
-        pivot = open_.groupBy("x").agg(F.min_by(F.struct(F.col("g").alias("p"), F.col("n").alias("np")), F.xxhash64("g", F.lit(i))).alias("p")).select("x", "p.*")
-        star = open_.join(pivot, "x").where("g <> p")
+        # A pivot comes from those that the cell lies early enough for to meet sets of their own size.
+        late = F.col("pos") * (100 + percent) > F.col("n") * (100 - percent)
+        pivot = open_.groupBy("x").agg(F.min_by(F.struct(F.col("g").alias("p"), F.col("n").alias("np"), F.col("pos").alias("pp")), F.struct(late, F.xxhash64("g", F.lit(i)))).alias("p")).select("x", "p.*")
+        star = open_.join(pivot, "x").where("g <> p").where(reach(F.col("n"), F.col("pos"), F.col("np"), F.col("pp")))
         known = verify(star.select(F.col("p").alias("a"), F.col("g").alias("b"), F.col("np").alias("na"), F.col("n").alias("nb")), f"star-{i}")
         parts = connected_components(scratch, links, f"parts-{i}")
         comp = lambda df, g, name: df.join(parts.select(F.col("node").alias(g), F.col("component").alias(name)), g, "left").withColumn(name, F.coalesce(name, g))  # noqa: E731, B023
         placed = comp(comp(open_.join(pivot, "x"), "g", "c"), "p", "cp")
         outer = placed.where("c <> cp").select("x").distinct()
-        left = placed.join(outer, "x", "left_semi").select("x", "g", "n", "m", "c", "cp", "p", "np")
+        left = placed.join(outer, "x", "left_semi").select("x", "g", "n", "pos", "m", "c", "cp", "p", "np")
         pair = known.select(F.col("a").alias("_a"), F.col("b").alias("_b"), (1 - F.col("k") / F.col("u")).alias("d"))
         left = left.withColumn("_a", F.least("g", "p")).withColumn("_b", F.greatest("g", "p")).join(pair, ["_a", "_b"], "left").drop("_a", "_b")
         # Sets too different in size to be measured are at least as far as their sizes say.
@@ -310,17 +318,18 @@ def similar_documents(documents: DataFrame, scratch: Scratch, size: int = 5, per
         a, b = left.alias("a"), left.alias("b")
         last = i + 1 >= rounds
         small_cell = F.lit(True) if last else F.col("a.m") <= small
-        each = a.join(b, (F.col("a.x") == F.col("b.x")) & small_cell & (F.col("a.g") < F.col("b.g")) & (F.col("a.c") != F.col("b.c")))
+        fits = reach(F.col("a.n"), F.col("a.pos"), F.col("b.n"), F.col("b.pos"))
+        each = a.join(b, (F.col("a.x") == F.col("b.x")) & fits & small_cell & (F.col("a.g") < F.col("b.g")) & (F.col("a.c") != F.col("b.c")))
         # Of large cells: an outer set against the pivot's component, inside the window.
         window = F.when(F.col("a.far") & F.col("b.far"), F.lit(True)).when(F.col("a.far"), F.col("a.d") - F.col("b.d") <= eps).when(F.col("b.far"), F.col("b.d") - F.col("a.d") <= eps).otherwise(F.abs(F.col("a.d") - F.col("b.d")) <= eps)
-        cross = a.where("c <> cp").alias("a").join(b.where("c = cp").alias("b"), (F.col("a.x") == F.col("b.x")) & ~small_cell & window)
+        cross = a.where("c <> cp").alias("a").join(b.where("c = cp").alias("b"), (F.col("a.x") == F.col("b.x")) & fits & ~small_cell & window)
         both = [F.col("a.g").alias("a"), F.col("b.g").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb")]
         pairs = each.select(*both).unionByName(cross.select(*both))
         verify(pairs, f"rest-{i}")
         if last:
             break
         w = Window.partitionBy("x")
-        again = left.where(F.col("m") > small).where("c <> cp").select("x", "g", "n").withColumn("m", F.count("*").over(w)).where("m > 1")
+        again = left.where(F.col("m") > small).where("c <> cp").select("x", "g", "n", "pos").withColumn("m", F.count("*").over(w)).where("m > 1")
         i += 1
         open_ = scratch.table(again, f"open-{i}")
         if open_.isEmpty():
