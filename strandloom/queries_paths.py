@@ -1 +1,24 @@
-"""Queries of traversal, simplification, codecs and streaming."""
+"""Queries of codecs: what a compressed read store asks about reads."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from strandloom.functions import encoding as enc
+from strandloom.operators.reads import anchorable_reads, smooth_quality
+from strandloom.queries import FIXED, clean_reads, counts_sql, fixed_reads, graph, km_sql, query
+
+
+@query(f"WITH {counts_sql(21, 3)}, s AS (SELECT read_id, pos FROM km WHERE kmer IN (SELECT kmer FROM n)), g AS (SELECT read_id, min(pos) AS lo, max(pos) AS hi FROM s GROUP BY read_id) SELECT read_id FROM g WHERE hi - lo >= 21")
+def cp_anchorable_reads(spark, sf):
+    return anchorable_reads(clean_reads(spark, sf), graph(spark, sf, 21), "read_id")
+
+
+@query(f"WITH {FIXED}, {km_sql(9, 'read_id')}, n AS (SELECT kmer, count(*) AS c FROM km GROUP BY kmer HAVING count(*) >= 3), s AS (SELECT read_id, pos FROM km WHERE kmer IN (SELECT kmer FROM n)), p AS (SELECT r.read_id, i, d FROM r, range(0, 32) t(i)), c AS (SELECT p.read_id, p.i, count(s.pos) AS cover FROM p LEFT JOIN s ON s.read_id = p.read_id AND s.pos BETWEEN p.i - 8 AND p.i GROUP BY 1, 2) SELECT read_id, string_agg(CASE WHEN cover >= 2 THEN '@' ELSE 'I' END, '' ORDER BY i) AS quality FROM c GROUP BY read_id")
+def cp_quality_smoothing(spark, sf):
+    reads = fixed_reads(spark, sf).withColumn("quality", F.lit("I" * 32))
+    rows = reads.select(F.explode(enc.canonical_kmers(F.col("d"), 9)).alias("kmer"))
+    solid = rows.groupBy("kmer").count().where("count >= 3").select("kmer")
+    return smooth_quality(reads, solid, 9, 2, "read_id").select("read_id", "quality")
+
+
