@@ -42,7 +42,7 @@ class WordTokens:
     any other word goes through the whole tokenizer. Ids of words that were met are kept, up to
     ``most`` words, and then met anew."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 250_000):
         self.whole = Tokenizer.from_file(path)
         self.runs = Tokenizer(self.whole.model)  # the same model, for runs that need no normaliser
         self.runs.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
@@ -152,7 +152,7 @@ def tokenize_pieces(documents: DataFrame, tokenizer: str, capacity: int, end: in
             _TOKENS[tokenizer] = WordTokens(tokenizer)
         words = _TOKENS[tokenizer]
         for batch in batches:
-            for lo, hi, data, offsets in text_chunks(batch.column(1)):
+            for lo, hi, data, offsets in text_chunks(batch.column(1), 1 << 19):
                 flat, begins = words.encode(data, offsets, end)
                 row, piece, start, length, crc, parts = [], [], [], [], [], []
                 for i, (a, b) in enumerate(zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)):
