@@ -271,32 +271,33 @@ def similar_documents(documents: DataFrame, scratch: Scratch, size: int = 5, per
     kept = mark.groupBy("m", "h").agg(F.min_by("x", F.struct("p", "x")).alias("x")).select("x", "m")
     open_ = scratch.table(cells.join(kept, "x").select("x", "g", "n", "pos", "m"), "open-0")
 
-    ready = None  # all pairs whose overlap is known
-    links = None
+    ready = spark.createDataFrame([], "a long, b long, k long, u long")  # all pairs whose overlap is known
+    links = spark.createDataFrame([], "a long, b long")
+    stale, parts = True, None  # components of all links so far
     # Where two sets first meet, what is left of either must hold the overlap that they need.
     overlap = lambda na, nb: F.ceil((na + nb) * percent / (100 + percent))
     reach = lambda na, pa_, nb, pb: (na - pa_ >= overlap(na, nb)) & (nb - pb >= overlap(na, nb))
     near = (F.least("na", "nb") * 100) >= F.greatest("na", "nb") * percent
     eps = (100 - percent) / 100 + 1e-9
 
-    def verify(pairs: DataFrame, name: str) -> DataFrame:
-        nonlocal ready, links
+    def verify(pairs: DataFrame, name: str) -> None:
+        nonlocal ready, links, stale
         swap = F.col("a") > F.col("b")
         either = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
         fresh = pairs.where(near).select(either("a", "b").alias("a"), either("b", "a").alias("b"), either("na", "nb").alias("na"), either("nb", "na").alias("nb")).distinct()
-        if ready is not None:
-            fresh = fresh.join(ready, ["a", "b"], "left_anti")
+        fresh = fresh.join(ready, ["a", "b"], "left_anti")
         maybe = scratch.table(_plausible(fresh, signatures, percent), f"{name}-maybe")
+        if maybe.isEmpty():
+            return
         wanted = scratch.table(maybe.select(F.explode(F.array("a", "b")).alias("g")).distinct().join(classes, "g"), f"{name}-wanted")
         if wanted.count() <= few:  # 16 bytes each; beyond that, a shuffled join
             wanted = F.broadcast(wanted)
         sets = scratch.table(_sets(docs, wanted, size), f"{name}-sets")
         got = scratch.table(_overlaps(maybe, sets).distinct(), name)
         scratch.drop(f"{name}-sets")
-        ready = got if ready is None else ready.unionByName(got)
+        ready, stale = ready.unionByName(got), True
         good = got.where(F.col("k") * 100 >= F.col("u") * percent).select("a", "b")
-        links = good if links is None else links.unionByName(good)
-        return ready
+        links = links.unionByName(good)
 
     i = 0
     while True:
@@ -305,16 +306,19 @@ def similar_documents(documents: DataFrame, scratch: Scratch, size: int = 5, per
         late = F.col("pos") * (100 + percent) > F.col("n") * (100 - percent)
         pivot = open_.groupBy("x").agg(F.min_by(F.struct(F.col("g").alias("p"), F.col("n").alias("np"), F.col("pos").alias("pp")), F.struct(late, F.xxhash64("g", F.lit(i)))).alias("p")).select("x", "p.*")
         star = open_.join(pivot, "x").where("g <> p").where(reach(F.col("n"), F.col("pos"), F.col("np"), F.col("pp")))
-        known = verify(star.select(F.col("p").alias("a"), F.col("g").alias("b"), F.col("np").alias("na"), F.col("n").alias("nb")), f"star-{i}")
-        parts = connected_components(scratch, links, f"parts-{i}")
+        verify(star.select(F.col("p").alias("a"), F.col("g").alias("b"), F.col("np").alias("na"), F.col("n").alias("nb")), f"star-{i}")
+        if stale:
+            parts, stale = connected_components(scratch, links, f"parts-{i}"), False
         comp = lambda df, g, name: df.join(parts.select(F.col("node").alias(g), F.col("component").alias(name)), g, "left").withColumn(name, F.coalesce(name, g))  # noqa: E731, B023
         placed = comp(comp(open_.join(pivot, "x"), "g", "c"), "p", "cp")
         outer = placed.where("c <> cp").select("x").distinct()
         left = placed.join(outer, "x", "left_semi").select("x", "g", "n", "pos", "m", "c", "cp", "p", "np")
-        pair = known.select(F.col("a").alias("_a"), F.col("b").alias("_b"), (1 - F.col("k") / F.col("u")).alias("d"))
+        pair = ready.select(F.col("a").alias("_a"), F.col("b").alias("_b"), (1 - F.col("k") / F.col("u")).alias("d"))
         left = left.withColumn("_a", F.least("g", "p")).withColumn("_b", F.greatest("g", "p")).join(pair, ["_a", "_b"], "left").drop("_a", "_b")
         # Sets too different in size to be measured are at least as far as their sizes say.
         left = scratch.table(left.withColumn("far", F.col("d").isNull() & (F.col("g") != F.col("p"))).withColumn("d", F.when(F.col("g") == F.col("p"), 0.0).otherwise(F.coalesce("d", 1 - F.least("n", "np") / F.greatest("n", "np")))), f"left-{i}")
+        if left.isEmpty():
+            break
         a, b = left.alias("a"), left.alias("b")
         last = i + 1 >= rounds
         small_cell = F.lit(True) if last else F.col("a.m") <= small
@@ -334,7 +338,8 @@ def similar_documents(documents: DataFrame, scratch: Scratch, size: int = 5, per
         open_ = scratch.table(again, f"open-{i}")
         if open_.isEmpty():
             break
-    parts = connected_components(scratch, links, "parts")
+    if stale:
+        parts = connected_components(scratch, links, "parts")
     named = classes.join(parts.withColumnRenamed("node", "g"), "g", "left").withColumn("component", F.coalesce("component", "g"))
     name = named.groupBy("component").agg(F.min("id").alias("name"))
     named = scratch.table(named.join(name, "component").select("g", F.col("name").alias("component")), "named")
