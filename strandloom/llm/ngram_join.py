@@ -16,6 +16,8 @@ Cells are then joined recursively. Each cell takes one of its sets as pivot, and
 its sets to the pivot is computed: those within the threshold link to it. The others make the next
 cell; they can only link to a set of the pivot's component whose distance to the pivot differs by
 the threshold at most (triangle inequality), and only need to if they are in another component yet.
+Before that, they are compared with a few more sets of the cell's largest component, which most near
+copies join by one of many links.
 Small cells are compared pair by pair at once. So a cell of thousands of near copies costs a row
 for each of its sets, not for each pair.
 
@@ -248,7 +250,7 @@ def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.sortWithinPartitions("a", F.asc_nulls_first("b")).mapInArrow(task, "a long, b long, k long, u long")
 
 
-def similar_documents(documents: DataFrame, scratch: Scratch, size: int = 5, percent: int = 75, id_col: str = "doc_id", text: str = "text", small: int = 48, rounds: int = 4, few: int = 500_000) -> DataFrame:
+def similar_documents(documents: DataFrame, scratch: Scratch, size: int = 5, percent: int = 75, id_col: str = "doc_id", text: str = "text", small: int = 48, rounds: int = 4, stars: int = 3, few: int = 500_000) -> DataFrame:
     """(id, n_shingles, component) of every row: documents link when 100 * intersection is
     ``percent`` * union at least; a component is named by its smallest id."""
     spark = scratch.spark
@@ -295,9 +297,10 @@ def similar_documents(documents: DataFrame, scratch: Scratch, size: int = 5, per
         sets = scratch.table(_sets(docs, wanted, size), f"{name}-sets")
         got = scratch.table(_overlaps(maybe, sets).distinct(), name)
         scratch.drop(f"{name}-sets")
-        ready, stale = ready.unionByName(got), True
+        ready = ready.unionByName(got)
         good = got.where(F.col("k") * 100 >= F.col("u") * percent).select("a", "b")
-        links = links.unionByName(good)
+        if not good.isEmpty():
+            links, stale = links.unionByName(good), True
 
     i = 0
     while True:
@@ -310,6 +313,17 @@ def similar_documents(documents: DataFrame, scratch: Scratch, size: int = 5, per
         if stale:
             parts, stale = connected_components(scratch, links, f"parts-{i}"), False
         comp = lambda df, g, name: df.join(parts.select(F.col("node").alias(g), F.col("component").alias(name)), g, "left").withColumn(name, F.coalesce(name, g))  # noqa: E731, B023
+        # What large cells hold outside of their largest component is compared with other sets of that
+        # component first, one a round while a round finds links: a set joins it by any one of its links.
+        for r in range(stars):
+            large = comp(open_.where(F.col("m") > small), "g", "c")
+            split = large.groupBy("x", "c").agg(F.count("*").alias("many"), F.min_by(F.struct(F.col("g").alias("p"), F.col("n").alias("np"), F.col("pos").alias("pp")), F.struct(late, F.xxhash64("g", F.lit(i), F.lit(r)))).alias("p"))
+            main = split.groupBy("x").agg(F.max_by(F.struct(F.col("c").alias("cp"), "p"), F.struct("many", "c")).alias("p"), F.count("*").alias("parts")).where("parts > 1").select("x", "p.cp", "p.p.*")
+            star = large.join(main, "x").where("c <> cp").where(reach(F.col("n"), F.col("pos"), F.col("np"), F.col("pp")))
+            verify(star.select(F.col("p").alias("a"), F.col("g").alias("b"), F.col("np").alias("na"), F.col("n").alias("nb")), f"star-{i}-{r}")
+            if not stale:
+                break
+            parts, stale = connected_components(scratch, links, f"parts-{i}-{r}"), False
         placed = comp(comp(open_.join(pivot, "x"), "g", "c"), "p", "cp")
         outer = placed.where("c <> cp").select("x").distinct()
         left = placed.join(outer, "x", "left_semi").select("x", "g", "n", "pos", "m", "c", "cp", "p", "np")
