@@ -16,8 +16,7 @@ Cells are then joined recursively. Each cell takes one of its sets as pivot, and
 its sets to the pivot is computed: those within the threshold link to it. The others make the next
 cell; they can only link to a set of the pivot's component whose distance to the pivot differs by
 the threshold at most (triangle inequality), and only need to if they are in another component yet.
-Before that, they are compared with a few more sets of the cell's largest component, which most near
-copies join by one of many links.
+Signatures bound the distance from below where it is too large to be worth measuring.
 Small cells are compared pair by pair at once. So a cell of thousands of near copies costs a row
 for each of its sets, not for each pair.
 
@@ -208,18 +207,21 @@ def _sets(documents: DataFrame, classes: DataFrame, size: int) -> DataFrame:
 
 
 def _plausible(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b, na, nb) whose signatures leave it possible that they link."""
+    """(a, b, ok, low) of the pairs (a, b, na, nb): whether their signatures leave it possible that
+    they link, and a lower bound of their distance."""
     own = lambda c: signatures.select(F.col("g").alias(c), F.col("signature").alias(f"s{c}"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, na, nb, sa, sb = (c.to_pylist() for c in batch.columns)
+            differ = np.array([least_difference(x, y) for x, y in zip(sa, sb, strict=True)], dtype=np.int64)
+            both = np.array(na, dtype=np.int64) + np.array(nb, dtype=np.int64)
             # J >= t means a symmetric difference of (1 - t) / (1 + t) of both sizes at most
-            keep = [i for i in range(len(a)) if (100 + percent) * least_difference(sa[i], sb[i]) <= (100 - percent) * (na[i] + nb[i])]
-            if keep:
-                yield _batch(["a", "b"], [a[i] for i in keep], [b[i] for i in keep])
+            ok = (100 + percent) * differ <= (100 - percent) * both
+            low = 2 * differ / np.maximum(both + differ, 1)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(ok), pa.array(low)], names=["a", "b", "ok", "low"])
 
-    return pairs.join(own("a"), "a").join(own("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(task, "a long, b long")
+    return pairs.join(own("a"), "a").join(own("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(task, "a long, b long, ok boolean, low double")
 
 
 def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -250,7 +252,7 @@ def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.sortWithinPartitions("a", F.asc_nulls_first("b")).mapInArrow(task, "a long, b long, k long, u long")
 
 
-def similar_documents(documents: DataFrame, scratch: Scratch, size: int = 5, percent: int = 75, id_col: str = "doc_id", text: str = "text", small: int = 48, rounds: int = 4, stars: int = 3, few: int = 500_000) -> DataFrame:
+def similar_documents(documents: DataFrame, scratch: Scratch, size: int = 5, percent: int = 75, id_col: str = "doc_id", text: str = "text", small: int = 48, rounds: int = 4, few: int = 500_000) -> DataFrame:
     """(id, n_shingles, component) of every row: documents link when 100 * intersection is
     ``percent`` * union at least; a component is named by its smallest id."""
     spark = scratch.spark
@@ -275,6 +277,7 @@ def similar_documents(documents: DataFrame, scratch: Scratch, size: int = 5, per
 
     ready = spark.createDataFrame([], "a long, b long, k long, u long")  # all pairs whose overlap is known
     links = spark.createDataFrame([], "a long, b long")
+    bounds = spark.createDataFrame([], "_a long, _b long, low double")  # of the distances of this round's pivots
     stale, parts = True, None  # components of all links so far
     # Where two sets first meet, what is left of either must hold the overlap that they need.
     overlap = lambda na, nb: F.ceil((na + nb) * percent / (100 + percent))
@@ -282,13 +285,16 @@ def similar_documents(documents: DataFrame, scratch: Scratch, size: int = 5, per
     near = (F.least("na", "nb") * 100) >= F.greatest("na", "nb") * percent
     eps = (100 - percent) / 100 + 1e-9
 
-    def verify(pairs: DataFrame, name: str) -> None:
-        nonlocal ready, links, stale
+    def verify(pairs: DataFrame, name: str, pivots: bool = False) -> None:
+        nonlocal ready, links, stale, bounds
         swap = F.col("a") > F.col("b")
         either = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
         fresh = pairs.where(near).select(either("a", "b").alias("a"), either("b", "a").alias("b"), either("na", "nb").alias("na"), either("nb", "na").alias("nb")).distinct()
         fresh = fresh.join(ready, ["a", "b"], "left_anti")
-        maybe = scratch.table(_plausible(fresh, signatures, percent), f"{name}-maybe")
+        compared = scratch.table(_plausible(fresh, signatures, percent), f"{name}-compared")
+        if pivots:
+            bounds = compared.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "low")
+        maybe = compared.where("ok").select("a", "b")
         if maybe.isEmpty():
             return
         wanted = scratch.table(maybe.select(F.explode(F.array("a", "b")).alias("g")).distinct().join(classes, "g"), f"{name}-wanted")
@@ -308,38 +314,29 @@ def similar_documents(documents: DataFrame, scratch: Scratch, size: int = 5, per
         # A pivot comes from those that the cell lies early enough for to meet sets of their own size.
         late = F.col("pos") * (100 + percent) > F.col("n") * (100 - percent)
         pivot = open_.groupBy("x").agg(F.min_by(F.struct(F.col("g").alias("p"), F.col("n").alias("np"), F.col("pos").alias("pp")), F.struct(late, F.xxhash64("g", F.lit(i)))).alias("p")).select("x", "p.*")
-        star = open_.join(pivot, "x").where("g <> p").where(reach(F.col("n"), F.col("pos"), F.col("np"), F.col("pp")))
-        verify(star.select(F.col("p").alias("a"), F.col("g").alias("b"), F.col("np").alias("na"), F.col("n").alias("nb")), f"star-{i}")
+        star = open_.join(pivot, "x").where("g <> p").where((F.col("m") > small) | reach(F.col("n"), F.col("pos"), F.col("np"), F.col("pp")))  # of large cells, all: their distances narrow the window
+        verify(star.select(F.col("p").alias("a"), F.col("g").alias("b"), F.col("np").alias("na"), F.col("n").alias("nb")), f"star-{i}", pivots=True)
         if stale:
             parts, stale = connected_components(scratch, links, f"parts-{i}"), False
         comp = lambda df, g, name: df.join(parts.select(F.col("node").alias(g), F.col("component").alias(name)), g, "left").withColumn(name, F.coalesce(name, g))  # noqa: E731, B023
-        # What large cells hold outside of their largest component is compared with other sets of that
-        # component first, one a round while a round finds links: a set joins it by any one of its links.
-        for r in range(stars):
-            large = comp(open_.where(F.col("m") > small), "g", "c")
-            split = large.groupBy("x", "c").agg(F.count("*").alias("many"), F.min_by(F.struct(F.col("g").alias("p"), F.col("n").alias("np"), F.col("pos").alias("pp")), F.struct(late, F.xxhash64("g", F.lit(i), F.lit(r)))).alias("p"))
-            main = split.groupBy("x").agg(F.max_by(F.struct(F.col("c").alias("cp"), "p"), F.struct("many", "c")).alias("p"), F.count("*").alias("parts")).where("parts > 1").select("x", "p.cp", "p.p.*")
-            star = large.join(main, "x").where("c <> cp").where(reach(F.col("n"), F.col("pos"), F.col("np"), F.col("pp")))
-            verify(star.select(F.col("p").alias("a"), F.col("g").alias("b"), F.col("np").alias("na"), F.col("n").alias("nb")), f"star-{i}-{r}")
-            if not stale:
-                break
-            parts, stale = connected_components(scratch, links, f"parts-{i}-{r}"), False
         placed = comp(comp(open_.join(pivot, "x"), "g", "c"), "p", "cp")
         outer = placed.where("c <> cp").select("x").distinct()
         left = placed.join(outer, "x", "left_semi").select("x", "g", "n", "pos", "m", "c", "cp", "p", "np")
         pair = ready.select(F.col("a").alias("_a"), F.col("b").alias("_b"), (1 - F.col("k") / F.col("u")).alias("d"))
+        pair = bounds.join(pair, ["_a", "_b"], "full")
         left = left.withColumn("_a", F.least("g", "p")).withColumn("_b", F.greatest("g", "p")).join(pair, ["_a", "_b"], "left").drop("_a", "_b")
-        # Sets too different in size to be measured are at least as far as their sizes say.
-        left = scratch.table(left.withColumn("far", F.col("d").isNull() & (F.col("g") != F.col("p"))).withColumn("d", F.when(F.col("g") == F.col("p"), 0.0).otherwise(F.coalesce("d", 1 - F.least("n", "np") / F.greatest("n", "np")))), f"left-{i}")
+        # Sets that are not measured are at least as far as their signatures and sizes say.
+        left = scratch.table(left.withColumn("far", F.col("d").isNull() & (F.col("g") != F.col("p"))).withColumn("d", F.when(F.col("g") == F.col("p"), 0.0).otherwise(F.coalesce("d", F.greatest(1 - F.least("n", "np") / F.greatest("n", "np"), F.coalesce("low", F.lit(0.0)))))).drop("low"), f"left-{i}")
         if left.isEmpty():
             break
         a, b = left.alias("a"), left.alias("b")
         last = i + 1 >= rounds
         small_cell = F.lit(True) if last else F.col("a.m") <= small
         fits = reach(F.col("a.n"), F.col("a.pos"), F.col("b.n"), F.col("b.pos"))
-        each = a.join(b, (F.col("a.x") == F.col("b.x")) & fits & small_cell & (F.col("a.g") < F.col("b.g")) & (F.col("a.c") != F.col("b.c")))
-        # Of large cells: an outer set against the pivot's component, inside the window.
+        # Two sets within the threshold differ by it at most in their distance to the pivot.
         window = F.when(F.col("a.far") & F.col("b.far"), F.lit(True)).when(F.col("a.far"), F.col("a.d") - F.col("b.d") <= eps).when(F.col("b.far"), F.col("b.d") - F.col("a.d") <= eps).otherwise(F.abs(F.col("a.d") - F.col("b.d")) <= eps)
+        each = a.join(b, (F.col("a.x") == F.col("b.x")) & fits & small_cell & window & (F.col("a.g") < F.col("b.g")) & (F.col("a.c") != F.col("b.c")))
+        # Of large cells: an outer set against the pivot's component, inside that window.
         cross = a.where("c <> cp").alias("a").join(b.where("c = cp").alias("b"), (F.col("a.x") == F.col("b.x")) & fits & ~small_cell & window)
         both = [F.col("a.g").alias("a"), F.col("b.g").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb")]
         pairs = each.select(*both).unionByName(cross.select(*both))
