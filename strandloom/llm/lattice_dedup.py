@@ -86,6 +86,32 @@ class Lattice:
         return out
 
 
+def meeting_chance(threshold: float, blocks: int, probes: int, width: float, pairs: int = 1 << 14) -> float:
+    """Chance that two vectors with a cosine of ``threshold`` meet in one table, over many tables: by
+    simulation with a fixed seed. The projections are normal, so the vectors' length plays no part."""
+    rng = np.random.default_rng(5)
+    a, z = rng.normal(size=(2, pairs, 8 * blocks))
+    b = threshold * a + np.sqrt(max(1.0 - threshold * threshold, 0.0)) * z
+    one = Lattice(8 * blocks, 1, blocks, probes, width, 5)
+    one.maps[0] = np.eye(8 * blocks) / width
+    one.offsets[0] = 0.0
+    moved = rng.random((pairs, 8 * blocks)) * width
+    x, y = one.keys(a + moved)[:, 0], one.keys(b + moved)[:, 0]
+    return float(((x[:, :1] == y).any(axis=1) | (y[:, :1] == x).any(axis=1)).mean())
+
+
+def tables_for(tables: int, threshold: float, blocks: int, probes: int, width: float) -> int:
+    """Tables that find as large a part of the pairs at ``threshold`` with ``blocks`` blocks as
+    ``tables`` do with two."""
+    if blocks <= 2:
+        return tables
+    two, now = (meeting_chance(threshold, b, probes, width) for b in (2, blocks))
+    if now == 0.0:
+        raise ValueError(f"pairs at {threshold} do not meet in cells of {blocks} blocks; give fewer blocks or a larger width")
+    two, now = min(two, 0.9999), min(now, 0.9999)
+    return max(tables, int(np.ceil(tables * np.log1p(-two) / np.log1p(-now))))
+
+
 def _pairs_first_met(a: np.ndarray, b: np.ndarray, table: int, key: int) -> np.ndarray:
     """For pairs with keys [pair, table, 1 + probes]: whether (table, key) is the first place where
     they meet."""
@@ -118,7 +144,9 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, threshold: float = 0.9
     standard deviations of a projected vector. At 1.5, vectors with a cosine of 0.95 share a block's
     cell about every other time, and unrelated ones once in about 2**10; ``blocks`` is therefore a
     tenth of the bits that number the entries unless given, so an entry meets about one unrelated
-    entry a table at any size."""
+    entry a table at any size. ``tables`` are those for two blocks; with more blocks, near vectors
+    meet less often in a table, and there are as many more tables as keep the part of the pairs at
+    ``threshold`` that is found."""
     spark = scratch.spark
     rows, dim = usable_rows(vectors, id_col, vector)
     alone = vectors.select(F.col(id_col).alias("id"), F.col(vector).alias("v"))
@@ -127,6 +155,7 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, threshold: float = 0.9
     entries = rows.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("weight"))
     if blocks is None:
         blocks = max(2, int(np.ceil(np.log2(max(entries.count(), 2)) / 10)))
+    tables = tables_for(tables, threshold, blocks, probes, width)
     lattice = Lattice(dim, tables, blocks, probes, width, seed)
     per = tables * (1 + probes)
 

@@ -63,6 +63,20 @@ def test_lattice_links(spark):
     assert lattice_dedup.near_duplicates(vectors(spark, []), Scratch(spark, "t")).count() == 0
 
 
+def test_lattice_recall_at_three_blocks(spark):
+    """Pairs at the threshold are found as often with the three blocks of large tables as with two."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(300):
+        a, z = rng.normal(size=(2, 64))
+        a /= np.linalg.norm(a)
+        z -= (z @ a) * a
+        b = 0.951 * a + math.sqrt(1 - 0.951**2) * z / np.linalg.norm(z)
+        rows += [(2 * i, [float(y) for y in a], "x", 1), (2 * i + 1, [float(y) for y in b], "x", 1)]
+    got = lattice_dedup.near_duplicates(vectors(spark, rows), Scratch(spark, "t"), blocks=3)
+    assert got.where("n_links > 0").count() >= 2 * 0.96 * 300
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 360)] + [(500, i) for i in range(501, 560)]
