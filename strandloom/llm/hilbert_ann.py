@@ -5,11 +5,15 @@ its place on a Hilbert curve through each projection. Each curve is range-partit
 equal numbers of vectors; a query looks through its own cell and ``reach`` neighbouring cells on
 either side, and the windows of all curves merge and are ranked by the true distance.
 
+Vectors are centred on their mean first. Where a group of near copies shares one place on a curve,
+its rows are dealt by hash over all cells that the place fills, so cells stay about equal; a window
+that touches such a group looks through all of its cells.
+
 A cell is a bounded group of rows, queries are copied to the cells of their windows, and only the
 nearest of each cell go on. Equal vectors are one entry of the index with its smallest ids (as many
 as a result can show), so a vector that a third of all rows share is one row.
 
-How much a query looks through is (2 * reach + 1) / cells of the rows a curve. Vectors without
+How much a query looks through is 2 * reach of the rows a curve, more where near copies are. Vectors without
 structure (the nearest neighbours almost as far as any other) need wide windows for a recall of
 0.9; the defaults are for such vectors. Clustered vectors do with a small ``reach``.
 
@@ -28,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandloom.llm.common import Scratch, group_starts, shuffle_partitions, smallest_ids, usable_vector, whole_groups
+from strandloom.llm.common import U64, Scratch, group_starts, mix, shuffle_partitions, smallest_ids, usable_vector, whole_groups
 
 
 def usable_rows(df: DataFrame, id_col: str, vector: str) -> tuple[DataFrame, int]:
@@ -78,8 +82,9 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
 class Curves:
     """The projections: ``curves`` random rotations to ``dims`` dimensions with random shifts."""
 
-    def __init__(self, dim: int, spread: float, curves: int, dims: int, bits: int, seed: int):
+    def __init__(self, dim: int, mean: np.ndarray, spread: float, curves: int, dims: int, bits: int, seed: int):
         rng = np.random.default_rng(seed)
+        self.mean = mean
         self.bits, dims = bits, min(dims, dim)
         self.axes = [np.linalg.qr(rng.normal(size=(dim, dims)))[0] for _ in range(curves)]
         self.shifts = rng.random((curves, dims))
@@ -87,6 +92,7 @@ class Curves:
 
     def keys(self, v: np.ndarray) -> np.ndarray:
         """Places on each curve, [row, curve]."""
+        v = v - self.mean
         out = np.empty((len(v), len(self.axes)), dtype=np.int64)
         for i, (axes, shift) in enumerate(zip(self.axes, self.shifts, strict=True)):
             at = np.floor(v @ axes * self.scale + shift + (1 << (self.bits - 1)))
@@ -94,6 +100,28 @@ class Curves:
         return out
 
 
+def cells_of(cuts: np.ndarray, keys: np.ndarray, ties: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(own, first, last): the cell of each row on a curve, and the cells that its key fills. A key
+    that is several cuts fills all cells between them, and ``ties`` (hashes of the rows) deal its
+    rows over these evenly."""
+    first, last = np.searchsorted(cuts, keys, "left"), np.searchsorted(cuts, keys, "right")
+    last = np.where(last - first > 1, last, first)
+    return first + (ties % (last - first + 1).astype(U64)).astype(np.int64), first, last
+
+
+def windows_of(cuts: np.ndarray, first: np.ndarray, last: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray]:
+    """(low, high): the cells that rows look through whose keys fill ``first`` to ``last``: ``side``
+    more on either side, and all cells of a key that fills the outermost ones."""
+    low, high = np.maximum(first - side, 0), np.minimum(last + side, len(cuts))
+    if len(cuts):
+        begin, end = np.searchsorted(cuts, cuts, "left"), np.searchsorted(cuts, cuts, "right")
+        hot = end - begin > 1
+        below, above = np.maximum(low - 1, 0), np.minimum(high, len(cuts) - 1)
+        low = np.where((low > 0) & hot[below], begin[below], low)
+        high = np.where((high < len(cuts)) & hot[above], end[above], high)
+    return low, high
+
+
 def nearest(vectors: DataFrame, scratch: Scratch, queries: Column, k: int = 10, id_col: str = "vec_id", vector: str = "embedding", curves: int = 8, dims: int = 12, bits: int = 5, cells: int = 64, rows_per_cell: int = 1 << 16, reach: float = 0.1, seed: int = 7) -> DataFrame:
     """(query_id, rank, id, score): the ``k`` nearest that the windows hold, by Euclidean distance.
     ``queries`` tells the query rows by the columns of ``vectors``; ``reach`` is the part of a curve
@@ -109,8 +137,10 @@ def nearest(vectors: DataFrame, scratch: Scratch, queries: Column, k: int = 10,
     ids = smallest_ids(rows.select("v", "id"), ["v"], "id", k + 1).groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     index = ids.withColumn("rep", F.element_at("ids", 1))
     power = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    spread = float(index.agg(F.sqrt(F.avg(power) / dim).alias("s")).first().s)
-    shape = Curves(dim, spread, curves, dims, bits, seed)
+    moments = index.agg(F.avg(power), *[F.avg(F.col("v")[i].cast("double")) for i in range(dim)]).first()
+    mean = np.array(moments[1:], dtype=np.float64)
+    spread = float(np.sqrt(max(moments[0] - mean @ mean, 0.0) / dim))
+    shape = Curves(dim, mean, spread, curves, dims, bits, seed)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -134,11 +164,13 @@ def nearest(vectors: DataFrame, scratch: Scratch, queries: Column, k: int = 10,
                 at = b.column(b.schema.get_field_index("at"))
                 keys = at.flatten().to_numpy().reshape(-1, curves)
                 own = b.select(["rep", "v"])
+                reps = own.column(0).to_numpy().astype(np.int64).view(U64)
                 for c in range(curves):
-                    cell = np.searchsorted(held.value[c], keys[:, c], "left")
-                    for step in range(-side, side + 1) if query else (0,):
-                        to = cell + step
-                        fits = np.flatnonzero((to >= 0) & (to < cells))
+                    cell, first, last = cells_of(held.value[c], keys[:, c], mix(reps + U64((c + 1) * 0x9E3779B97F4A7C15 % (1 << 64))))
+                    low, high = windows_of(held.value[c], first, last, side) if query else (cell, cell)
+                    for step in range(int((high - low).max(initial=-1)) + 1):
+                        to = low + step
+                        fits = np.flatnonzero(to <= high)
                         part = own.take(pa.array(fits))
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fits), c, np.int32)), pa.array(to[fits].astype(np.int32)), pa.array(np.full(len(fits), query)), *part.columns], names=["curve", "cell", "query", "rep", "v"])
 

@@ -43,6 +43,22 @@ def test_nearest_neighbours(spark):
     assert hilbert_ann.nearest(two, Scratch(spark, "t"), F.lit(True)).count() == 2
 
 
+def test_nearest_neighbours_of_near_copies(spark):
+    """Half of the rows share one place on the curve: the rows on either side of it find them."""
+    x = np.concatenate([1e-6 * np.arange(600), [-0.3, 0.3], np.linspace(1, 3, 300), np.linspace(-3, -1, 300)])
+    rows = [(i, [float(y)], "x", 1) for i, y in enumerate(x + 0.01)]
+    got = hilbert_ann.nearest(vectors(spark, rows), Scratch(spark, "t"), F.col("vec_id").isin(600, 601), k=5, curves=1).collect()
+    assert {g.id for g in got if g.query_id == 600} == set(range(5)) and {g.id for g in got if g.query_id == 601} == set(range(595, 600))
+
+
+def test_cells_of_a_hot_place():
+    keys = np.concatenate([np.full(4000, 7), np.arange(100, 8100)])
+    cuts = np.array(sorted(keys)[len(keys) // 16 :: len(keys) // 16][:15])
+    own, first, last = hilbert_ann.cells_of(cuts, keys, hilbert_ann.mix(np.arange(len(keys)).astype(np.uint64)))
+    assert np.bincount(own, minlength=16).max() <= 2 * len(keys) / 16 and (own >= first).all() and (own <= last).all()
+    assert np.bincount(own, minlength=16).min() > 0
+
+
 def test_lattice_links(spark):
     rng = np.random.default_rng(2)
     rows = unit_rows(60, 16, 3)
