@@ -2,7 +2,8 @@
 
 Every page is cut into text blocks inside containers (div, article, table cell, ...); menus, headers
 and footers of the page, sidebars, notices, adverts, forms, scripts, styles and reader comments are
-left out by tag or by class. A page's best container is found by its text outside links; the pages
+left out by tag or by class. A page's best container is the innermost one, article and main taken
+whole, outside of which there are only blocks of links; headings are text even as links. The pages
 of a host vote on the generalised path of that container (tags with classes, digits dropped), votes
 are summed in Spark, and each page's text is taken anew from what has the host's winning path. A
 page without such a container falls back on its own best one.
@@ -41,6 +42,7 @@ _DIGITS = re.compile(r"\d+")
 _PART = re.compile(r"[a-z]+")
 _CONTAINERS = frozenset("html body div section article main table tbody thead tfoot tr td th ul ol dl center figure details form nav header footer aside dialog fieldset menu address".split())
 _BLOCKS = _CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote hr figcaption caption summary".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _LEFT_OUT = frozenset("nav footer aside form dialog fieldset menu".split())
 _VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
 #: Parts of class names and ids that mark what is not the article.
@@ -50,18 +52,18 @@ _NOISE = frozenset(
 
 
 class Page:
-    """Blocks of a page: ``blocks`` of (text, characters outside links, container), ``parents`` and
-    ``paths`` of its containers; container 0 is the page itself."""
+    """Blocks of a page: ``blocks`` of (text, characters outside links, container), ``parents``,
+    ``paths`` and ``tags`` of its containers; container 0 is the page itself."""
 
-    __slots__ = ("blocks", "parents", "paths")
+    __slots__ = ("blocks", "parents", "paths", "tags")
 
     def __init__(self, html: str):
         self.blocks: list[tuple[str, int, int]] = []
-        self.parents, self.paths = [-1], [""]
+        self.parents, self.paths, self.tags = [-1], [""], [""]
         stack: list[tuple[str, int]] = []  # (tag, container or -1 where left out)
         here, hidden, in_article = 0, 0, 0
         text: list[str] = []
-        linked, in_link, at = 0, False, 0
+        linked, in_link, heading, at = 0, False, False, 0
 
         def flush() -> None:
             nonlocal text, linked
@@ -78,7 +80,7 @@ class Page:
                 if "&" in piece:
                     piece = unescape(piece)
                 text.append(piece)
-                if in_link:
+                if in_link and not heading:
                     linked += len(piece.strip())
             at = m.end()
             name = m.group(4)
@@ -93,7 +95,7 @@ class Page:
                 continue
             if not hidden:
                 flush()
-            in_link = False
+            in_link, heading = False, name in _HEADINGS and not m.group(3)
             if name not in _CONTAINERS:
                 continue
             if m.group(3):  # an end tag closes what is open inside it; one without its start tag is ignored
@@ -127,6 +129,7 @@ class Page:
                 in_article += 1
             self.parents.append(here)
             self.paths.append(f"{self.paths[here]}/{name}{'.' + classes if classes else ''}")
+            self.tags.append(name)
             here = len(self.paths) - 1
             stack.append((name, here))
         if at < len(html) and not hidden:
@@ -135,20 +138,24 @@ class Page:
         flush()
 
     def best(self) -> tuple[str, int]:
-        """Path of the best container, and its score: from the page down as long as one container
-        holds most of the text that is not in links."""
-        score = [0] * len(self.paths)
-        for _, n, c in self.blocks:
+        """Path of the best container, and its characters outside links: from the page down as long
+        as one container holds all blocks but those that are mostly links, to article or main at
+        most."""
+        score, content = [0] * len(self.paths), [0] * len(self.paths)
+        for t, n, c in self.blocks:
             score[c] += n
+            if 2 * n > len(t):
+                content[c] += n
         for c in range(len(score) - 1, 0, -1):  # parents come before their containers
             score[self.parents[c]] += score[c]
+            content[self.parents[c]] += content[c]
         inner: dict[int, int] = {}
         for c in range(1, len(score)):
             p = self.parents[c]
-            if p not in inner or score[c] > score[inner[p]]:
+            if p not in inner or content[c] > content[inner[p]]:
                 inner[p] = c
         c = 0
-        while c in inner and score[inner[c]] * 10 >= score[c] * 6 and score[inner[c]]:
+        while c in inner and self.tags[c] not in ("article", "main") and content[inner[c]] == content[c] > 0:
             c = inner[c]
         return self.paths[c], score[c]
 

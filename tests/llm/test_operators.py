@@ -212,6 +212,16 @@ def test_main_text(spark):
     assert html_text.main_text(df.limit(0)).count() == 0
 
 
+def test_main_text_keeps_what_is_beside_the_largest_container():
+    text = lambda body: (lambda p: p.text(p.best()[0]))(html_text.Page(f"<body><nav><a href='/'>menu</a></nav>{body}<footer>f</footer></body>"))
+    long = "long text of the body " * 20
+    assert text(f"<article><h1>Title</h1><p>Standfirst</p><div class='body'>{long}</div></article>") == f"Title\n\nStandfirst\n\n{long.strip()}"
+    assert text(f"<div class='post'><h1><a href='/x'>Title</a></h1><div class='body'>{long}</div></div>") == f"Title\n\n{long.strip()}"
+    assert text(f"<section class='a'>{'one ' * 65}</section><section class='b'>{'two ' * 35}</section>") == f"{('one ' * 65).strip()}\n\n{('two ' * 35).strip()}"
+    assert text(f"<article><p>Before</p><table><tr><td>{long}</td></tr></table></article>") == f"Before\n\n{long.strip()}"
+    assert text(f"<div class='list'><a href='/a'>One</a> | <a href='/b'>Another page</a></div><div class='post'>{long}</div>") == long.strip()
+
+
 def test_licences(spark):
     mit = license_scan.KNOWN[0][1]
     texts = [mit, "Copyright (c) 2020 A\n\n" + mit.upper(), mit.replace("sublicense", "sub-licence").replace(",", " ;"), mit + " and more", "", None, "Copyright 1", "...", "Released under the MIT Licence"]
