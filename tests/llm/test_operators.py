@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -229,3 +230,15 @@ def test_licences(spark):
     got = {x.doc_id: x.license_id for x in license_scan.license_scan(df).collect()}
     assert got == {0: "MIT", 1: "MIT", 2: "MIT", 3: None, 4: None, 5: None, 6: None, 7: None, 8: "MIT"}
     assert license_scan.license_scan(df.limit(0)).count() == 0
+
+
+def test_wrapped_licences(spark):
+    """Known texts match at any width of their lines, with a notice in front."""
+    rows = []
+    for licence, text in license_scan.KNOWN:
+        for width in range(40, 100, 3):
+            wrapped = "\n\n".join(textwrap.fill(p, width, break_long_words=False, break_on_hyphens=False) for p in text.split("\n\n"))
+            rows += [(licence, wrapped), (licence, f"Copyright (c) 2020, A Name\nAll rights reserved.\n\n{wrapped}"), (licence, f"Copyright A Name\n\n{wrapped}")]
+    df = spark.createDataFrame([(i, t, want) for i, (want, t) in enumerate(rows)], "doc_id long, text string, want string")
+    got = license_scan.license_scan(df, keep=("doc_id", "want"))
+    assert got.where("license_id IS NULL OR license_id <> want").count() == 0
