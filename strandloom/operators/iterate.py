@@ -49,6 +49,9 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         if now == was:
             break
         was = now
+    else:
+        if was[0]:
+            raise RuntimeError(f"components did not settle in {most} rounds")
     low = e.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component"))
     roots = low.select(F.col("component").alias("node"), "component").distinct()
     return low.unionByName(roots)

@@ -147,3 +147,17 @@ def test_every_checked_query_is_registered():
     from strandloom import queries
 
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
+
+
+def test_loops_that_do_not_settle(spark, monkeypatch):
+    from strandloom.operators import iterate, simplify
+
+    monkeypatch.setattr(simplify, "remove", lambda graph, seqs: (graph, 1))
+    for name in ("doomed_tips", "doomed_bulges", "doomed_connections"):
+        monkeypatch.setattr(simplify, name, lambda graph, limits: None)
+    with pytest.raises(RuntimeError):
+        simplify.simplify(None)
+    path = spark.createDataFrame([(i, i + 1) for i in range(30)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        iterate.components(path, most=1)
+    assert {r.component for r in iterate.components(path).collect()} == {0}
