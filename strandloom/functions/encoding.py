@@ -3,9 +3,13 @@ numeric order and the complement of a digit d is d XOR 2, for any k. All are bui
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Letters of a piece of a read, without what it shares with the next.
+PIECE = 128
 LETTERS, DIGITS, COMPLEMENT = "ACTG", "0123", "2301"
 
 
@@ -59,19 +63,49 @@ def kmer_at(d: Column, index: Column | int, k: int) -> Column:
     return F.substr(d, F.lit(index) + 1 if isinstance(index, int) else index + 1, F.lit(k))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, wherever and however often the body names it: the
+    variable of a lambda over an array of one. Expressions that a lambda names from outside are
+    computed again for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
+def pieces(d: Column, k: int, step: int = 1) -> Column:
+    """A text cut into pieces of bounded length that overlap in k - 1 letters: each k-mer (of every
+    ``step``) is in one piece. The cut is linear in the text, and what is done inside of pieces does
+    not depend on its length."""
+    size = -(-max(PIECE, k) // step) * step
+    whole = F.regexp_extract_all(d, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    with_next = lambda c: F.transform(c, lambda x, i: F.concat(x, F.coalesce(F.substr(F.get(c, i + 1), F.lit(1), F.lit(k - 1)), F.lit(""))))
+    return F.filter(let(whole, with_next), lambda x: F.length(x) >= k)
+
+
+def _inside(d: Column, k: int, step: int, at: Callable[[Column, Column], Column]) -> Column:
+    """Array over all k-mers of a text: ``at(piece, start)``, start from 1."""
+    starts = lambda p: F.sequence(F.lit(1), F.length(p) - k + 1, F.lit(step))
+    out = F.flatten(F.transform(pieces(d, k, step), lambda p: F.transform(starts(p), lambda i: at(p, i))))
+    return F.coalesce(out, F.array().cast("array<string>"))
+
+
 def kmers(d: Column, k: int, step: int = 1) -> Column:
     """Array of the k-mers of a read from left to right, empty for reads shorter than k."""
-    starts = F.sequence(F.lit(1), F.length(d) - k + 1, F.lit(step))
-    return F.when(F.length(d) >= k, F.transform(starts, lambda i: F.substr(d, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    return _inside(d, k, step, lambda p, i: F.substr(p, i, F.lit(k)))
 
 
 def canonical_kmers(d: Column, k: int) -> Column:
-    """Array of canonical k-mers. The reverse complement is taken once a read: the k-mer at i is the
-    mirror of that at length - k - i of the reversed read."""
-    rc = revcomp(d)
-    starts = F.sequence(F.lit(1), F.length(d) - k + 1)
-    pair = lambda i: F.least(F.substr(d, i, F.lit(k)), F.substr(rc, F.length(d) - i - k + 2, F.lit(k)))
-    return F.when(F.length(d) >= k, F.transform(starts, pair)).otherwise(F.array().cast("array<string>"))
+    """Array of canonical k-mers. The reverse complement is taken once a piece: the k-mer at i is the
+    mirror of that at length - k - i of the reversed piece."""
+    both = lambda p: F.struct(p.alias("p"), revcomp(p).alias("rc"), F.length(p).alias("n"))
+    pair = lambda v, i: F.least(F.substr(v.p, i, F.lit(k)), F.substr(v.rc, v.n - i - k + 2, F.lit(k)))
+    one = lambda v: F.transform(F.sequence(F.lit(1), v.n - k + 1), lambda i: pair(v, i))
+    out = F.flatten(F.transform(F.transform(pieces(d, k), both), one))
+    return F.coalesce(out, F.array().cast("array<string>"))
+
+
+def valid_windows(d: Column, k: int) -> Column:
+    """Number of the k-mers of a read without a letter other than ACGT."""
+    runs = F.split(d, "[^0-3]+")
+    return F.coalesce(F.aggregate(runs, F.lit(0).cast("bigint"), lambda n, x: n + F.greatest(F.length(x) - k + 1, F.lit(0))), F.lit(0).cast("bigint"))
 
 
 def nucleotide(d: Column, i: int) -> Column:

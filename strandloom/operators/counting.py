@@ -7,15 +7,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.functions.encoding import canonical_kmers, is_valid, kmers
+from strandloom.functions.encoding import canonical_kmers, kmers, valid_windows
 from strandloom.functions.minimizers import superkmers
 
 
 def kmer_rows(reads: DataFrame, k: int, keep: tuple[str, ...] = (), d: str = "d", canon: bool = True) -> DataFrame:
-    """One row for each valid k-mer. Invalid ones are dropped inside the array, before they become
-    rows."""
-    found = canonical_kmers(F.col(d), k) if canon else kmers(F.col(d), k)
-    return reads.select(*keep, F.explode(F.filter(found, is_valid)).alias("kmer"))
+    """One row for each valid k-mer. Reads are cut at invalid letters before k-mers are made, so no
+    k-mer is looked at again; the work is linear in the read."""
+    runs = reads.select(*keep, F.explode(F.split(d, "[^0-3]+")).alias("_run")).where(F.length("_run") >= k)
+    return runs.select(*keep, F.explode((canonical_kmers if canon else kmers)(F.col("_run"), k)).alias("kmer"))
 
 
 def count_kmers(reads: DataFrame, k: int, d: str = "d", canon: bool = True) -> DataFrame:
@@ -80,15 +80,14 @@ def bank_statistics(reads: DataFrame, k: int, d: str = "d", by: tuple[str, ...]
     """Number of reads, lengths (smallest, greatest, mean, population deviation), letters, valid and
     invalid k-mers."""
     n = F.length(d)
-    arr = kmers(F.col(d), k)
-    rows = reads.select(*by, n.alias("n"), F.size(arr).alias("windows"), F.size(F.filter(arr, is_valid)).alias("valid"))
+    rows = reads.select(*by, n.alias("n"), F.greatest(n - k + 1, F.lit(0)).alias("windows"), valid_windows(F.col(d), k).alias("valid"))
     out = [F.count("*").alias("seq_number"), F.min("n").alias("seq_size_min"), F.max("n").alias("seq_size_max"), F.avg("n").alias("seq_size_mean"), F.stddev_pop("n").alias("seq_size_deviation"), F.sum("n").alias("total_nt"), F.sum("valid").alias("kmers_nb_valid"), F.sum(F.col("windows") - F.col("valid")).alias("kmers_nb_invalid")]
     return rows.groupBy(*by).agg(*out) if by else rows.agg(*out)
 
 
 def checksum(kmers_df: DataFrame, col: str = "kmer") -> DataFrame:
-    """Sum of the k-mers' numbers modulo 2**64, for k <= 31, as text."""
-    v = F.conv(F.col(col), 4, 10).cast("decimal(38,0)")
+    """Sum of the k-mers' numbers modulo 2**64, as text. Of a number only its last 32 digits count."""
+    v = F.conv(F.when(F.length(col) > 32, F.substr(col, F.lit(-32))).otherwise(F.col(col)), 4, 10).cast("decimal(38,0)")
     return kmers_df.agg(F.pmod(F.sum(v), F.lit("18446744073709551616").cast("decimal(38,0)")).cast("string").alias("checksum"))
 
 

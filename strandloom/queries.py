@@ -290,9 +290,10 @@ def km_canonical(spark, sf):
     return rows.select("read_id", F.col("pos").cast("bigint").alias("pos"), "f", enc.canonical(F.col("f")).alias("kmer"), enc.strand(F.col("f")).alias("strand"))
 
 
-@query(f"WITH {FIXED} SELECT read_id, CAST(list_sum(list_transform(range(0, 15), lambda i: CAST(substr(d, i + 1, 1) AS BIGINT) << CAST(2 * (14 - i) AS BIGINT))) AS BIGINT) AS value FROM r")
+@query(f"WITH {FIXED}, {km_sql(15, 'read_id')} SELECT read_id, pos, CAST(list_sum(list_transform(range(0, 15), lambda i: CAST(substr(f, i + 1, 1) AS BIGINT) << CAST(2 * (14 - i) AS BIGINT))) AS BIGINT) AS value FROM km")
 def km_value(spark, sf):
-    return fixed_reads(spark, sf).select("read_id", enc.value(enc.kmer_at(F.col("d"), 0, 15)).alias("value"))
+    rows = fixed_reads(spark, sf).select("read_id", F.posexplode(enc.kmers(F.col("d"), 15)).alias("pos", "f"))
+    return rows.select("read_id", F.col("pos").cast("bigint").alias("pos"), enc.value(F.col("f")).alias("value"))
 
 
 @query(f"WITH {DIRTY}, w AS (SELECT read_id, unnest(list_transform(range(1, length(d) - 9), lambda i: substr(d, i, 11))) AS f FROM r WHERE length(d) >= 11) SELECT count(*) FILTER (WHERE regexp_matches(f, '^[0-3]+$')) AS valid, count(*) FILTER (WHERE NOT regexp_matches(f, '^[0-3]+$')) AS invalid FROM w")
@@ -300,16 +301,16 @@ def km_validity(spark, sf):
     return ct.bank_statistics(dirty_reads(spark, sf), 11).select(F.col("kmers_nb_valid").alias("valid"), F.col("kmers_nb_invalid").alias("invalid"))
 
 
-@query("SELECT doc_id, reverse(translate(regexp_replace(substr(text, 1, 200), '[^ACGTacgt]', 'X', 'g'), 'ACGTacgt', 'TGCAtgca')) AS rc FROM documents")
+@query("SELECT doc_id, reverse(translate(regexp_replace(text, '[^ACGTacgt]', 'X', 'g'), 'ACGTacgt', 'TGCAtgca')) AS rc FROM documents")
 def km_revcomp_sequence(spark, sf):
-    return documents(spark, sf).select("doc_id", enc.revcomp_letters(F.substring("text", 1, 200)).alias("rc"))
+    return documents(spark, sf).select("doc_id", enc.revcomp_letters(F.col("text")).alias("rc"))
 
 
-@query(f"WITH {FIXED} SELECT read_id, substr(d, -3, 1) AS nt, substr(substr(d, 1, 31), 2) || '2' AS next, '1' || substr(d, 1, 30) AS prev FROM r")
+@query(f"WITH {FIXED}, {km_sql(31, 'read_id')} SELECT read_id, pos, substr(f, -3, 1) AS nt, substr(f, 2) || '2' AS next, '1' || substr(f, 1, 30) AS prev FROM km")
 def km_extensions(spark, sf):
-    d = F.col("d")
-    first = F.substr(d, F.lit(1), F.lit(31))
-    return fixed_reads(spark, sf).select("read_id", enc.nucleotide(d, 2).alias("nt"), enc.append_right(first, F.lit("2")).alias("next"), enc.append_left(first, F.lit("1"), 31).alias("prev"))
+    f = F.col("f")
+    rows = fixed_reads(spark, sf).select("read_id", F.posexplode(enc.kmers(F.col("d"), 31)).alias("pos", "f"))
+    return rows.select("read_id", F.col("pos").cast("bigint").alias("pos"), enc.nucleotide(f, 2).alias("nt"), enc.append_right(f, F.lit("2")).alias("next"), enc.append_left(f, F.lit("1"), 31).alias("prev"))
 
 
 @query("WITH k AS (SELECT list_reduce(list_transform(range(0, 6), lambda i: CAST((x >> CAST(2 * (5 - i) AS BIGINT)) & 3 AS VARCHAR)), lambda a, b: a || b) AS kmer FROM range(0, 4096) t(x)) SELECT kmer FROM k WHERE kmer = reverse(translate(kmer, '0123', '2301'))")
@@ -341,17 +342,16 @@ def km_frequency_ranks(spark, sf):
 @query(f"WITH {_MM}, {km_sql(15, 'read_id')}, x AS (SELECT read_id, pos, unnest(list_transform(range(1, 12), lambda i: {canon_sql('substr(f, i, 5)')})) AS mmer FROM km), q AS (SELECT x.*, row_number() OVER (PARTITION BY read_id, pos ORDER BY n, x.mmer) AS k FROM x JOIN m USING (mmer)) SELECT mmer AS minimizer, count(*) AS kmers FROM q WHERE k = 1 GROUP BY mmer")
 def km_frequency_minimizer(spark, sf):
     reads = fixed_reads(spark, sf)
-    ranks = mz.frequency_ranks(reads, 5)
-    held = ranks.agg(F.map_from_entries(F.collect_list(F.struct("mmer", "rank"))).alias("ranks"))  # 4**5 entries at most
-    rows = ct.kmer_rows(reads, 15, canon=False).join(F.broadcast(held))
-    best = mz.best_mmer(F.col("kmer"), 5, lambda x: F.element_at("ranks", x))
-    return rows.select(best.alias("minimizer")).groupBy("minimizer").agg(F.count("*").alias("kmers"))
+    ranks = {x.mmer: x["rank"] for x in mz.frequency_ranks(reads, 5).collect()}  # 4**5 rows at most
+    best = mz.best_mmers(F.col("d"), 15, 5, mz.rank_of(ranks, 5))
+    return reads.select(F.explode(best).alias("minimizer")).groupBy("minimizer").agg(F.count("*").alias("kmers"))
 
 
 @query(f"WITH {FIXED}, {km_sql(15, 'read_id')} SELECT read_id, pos, list_max(list_transform(range(1, 12), lambda i: {canon_sql('substr(f, i, 5)')})) AS maximizer FROM km")
 def km_maximizer(spark, sf):
-    rows = fixed_reads(spark, sf).select("read_id", F.posexplode(enc.kmers(F.col("d"), 15)).alias("pos", "kmer"))
-    return rows.select("read_id", F.col("pos").cast("bigint").alias("pos"), mz.best_mmer(F.col("kmer"), 5, lambda x: F.translate(x, "0123", "3210")).alias("maximizer"))
+    best = mz.best_mmers(F.col("d"), 15, 5, lambda x: F.translate(x, "0123", "3210"))
+    rows = fixed_reads(spark, sf).select("read_id", F.posexplode(best).alias("pos", "maximizer"))
+    return rows.withColumn("pos", F.col("pos").cast("bigint"))
 
 
 _SUPER = f"""{FIXED}, {km_sql(15, 'read_id')}, q AS (SELECT read_id, pos, {min_sql('f', 5)} AS x FROM km),
@@ -564,11 +564,11 @@ def jn_anti(spark, sf):
     return found.join(g.nodes, "kmer", "left_anti")
 
 
-@query(f"WITH {counts_sql(21, 3)}, q AS (SELECT read_id, {canon_sql('substr(d, 1, 21)')} AS kmer FROM r WHERE length(d) >= 21) SELECT read_id, abundance FROM q JOIN n USING (kmer)")
+@query(f"WITH {counts_sql(21, 3)} SELECT read_id, pos, abundance FROM km JOIN n USING (kmer)")
 def jn_abundance_lookup(spark, sf):
     g = graph(spark, sf, 21)
-    asked = clean_reads(spark, sf).where(F.length("d") >= 21).select("read_id", enc.kmer_at(F.col("d"), 0, 21).alias("q"))
-    return g.abundance_of(asked, "q").select("read_id", "abundance")
+    asked = clean_reads(spark, sf).select("read_id", F.posexplode(enc.kmers(F.col("d"), 21)).alias("pos", "q"))
+    return g.abundance_of(asked, "q").select("read_id", F.col("pos").cast("bigint").alias("pos"), "abundance")
 
 
 @query(f"WITH {counts_sql(21, 3)}, {degrees_sql(21)}, h AS (SELECT read_id, count(*) AS c FROM km WHERE kmer IN (SELECT kmer FROM deg WHERE NOT (indegree = 1 AND outdegree = 1)) GROUP BY read_id) SELECT coalesce(c, 0) AS n_branching, count(*) AS n_reads FROM r LEFT JOIN h USING (read_id) GROUP BY 1")
@@ -680,10 +680,11 @@ def gr_predecessor_by_nucleotide(spark, sf):
     return g.predecessors(g.oriented(), "2")
 
 
-@query(f"WITH {counts_sql(21, 3)}, {edges_sql(21)}, b AS (SELECT kmer FROM n ORDER BY kmer LIMIT 50) SELECT DISTINCT {canon_sql('target')} AS kmer FROM e WHERE {canon_sql('source')} IN (SELECT kmer FROM b)")
+@query(f"WITH {counts_sql(21, 3)}, {degrees_sql(21)}, b AS (SELECT kmer FROM deg WHERE NOT (indegree = 1 AND outdegree = 1)) SELECT DISTINCT {canon_sql('target')} AS kmer FROM e WHERE {canon_sql('source')} IN (SELECT kmer FROM b)")
 def gr_neighbours_of_set(spark, sf):
+    """Neighbours of the branching nodes."""
     g = graph(spark, sf, 21)
-    return g.neighbours_of(g.nodes.orderBy("kmer").limit(50).select("kmer"))
+    return g.neighbours_of(g.branching().select("kmer"))
 
 
 @query(f"WITH {counts_sql(21, 3)}, {edges_sql(21)}, a AS (SELECT source, count(*) AS outs, min(target) AS nx FROM e GROUP BY source), i AS (SELECT target, count(*) AS ins FROM e GROUP BY target) SELECT o.o, CASE WHEN outs IS NULL THEN 0 WHEN outs > 1 THEN -1 WHEN ins > 1 THEN -2 ELSE 1 END AS step FROM o LEFT JOIN a ON a.source = o.o LEFT JOIN i ON i.target = a.nx")
