@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.encoding import canonical, neighbours, revcomp
 from strandloom.operators.counting import checksum, count_kmers
-from strandloom.operators.iterate import components, cut
+from strandloom.operators.iterate import components, cut, drop
 
 
 class DeBruijnGraph:
@@ -129,22 +129,19 @@ class DeBruijnGraph:
 
     def chains(self) -> DataFrame:
         """(o, head, rank, circular): every oriented node's place on its maximal simple path, by
-        pointer jumping: log2 of the longest path rounds, each one join."""
-        before = self.links().select(F.col("next").alias("o"), F.col("o").alias("before"))
+        pointer jumping: log2 of the longest path rounds, each one join of what is not settled yet.
+        Cycles are cut at their smallest k-mer; of a cycle and its mirror image, the one that has
+        this k-mer in its canonical orientation stays."""
+        before = cut(self.links().select(F.col("next").alias("o"), F.col("o").alias("before")))
         start = self.oriented().select("o").join(before, "o", "left")
-        key = F.struct(canonical(F.col("o")).alias("c"), F.when(F.col("o") == canonical(F.col("o")), 0).otherwise(1).alias("s"))
-        state = cut(start.select("o", F.coalesce("before", "o").alias("ptr"), F.when(F.col("before").isNull(), 0).otherwise(1).cast("bigint").alias("rank"), F.col("before").isNull().alias("at_head"), key.alias("low")))
-        state, left = _jump(state)
-        if left:
-            # Cycles are cut at their smallest k-mer; the mirror image that has it backwards goes.
-            ring = state.where("NOT at_head").select("o", "low")
-            ring = cut(ring.where("low.s = 0").join(before, "o"))
-            again = ring.select("o", F.when(F.col("o") == F.col("low.c"), F.col("o")).otherwise(F.col("before")).alias("ptr"), F.when(F.col("o") == F.col("low.c"), 0).otherwise(1).cast("bigint").alias("rank"), (F.col("o") == F.col("low.c")).alias("at_head"), "low")
-            again, _ = _jump(cut(again))
-            state = state.where("at_head").select("o", "ptr", "rank", F.lit(False).alias("circular")).unionByName(again.select("o", "ptr", "rank", F.lit(True).alias("circular")))
-        else:
-            state = state.select("o", "ptr", "rank", F.lit(False).alias("circular"))
-        return state.select("o", F.col("ptr").alias("head"), "rank", "circular")
+        paths, rings = _jump(start)
+        paths = paths.select("o", F.col("ptr").alias("head"), "rank", F.lit(False).alias("circular"))
+        if rings is None:
+            return paths
+        low = _smallest(rings)
+        first = F.col("o") == F.col("low.c")
+        again, _ = _jump(low.where("low.s = 0").join(before, "o").select("o", F.when(~first, F.col("before")).alias("before")))
+        return paths.unionByName(again.select("o", F.col("ptr").alias("head"), "rank", F.lit(True).alias("circular")))
 
     def unitigs(self) -> DataFrame:
         """(seq, n_kmers, circular, abundances, kc): maximal simple paths as canonical digits, with
@@ -177,10 +174,7 @@ class DeBruijnGraph:
         direct = e.join(ends.select(F.col("o").alias("source")), "source", "left_semi").join(ends.select(F.col("o").alias("target")), "target", "left_semi").select("source", "target", F.lit(1).cast("bigint").alias("distance"))
         # simple nodes in chains among themselves: each has one way in and one way out
         within = e.join(inner.select(F.col("o").alias("source")), "source", "left_semi").join(inner.select(F.col("o").alias("target")), "target", "left_semi")
-        start = inner.join(within.select(F.col("target").alias("o"), F.col("source").alias("before")), "o", "left")
-        state = cut(start.select("o", F.coalesce("before", "o").alias("ptr"), F.when(F.col("before").isNull(), 0).otherwise(1).cast("bigint").alias("rank"), F.col("before").isNull().alias("at_head"), F.struct(F.col("o").alias("c"), F.lit(0).alias("s")).alias("low")))
-        state, _ = _jump(state)
-        state = state.where("at_head")
+        state, _ = _jump(inner.join(within.select(F.col("target").alias("o"), F.col("source").alias("before")), "o", "left"))
         enter = e.join(ends.select(F.col("o").alias("source")), "source", "left_semi").select(F.col("source").alias("from"), F.col("target").alias("ptr"))
         leave = e.join(ends.select(F.col("o").alias("target")), "target", "left_semi").select(F.col("source").alias("o"), F.col("target").alias("to"))
         paths = state.join(enter, "ptr").join(leave, "o").select(F.col("from").alias("source"), F.col("to").alias("target"), (F.col("rank") + 2).alias("distance"))
@@ -207,19 +201,42 @@ class DeBruijnGraph:
         return pairs.where(F.struct("source") <= F.struct(revcomp(F.col("target")))).select("source", "target")
 
 
-def _jump(state: DataFrame) -> tuple[DataFrame, int]:
-    """Double every pointer until it is at a head. Returns the state and how many pointers go round
-    in cycles; their ``low`` is then the smallest of their cycle."""
-    left, reach = state.where("NOT at_head").count(), 1
+def _jump(start: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """From (o, before), before null at heads: ((o, ptr, rank) of what a head leads to: the head and the
+    steps from it; (o, before) of what goes round in cycles, or None).
+
+    Pointers double each round. A round that settles nothing leaves cycles alone: a path that is not
+    settled yet always has nodes whose heads are within the next reach."""
+    head = F.col("before").isNull()
+    count = {"left": F.count_if(F.col("rank") > 0)}
+    state = cut(start.select("o", "before", F.coalesce("before", "o").alias("ptr"), F.when(head, 0).otherwise(1).cast("bigint").alias("rank")), **count)
+    left = state.measured["left"]
+    done, open_ = state.where("rank = 0").select("o", "ptr", "rank"), state.where("rank > 0")
+    count = {"left": F.count_if(~F.col("settled"))}
     while left:
-        q = state.select(F.col("o").alias("q"), F.col("ptr").alias("qp"), F.col("rank").alias("qr"), F.col("at_head").alias("qh"), F.col("low").alias("ql"))
-        new = state.join(q, F.col("ptr") == F.col("q")).select("o", F.col("qp").alias("ptr"), (F.when(F.col("o") == F.col("ptr"), 0).otherwise(F.col("rank")) + F.when(F.col("q") == F.col("qp"), 0).otherwise(F.col("qr"))).alias("rank"), F.col("qh").alias("at_head"), F.least("low", "ql").alias("low"))
-        state, reach = cut(new), reach * 2
-        now = state.where("NOT at_head").count()
-        if now == left and reach >= left:
-            return state, left
-        left = now
-    return state, 0
+        q = done.select(F.col("o").alias("q"), F.col("ptr").alias("qp"), F.col("rank").alias("qr"), F.lit(True).alias("settled"))
+        q = q.unionAll(open_.select("o", "ptr", "rank", F.lit(False)))
+        new = cut(open_.join(q, F.col("ptr") == F.col("q")).select("o", "before", F.col("qp").alias("ptr"), (F.col("rank") + F.col("qr")).alias("rank"), "settled"), **count)
+        if new.measured["left"] == left:
+            return done, open_.select("o", "before")
+        left = new.measured["left"]
+        done, open_ = done.unionByName(new.where("settled").select("o", "ptr", "rank")), new.where("NOT settled").drop("settled")
+    return done, None
+
+
+def _smallest(rings: DataFrame) -> DataFrame:
+    """(o, low): the smallest (canonical k-mer, 1 if reversed) of each node's cycle, from (o, before).
+    Windows double until none finds anything smaller: then they agree all around."""
+    c = canonical(F.col("o"))
+    key = F.struct(c.alias("c"), F.when(F.col("o") == c, 0).otherwise(1).alias("s"))
+    state, count = cut(rings.select("o", F.col("before").alias("ptr"), key.alias("low"), F.lit(True).alias("fell"))), {"fell": F.count_if("fell")}
+    while True:
+        q = state.select(F.col("o").alias("q"), F.col("ptr").alias("qp"), F.col("low").alias("ql"))
+        new = cut(state.join(q, F.col("ptr") == F.col("q")).select("o", F.col("qp").alias("ptr"), F.least("low", "ql").alias("low"), (F.col("ql") < F.col("low")).alias("fell")), **count)
+        drop(state)
+        state = new
+        if not state.measured["fell"]:
+            return state.select("o", "low")
 
 
 def read_branching(graph: DeBruijnGraph, reads: DataFrame, id_col: str, kmers: Column) -> DataFrame:

@@ -2,55 +2,86 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir of the session; a temporary one is
-    set where that is unset, as in tests."""
+    """The folder that all executors share: spark.checkpoint.dir of the session. A local session
+    without one gets a temporary folder; on a cluster that is an error, as each machine would have
+    its own."""
     own = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not own:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         own = "file://" + tempfile.mkdtemp(prefix="strandloom-")
         spark.conf.set("spark.checkpoint.dir", own)
     return own.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@atexit.register
+def _clear() -> None:
+    for spark, path in _WRITTEN:
+        if spark.sparkContext._jsc is not None:
+            try:
+                delete(spark, path)
+            except Exception:  # the session's JVM may be gone; the folder is the cluster's to clean then
+                return
+
+
+def cut(df: DataFrame, **measures: Column) -> DataFrame:
     """The rows of ``df``, written to the shared folder: the loop's next step starts from there, and
-    an executor that is lost takes nothing with it."""
+    an executor that is lost takes nothing with it. ``measures`` are aggregates of the rows, taken as
+    they are written and found in ``.measured`` of the result. Tables go when the driver ends; a
+    loop drops those that it no longer reads (``drop``)."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    seen = Observation() if measures else None
+    rows = df.observe(seen, *[c.alias(n) for n, c in measures.items()]) if seen is not None else df
+    rows.write.parquet(path)
+    _WRITTEN.append((spark, path))
+    out = spark.read.schema(df.schema).parquet(path)
+    out.measured, out.written = (seen.get if seen is not None else {}), path
+    return out
 
 
-def state_of(df: DataFrame, *cols: str) -> tuple:
-    """Rows and an order-free hash: equal for equal tables."""
-    return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64(*cols))).first())
+def drop(df: DataFrame) -> None:
+    """Delete the table of a ``cut``."""
+    delete(df.sparkSession, df.written)
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """(node, component) from undirected edges (a, b): the smallest node of each component, by
     alternating large-star and small-star steps until nothing changes."""
-    e = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    was = state_of(e, "a", "b")
-    for _ in range(most if was[0] else 0):
+    state = {"n": F.count(F.lit(1)), "h": F.bit_xor(F.xxhash64("a", "b"))}  # rows and an order-free hash: equal for equal tables
+    e = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), **state)
+    for _ in range(most if e.measured["n"] else 0):
         around = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         low = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = around.join(low, "u").where("v > u AND m <> v").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         both = F.array(F.struct(F.col("m").alias("a"), F.col("b").alias("b")), F.struct(F.col("m").alias("a"), F.col("a").alias("b")))
-        e = cut(large.join(low, "b").select(F.explode(both).alias("x")).select("x.*").where("a <> b").distinct())
-        now = state_of(e, "a", "b")
-        if now == was:
+        new = cut(large.join(low, "b").select(F.explode(both).alias("x")).select("x.*").where("a <> b").distinct(), **state)
+        same = new.measured == e.measured
+        drop(e)
+        e = new
+        if same:
             break
-        was = now
     else:
-        if was[0]:
+        if e.measured["n"]:
             raise RuntimeError(f"components did not settle in {most} rounds")
     low = e.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component"))
     roots = low.select(F.col("component").alias("node"), "component").distinct()

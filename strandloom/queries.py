@@ -82,15 +82,16 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def clean_reads(spark: SparkSession, sf: str) -> DataFrame:
-    return documents(spark, sf).select(F.col("doc_id").alias("read_id"), "lang", "source", enc.clean_digits(F.col("text")).alias("d"))
+    docs = rd.spread(documents(spark, sf).select("doc_id", "lang", "source", "text"))
+    return docs.select(F.col("doc_id").alias("read_id"), "lang", "source", enc.clean_digits(F.col("text")).alias("d"))
 
 
 def dirty_reads(spark: SparkSession, sf: str) -> DataFrame:
-    return documents(spark, sf).select(F.col("doc_id").alias("read_id"), enc.digits(F.regexp_replace("text", "[^ACGTNacgtn]", "")).alias("d"))
+    return rd.spread(documents(spark, sf).select("doc_id", "text")).select(F.col("doc_id").alias("read_id"), enc.digits(F.regexp_replace("text", "[^ACGTNacgtn]", "")).alias("d"))
 
 
 def fixed_reads(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_id").alias("read_id"), F.translate(F.md5(F.col("event_id").cast("string")), "0123456789abcdef", "0123012301230123").alias("d"))
+    return rd.spread(spark.read.parquet(f"{sf}/events.parquet").select("event_id")).select(F.col("event_id").alias("read_id"), F.translate(F.md5(F.col("event_id").cast("string")), "0123456789abcdef", "0123012301230123").alias("d"))
 
 
 def graph(spark: SparkSession, sf: str, k: int, least: int = 3) -> DeBruijnGraph:
@@ -710,32 +711,35 @@ def gr_digest(spark, sf):
     return graph(spark, sf, 21).digest()
 
 
-#: Walks along simple paths from where they begin, in SQL.
+#: Walks along simple paths from where they begin, and around cycles from their smallest k-mer, in SQL.
 _WALK = f"""lk0 AS (SELECT source, min(target) AS nx FROM e GROUP BY source HAVING count(*) = 1), lk AS (SELECT source AS o, nx FROM lk0 WHERE nx IN (SELECT target FROM e GROUP BY target HAVING count(*) = 1) AND {canon_sql('source')} <> {canon_sql('nx')}),
 hd AS (SELECT o.o FROM o WHERE o.o NOT IN (SELECT nx FROM lk)), wk AS (SELECT o AS head, o, o AS s, 1 AS len FROM hd UNION ALL SELECT wk.head, lk.nx, wk.s || substr(lk.nx, -1), wk.len + 1 FROM wk JOIN lk ON lk.o = wk.o),
-un AS (SELECT arg_max(s, len) AS seq, CAST(max(len) AS BIGINT) AS n_kmers FROM wk GROUP BY head)"""
+pa AS (SELECT arg_max(s, len) AS seq, CAST(max(len) AS BIGINT) AS n_kmers FROM wk GROUP BY head),
+cy AS (SELECT o, nx FROM lk WHERE o NOT IN (SELECT o FROM wk)),
+cw AS (SELECT o AS start, o, o AS s, 1 AS len, o AS low FROM cy WHERE o = {canon_sql('o')} UNION ALL SELECT cw.start, cy.nx, cw.s || substr(cy.nx, -1), cw.len + 1, least(cw.low, {canon_sql('cy.nx')}) FROM cw JOIN cy ON cy.o = cw.o WHERE cy.nx <> cw.start),
+un AS (SELECT seq, n_kmers, false AS circular FROM pa WHERE seq <= {rc_sql('seq')} UNION ALL SELECT arg_max(s, len), CAST(max(len) AS BIGINT), true FROM cw GROUP BY start HAVING min(low) = start)"""
 
 
-@query(f"WITH RECURSIVE {counts_sql(21, 3)}, {edges_sql(21)}, {_WALK} SELECT seq, n_kmers FROM un WHERE seq <= {rc_sql('seq')}")
+@query(f"WITH RECURSIVE {counts_sql(21, 3)}, {edges_sql(21)}, {_WALK} SELECT seq, n_kmers, circular FROM un")
 def un_unitigs(spark, sf):
-    return graph(spark, sf, 21).unitigs().where("NOT circular").select("seq", "n_kmers")
+    return graph(spark, sf, 21).unitigs().select("seq", "n_kmers", "circular")
 
 
-@query(f"WITH RECURSIVE {counts_sql(31, 3)}, {edges_sql(31)}, {_WALK} SELECT n_kmers, count(*) AS n FROM un WHERE seq <= {rc_sql('seq')} GROUP BY n_kmers")
+@query(f"WITH RECURSIVE {counts_sql(31, 3)}, {edges_sql(31)}, {_WALK} SELECT n_kmers, count(*) AS n FROM un GROUP BY n_kmers")
 def un_length_histogram_k31(spark, sf):
-    return graph(spark, sf, 31).unitigs().where("NOT circular").groupBy("n_kmers").agg(F.count("*").alias("n"))
+    return graph(spark, sf, 31).unitigs().groupBy("n_kmers").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH RECURSIVE {counts_sql(21, 3)}, {edges_sql(21)}, {_WALK}, u AS (SELECT seq FROM un WHERE seq <= {rc_sql('seq')}), b AS (SELECT seq, '+' AS sign, seq AS s FROM u UNION ALL SELECT seq, '-', {rc_sql('seq')} FROM u) SELECT x.seq AS from_seq, x.sign AS from_sign, y.seq AS to_seq, y.sign AS to_sign FROM b x JOIN b y ON substr(x.s, -20) = substr(y.s, 1, 20)")
+@query(f"WITH RECURSIVE {counts_sql(21, 3)}, {edges_sql(21)}, {_WALK}, b AS (SELECT seq, '+' AS sign, seq AS s FROM un UNION ALL SELECT seq, '-', {rc_sql('seq')} FROM un) SELECT x.seq AS from_seq, x.sign AS from_sign, y.seq AS to_seq, y.sign AS to_sign FROM b x JOIN b y ON substr(x.s, -20) = substr(y.s, 1, 20)")
 def un_links(spark, sf):
     g = graph(spark, sf, 21)
-    return g.unitig_links(cut(g.unitigs().where("NOT circular").select("seq")))
+    return g.unitig_links(cut(g.unitigs().select("seq")))
 
 
-@query(f"WITH RECURSIVE {counts_sql(31, 3)}, {edges_sql(31)}, {_WALK}, m AS (SELECT seq, unnest(list_transform(range(1, length(seq) - 29), lambda i: {canon_sql('substr(seq, i, 31)')})) AS kmer FROM un WHERE seq <= {rc_sql('seq')}) SELECT seq, CAST(sum(abundance) AS BIGINT) AS kc, round(sum(abundance) / count(*), 6) AS km FROM m JOIN n USING (kmer) GROUP BY seq")
+@query(f"WITH RECURSIVE {counts_sql(31, 3)}, {edges_sql(31)}, {_WALK}, m AS (SELECT seq, i, unnest([{canon_sql('substr(seq, i, 31)')}]) AS kmer FROM (SELECT seq, unnest(range(1, length(seq) - 29)) AS i FROM un)) SELECT seq, CAST(sum(abundance) AS BIGINT) AS kc, round(sum(abundance) / count(*), 6) AS km, string_agg(CAST(abundance AS VARCHAR), ' ' ORDER BY i) AS abundances FROM m JOIN n USING (kmer) GROUP BY seq")
 def un_header_statistics(spark, sf):
-    u = graph(spark, sf, 31).unitigs().where("NOT circular")
-    return u.select("seq", "kc", F.round(F.col("kc") / F.col("n_kmers"), 6).alias("km"))
+    u = graph(spark, sf, 31).unitigs()
+    return u.select("seq", "kc", F.round(F.col("kc") / F.col("n_kmers"), 6).alias("km"), F.array_join("abundances", " ").alias("abundances"))
 
 
 @query(f"WITH RECURSIVE {counts_sql(31, 3)}, {degrees_sql(31)}, br AS (SELECT kmer FROM deg WHERE NOT (indegree = 1 AND outdegree = 1)), wk AS (SELECT e.source, e.target AS o, 1 AS len FROM e WHERE {canon_sql('e.source')} IN (SELECT kmer FROM br) UNION ALL SELECT wk.source, e.target, wk.len + 1 FROM wk JOIN e ON e.source = wk.o WHERE {canon_sql('wk.o')} NOT IN (SELECT kmer FROM br)) SELECT source, o AS target, CAST(len AS BIGINT) AS distance FROM wk WHERE {canon_sql('o')} IN (SELECT kmer FROM br)")

@@ -14,6 +14,13 @@ from pyspark.sql import functions as F
 READS = "read_id bigint, comment string, seq string, quality string, bank_id int"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table with fewer splits than the cluster has cores, dealt out by rows; one that has as many
+    stays as it is read. Only small tables are ever moved."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def comment_mode(reads: DataFrame, mode: str) -> DataFrame:
     """Comments as they are (FULL), up to the first space (IDONLY), or null (NONE)."""
     if mode == "FULL":
