@@ -20,6 +20,7 @@ strings in a text are tokenised as the tokenizer's file says; a null id is carri
 from __future__ import annotations
 
 import bisect
+import codecs
 import zlib
 from collections.abc import Iterator
 
@@ -34,46 +35,96 @@ from strandloom.llm.common import U64, Scratch, mix, shuffle_partitions, span_ha
 
 # ---------------------------------------------------------------- tokens
 
+class KnownWords:
+    """Token ids by 64-bit keys, in sorted arrays: about 25 bytes a word. New words wait in a small
+    table that is merged into the large one now and then. Beyond ``most`` words, those go that were
+    not met since the last time; a word that is gone is met anew, so this only bounds memory."""
+
+    def __init__(self, most: int):
+        self.most, self.flat = most, np.zeros(0, np.uint32)
+        self.tables = [self._table([], [], [], []) for _ in range(2)]  # large, small
+
+    @staticmethod
+    def _table(keys, starts, sizes, met) -> tuple[np.ndarray, ...]:
+        return np.asarray(keys, U64), np.asarray(starts, np.int64), np.asarray(sizes, np.int32), np.asarray(met, bool)
+
+    def __len__(self) -> int:
+        return sum(len(t[0]) for t in self.tables)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start in ``flat``, -1 if unknown; number of ids) of each of the sorted ``keys``."""
+        start, size = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int32)
+        for known, starts, sizes, met in self.tables:
+            if len(known):
+                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                hit = known[at] == keys
+                at = at[hit]
+                start[hit], size[hit] = starts[at], sizes[at]
+                met[at] = True
+        return start, size
+
+    def learn(self, keys: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """New words with their ids one after the other."""
+        starts = len(self.flat) + np.cumsum(sizes) - sizes
+        self.flat = np.concatenate([self.flat, ids.astype(np.uint32)])
+        small = tuple(np.concatenate(c) for c in zip(self.tables[1], self._table(keys, starts, sizes, np.ones(len(keys), bool)), strict=True))
+        order = np.argsort(small[0], kind="stable")
+        self.tables[1] = tuple(c[order] for c in small)
+        if len(small[0]) * 8 > len(self.tables[0][0]):
+            both = tuple(np.concatenate(c) for c in zip(*self.tables, strict=True))
+            order = np.argsort(both[0], kind="stable")
+            self.tables = [tuple(c[order] for c in both), self._table([], [], [], [])]
+
+    def shrink(self) -> None:
+        """Forget what was not met lately; everything, if that is too much still."""
+        if len(self) <= self.most:
+            return
+        both = tuple(np.concatenate(c) for c in zip(*self.tables, strict=True))
+        kept = np.flatnonzero(both[3] if 2 * both[3].sum() <= self.most else np.zeros(len(both[3]), bool))
+        kept = kept[np.argsort(both[0][kept], kind="stable")]
+        starts, sizes = both[1][kept], both[2][kept].astype(np.int64)
+        done = np.cumsum(sizes)
+        self.flat = self.flat[np.repeat(starts - done + sizes, sizes) + np.arange(int(done[-1]) if len(done) else 0)]
+        self.tables = [self._table(both[0][kept], done - sizes, sizes, np.zeros(len(kept), bool)), self._table([], [], [], [])]
+
+
 class WordTokens:
     """Token ids of many texts at once, by their distinct words: white space never ends up inside a
     token of this kind of tokenizer, so a text's ids are those of its words. Words that are one
     letter run (a-z and Latin-1 letters) with or without one comma or full stop are looked up as
     lower-cased run and mark, which is what the tokenizer's normaliser and splitter make of them;
     any other word goes through the whole tokenizer. Ids of words that were met are kept, up to
-    ``most`` words, and then met anew."""
+    ``most`` words."""
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 600_000):
         self.whole = Tokenizer.from_file(path)
         self.runs = Tokenizer(self.whole.model)  # the same model, for runs that need no normaliser
         self.runs.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in printable]
-        shown = dict(zip(printable, map(chr, printable), strict=True)) | {b: chr(256 + i) for i, b in enumerate(others)}
-        self.shown = {c: "".join(shown[b] for b in chr(c).encode()) for c in range(128, 256)}
+        shown = dict(zip(printable, map(chr, printable), strict=True)) | {b: chr(256 + i) for i, b in enumerate(others)} | {32: " "}
+        self.shown = "".join(shown[b] for b in range(256))
         self.ends = np.zeros(self.whole.get_vocab_size(), dtype=bool)
         for token, i in self.whole.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
-        self.most = most
         self.marks = {m: self.whole.encode(m, add_special_tokens=False).ids for m in (".", ",")}
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.sizes, self.starts, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-
-    def _learn(self, keys: list[int], sizes: np.ndarray, ids: np.ndarray) -> None:
-        n = len(self.sizes)
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.flat = np.concatenate([self.flat, ids.astype(np.uint32)])
-        self.known.update(zip(keys, range(n, n + len(keys)), strict=True))
+        self.known = KnownWords(most)
+
+    def _plain(self, low: np.ndarray, starts: np.ndarray, stems: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids, ids) of letter runs: spans of ``low``, one space after each."""
+        sizes = stems - starts
+        at = np.cumsum(sizes + 1) - sizes - 1
+        text = np.full(int(sizes.sum()) + len(sizes), 32, np.uint8)
+        inside = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        text[np.repeat(at, sizes) + inside] = low[np.repeat(starts, sizes) + inside]
+        shown = codecs.charmap_decode(text[:-1].tobytes().lower(), "strict", self.shown)[0]
+        ids = np.array(self.runs.encode_batch_fast([shown], add_special_tokens=False)[0].ids, np.uint32)
+        return np.diff(np.flatnonzero(self.ends[ids]) + 1, prepend=0), ids
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, each with ``end`` behind it; where each begins)."""
-        if len(self.known) > self.most:
-            self._forget()
-        if not self.known:
-            self._learn([0, 1, 2], np.array([1, len(self.marks["."]), len(self.marks[","])]), np.array([end, *self.marks["."], *self.marks[","]]))
+        known = self.known
+        known.shrink()
         lead = np.zeros(len(data), dtype=bool)
         lead[1:] = data[:-1] == 0xC3
         letter = _ASCII_LETTER[data] | (data == 0xC3) | (lead & (data >= 0x80) & (data <= 0xBF) & (data != 0x97) & (data != 0xB7))
@@ -86,7 +137,7 @@ class WordTokens:
         plain = letters[stems] - letters[starts] == stems - starts
         mark[~plain] = 0
         stems[~plain] = ends[~plain]
-        raw, lowered = data.tobytes(), low.tobytes()
+        raw = data.tobytes()
         other = span_hashes(data, starts, ends)
         if b"<|" in raw:  # only in special tokens do capitals matter
             other += span_hashes(((data >= 65) & (data <= 90)).astype(np.uint8), starts, ends)
@@ -102,36 +153,35 @@ class WordTokens:
         marked = mark > 0
         units[at[marked] + 1] = mark[marked].astype(U64)
         distinct, one, which = np.unique(units, return_index=True, return_inverse=True)
-        known = self.known
-        found = np.fromiter((known.get(h, -1) for h in distinct.tolist()), np.int64, len(distinct))
-        fresh = np.flatnonzero(found < 0)
+        begin, size = known.find(distinct)
+        fresh = np.flatnonzero(begin < 0)
         if len(fresh):
-            word = np.zeros(len(units), dtype=np.int64)
+            word = np.full(len(units), -1, dtype=np.int64)
             word[at] = np.arange(len(starts))
             w = word[one[fresh]]
+            fixed = {0: [end], 1: self.marks["."], 2: self.marks[","]}
+            for i in np.flatnonzero(w < 0):
+                ids = fixed[int(distinct[fresh[i]])]
+                known.learn(distinct[fresh[i : i + 1]], np.array([len(ids)]), np.array(ids))
+            fresh, w = fresh[w >= 0], w[w >= 0]
             for is_plain in (True, False):
                 own = plain[w] == is_plain
-                keys = distinct[fresh[own]].tolist()
-                spans = zip(starts[w[own]].tolist(), stems[w[own]].tolist(), strict=True)
-                if not keys:
+                keys, v = distinct[fresh[own]], w[own]
+                if not len(keys):
                     continue
                 if is_plain:
-                    text = " ".join([lowered[a:b].decode() for a, b in spans]).lower().translate(self.shown)
-                    ids = np.array(self.runs.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-                    cuts = np.flatnonzero(self.ends[ids]) + 1
-                    sizes = np.diff(cuts, prepend=0)
+                    sizes, ids = self._plain(low, starts[v], stems[v])
                 else:
-                    got = [e.ids for e in self.whole.encode_batch_fast([raw[a:b].decode() for a, b in spans], add_special_tokens=False)]
+                    got = [e.ids for e in self.whole.encode_batch_fast([raw[a:b].decode() for a, b in zip(starts[v].tolist(), stems[v].tolist(), strict=True)], add_special_tokens=False)]
                     sizes = np.fromiter(map(len, got), np.int64, len(got))
                     ids = np.array([i for x in got for i in x], np.uint32)
                 if len(sizes) != len(keys):
                     raise AssertionError("words and ids are out of step")
-                self._learn(keys, sizes, ids)
-            found = np.fromiter((known[h] for h in distinct.tolist()), np.int64, len(distinct))
-        which = found[which]
-        sizes = self.sizes[which]
+                known.learn(keys, sizes, ids)
+            begin, size = known.find(distinct)
+        sizes = size.astype(np.int64)[which]
         done = np.cumsum(sizes)
-        flat = self.flat[np.repeat(self.starts[which] - done + sizes, sizes) + np.arange(int(done[-1]) if len(done) else 0)]
+        flat = known.flat[np.repeat(begin[which] - done + sizes, sizes) + np.arange(int(done[-1]) if len(done) else 0)]
         return flat, np.concatenate([[0], done[last]])
 
 
