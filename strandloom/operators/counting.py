@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.encoding import canonical_kmers, kmers, valid_windows
 from strandloom.functions.minimizers import superkmers
+from strandloom.operators.iterate import cut
 
 
 def kmer_rows(reads: DataFrame, k: int, keep: tuple[str, ...] = (), d: str = "d", canon: bool = True) -> DataFrame:
@@ -66,9 +68,27 @@ def solid(kind: str, ranges: list[tuple[int, int]], n: int, bits: str | None = N
         if bits is None or len(bits) != n:
             raise ValueError("custom solidity takes a bit for each bank")
         return reduce(lambda a, b: a & b, [x == F.lit(b == "1") for x, b in zip(inside, bits, strict=True)])
+    if kind in KINDS:
+        return KINDS[kind](cols, ranges)
     raise ValueError(f"unknown solidity kind {kind}")
 
 
+#: Solidity kinds by name: (columns, ranges) -> predicate. ``register_solidity`` adds to them.
+KINDS: dict[str, Callable[[list[Column], list[tuple[int, int]]], Column]] = {}
+
+
+def register_solidity(name: str, predicate: Callable[[list[Column], list[tuple[int, int]]], Column]) -> None:
+    """A kind of one's own: a predicate over the counts of the banks and their ranges."""
+    KINDS[name] = predicate
+
+
+def process_counts(counts: DataFrame, *processors: Callable[[DataFrame], DataFrame]) -> list[DataFrame]:
+    """What each of several processors makes of the same counts (kmer, c0..): any DataFrame function,
+    such as a filter, a histogram or a sink. Counts are cut to a table once, so they are counted once."""
+    held = cut(counts)
+    return [p(held) for p in processors]
+
+
 def solidity_counters(counts: DataFrame, predicate: Column) -> DataFrame:
     """Distinct, solid and weak k-mers, and the part of weak ones in hundredths of a percent."""
     out = counts.agg(F.count("*").alias("nb_distinct"), F.count_if(predicate).alias("nb_solid"))

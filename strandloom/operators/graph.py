@@ -23,11 +23,26 @@ class DeBruijnGraph:
         return cls(counts.where(F.col("abundance").between(abundance_min, abundance_max)), k)
 
     @classmethod
-    def load(cls, spark, path: str, k: int) -> DeBruijnGraph:
+    def load(cls, spark, path: str, k: int | None = None) -> DeBruijnGraph:
+        """A stored graph; its k is among its properties."""
+        if k is None:
+            k = int(spark.read.parquet(f"{path}/properties").where("key = 'kmer_size'").first().value)
         return cls(spark.read.parquet(f"{path}/solid"), k)
 
-    def save(self, path: str) -> None:
-        self.nodes.write.mode("overwrite").parquet(f"{path}/solid")
+    def save(self, path: str, **more: object) -> None:
+        """Nodes, and a table (key, value) of properties: k, nodes, abundances, and what is given (such
+        as the cutoff and the options of the build)."""
+        kmers = cut(self.nodes, n=F.count(F.lit(1)), total=F.sum("abundance"), least=F.min("abundance"), most=F.max("abundance"))
+        kmers.write.mode("overwrite").parquet(f"{path}/solid")
+        m = kmers.measured
+        found = {"kmer_size": self.k, "kmers_nb_solid": m["n"], "abundance_sum": m["total"] or 0, "abundance_least": m["least"], "abundance_most": m["most"], **more}
+        rows = [(k, None if v is None else str(v)) for k, v in found.items()]
+        kmers.sparkSession.createDataFrame(rows, "key string, value string").coalesce(1).write.mode("overwrite").parquet(f"{path}/properties")
+
+    @staticmethod
+    def info(spark, path: str) -> DataFrame:
+        """(key, value) of a stored graph."""
+        return spark.read.parquet(f"{path}/properties")
 
     # ------------------------------------------------------------ nodes and edges
 
@@ -81,6 +96,20 @@ class DeBruijnGraph:
         """Distinct neighbours of a set of nodes (column kmer)."""
         return self.neighbours().join(some, "kmer", "left_semi").select(F.col("neighbour").alias("kmer")).distinct()
 
+    def around(self, some: DataFrame, levels: int) -> DataFrame:
+        """(kmer, level): nodes within ``levels`` steps of a set (column kmer, level 0), each at the first
+        level that reaches it. One join a level."""
+        front = cut(some.select("kmer").distinct())
+        seen = front.select("kmer", F.lit(0).alias("level"))
+        near = self.neighbours().select("kmer", "neighbour")
+        for level in range(1, levels + 1):
+            found = near.join(front, "kmer", "left_semi").select(F.col("neighbour").alias("kmer")).distinct()
+            front = cut(found.join(seen, "kmer", "left_anti"), n=F.count(F.lit(1)))
+            seen = seen.unionByName(front.select("kmer", F.lit(level).alias("level")))
+            if not front.measured["n"]:
+                break
+        return seen
+
     def without(self, doomed: DataFrame) -> DeBruijnGraph:
         """The graph without some nodes (column kmer): one anti join a batch of deletions."""
         return DeBruijnGraph(self.nodes.join(doomed, "kmer", "left_anti"), self.k)
@@ -187,6 +216,16 @@ class DeBruijnGraph:
         out = self.nodes.select("kmer").join(found, F.col("kmer") == F.col("node"), "left")
         return out.select("kmer", F.coalesce("component", "kmer").alias("component"))
 
+    def branching_classes(self) -> DataFrame:
+        """(component, nodes, shortest, longest): components of the graph of branching nodes alone,
+        joined where a simple path leads from one to another, with the distances of these paths."""
+        e = cut(self.branching_edges())
+        pairs = e.select(canonical(F.col("source")).alias("a"), canonical(F.col("target")).alias("b"), "distance")
+        found = components(pairs.select("a", "b"))
+        nodes = self.branching().select("kmer").join(found, F.col("kmer") == F.col("node"), "left").select("kmer", F.coalesce("component", "kmer").alias("component"))
+        paths = pairs.join(nodes, F.col("a") == F.col("kmer")).groupBy("component").agg(F.min("distance").alias("shortest"), F.max("distance").alias("longest"))
+        return nodes.groupBy("component").agg(F.count("*").alias("nodes")).join(paths, "component", "left").select("component", "nodes", "shortest", "longest")
+
     def snp_bubbles(self) -> DataFrame:
         """(source, target): oriented branching nodes with two ways out that meet again after exactly
         k + 1 steps each: two alleles of one letter."""

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,50 +20,42 @@ def histogram_2d(counts: DataFrame, n: int, most: int = 10_000, most_first: int
     return counts.groupBy(F.least(rest, F.lit(most)).cast("bigint").alias("rest"), F.least(F.col("c0"), F.lit(most_first)).cast("bigint").alias("first")).agg(F.count("*").alias("n"))
 
 
-@dataclass(frozen=True)
-class Cutoff:
-    cutoff: int
-    first_peak: int | None
-    nb_solids: int | None
-    weak_volume: float | None
-
-
-def auto_cutoff(bins: dict[int, int], length: int = 10_000, least: int = 3) -> Cutoff:
-    """The abundance from which k-mers are solid: the valley before the first peak of the smoothed
-    histogram, but no more than what eliminates a quarter of the volume, and ``least`` at least. A
-    histogram that never rises gives ``least`` alone."""
-    h = [bins.get(i, 0) for i in range(length + 2)]
-    smooth = [0] * (length + 1)
-    if length >= 2:
-        smooth[1] = int(0.6 * float(h[1]) + 0.4 * float(h[2]))
-    for i in range(2, length):
-        smooth[i] = int(0.2 * float(h[i - 1]) + 0.6 * float(h[i]) + 0.2 * float(h[i + 1]))
-    rise = next((i - 1 for i in range(2, length) if smooth[i - 1] < smooth[i]), None)
-    if rise is None:
-        return Cutoff(least, None, None, None)
-    after = range(rise + 1, length)
-    peak = max(after, key=lambda i: (smooth[i], -i)) if rise > 0 else None
-    valley = min(range(rise, (peak or rise) + 1), key=lambda i: (smooth[i], i))
-    total = sum(i * n for i, n in enumerate(h[: length + 1]))
-    gone, cap = 0, 0
-    for i in range(length + 1):
-        gone += i * h[i]
-        if gone / total >= 0.25:
-            cap = i + 1
-            break
-    cutoff = max(min(valley, cap), least)
-    weak = sum(i * h[i] for i in range(cutoff))
-    return Cutoff(cutoff, peak, sum(h[cutoff : length + 1]), weak / total)
-
-
-def cutoffs(histograms: DataFrame, by: str | None = None, length: int = 10_000, least: int = 3) -> dict:
-    """The automatic cutoff of a histogram, or of each bank's. ``length`` rows a bank at most come
-    to the driver."""
-    found: dict = {}
-    for x in histograms.collect():
-        found.setdefault(x[by] if by else None, {})[int(x.idx)] = int(x.abundance)
-    out = {k: auto_cutoff(v, length, least) for k, v in found.items()}
-    return out if by else out.get(None, Cutoff(least, None, None, None))
+def smoothed(hist: DataFrame, by: tuple[str, ...] = (), length: int = 10_000) -> DataFrame:
+    """(by.., idx, abundance, smooth): bins 0 to ``length`` + 1, missing ones as zero, with weights .2,
+    .6, .2 over neighbouring bins, cut to whole numbers. The first bin has weights .6, .4; bin 0 and the
+    bins from ``length`` on are 0."""
+    bins = F.explode(F.sequence(F.lit(0), F.lit(length + 1))).cast("bigint").alias("idx")
+    every = hist.select(*by, bins).distinct() if by else hist.sparkSession.range(length + 2).select(F.col("id").alias("idx"))
+    rows = every.join(hist.select(*by, F.col("idx").cast("bigint").alias("idx"), "abundance"), [*by, "idx"], "left")
+    rows = rows.select(*by, "idx", F.coalesce("abundance", F.lit(0)).alias("abundance"))
+    w, n = Window.partitionBy(*by).orderBy("idx"), F.col("abundance").cast("double")
+    inner = F.lit(0.2) * F.lag(n).over(w) + F.lit(0.6) * n + F.lit(0.2) * F.lead(n).over(w)
+    smooth = F.when((F.col("idx") == 0) | (F.col("idx") >= length), 0).when(F.col("idx") == 1, F.lit(0.6) * n + F.lit(0.4) * F.lead(n).over(w)).otherwise(inner)
+    return rows.withColumn("smooth", F.floor(smooth).cast("bigint"))
+
+
+def cutoffs(hist: DataFrame, by: tuple[str, ...] = (), length: int = 10_000, least: int = 3) -> DataFrame:
+    """(by.., cutoff, first_peak, nb_solids, weak_volume): the abundance from which k-mers are solid. It
+    is the valley before the first peak of the smoothed histogram, but no more than what eliminates a
+    quarter of the volume, and ``least`` at least. A histogram that never rises gives ``least`` alone.
+    Bins are ``length`` rows a bank, whatever the number of k-mers."""
+    key = list(by) or ["_one"]
+    keyed = lambda df: df if by else df.withColumn("_one", F.lit(1))
+    w = Window.partitionBy(*key).orderBy("idx")
+    volume = F.when(F.col("idx") <= length, F.col("idx") * F.col("abundance")).otherwise(0)
+    rows = keyed(smoothed(hist, by, length))
+    rows = rows.withColumns({"before": F.lag("smooth").over(w), "gone": F.sum(volume).over(w.rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum(volume).over(Window.partitionBy(*key))})
+    inner = F.col("idx").between(2, length - 1)
+    marks = rows.groupBy(*key).agg(F.min(F.when(inner & (F.col("before") < F.col("smooth")), F.col("idx") - 1)).alias("rise"), F.min(F.when((F.col("idx") <= length) & (F.col("gone") / F.nullif("total", F.lit(0)) >= 0.25), F.col("idx") + 1)).alias("cap"))
+    rows = rows.join(marks, key)
+    peak = rows.where((F.col("idx") > F.col("rise")) & (F.col("idx") < length)).groupBy(*key).agg((-F.max(F.struct("smooth", (-F.col("idx")).alias("i"))).i).alias("first_peak"))
+    valley = rows.join(peak, key).where(F.col("idx").between(F.col("rise"), F.col("first_peak"))).groupBy(*key, "first_peak").agg(F.min(F.struct("smooth", "idx")).idx.alias("valley"))
+    found = rows.join(valley, key).withColumn("cutoff", F.greatest(F.least("valley", "cap"), F.lit(least)))
+    solid = F.sum(F.when(F.col("idx").between(F.col("cutoff"), length), F.col("abundance")).otherwise(0)).alias("nb_solids")
+    weak = F.sum(F.when(F.col("idx") < F.col("cutoff"), F.col("idx") * F.col("abundance")).otherwise(0))
+    found = found.groupBy(*key, "cutoff", "first_peak").agg(solid, (weak / F.first("total")).alias("weak_volume"))
+    out = marks.select(*key).join(found, key, "left")
+    return out.select(*by, F.coalesce("cutoff", F.lit(least)).cast("int").alias("cutoff"), "first_peak", "nb_solids", "weak_volume")
 
 
 def discrete_thresholds() -> list[int]:
@@ -98,9 +88,3 @@ def cumulative_volume(hist: DataFrame) -> DataFrame:
     """(idx, abundance, volume): volume of all k-mers up to an abundance; as many rows as bins."""
     w = Window.orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
     return hist.withColumn("volume", F.sum(F.col("idx") * F.col("abundance")).over(w))
-
-
-def smoothed(hist: DataFrame) -> DataFrame:
-    """(idx, smooth): weights .2, .6, .2 over neighbouring bins, in tenths, missing bins as zero."""
-    near = hist.select(F.explode(F.array(*[F.struct((F.col("idx") + s).alias("idx"), (F.col("abundance") * w).alias("x")) for s, w in ((-1, 2), (0, 6), (1, 2))])).alias("b")).select("b.*")
-    return near.groupBy("idx").agg(F.floor(F.sum("x") / 10).cast("bigint").alias("smooth")).where("idx >= 1")

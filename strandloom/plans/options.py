@@ -66,7 +66,7 @@ def build(reads: DataFrame, options: Options, d: str = "d", bank: str = "bank_id
         for i, lo in enumerate(lows):
             if lo == -1:
                 hist = counts.where(F.col(f"c{i}") > 0).groupBy(F.least(F.col(f"c{i}"), F.lit(options.histo_max)).alias("idx")).agg(F.count("*").alias("abundance"))
-                lows[i] = cutoffs(hist, None, options.histo_max).cutoff
+                lows[i] = cutoffs(hist, (), options.histo_max).first().cutoff
     kept = counts.where(ct.solid(options.solidity_kind, [(lo, options.abundance_max) for lo in lows], len(banks), options.solidity_custom))
     total = sum((F.col(f"c{i}") for i in range(len(banks))), F.lit(0))
     return DeBruijnGraph(kept.select("kmer", total.cast("bigint").alias("abundance")), options.kmer_size)

@@ -450,15 +450,14 @@ m AS (SELECT {g}min(idx) + 1 AS cap FROM d WHERE vol / total >= 0.25 {('GROUP BY
 
 @query(f"WITH {counts_sql(9)}, h0 AS (SELECT least(abundance, 10000) AS idx, count(*) AS c FROM n GROUP BY 1), {cutoff_sql('')} SELECT CAST(coalesce((SELECT greatest(least(valley, cap), 3) FROM v, m), 3) AS INTEGER) AS cutoff")
 def ag_auto_cutoff(spark, sf):
-    found = hg.cutoffs(hg.histogram(ct.count_kmers(clean_reads(spark, sf), 9)))
-    return spark.createDataFrame([(found.cutoff,)], "cutoff int")
+    return hg.cutoffs(hg.histogram(ct.count_kmers(clean_reads(spark, sf), 9))).select("cutoff")
 
 
 @query(f"WITH {READS}, {km_sql(9)}, n AS (SELECT source, kmer, count(*) AS abundance FROM km GROUP BY source, kmer), h0 AS (SELECT source, least(abundance, 10000) AS idx, count(*) AS c FROM n GROUP BY 1, 2), {cutoff_sql('source')} SELECT g.source, CAST(coalesce(greatest(least(valley, cap), 3), 3) AS INTEGER) AS cutoff FROM (SELECT DISTINCT source FROM h0) g LEFT JOIN v USING (source) LEFT JOIN m USING (source)")
 def ag_auto_cutoff_per_bank(spark, sf):
     counts = ct.kmer_rows(clean_reads(spark, sf), 9, ("source",)).groupBy("source", "kmer").agg(F.count("*").alias("abundance"))
     hist = counts.groupBy("source", F.least("abundance", F.lit(10_000)).alias("idx")).agg(F.count("*").alias("abundance"))
-    return spark.createDataFrame([(b, c.cutoff) for b, c in hg.cutoffs(hist, "source").items()], "source string, cutoff int")
+    return hg.cutoffs(hist, ("source",)).select("source", "cutoff")
 
 
 @query(f"WITH {banks_sql(15)}, l AS (SELECT kmer, 0 AS b FROM n WHERE c0 BETWEEN 2 AND 1000 UNION ALL SELECT kmer, 1 FROM n WHERE c1 BETWEEN 2 AND 1000 UNION ALL SELECT kmer, 2 FROM n WHERE c2 BETWEEN 2 AND 1000 UNION ALL SELECT kmer, 3 FROM n WHERE c3 BETWEEN 2 AND 1000), p AS (SELECT x.b AS i, y.b AS j, count(*) AS shared FROM l x JOIN l y USING (kmer) WHERE x.b <= y.b GROUP BY 1, 2) SELECT i, j, coalesce(shared, 0) AS shared FROM (SELECT a.i, b.j FROM range(0, 4) a(i), range(0, 4) b(j) WHERE a.i <= b.j) LEFT JOIN p USING (i, j)")
@@ -600,9 +599,9 @@ def wn_cumulative_volume(spark, sf):
     return hg.cumulative_volume(hg.histogram(ct.count_kmers(clean_reads(spark, sf), 9)))
 
 
-@query(f"WITH {counts_sql(9)}, h AS (SELECT CAST(least(abundance, 10000) AS BIGINT) AS idx, count(*) AS a FROM n GROUP BY 1), b AS (SELECT idx - 1 AS idx, a * 2 AS x FROM h UNION ALL SELECT idx, a * 6 FROM h UNION ALL SELECT idx + 1, a * 2 FROM h) SELECT idx, CAST(sum(x) // 10 AS BIGINT) AS smooth FROM b WHERE idx >= 1 GROUP BY idx")
+@query(f"WITH {counts_sql(9)}, h0 AS (SELECT least(abundance, 10000) AS idx, count(*) AS c FROM n GROUP BY 1), {cutoff_sql('')} SELECT CAST(idx AS BIGINT) AS idx, CAST(sm AS BIGINT) AS smooth FROM s")
 def wn_smoothing(spark, sf):
-    return hg.smoothed(hg.histogram(ct.count_kmers(clean_reads(spark, sf), 9)))
+    return hg.smoothed(hg.histogram(ct.count_kmers(clean_reads(spark, sf), 9))).select("idx", "smooth")
 
 
 @query(f"WITH {counts_sql(21, 3)}, {degrees_sql(21)}, c AS (SELECT indegree, outdegree, count(*) AS n FROM deg WHERE NOT (indegree = 1 AND outdegree = 1) GROUP BY 1, 2) SELECT indegree, outdegree, n, CAST(floor(sum(n) OVER (ORDER BY n DESC, indegree, outdegree) * 10000 / sum(n) OVER ()) AS BIGINT) AS cumulative_bp FROM c")

@@ -3,13 +3,15 @@ unitig FASTA and GFA. Every reader gives reads (read_id, comment, seq, quality,
 
 from __future__ import annotations
 
+import random
 import re
 from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 READS = "read_id bigint, comment string, seq string, quality string, bank_id int"
 
@@ -38,53 +40,104 @@ def fasta(spark: SparkSession, path: str, bank_id: int = 0) -> DataFrame:
     return rows.select(F.monotonically_increasing_id().alias("read_id"), F.substring_index("r", "\n", 1).alias("comment"), F.regexp_replace(F.substr("r", F.length(F.substring_index("r", "\n", 1)) + 2), r"\s", "").alias("seq"), F.lit(None).cast("string").alias("quality"), F.lit(bank_id).alias("bank_id"))
 
 
-def _fastq_records(lines: Iterator[str]) -> Iterator[tuple[str, str, str]]:
-    """(comment, sequence, quality). The quality goes on until it is as long as the sequence, so it
-    may hold any sign, also at the start of a line."""
-    comment: str | None = None
-    seq: list[str] = []
-    quality: list[str] | None = None
-    need = 0
-    for line in lines:
-        if quality is not None:
-            quality.append(line.strip())
-            if sum(map(len, quality)) >= need:
-                yield comment or "", "".join(seq), "".join(quality)
-                comment, seq, quality = None, [], None
-        elif comment is None:
-            if line[:1] == "@":
-                comment = line[1:]
-        elif line[:1] == "+":
-            need, quality = sum(map(len, seq)), []
-            if need == 0:
-                yield comment, "", ""
-                comment, seq, quality = None, [], None
-        else:
-            seq.append(line.strip())
+def _record(text: str) -> tuple[str, str, str] | None:
+    """(comment, sequence, quality) of what follows an ``@`` at the start of a line, if it is a whole
+    record. The quality goes on until it is as long as the sequence, so it may hold any sign, also at
+    the start of a line."""
+    lines = text.split("\n")
+    plus = next((i for i, x in enumerate(lines) if i and x[:1] == "+"), None)
+    if plus is None:
+        return None
+    seq = "".join(x.strip() for x in lines[1:plus])
+    quality = "".join(x.strip() for x in lines[plus + 1 :])
+    return (lines[0], seq, quality[: len(seq)]) if len(quality) >= len(seq) else None
+
+
+_PIECES = "file string, start bigint, comment string, seq string, quality string, rest string"
+
+
+def _records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Records of the pieces of splits, and what is left at a split's borders: the end of a record that
+    the split before began (no piece of it has a line of ``+`` of its own), and a record that goes on
+    in the next split (``comment`` is not null then)."""
+    at: tuple[str, int] | None = None
+    open_: str | None = None  # what may be a record already, or go on
+    lead: str | None = None
+    out: list[tuple] = []
+
+    def border(first: str | None, last: str | None) -> None:
+        if first is not None:
+            out.append((*at, None, None, None, first))
+        if last is not None:
+            found = _record(last)
+            out.append((*at, *found, None) if found else (*at, "", None, None, last))
+
+    for b in batches:
+        for file, start, piece in zip(b["file"], b["start"], b["value"], strict=True):
+            piece = piece.replace("\r", "")
+            if (file, start) != at:
+                if at is not None:
+                    border(lead, open_)
+                at, open_, lead = (file, int(start)), None, None
+                if start == 0:
+                    piece = piece[piece.find("@") + 1 :] if piece[:1] != "@" and "\n@" in piece else piece.removeprefix("@")
+            if open_ is None:
+                if start and not any(x[:1] == "+" for x in piece.split("\n")[1:]):
+                    lead = piece if lead is None else f"{lead}\n@{piece}"
+                else:
+                    open_ = piece
+                continue
+            found = _record(open_)
+            if found:
+                out.append((*at, *found, None))
+                open_ = piece
+            else:
+                open_ = f"{open_}\n@{piece}"
+            if len(out) >= 10_000:
+                yield pd.DataFrame(out, columns=[c.split()[0] for c in _PIECES.split(", ")])
+                out = []
+    if at is not None:
+        border(lead, open_)
+    if out:
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in _PIECES.split(", ")])
+
+
+def _joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        found = [(i, *(_record(t) or (None, None, None))) for i, t in zip(b["read_id"], b["text"], strict=True)]
+        yield pd.DataFrame([x for x in found if x[2] is not None], columns=["read_id", "comment", "seq", "quality"])
 
 
 def fastq(spark: SparkSession, path: str, bank_id: int = 0) -> DataFrame:
-    """FASTQ. A record's borders only show from the file's start, so a file is one row and one task's
-    work; many files are read in parallel."""
-    whole = spark.read.option("wholetext", True).text(path)
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def every() -> Iterator[str]:
-            for b in batches:
-                for text in b["value"]:
-                    yield from text.replace("\r", "").split("\n")
-
-        held: list[tuple[str, str, str]] = []
-        for record in _fastq_records(every()):
-            held.append(record)
-            if len(held) == 10_000:
-                yield pd.DataFrame(held, columns=["comment", "seq", "quality"])
-                held = []
-        if held:
-            yield pd.DataFrame(held, columns=["comment", "seq", "quality"])
-
-    rows = whole.mapInPandas(parse, "comment string, seq string, quality string")
-    return rows.select(F.monotonically_increasing_id().alias("read_id"), "comment", "seq", "quality", F.lit(bank_id).alias("bank_id"))
+    """FASTQ, large files in parallel: splits are cut at lines that begin with ``@``, and a record that
+    is cut by such a line of its quality, or by the border of a split, is put together again. (In a file
+    of several splits, a quality of several lines of which one begins with ``@`` and a later one with
+    ``+`` is taken for a record where a split begins between them.) ``read_id`` grows along the files,
+    with gaps."""
+    raw = spark.read.text(path, lineSep="\n@").select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
+    rows = raw.mapInPandas(_records, _PIECES).withColumn("read_id", F.monotonically_increasing_id())
+    whole = rows.where("rest IS NULL").select("read_id", "comment", "seq", "quality")
+    # Borders: two rows a split at most.
+    w = Window.partitionBy("file").orderBy("start", F.col("comment").isNotNull())
+    borders = rows.where("rest IS NOT NULL").withColumn("cut", F.sum(F.when(F.col("comment").isNotNull(), 1).otherwise(0)).over(w))
+    borders = borders.groupBy("file", "cut").agg(F.min("read_id").alias("read_id"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", F.col("comment").isNotNull().alias("last"), "rest"))), lambda x: x.rest), "\n@").alias("text"))
+    both = whole.unionByName(borders.select("read_id", "text").mapInPandas(_joined, "read_id bigint, comment string, seq string, quality string"))
+    return both.select("read_id", "comment", "seq", "quality", F.lit(bank_id).alias("bank_id"))
+
+
+def indexed(reads: DataFrame) -> DataFrame:
+    """``read_id`` as the index from 0 in the order that it has now. Counts by partition of the old ids
+    come to the driver, a row each."""
+    part = F.shiftright("read_id", 33)
+    sizes = sorted((x.p, x.n) for x in reads.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
+    before, total = {}, 0
+    for p, n in sizes:
+        before[p], total = total, total + n
+    if not before:
+        return reads
+    offset = F.element_at(F.create_map(*[F.lit(x).cast("bigint") for pair in before.items() for x in pair]), part)
+    place = F.row_number().over(Window.partitionBy(part).orderBy("read_id")) - 1
+    return reads.withColumn("read_id", (offset + place).cast("bigint"))
 
 
 def sniff(spark: SparkSession, path: str) -> str:
@@ -141,6 +194,35 @@ def random_bank(spark: SparkSession, n: int, length: int, seed: int = 1) -> Data
     return spark.range(n).select(F.col("id").alias("read_id"), F.concat(F.lit("seq_"), "id").alias("comment"), seq.alias("seq"), F.lit(None).cast("string").alias("quality"), F.lit(0).alias("bank_id"))
 
 
+class RandomBank(DataSource):
+    """The same as a format: ``spark.dataSource.register(RandomBank)``, then
+    ``spark.read.format("random_bank").option("reads", n).option("length", l).load()``. What a format
+    of one's own looks like."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "random_bank"
+
+    def schema(self) -> str:
+        return "read_id bigint, comment string, seq string"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _RandomReader(self.options)
+
+
+class _RandomReader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.reads, self.length, self.seed = (int(options.get(c, d)) for c, d in (("reads", 1000), ("length", 100), ("seed", 1)))
+
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition(i) for i in range(0, self.reads, 100_000)]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        rng = random.Random(f"{self.seed} {partition.value}")
+        for i in range(partition.value, min(partition.value + 100_000, self.reads)):
+            yield i, f"seq_{i}", "".join(rng.choices("ACGT", k=self.length))
+
+
 def split_reference(reference: DataFrame, read_size: int, overlap: int, coverage: int, d: str = "d") -> DataFrame:
     """(pass, start, read): windows of a reference, ``read_size`` long, each ``read_size - overlap``
     after the last, ``coverage`` times over; the last window may be shorter."""

@@ -67,10 +67,10 @@ def test_superkmers_cover_valid_kmers(spark):
     assert {tuple(x) for x in by_minimizer.collect()} == {tuple(x) for x in again.collect()}
 
 
-def test_cutoff():
-    bins = {1: 1000, 2: 300, 3: 80, 4: 20, 5: 30, 6: 90, 7: 200, 8: 210, 9: 90, 10: 20}
-    assert hg.auto_cutoff(bins).cutoff in (3, 4, 5)
-    assert hg.auto_cutoff({1: 10, 2: 5}) == hg.Cutoff(3, None, None, None)
+def test_cutoff(spark):
+    found = lambda bins: hg.cutoffs(spark.createDataFrame(list(bins.items()), "idx long, abundance long")).first()
+    assert found({1: 1000, 2: 300, 3: 80, 4: 20, 5: 30, 6: 90, 7: 200, 8: 210, 9: 90, 10: 20}).cutoff in (3, 4, 5)
+    assert tuple(found({1: 10, 2: 5})) == (3, None, None, None)
     thr = hg.discrete_thresholds()
     assert len(thr) == 257 and thr[70] == 70 and thr[85] == 100 and thr[255] == thr[256] or thr[256] == 50000
 
