@@ -4,9 +4,13 @@ inside a task, vectorised word hashing over Arrow text, and connected components
 from __future__ import annotations
 
 import atexit
+import ctypes
+import ctypes.util
+import gc
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +19,7 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Bytes of text that a task hashes at once; arrays of 8 bytes a byte of text follow from it.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 
 # ---------------------------------------------------------------- scratch tables
@@ -27,11 +31,25 @@ def shared_dir(spark: SparkSession) -> str:
     own = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if own:
         return own.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     own = "file://" + tempfile.mkdtemp(prefix="strandloom-")
     spark.conf.set("spark.checkpoint.dir", own)
     return own
 
 
+def bounded_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Rows with whole texts go to Python in batches of ``most`` bytes (or one row) instead of 10,000
+    rows, which may be any size: that bounds what a task holds on either side. Sets Spark's setting for
+    the session, where it is larger."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, "64m").lower().removesuffix("b")
+    unit = {"k": 10, "m": 20, "g": 30}.get(now[-1:], 0)
+    size = int(now[:-1] if unit else now) << unit
+    if size <= 0 or size > most:
+        spark.conf.set(key, str(most))
+
+
 class Scratch:
     """Tables of one operator call, written under the shared folder. They cut the lineage: a lost
     executor costs the tasks that it ran, never the steps before a table. What is still there when
@@ -39,6 +57,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        bounded_batches(spark)
         atexit.register(self._clear)
 
     def path(self, name: str) -> str:
@@ -71,6 +90,30 @@ def shuffle_partitions(spark: SparkSession) -> int:
 # ---------------------------------------------------------------- rows of a task
 
 
+def _trim() -> None:
+    """Give what is free back to the operating system: a Python worker is used again by tasks of other
+    steps, which otherwise come on top of the memory that this step held at its peak."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.util.find_library("c")
+    trim = getattr(ctypes.CDLL(libc), "malloc_trim", None) if libc else None
+    if trim is not None:
+        trim(0)
+
+
+def released(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task whose caches and free memory go when it ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            _POWERS.clear()
+            gc.collect()
+            _trim()
+
+    return run
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], most: int = 1 << 16) -> Iterator[pa.Table]:
     """Cut a partition that is sorted by ``keys`` into tables of whole groups, about ``most`` rows
     each: a group is split over two tables never, many small groups share one."""
@@ -137,7 +180,7 @@ _POWERS: dict[str, np.ndarray] = {}
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS.get("p", ())) < n:
-        n = max(n, 2 * CHUNK_BYTES)
+        n = max(n, CHUNK_BYTES + (CHUNK_BYTES >> 3))
         up, down = np.full(n, _P, dtype=U64), np.full(n, _P_INV, dtype=U64)
         up[0] = down[0] = 1
         _POWERS["p"], _POWERS["q"] = np.cumprod(up), np.cumprod(down)

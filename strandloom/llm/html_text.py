@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandloom.llm.common import bounded_batches
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(script|style|textarea|title)\b(?>[^>\"']+|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
@@ -194,6 +196,7 @@ def host_paths(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(id, url, text) of every page."""
+    bounded_batches(pages.sparkSession)
     won = host_paths(pages, url, html).select("host", F.col("path").alias("_path"))
     rows = pages.select(F.col(id_col), F.col(url), F.col(html).cast("string").alias("_html"), host_of(F.col(url)).alias("host"))
     rows = rows.join(won, "host", "left").select(id_col, url, "_path", "_html")

@@ -4,11 +4,10 @@ For each language a suffix automaton of labelled text is built. A text is parsed
 longest phrases that the automaton knows; the language whose automaton needs the fewest bits a
 letter (phrases times the logarithm of the automaton's text length) wins.
 
-Training takes a bounded sample: ``docs_per_language`` labelled rows of each language (those with
-the smallest hash of their id), ``chars_per_doc`` characters of each, at most ``max_languages``
-languages (more are an error). Only prediction sees whole texts: letters are folded to
-``symbols`` classes, runs of anything else are one separator, and texts are parsed in blocks of
-``block`` symbols, all blocks of a batch in step, so a phrase ends at a block's end at the latest.
+Training takes a bounded sample of whole labelled texts: ``docs_per_language`` of each language at
+most, with ``chars_per_language`` characters together, and ``max_languages`` languages at most (more
+are an error). Letters are folded to ``symbols`` classes, and runs of anything else are one
+separator. Whole texts are parsed, all texts of a run in step.
 
 Edge cases: a null text, or one without letters, is ``und`` with score 0; a null label or a null text
 is not learned from; ties go to the language that sorts first; without any label every text with
@@ -25,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import text_chunks
+from strandloom.llm.common import bounded_batches, released, text_chunks
 
 UNDETERMINED = "und"
 _LETTER: list[np.ndarray] = []
@@ -126,7 +125,12 @@ class LanguageModel:
         return sym[keep].astype(np.int64), doc[keep]
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(phrases [language, text], symbols of each text, letters of each text)."""
+        """(phrases [language, text], symbols of each text, letters of each text). The greedy parse of
+        whole texts: longest match after longest match, from the first symbol to the last.
+
+        Blocks of all texts are parsed in step, as if a phrase began with each. A block's parse then
+        is done again from where the block before it ends, until it is in the same state as the first
+        one at the same symbol: from there on both are the same. So blocks change nothing."""
         sym, doc = self.fold(texts)
         n, size = len(texts), self.block
         lengths = np.bincount(doc, minlength=n)
@@ -134,26 +138,64 @@ class LanguageModel:
         blocks = -(-lengths // size)
         first = np.concatenate([[0], np.cumsum(blocks)])
         at = np.arange(len(sym)) - np.repeat(np.concatenate([[0], np.cumsum(lengths)])[:-1], lengths)
-        grid = np.full((size, int(first[-1])), -1, dtype=np.int16)
-        grid[at % size, first[doc] + at // size] = sym
+        total = int(first[-1])
+        # The last block of a text may be short: longer blocks first, so those that go on are a prefix.
+        block_sizes = np.full(total, size)
+        block_sizes[first[1:][blocks > 0] - 1] = lengths[blocks > 0] - (blocks[blocks > 0] - 1) * size
+        order = np.argsort(-block_sizes, kind="stable")
+        place = np.empty(total, np.int64)
+        place[order] = np.arange(total)
+        grid = np.zeros((size, total), dtype=np.int16)
+        grid[at % size, place[first[doc] + at // size]] = sym
+        alive = np.searchsorted(-block_sizes[order], -np.arange(size), "left")  # blocks with more symbols than that
         owner = np.repeat(np.arange(n), blocks)
-        order = np.argsort(-(grid >= 0).sum(axis=0), kind="stable")
-        grid, owner = grid[:, order], owner[order]
-        alive = (grid >= 0).sum(axis=1)
+        later = np.ones(total, dtype=bool)
+        later[first[:-1][blocks > 0]] = False
+        later = np.flatnonzero(later)
+        here, before = place[later], place[later - 1]
         out = np.zeros((len(self.languages), n), dtype=np.int64)
         for k, table in enumerate(self.tables):
             root = np.maximum(table[: self.symbols], 0)
-            state = np.zeros(len(owner), dtype=np.int32)
-            count = np.ones(len(owner), dtype=np.int32)
-            for row, m in zip(grid, alive, strict=True):
+            states = np.zeros((size, total), dtype=np.int32)
+            misses = np.zeros((size, total), dtype=bool)
+            state = np.zeros(total, dtype=np.int32)
+            for i, m in enumerate(alive):
                 if not m:
                     break
-                c = row[:m]
+                c = grid[i, :m]
                 to = table[state[:m] + c]
-                miss = to < 0
-                count[:m] += miss
-                state[:m] = np.where(miss, root[c], to)
-            out[k] = np.bincount(owner, weights=count, minlength=n).astype(np.int64)
+                misses[i, :m] = to < 0
+                state[:m] = states[i, :m] = np.where(to < 0, root[c], to)
+            count = misses.sum(axis=0, dtype=np.int64)
+            todo, source = here, before
+            start = np.zeros(total, dtype=np.int32)  # what each block was begun from
+            while len(todo):
+                begun = state[source]
+                new = np.flatnonzero(begun != start[todo])
+                todo, source, begun = todo[new], source[new], begun[new]
+                if not len(todo):
+                    break
+                start[todo] = begun
+                open_, now = np.arange(len(todo)), begun.copy()
+                for i in range(size):
+                    open_ = open_[alive[i] > todo[open_]]
+                    if not len(open_):
+                        break
+                    b = todo[open_]
+                    c = grid[i, b]
+                    to = table[now[open_] + c]
+                    miss = to < 0
+                    to = np.where(miss, root[c], to)
+                    count[b] += miss.astype(np.int64) - misses[i, b]
+                    same = states[i, b] == to
+                    now[open_] = states[i, b] = to
+                    misses[i, b] = miss
+                    if i + 1 == size:
+                        state[b] = to
+                    open_ = open_[~same]
+                # a block that never met its first parse ends in another state: its successor is begun anew
+                todo, source = here, before
+            out[k] = np.bincount(owner, weights=count[place], minlength=n).astype(np.int64) + (lengths > 0)
         return out, lengths, n_letters
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
@@ -173,16 +215,24 @@ def fold_of(id_col: str, folds: int) -> Column:
     return F.crc32(F.col(id_col).cast("string")) % folds
 
 
-def train(documents: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", docs_per_language: int = 40, chars_per_doc: int = 600, max_languages: int = 64, symbols: int = 48, block: int = 256) -> LanguageModel:
-    """Learn from a bounded sample of the rows given. Ranks are cut in each partition before the
-    shuffle, so a language of most rows moves ``docs_per_language`` rows a partition."""
+def train(documents: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", docs_per_language: int = 64, chars_per_language: int = 32_000, max_languages: int = 64, symbols: int = 48, block: int = 256) -> LanguageModel:
+    """Learn from a bounded sample of the rows given: of each language whole texts, in the order of a
+    hash of their ids, ``docs_per_language`` at most and as long as they are no more than
+    ``chars_per_language`` characters together (a text of more than an eighth of that is passed over;
+    where a language has none that is shorter, its shortest text is taken). Ranks are cut in
+    each partition before the shuffle, so a language of most rows moves ``docs_per_language`` rows a
+    partition."""
     rows = documents.where(F.col(id_col).isNotNull() & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    rows = rows.select(F.col(lang).alias("l"), F.substring(text, 1, chars_per_doc).alias("t"), F.xxhash64(F.col(id_col).cast("string")).alias("h"))
-    w = Window.partitionBy("l").orderBy("h", "t")
-    picked = rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= docs_per_language).orderBy("l", "r").limit((max_languages + 1) * docs_per_language)
+    rows = rows.select(F.col(lang).alias("l"), F.col(text).alias("t"), F.xxhash64(F.col(id_col).cast("string")).alias("h"))
+    size = F.length("t")
+    w = Window.partitionBy("l").orderBy(F.when(size * 8 <= chars_per_language, 0).otherwise(size), "h", "t")
+    picked = rows.withColumn("r", F.row_number().over(w)).where((F.col("r") <= docs_per_language) & ((size * 8 <= chars_per_language) | (F.col("r") == 1)))
+    picked = picked.orderBy("l", "r").limit((max_languages + 1) * docs_per_language)
     samples: dict[str, list[str]] = {}
     for x in picked.collect():
-        samples.setdefault(x.l, []).append(x.t)
+        have = samples.setdefault(x.l, [])
+        if not have or sum(map(len, have)) + len(x.t) <= chars_per_language:
+            have.append(x.t)
     if len(samples) > max_languages:
         raise ValueError(f"more than {max_languages} languages; raise max_languages")
     return LanguageModel({k: v for k, v in samples.items() if any(c.isalpha() for t in v for c in t)}, symbols, block)
@@ -192,6 +242,7 @@ def identify(documents: DataFrame, model: LanguageModel, text: str = "text", kee
     """The ``keep`` columns of the input (all, unless given) with ``lang_pred`` and ``score`` (0 to
     1); they replace columns of the same names. Whole texts, about a megabyte at a time."""
     spark = documents.sparkSession
+    bounded_batches(spark)
     held = spark.sparkContext.broadcast(model)
     keep = [c for c in (keep if keep is not None else documents.columns) if c not in ("lang_pred", "score")]
     rest = documents.select(*keep, *([] if text in keep else [text]))
@@ -208,7 +259,7 @@ def identify(documents: DataFrame, model: LanguageModel, text: str = "text", kee
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(np.concatenate(scores), pa.float64())], names=[*keep, "lang_pred", "score"])
 
     schema = documents.select(*keep).schema.add("lang_pred", "string").add("score", "double")
-    return rest.mapInArrow(task, schema)
+    return rest.mapInArrow(released(task), schema)
 
 
 # ---------------------------------------------------------------- query

@@ -143,7 +143,7 @@ class Model:
 
 
 def _runs(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, Tokens]]:
-    for lo, hi, data, offsets in text_chunks(batch.column(column)):
+    for lo, hi, data, offsets in text_chunks(batch.column(column), 1 << 20):
         yield lo, hi, tokens_of(data, offsets)
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
-from strandloom.llm.common import U64, Scratch, mix, shuffle_partitions, span_hashes, text_chunks, word_spans
+from strandloom.llm.common import U64, Scratch, mix, released, shuffle_partitions, span_hashes, text_chunks, word_spans
 
 # ---------------------------------------------------------------- tokens
 
@@ -189,18 +189,13 @@ _ASCII_LETTER = np.zeros(256, dtype=bool)
 _ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
 
 
-_TOKENS: dict[str, WordTokens] = {}
-
-
 def tokenize_pieces(documents: DataFrame, tokenizer: str, capacity: int, end: int, id_col: str = "doc_id", text: str = "text", ids: bool = False) -> DataFrame:
     """(id, piece, start, length, ids_crc32[, ids]) of every document; ``tokenizer`` is the path of
     the tokenizer's file, the same on every machine."""
     names = ["piece", "start", "length", "ids_crc32"]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _TOKENS:
-            _TOKENS[tokenizer] = WordTokens(tokenizer)
-        words = _TOKENS[tokenizer]
+        words = WordTokens(tokenizer)
         for batch in batches:
             for lo, hi, data, offsets in text_chunks(batch.column(1), 1 << 19):
                 flat, begins = words.encode(data, offsets, end)
@@ -220,7 +215,7 @@ def tokenize_pieces(documents: DataFrame, tokenizer: str, capacity: int, end: in
                 yield pa.RecordBatch.from_arrays(cols, names=["id", *names, *(["ids"] if ids else [])])
 
     kind = documents.schema[id_col].dataType.simpleString()
-    return documents.select(id_col, text).mapInArrow(task, f"id {kind}, piece int, start long, length long, ids_crc32 long" + (", ids array<long>" if ids else ""))
+    return documents.select(id_col, text).mapInArrow(released(task), f"id {kind}, piece int, start long, length long, ids_crc32 long" + (", ids array<long>" if ids else ""))
 
 
 # ---------------------------------------------------------------- supersteps

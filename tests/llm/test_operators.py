@@ -151,23 +151,25 @@ def test_suffix_automaton_and_parsing():
                 if state is None:
                     break
             assert (state is not None) == (tuple(w) in have)
-    model = language_id.LanguageModel({"x": ["abc abd abe"], "y": ["qrs qrt"]}, symbols=16, block=8)
+    samples = {"x": ["abc abd abe"], "y": ["qrs qrt"]}
     texts = ["abc qzs", "", "123 !!", "ABC" * 40, "q" * 30]
-    phrases, _, n_letters = model.phrases(texts)
-    for k in range(2):
-        table = model.tables[k].reshape(-1, 16)
-        for i, t in enumerate(texts):
-            sym, _ = model.fold([t])
-            count = 0
-            for lo in range(0, len(sym), 8):
-                state, count = 0, count + 1
-                for c in sym[lo : lo + 8]:
+    more = ["".join(rng.choices("abcdeqrst ", k=rng.randint(1, 90))) for _ in range(60)] + ["abc abd abe" * 9, "abqrab" * 20]
+    for block in (3, 8, 256):
+        model = language_id.LanguageModel(samples, symbols=16, block=block)
+        phrases, _, n_letters = model.phrases(texts + more)
+        for k in range(2):
+            table = model.tables[k].reshape(-1, 16)
+            for i, t in enumerate(texts + more):
+                sym, _ = model.fold([t])
+                state, count = 0, int(len(sym) > 0)
+                for c in sym:
                     if table[state, c] < 0:
                         count += 1
                         state = max(table[0, c], 0) // 16
                     else:
                         state = table[state, c] // 16
-            assert phrases[k, i] == count
+                assert phrases[k, i] == count
+    n_letters = n_letters[:5]
     assert n_letters.tolist() == [6, 0, 0, 120, 30]
     langs, score = model.predict(texts)
     assert langs[1:4] == ["und", "und", "x"] and langs[4] == "y" and score[1] == 0 and (score <= 1).all()
