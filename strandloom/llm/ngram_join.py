@@ -8,9 +8,10 @@ these cells. That window is what the triangle inequality leaves of the boundary;
 shares a cell, no pair is lost. Common passages come last in the order and make no large cells.
 
 Two sets are only compared in a cell if what is left of both, from there on in the order, can hold
-the overlap that they need; where they first meet, that is so for every linked pair. Before any sets
-are brought together, their signatures are: parities of the numbers of shingles in
-hash buckets, whose Hamming distance is a lower bound of the symmetric difference.
+the overlap that they need; where they first meet, that is so for every linked pair. And only if
+their signatures allow it: parities of the numbers of shingles in hash buckets, whose Hamming
+distance is a lower bound of the symmetric difference. Both are conditions of the join of a cell,
+so a pair that fails them never becomes a row.
 
 Cells are then joined recursively. Each cell takes one of its sets as pivot, and the distance of all
 its sets to the pivot is computed: those within the threshold link to it. The others make the next
@@ -31,20 +32,27 @@ texts; an empty table gives no rows; columns besides id and text are not read.""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import U64, Scratch, connected_components, mix, shuffle_partitions, text_chunks, word_hashes
+from strandloom.llm.common import U64, Scratch, connected_components, mix, released, shuffle_partitions, text_chunks, word_hashes
 
 _Q = U64(0xD6E8FEB86659FD93)
-_SKETCH_BITS = 20
+_SKETCH_BITS, _CHUNKS = 22, 64
+WORDS = 16  # of a signature
+LARGE = 32 * WORDS  # shingles from which a set has a long signature too
+PAIRS_A_PLACE = 64
 
 
-def shingle_sets(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, sorted distinct shingles as 64-bit hashes) of each text."""
+def shingle_runs(column: pa.Array, size: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+    """(first row, row after the last, sorted distinct shingles of each text as 64-bit hashes) of runs
+    of texts."""
     powers = [U64(pow(int(_Q), j, 1 << 64)) for j in range(size)]
     for lo, hi, data, offsets in text_chunks(column):
         words, doc, _ = word_hashes(data, offsets)
@@ -55,15 +63,23 @@ def shingle_sets(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray]
         for j in range(size):
             total += words[j : j + n] * powers[j]
         total = mix(total)
-        for i in range(hi - lo):
-            a, k = begins[i], counts[i]
+        out = []
+        for a, k in zip(begins.tolist(), counts.tolist(), strict=False):
             if k >= size:
-                yield lo + i, np.unique(total[a : a + k - size + 1])
+                x = np.sort(total[a : a + k - size + 1])
+                out.append(x[np.concatenate([[True], x[1:] != x[:-1]])])
             elif k:
                 short = (words[a : a + k] * np.array(powers[:k], dtype=U64)).sum(dtype=U64) + U64(k)
-                yield lo + i, mix(np.array([short], dtype=U64))
+                out.append(mix(np.array([short], dtype=U64)))
             else:
-                yield lo + i, np.zeros(0, dtype=U64)
+                out.append(np.zeros(0, dtype=U64))
+        yield lo, hi, out
+
+
+def shingle_sets(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, its sorted distinct shingles) of each text."""
+    for lo, _, sets in shingle_runs(column, size):
+        yield from enumerate(sets, lo)
 
 
 def set_key(shingles: np.ndarray) -> int:
@@ -72,14 +88,20 @@ def set_key(shingles: np.ndarray) -> int:
     return int(mix(np.array([total], dtype=U64)).view(np.int64)[0])
 
 
-def signature(shingles: np.ndarray) -> bytes:
-    """Parities of the numbers of shingles in hash buckets, two buckets a shingle at least. Two sets
-    differ in as many shingles at least as their signatures in bits."""
+def signature(shingles: np.ndarray) -> np.ndarray:
+    """Parities of the numbers of shingles in hash buckets, as 64-bit words. Two sets differ in as many
+    shingles at least as their signatures in bits."""
+    odd = np.bincount((shingles & U64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def long_signature(shingles: np.ndarray) -> bytes:
+    """The same with two buckets a shingle at least, for sets that are large for the short one."""
     bits = 1 << max(6, (2 * len(shingles) - 1).bit_length())
     return np.packbits((np.bincount((shingles & U64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
-def least_difference(a: bytes, b: bytes) -> int:
+def long_difference(a: bytes, b: bytes) -> int:
     """A lower bound of the symmetric difference; the longer signature is folded to the shorter."""
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
     while len(x) > len(y):
@@ -89,36 +111,84 @@ def least_difference(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
+def least_difference(a: Column, b: Column) -> Column:
+    """A lower bound of the symmetric difference, from two signatures; in generated code."""
+    return reduce(add, [F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(WORDS)])
+
+
+class Seen:
+    """Keys that a task has met, sorted; no more are taken in beyond ``most``. What is met again only
+    costs work, so forgetting is harmless."""
+
+    def __init__(self, most: int = 1 << 18):
+        self.most, self.keys = most, np.zeros(0, np.int64)
+
+    def first(self, keys: np.ndarray) -> np.ndarray:
+        """Which of the keys are met for the first time."""
+        distinct, at = np.unique(keys, return_index=True)
+        new = np.ones(len(distinct), dtype=bool)
+        if len(self.keys):
+            place = np.minimum(np.searchsorted(self.keys, distinct), len(self.keys) - 1)
+            new = self.keys[place] != distinct
+        if len(self.keys) < self.most:
+            self.keys = np.union1d(self.keys, distinct[new])
+        out = np.zeros(len(keys), dtype=bool)
+        out[at[new]] = True
+        return out
+
+
 def _batch(names: list[str], *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
 
 def _describe(documents: DataFrame, size: int) -> DataFrame:
-    """Rows of kind 0: (id, n, g, signature) of each document; of kind 1: (bucket, count) of the buckets of
-    shingle hashes that a task sees more often than chance explains."""
+    """Rows of kind 0: (id, n, g, signature) of each document; of kind 1: (chunk, counts) of the sketch,
+    packed counts of shingles by bucket that a task has seen, equal sets once."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["kind", "id", "n", "g", "signature", "counts"]
+        counts, seen = np.zeros(1 << _SKETCH_BITS, dtype=np.uint16), Seen()
+        for batch in batches:
+            for lo, hi, sets in shingle_runs(batch.column(1), size):
+                n = np.fromiter(map(len, sets), np.int64, len(sets))
+                g = np.fromiter(map(set_key, sets), np.int64, len(sets))
+                new = np.flatnonzero(seen.first(g))
+                if len(new):
+                    at, more = np.unique((np.concatenate([sets[i] for i in new]) >> U64(64 - _SKETCH_BITS)).astype(np.int64), return_counts=True)
+                    counts[at] = np.minimum(counts[at] + more, 65535)
+                marks = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * WORDS, pa.int32()), pa.array(np.concatenate([signature(x) for x in sets])))
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int64)), batch.column(0).slice(lo, hi - lo).cast(pa.int64()), pa.array(n), pa.array(g), marks, pa.nulls(len(n), pa.binary())], names=names)
+        if counts.any():
+            packer, none = zstandard.ZstdCompressor(level=1), np.zeros(_CHUNKS, np.int64)
+            packed = [packer.compress(c.tobytes()) for c in counts.reshape(_CHUNKS, -1)]
+            yield pa.RecordBatch.from_arrays([pa.array(none + 1), pa.array(np.arange(_CHUNKS)), pa.array(none), pa.array(none), pa.nulls(_CHUNKS, pa.list_(pa.int64())), pa.array(packed, pa.binary())], names=names)
+
+    return documents.mapInArrow(released(task), "kind long, id long, n long, g long, signature array<long>, counts binary")
+
+
+def sketch_of(told: DataFrame) -> np.ndarray:
+    """How often shingles of each bucket are, over all documents; 0 where that may be chance. The
+    sketch is summed in Spark, chunk by chunk; what comes to the driver is the frequent buckets, no
+    more than the sketch has. It only decides the order of pivots, so it costs work, never a pair."""
+    width = (1 << _SKETCH_BITS) // _CHUNKS
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "id", "n", "g", "signature"]
-        counts = np.zeros(1 << _SKETCH_BITS, dtype=np.int64)
-        seen: set[int] = set()
+        total: dict[int, np.ndarray] = {}
+        unpacker = zstandard.ZstdDecompressor()
         for batch in batches:
-            n, g, marks = [], [], []
-            for _, s in shingle_sets(batch.column(1), size):
-                n.append(len(s))
-                g.append(set_key(s))
-                marks.append(signature(s) if len(s) else b"")
-                if g[-1] not in seen:
-                    if len(seen) < 1 << 20:
-                        seen.add(g[-1])
-                    np.add.at(counts, (s >> U64(64 - _SKETCH_BITS)).astype(np.int64), 1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int64)), batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(g, pa.int64()), pa.array(marks, pa.binary())], names=names)
-        mean = counts.mean()
-        often = np.flatnonzero(counts > mean + 3 * np.sqrt(mean) + 1)
-        if len(often):
-            few = _batch(names[:4], np.ones(len(often), np.int64), often, counts[often], np.zeros(len(often), np.int64))
-            yield pa.RecordBatch.from_arrays([*few.columns, pa.nulls(len(often), pa.binary())], names=names)
-
-    return documents.mapInArrow(task, "kind long, id long, n long, g long, signature binary")
+            for chunk, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = np.frombuffer(unpacker.decompress(packed), np.uint16)
+                total[chunk] = total[chunk] + own if chunk in total else own.astype(np.int64)
+        for chunk, counts in total.items():
+            usual = np.median(counts)
+            often = np.flatnonzero(counts > usual + 4 * np.sqrt(usual) + 2)
+            yield _batch(["bucket", "n"], chunk * width + often, counts[often])
+
+    sums = told.where("kind = 1").select(F.col("id").alias("chunk"), "counts").repartition(min(_CHUNKS, shuffle_partitions(told.sparkSession)), "chunk")
+    sketch = np.zeros(1 << _SKETCH_BITS, dtype=np.uint16)
+    for x in sums.mapInArrow(released(task), "bucket long, n long").toLocalIterator():
+        sketch[x.bucket] = min(x.n, 65535)
+    return sketch
 
 
 def needed(n, percent: int):
@@ -132,32 +202,28 @@ def _cells(documents: DataFrame, size: int, percent: int, sketch: np.ndarray) ->
     held = documents.sparkSession.sparkContext.broadcast(sketch)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = held.value
-        seen: set[int] = set()
+        sketch, seen = held.value, Seen()
         x, g, n, rows = [], [], [], 0
         for batch in batches:
-            for _, s in shingle_sets(batch.column(0), size):
-                if not len(s):
-                    continue
-                key = set_key(s)
-                if key in seen:
-                    continue
-                if len(seen) < 1 << 20:
-                    seen.add(key)
-                most = len(s) - needed(len(s), percent) + 1
-                weight = sketch[(s >> U64(64 - _SKETCH_BITS)).astype(np.int64)]
-                first = s[:most] if not weight.any() else s[np.lexsort((s, weight))[:most]]
-                x.append(first)
-                g.append(np.full(most, key))
-                n.append((len(s) << 32) + np.arange(most))
-                rows += most
+            for _, _, sets in shingle_runs(batch.column(0), size):
+                sets = [s for s in sets if len(s)]
+                keys = np.fromiter(map(set_key, sets), np.int64, len(sets))
+                for i in np.flatnonzero(seen.first(keys)):
+                    s = sets[i]
+                    most = len(s) - needed(len(s), percent) + 1
+                    weight = sketch[(s >> U64(64 - _SKETCH_BITS)).astype(np.int64)]
+                    first = s[:most] if not weight.any() else s[np.lexsort((s, weight))[:most]]
+                    x.append(first)
+                    g.append(np.full(most, keys[i]))
+                    n.append((len(s) << 32) + np.arange(most))
+                    rows += most
                 if rows > 1 << 16:
                     yield _batch(["x", "g", "n"], np.concatenate(x).view(np.int64), np.concatenate(g), np.concatenate(n))
                     x, g, n, rows = [], [], [], 0
         if rows:
             yield _batch(["x", "g", "n"], np.concatenate(x).view(np.int64), np.concatenate(g), np.concatenate(n))
 
-    return documents.mapInArrow(task, "x long, g long, n long")
+    return documents.mapInArrow(released(task), "x long, g long, n long")
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,55 +252,71 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(documents: DataFrame, classes: DataFrame, size: int) -> DataFrame:
-    """(g, s): the sets, as bytes, of the classes (id, g), taken from the document with that id."""
+    """(g, n, s, mark): the sets, as bytes, of the classes (id, g), taken from the document with that
+    id, and the long signatures of large ones."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wanted = batch.column(1).to_pylist()
-            g, s, held = [], [], 0
+            rows, held = [], 0
+
+            def flush() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["g", "n", "s", "mark"])  # noqa: B023
+
             for i, x in shingle_sets(batch.column(0), size):
                 if set_key(x) == wanted[i]:
-                    g.append(wanted[i])
-                    s.append(x.tobytes())
-                    held += len(s[-1])
+                    rows.append((wanted[i], len(x), x.tobytes(), long_signature(x) if len(x) > LARGE else None))
+                    held += x.nbytes
                 if held > 8 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(s, pa.binary())], names=["g", "s"])
-                    g, s, held = [], [], 0
-            if g:
-                yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(s, pa.binary())], names=["g", "s"])
+                    yield flush()
+                    rows, held = [], 0
+            if rows:
+                yield flush()
+
+    return documents.join(classes.withColumnRenamed("id", "_id"), F.col("_id") == F.col("id")).select("text", "g").mapInArrow(released(task), "g long, n long, s binary, mark binary")
 
-    return documents.join(classes.withColumnRenamed("id", "_id"), F.col("_id") == F.col("id")).select("text", "g").mapInArrow(task, "g long, s binary")
+
+def _near_enough(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that their long signatures leave possible; all pairs with a small set."""
+    own = lambda c: sets.select(F.col("g").alias(c), F.col("n").alias(f"n{c}"), F.col("mark").alias(f"m{c}"))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, na, nb, ma, mb = (c.to_pylist() for c in batch.columns)
+            fits = [x is None or y is None or (100 + percent) * long_difference(x, y) <= (100 - percent) * (i + j) for i, j, x, y in zip(na, nb, ma, mb, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(fits, pa.bool_()))
+
+    return pairs.join(own("a"), "a").join(own("b"), "b").select("a", "b", "na", "nb", "ma", "mb").mapInArrow(task, "a long, b long")
 
 
 def _plausible(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
     """(a, b, ok, low) of the pairs (a, b, na, nb): whether their signatures leave it possible that
     they link, and a lower bound of their distance."""
     own = lambda c: signatures.select(F.col("g").alias(c), F.col("signature").alias(f"s{c}"))
+    differ, both = least_difference(F.col("sa"), F.col("sb")), F.col("na") + F.col("nb")
+    rows = pairs.join(own("a"), "a").join(own("b"), "b").select("a", "b", both.alias("both"), differ.alias("differ"))
+    return rows.select("a", "b", can_link(F.col("differ"), F.col("both"), percent).alias("ok"), (2 * F.col("differ") / (F.col("both") + F.col("differ"))).alias("low"))
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, na, nb, sa, sb = (c.to_pylist() for c in batch.columns)
-            differ = np.array([least_difference(x, y) for x, y in zip(sa, sb, strict=True)], dtype=np.int64)
-            both = np.array(na, dtype=np.int64) + np.array(nb, dtype=np.int64)
-            # J >= t means a symmetric difference of (1 - t) / (1 + t) of both sizes at most
-            ok = (100 + percent) * differ <= (100 - percent) * both
-            low = 2 * differ / np.maximum(both + differ, 1)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(ok), pa.array(low)], names=["a", "b", "ok", "low"])
 
-    return pairs.join(own("a"), "a").join(own("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(task, "a long, b long, ok boolean, low double")
+def can_link(differ: Column, both: Column, percent: int) -> Column:
+    """J >= t means a symmetric difference of (1 - t) / (1 + t) of both sizes at most."""
+    return (100 + percent) * differ <= (100 - percent) * both
 
 
 def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, k, u): the sizes of intersection and union of the pairs (a, b). Each pair brings the
-    set of b to where the set of a is."""
-    sent = pairs.join(sets, F.col("b") == F.col("g")).select("a", "b", "s")
-    own = pairs.select("a").distinct().join(sets, F.col("a") == F.col("g")).select("a", F.lit(None).cast("long").alias("b"), "s")
+    set of b to where the set of a is; a set with many pairs is at several places."""
+    places = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_A_PLACE).alias("m"))
+    pairs = pairs.join(places, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("m")).alias("place"))
+    sets = sets.select("g", "s")
+    sent = pairs.join(sets, F.col("b") == F.col("g")).select("a", "b", "place", "s")
+    own = places.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("place")).join(sets, F.col("a") == F.col("g")).select("a", F.lit(None).cast("long").alias("b"), "place", "s")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, mine = None, np.zeros(0, U64)
         for batch in batches:
             out = []
-            sets_ = batch.column(2)
+            sets_ = batch.column(3)
             for i, (a, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 s = np.frombuffer(sets_[i].as_buffer(), dtype=U64)
                 if b is None:
@@ -248,8 +330,8 @@ def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             if out:
                 yield _batch(["a", "b", "k", "u"], *map(list, zip(*out, strict=True)))
 
-    rows = sent.unionByName(own).repartition(shuffle_partitions(pairs.sparkSession), "a")
-    return rows.sortWithinPartitions("a", F.asc_nulls_first("b")).mapInArrow(task, "a long, b long, k long, u long")
+    rows = sent.unionByName(own).repartition(shuffle_partitions(pairs.sparkSession), "a", "place")
+    return rows.sortWithinPartitions("a", "place", F.asc_nulls_first("b")).mapInArrow(released(task), "a long, b long, k long, u long")
 
 
 def similar_documents(documents: DataFrame, scratch: Scratch, size: int = 5, percent: int = 75, id_col: str = "doc_id", text: str = "text", small: int = 48, rounds: int = 4, few: int = 500_000) -> DataFrame:
@@ -259,9 +341,7 @@ def similar_documents(documents: DataFrame, scratch: Scratch, size: int = 5, per
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     told = scratch.table(_describe(docs, size), "documents")
     rows = told.where("kind = 0").select("id", "n", "g")
-    sketch = np.zeros(1 << _SKETCH_BITS, dtype=np.int32)
-    for x in told.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).toLocalIterator():  # as many rows as the sketch has buckets at most
-        sketch[x.id] = min(x.n, 2**31 - 1)
+    sketch = sketch_of(told)
     cells = _cells(docs.where("id IS NOT NULL").select("text"), size, percent, sketch)
     cells = cells.repartition(shuffle_partitions(spark), "x").sortWithinPartitions("x", "g").mapInArrow(_shared, "x long, g long, n long")
     cells = cells.select("x", "g", F.shiftright("n", 32).alias("n"), F.col("n").bitwiseAND(F.lit((1 << 32) - 1)).alias("pos"))
@@ -301,7 +381,7 @@ def similar_documents(documents: DataFrame, scratch: Scratch, size: int = 5, per
         if wanted.count() <= few:  # 16 bytes each; beyond that, a shuffled join
             wanted = F.broadcast(wanted)
         sets = scratch.table(_sets(docs, wanted, size), f"{name}-sets")
-        got = scratch.table(_overlaps(maybe, sets).distinct(), name)
+        got = scratch.table(_overlaps(_near_enough(maybe, sets, percent), sets).distinct(), name)
         scratch.drop(f"{name}-sets")
         ready = ready.unionByName(got)
         good = got.where(F.col("k") * 100 >= F.col("u") * percent).select("a", "b")
@@ -326,7 +406,7 @@ def similar_documents(documents: DataFrame, scratch: Scratch, size: int = 5, per
         pair = bounds.join(pair, ["_a", "_b"], "full")
         left = left.withColumn("_a", F.least("g", "p")).withColumn("_b", F.greatest("g", "p")).join(pair, ["_a", "_b"], "left").drop("_a", "_b")
         # Sets that are not measured are at least as far as their signatures and sizes say.
-        left = scratch.table(left.withColumn("far", F.col("d").isNull() & (F.col("g") != F.col("p"))).withColumn("d", F.when(F.col("g") == F.col("p"), 0.0).otherwise(F.coalesce("d", F.greatest(1 - F.least("n", "np") / F.greatest("n", "np"), F.coalesce("low", F.lit(0.0)))))).drop("low"), f"left-{i}")
+        left = scratch.table(left.withColumn("far", F.col("d").isNull() & (F.col("g") != F.col("p"))).withColumn("d", F.when(F.col("g") == F.col("p"), 0.0).otherwise(F.coalesce("d", F.greatest(1 - F.least("n", "np") / F.greatest("n", "np"), F.coalesce("low", F.lit(0.0)))))).drop("low").join(signatures, "g"), f"left-{i}")
         if left.isEmpty():
             break
         a, b = left.alias("a"), left.alias("b")
@@ -335,16 +415,17 @@ def similar_documents(documents: DataFrame, scratch: Scratch, size: int = 5, per
         fits = reach(F.col("a.n"), F.col("a.pos"), F.col("b.n"), F.col("b.pos"))
         # Two sets within the threshold differ by it at most in their distance to the pivot.
         window = F.when(F.col("a.far") & F.col("b.far"), F.lit(True)).when(F.col("a.far"), F.col("a.d") - F.col("b.d") <= eps).when(F.col("b.far"), F.col("b.d") - F.col("a.d") <= eps).otherwise(F.abs(F.col("a.d") - F.col("b.d")) <= eps)
-        each = a.join(b, (F.col("a.x") == F.col("b.x")) & fits & small_cell & window & (F.col("a.g") < F.col("b.g")) & (F.col("a.c") != F.col("b.c")))
+        fits &= can_link(least_difference(F.col("a.signature"), F.col("b.signature")), F.col("a.n") + F.col("b.n"), percent)
+        each = a.join(b, (F.col("a.x") == F.col("b.x")) & small_cell & window & (F.col("a.g") < F.col("b.g")) & (F.col("a.c") != F.col("b.c")) & fits)
         # Of large cells: an outer set against the pivot's component, inside that window.
-        cross = a.where("c <> cp").alias("a").join(b.where("c = cp").alias("b"), (F.col("a.x") == F.col("b.x")) & fits & ~small_cell & window)
+        cross = a.where("c <> cp").alias("a").join(b.where("c = cp").alias("b"), (F.col("a.x") == F.col("b.x")) & ~small_cell & window & fits)
         both = [F.col("a.g").alias("a"), F.col("b.g").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb")]
         pairs = each.select(*both).unionByName(cross.select(*both))
         verify(pairs, f"rest-{i}")
         if last:
             break
-        w = Window.partitionBy("x")
-        again = left.where(F.col("m") > small).where("c <> cp").select("x", "g", "n", "pos").withColumn("m", F.count("*").over(w)).where("m > 1")
+        again = left.where(F.col("m") > small).where("c <> cp").select("x", "g", "n", "pos")
+        again = again.join(again.groupBy("x").agg(F.count("*").alias("m")).where("m > 1"), "x")
         i += 1
         open_ = scratch.table(again, f"open-{i}")
         if open_.isEmpty():

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from strandloom.llm.common import Scratch
-from strandloom.llm.ngram_join import least_difference, signature, similar_documents
+from strandloom.llm.ngram_join import long_difference, long_signature, least_difference, signature, similar_documents
 
 
 def brute(rows, percent=75):
@@ -71,12 +71,18 @@ def test_against_all_pairs(spark, small):
     assert sorted(map(tuple, got), key=key) == sorted(brute(rows), key=key)
 
 
-def test_signatures_bound_the_difference():
+def test_signatures_bound_the_difference(spark):
     rng = np.random.default_rng(1)
-    for n in (1, 20, 300):
+    rows = []
+    for n in (1, 20, 300, 3000):
         a = rng.integers(0, 2**63, n).astype(np.uint64)
         b = np.concatenate([a[: n // 2], rng.integers(0, 2**63, rng.integers(0, n + 1)).astype(np.uint64)])
-        assert least_difference(signature(a), signature(b)) <= len(set(a) ^ set(b))
+        differ = len(set(a) ^ set(b))
+        assert long_difference(long_signature(a), long_signature(b)) <= differ
+        rows.append((signature(a).tolist(), signature(b).tolist(), differ))
+    df = spark.createDataFrame(rows, "a array<long>, b array<long>, differ long")
+    for x in df.select(least_difference(df.a, df.b).alias("low"), "differ").collect():
+        assert x.differ * 0.2 < x.low <= x.differ or x.differ > 1000 > x.low
 
 
 def test_empty_table(spark):
