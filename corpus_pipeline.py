@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import Scratch
+from strandloom.llm.common import Scratch, own_prefix
 from strandloom.llm.language_id import UNDETERMINED, fold_of, identify, train
 from strandloom.llm.ngram_join import similar_documents
 from strandloom.llm.packing import best_fit_packing
@@ -28,7 +28,8 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     found = similar_documents(docs, Scratch(spark, "near"))
     first = found.where("id = component").select(F.col("id").alias("doc_id")).distinct()
     kept = docs.join(first, "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL"))
-    return kept.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).select(*docs.columns)
+    key = f"{own_prefix(docs.columns)}text"
+    return kept.withColumn(key, F.xxhash64("text")).dropDuplicates(["doc_id", key]).select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +50,8 @@ STAGES = [
     ("best_fit_packing", packed),
 ]
 
-#: SQL cannot express suffix automata, or best-fit packing; tests/llm compares with brute force.
+#: SQL cannot express suffix automata, or best-fit packing; tests/llm/test_pipeline.py compares each
+#: stage with brute force.
 ORACLE_SQL = None
 
 
