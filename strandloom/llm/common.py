@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -50,6 +50,14 @@ def bounded_batches(spark: SparkSession, most: int = 4 << 20) -> None:
         spark.conf.set(key, str(most))
 
 
+def own_prefix(columns: list[str]) -> str:
+    """What names of internal columns begin with, so that none is among ``columns``."""
+    prefix = "_"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
+
+
 class Scratch:
     """Tables of one operator call, written under the shared folder. They cut the lineage: a lost
     executor costs the tasks that it ran, never the steps before a table. What is still there when
@@ -63,9 +71,15 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
+    def table(self, df: DataFrame, name: str, **measures: Column) -> DataFrame:
+        """``df`` as a table. ``measures`` are aggregates of its rows, taken as they are written and
+        found in ``.measured`` of the result."""
+        seen = Observation() if measures else None
+        rows = df.observe(seen, *[c.alias(n) for n, c in measures.items()]) if seen is not None else df
+        rows.write.mode("overwrite").parquet(self.path(name))
+        out = self.spark.read.schema(df.schema).parquet(self.path(name))
+        out.measured = seen.get if seen is not None else {}
+        return out
 
     def drop(self, name: str) -> None:
         self._delete(self.path(name))
@@ -262,12 +276,10 @@ def connected_components(scratch: Scratch, edges: DataFrame, name: str, most: in
     star), until nothing changes: about log(nodes) rounds. Each round is two aggregations over the
     edges, cut by a table; a hot node only has one row for each of its edges, and a minimum for
     them, so nothing is gathered into a list."""
-    spark = scratch.spark
     both = lambda e: e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    e = scratch.table(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-0")
-    state = lambda e: tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
-    was = state(e)
-    done = not was[0]
+    state = {"n": F.count(F.lit(1)), "h": F.bit_xor(F.xxhash64("a", "b"))}  # equal for equal tables
+    e = scratch.table(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-0", **state)
+    done = not e.measured["n"]
     for i in range(1, most + 1):
         if done:
             break
@@ -278,9 +290,8 @@ def connected_components(scratch: Scratch, edges: DataFrame, name: str, most: in
         # small star: u and its smaller neighbours go to the smallest of them
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(low, "b").select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("b").alias("b")), F.struct(F.col("m").alias("a"), F.col("a").alias("b")))).alias("x")).select("x.a", "x.b").where("a <> b").distinct()
-        new = scratch.table(small, f"{name}-{i}")
-        now = state(new)
-        done, was = now == was, now
+        new = scratch.table(small, f"{name}-{i}", **state)
+        done = new.measured == e.measured
         scratch.drop(f"{name}-{i - 1}")
         e = new
     if not done:

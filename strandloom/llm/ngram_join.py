@@ -371,22 +371,25 @@ def similar_documents(documents: DataFrame, scratch: Scratch, size: int = 5, per
         either = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
         fresh = pairs.where(near).select(either("a", "b").alias("a"), either("b", "a").alias("b"), either("na", "nb").alias("na"), either("nb", "na").alias("nb")).distinct()
         fresh = fresh.join(ready, ["a", "b"], "left_anti")
-        compared = scratch.table(_plausible(fresh, signatures, percent), f"{name}-compared")
-        if pivots:
+        rows = {"n": F.count(F.lit(1))}
+        if pivots:  # of other pairs, signatures were compared where they met
+            compared = scratch.table(_plausible(fresh, signatures, percent), f"{name}-compared", n=F.count_if("ok"))
             bounds = compared.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "low")
-        maybe = compared.where("ok").select("a", "b")
-        if maybe.isEmpty():
+            maybe = compared.where("ok").select("a", "b")
+        else:
+            compared = maybe = scratch.table(fresh.select("a", "b"), f"{name}-compared", **rows)
+        if not compared.measured["n"]:
             return
-        wanted = scratch.table(maybe.select(F.explode(F.array("a", "b")).alias("g")).distinct().join(classes, "g"), f"{name}-wanted")
-        if wanted.count() <= few:  # 16 bytes each; beyond that, a shuffled join
+        wanted = scratch.table(maybe.select(F.explode(F.array("a", "b")).alias("g")).distinct().join(classes, "g"), f"{name}-wanted", **rows)
+        if wanted.measured["n"] <= few:  # 16 bytes each; beyond that, a shuffled join
             wanted = F.broadcast(wanted)
         sets = scratch.table(_sets(docs, wanted, size), f"{name}-sets")
-        got = scratch.table(_overlaps(_near_enough(maybe, sets, percent), sets).distinct(), name)
+        linked = F.col("k") * 100 >= F.col("u") * percent
+        got = scratch.table(_overlaps(_near_enough(maybe, sets, percent), sets).distinct(), name, n=F.count_if(linked))
         scratch.drop(f"{name}-sets")
         ready = ready.unionByName(got)
-        good = got.where(F.col("k") * 100 >= F.col("u") * percent).select("a", "b")
-        if not good.isEmpty():
-            links, stale = links.unionByName(good), True
+        if got.measured["n"]:
+            links, stale = links.unionByName(got.where(linked).select("a", "b")), True
 
     i = 0
     while True:
@@ -406,8 +409,8 @@ def similar_documents(documents: DataFrame, scratch: Scratch, size: int = 5, per
         pair = bounds.join(pair, ["_a", "_b"], "full")
         left = left.withColumn("_a", F.least("g", "p")).withColumn("_b", F.greatest("g", "p")).join(pair, ["_a", "_b"], "left").drop("_a", "_b")
         # Sets that are not measured are at least as far as their signatures and sizes say.
-        left = scratch.table(left.withColumn("far", F.col("d").isNull() & (F.col("g") != F.col("p"))).withColumn("d", F.when(F.col("g") == F.col("p"), 0.0).otherwise(F.coalesce("d", F.greatest(1 - F.least("n", "np") / F.greatest("n", "np"), F.coalesce("low", F.lit(0.0)))))).drop("low").join(signatures, "g"), f"left-{i}")
-        if left.isEmpty():
+        left = scratch.table(left.withColumn("far", F.col("d").isNull() & (F.col("g") != F.col("p"))).withColumn("d", F.when(F.col("g") == F.col("p"), 0.0).otherwise(F.coalesce("d", F.greatest(1 - F.least("n", "np") / F.greatest("n", "np"), F.coalesce("low", F.lit(0.0)))))).drop("low").join(signatures, "g"), f"left-{i}", n=F.count(F.lit(1)))
+        if not left.measured["n"]:
             break
         a, b = left.alias("a"), left.alias("b")
         last = i + 1 >= rounds
@@ -427,8 +430,8 @@ def similar_documents(documents: DataFrame, scratch: Scratch, size: int = 5, per
         again = left.where(F.col("m") > small).where("c <> cp").select("x", "g", "n", "pos")
         again = again.join(again.groupBy("x").agg(F.count("*").alias("m")).where("m > 1"), "x")
         i += 1
-        open_ = scratch.table(again, f"open-{i}")
-        if open_.isEmpty():
+        open_ = scratch.table(again, f"open-{i}", n=F.count(F.lit(1)))
+        if not open_.measured["n"]:
             break
     if stale:
         parts = connected_components(scratch, links, "parts")
