@@ -185,13 +185,23 @@ class DeBruijnGraph:
 
     def unitig_links(self, unitigs: DataFrame) -> DataFrame:
         """(from_seq, from_sign, to_seq, to_sign): unitigs that overlap in k - 1 letters, in all
-        orientations."""
+        orientations. An overlap of fewer than three letters is an error."""
         k = self.k
+        if k < 4:
+            raise ValueError("unitigs are linked for k of 4 at least")
         both = unitigs.select("seq", F.explode(F.array(F.struct(F.lit("+").alias("sign"), F.col("seq").alias("s")), F.struct(F.lit("-").alias("sign"), revcomp(F.col("seq")).alias("s")))).alias("x")).select("seq", "x.*")
         a = both.select(F.col("seq").alias("from_seq"), F.col("sign").alias("from_sign"), F.substr("s", F.lit(-(k - 1))).alias("overlap"))
         b = both.select(F.col("seq").alias("to_seq"), F.col("sign").alias("to_sign"), F.substr("s", F.lit(1), F.lit(k - 1)).alias("overlap"))
         return a.join(b, "overlap").select("from_seq", "from_sign", "to_seq", "to_sign")
 
+    def unitig_nodes(self, unitigs: DataFrame) -> DataFrame:
+        """(first_node, last_node, n_kmers, mean, free_left, free_right) of unitigs: the oriented nodes at
+        their ends, mean abundance, and whether nothing is linked to an end."""
+        u = cut(unitigs.select("seq", "n_kmers", (F.col("kc") / F.col("n_kmers")).alias("mean")))
+        sides = self.unitig_links(u).groupBy(F.col("from_seq").alias("seq")).agg(F.count_if(F.col("from_sign") == "+").alias("r"), F.count_if(F.col("from_sign") == "-").alias("l"))
+        free = lambda c: (F.coalesce(c, F.lit(0)) == 0)
+        return u.join(sides, "seq", "left").select(F.substr("seq", F.lit(1), F.lit(self.k)).alias("first_node"), F.substr("seq", F.lit(-self.k)).alias("last_node"), "n_kmers", "mean", free("l").alias("free_left"), free("r").alias("free_right"))
+
     def branching_edges(self) -> DataFrame:
         """(source, target, distance): simple paths between oriented branching nodes; distance in
         steps."""

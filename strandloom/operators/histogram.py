@@ -24,8 +24,8 @@ def smoothed(hist: DataFrame, by: tuple[str, ...] = (), length: int = 10_000) ->
     """(by.., idx, abundance, smooth): bins 0 to ``length`` + 1, missing ones as zero, with weights .2,
     .6, .2 over neighbouring bins, cut to whole numbers. The first bin has weights .6, .4; bin 0 and the
     bins from ``length`` on are 0."""
-    bins = F.explode(F.sequence(F.lit(0), F.lit(length + 1))).cast("bigint").alias("idx")
-    every = hist.select(*by, bins).distinct() if by else hist.sparkSession.range(length + 2).select(F.col("id").alias("idx"))
+    bins = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(length + 1).cast("bigint"))).alias("idx")
+    every = hist.select(*by).distinct().select(*by, bins) if by else hist.sparkSession.range(length + 2).select(F.col("id").alias("idx"))
     rows = every.join(hist.select(*by, F.col("idx").cast("bigint").alias("idx"), "abundance"), [*by, "idx"], "left")
     rows = rows.select(*by, "idx", F.coalesce("abundance", F.lit(0)).alias("abundance"))
     w, n = Window.partitionBy(*by).orderBy("idx"), F.col("abundance").cast("double")

@@ -6,7 +6,6 @@ certain size would do, for sizing and comparison."""
 from __future__ import annotations
 
 import heapq
-import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,28 +41,6 @@ def critical_false_positives(graph, size: int, hashes: int) -> DataFrame:
     return bloom_accepts(strangers, bloom_bits(graph.nodes, size, hashes), size, hashes)
 
 
-def cascade(graph, size: int, hashes: int) -> dict[str, DataFrame]:
-    """The cascading form: filters over false positives and over nodes in turn, until what is left is
-    stored exactly. ``cfp``, ``t2`` (nodes the second filter accepts), ``t3`` (false positives the
-    third accepts), ``exact`` (nodes the fourth accepts)."""
-    cfp = critical_false_positives(graph, size, hashes)
-    nodes = graph.nodes.select("kmer")
-    t2 = bloom_accepts(nodes, bloom_bits(cfp, size, hashes), size, hashes)
-    t3 = bloom_accepts(cfp, bloom_bits(t2, size, hashes), size, hashes)
-    return {"cfp": cfp, "t2": t2, "t3": t3, "exact": bloom_accepts(t2, bloom_bits(t3, size, hashes), size, hashes)}
-
-
-def bits_per_kmer(k: int) -> float:
-    """Filter size at which filter and critical false positives together are smallest."""
-    lg2 = math.log(2)
-    return math.log(16 * k * lg2 * lg2) / (lg2 * lg2)
-
-
-def filter_size(n: int, bits: float) -> tuple[int, int]:
-    """(bits in all, hashes) for n k-mers; an empty set gets 1000 bits."""
-    return (int(n * bits) if n else 1000), max(int(0.7 * bits), 1)
-
-
 def balance(weights: dict[str, int], parts: int) -> dict[str, int]:
     """Heaviest first, each to the lightest part so far."""
     heap = [(0, p) for p in range(parts)]

@@ -12,8 +12,12 @@ from strandloom.functions import minimizers as mz
 from strandloom.operators import counting as ct
 from strandloom.operators import histogram as hg
 from strandloom.operators import membership as mb
+from strandloom.operators import reads as rs
+from strandloom.operators import simplify as sp
+from strandloom.operators import traversal as tr
 from strandloom.operators.graph import DeBruijnGraph, dense_ids, read_branching
 from strandloom.operators.iterate import checkpoint_dir, cut
+from strandloom.plans import options as opt
 from strandloom.sources import readers as rd
 from strandloom.sources import writers as wr
 
@@ -761,4 +765,194 @@ def gr_snp_bubbles(spark, sf):
     return graph(spark, sf, 21).snp_bubbles()
 
 
-from strandloom import queries_paths  # noqa: E402, F401  registers the queries of traversal, simplification and codecs
+# ---------------------------------------------------------------- stored graphs, options, neighbourhoods
+
+
+@query(f"WITH {counts_sql(21, 3)} SELECT 'kmer_size' AS key, '21' AS value UNION ALL SELECT 'kmers_nb_solid', CAST(count(*) AS VARCHAR) FROM n UNION ALL SELECT 'abundance_sum', CAST(sum(abundance) AS VARCHAR) FROM n UNION ALL SELECT 'abundance_least', CAST(min(abundance) AS VARCHAR) FROM n UNION ALL SELECT 'abundance_most', CAST(max(abundance) AS VARCHAR) FROM n UNION ALL SELECT 'cutoff', '3'")
+def gr_stored_info(spark, sf):
+    path = _files(spark, "graph")
+    DeBruijnGraph.from_reads(clean_reads(spark, sf), 21, 3).save(path, cutoff=3)
+    return DeBruijnGraph.info(spark, path)
+
+
+@query(f"WITH {counts_sql(21, 3)} SELECT kmer, abundance FROM n")
+def gr_load(spark, sf):
+    path = _files(spark, "graph")
+    DeBruijnGraph.from_reads(clean_reads(spark, sf), 21, 3).save(path)
+    return DeBruijnGraph.load(spark, path).nodes
+
+
+@query(f"WITH {banks_sql(9)} SELECT kmer, CAST(c0 + c1 + c2 + c3 AS BIGINT) AS abundance FROM n WHERE c0 >= 1 AND c1 >= 2 AND c2 >= 2 AND c3 >= 2")
+def gr_from_options(spark, sf):
+    return opt.build(clean_reads(spark, sf), opt.parse("-kmer-size 9 -abundance-min 1,2 -solidity-kind all"), bank="lang").nodes
+
+
+@query(f"WITH RECURSIVE {counts_sql(31, 3)}, {degrees_sql(31)}, u AS (SELECT DISTINCT {canon_sql('source')} AS a, {canon_sql('target')} AS b FROM e), w AS (SELECT kmer, 0 AS level FROM deg WHERE NOT (indegree = 1 AND outdegree = 1) UNION SELECT u.b, w.level + 1 FROM w JOIN u ON u.a = w.kmer WHERE w.level < 3) SELECT kmer, min(level) AS level FROM w GROUP BY kmer")
+def gr_levels_around_branching(spark, sf):
+    g = graph(spark, sf, 31)
+    return g.around(g.branching().select("kmer"), 3)
+
+
+@query(f"WITH RECURSIVE {counts_sql(31, 3)}, {degrees_sql(31)}, br AS (SELECT kmer FROM deg WHERE NOT (indegree = 1 AND outdegree = 1)), wk AS (SELECT e.source, e.target AS o, 1 AS len FROM e WHERE {canon_sql('e.source')} IN (SELECT kmer FROM br) UNION ALL SELECT wk.source, e.target, wk.len + 1 FROM wk JOIN e ON e.source = wk.o WHERE {canon_sql('wk.o')} NOT IN (SELECT kmer FROM br)), p AS (SELECT {canon_sql('source')} AS a, {canon_sql('o')} AS b, len FROM wk WHERE {canon_sql('o')} IN (SELECT kmer FROM br)), c AS (SELECT kmer, kmer AS root FROM br UNION SELECT p.b, c.root FROM c JOIN p ON p.a = c.kmer), m AS (SELECT kmer, min(root) AS component FROM c GROUP BY kmer) SELECT component, count(DISTINCT kmer) AS nodes, CAST(min(len) AS BIGINT) AS shortest, CAST(max(len) AS BIGINT) AS longest FROM m LEFT JOIN p ON p.a = m.kmer GROUP BY component")
+def gr_branching_classes(spark, sf):
+    return graph(spark, sf, 31).branching_classes()
+
+
+# ---------------------------------------------------------------- unitig files and unitigs as nodes
+
+
+def _numbered(spark, sf, k: int):
+    """(unitigs with ids from 0 in the order of their texts, links by id)."""
+    g = graph(spark, sf, k)
+    u = cut(g.unitigs().select("seq", "n_kmers", "kc"))
+    ids = dense_ids(u.select(F.col("seq").alias("kmer")), 8).withColumnRenamed("kmer", "seq")
+    u = cut(u.join(ids, "seq"))
+    ids = u.select("id", "seq")
+    links = g.unitig_links(u.select("seq"))
+    links = links.join(ids.withColumnsRenamed({"id": "from_id", "seq": "from_seq"}), "from_seq").join(ids.withColumnsRenamed({"id": "to_id", "seq": "to_seq"}), "to_seq")
+    return u, cut(links)
+
+
+#: Unitigs (seq, n_kmers, mean) and their links (a, sign, b) in SQL.
+def unitigs_sql(k: int) -> str:
+    return f"""{counts_sql(k, 3)}, {edges_sql(k)}, {_WALK}, um AS (SELECT seq, {canon_sql(f'substr(seq, i, {k})')} AS kmer FROM (SELECT seq, unnest(range(1, length(seq) - {k - 2})) AS i FROM un)),
+u AS (SELECT seq, count(*) AS n_kmers, CAST(sum(abundance) AS BIGINT) AS kc, CAST(sum(abundance) AS BIGINT) / count(*) AS mean FROM um JOIN n USING (kmer) GROUP BY seq),
+ub AS (SELECT seq, '+' AS sign, seq AS s FROM u UNION ALL SELECT seq, '-', {rc_sql('seq')} FROM u), ul AS (SELECT x.seq AS a, x.sign, y.seq AS b FROM ub x JOIN ub y ON substr(x.s, -{k - 1}) = substr(y.s, 1, {k - 1})),
+us AS (SELECT u.*, (SELECT count(*) FROM ul WHERE a = u.seq AND sign = '+') AS r, (SELECT count(*) FROM ul WHERE a = u.seq AND sign = '-') AS l, (SELECT avg(v.mean) FROM ul JOIN u v ON v.seq = ul.b WHERE ul.a = u.seq AND ul.a <> ul.b) AS around FROM u)"""
+
+
+@query(f"WITH RECURSIVE {unitigs_sql(21)} SELECT row_number() OVER (ORDER BY seq) - 1 AS id, translate(seq, '0123', 'ACTG') AS seq, CAST(length(seq) AS BIGINT) AS ln, kc, r + l AS links FROM us")
+def src_unitigs_fasta(spark, sf):
+    path = _files(spark, "unitigs")
+    wr.unitig_lines(*_numbered(spark, sf, 21)).write.text(path)
+    return rd.unitigs_fasta(spark, path).select("id", "seq", "ln", "kc", F.size("links").cast("bigint").alias("links"))
+
+
+@query(f"WITH RECURSIVE {unitigs_sql(21)} SELECT translate(seq, '0123', 'ACTG') AS seq, r + l AS links FROM us")
+def src_unitigs_gfa(spark, sf):
+    path = _files(spark, "gfa")
+    wr.gfa_lines(*_numbered(spark, sf, 21), 21).write.text(path)
+    segments, links = rd.unitigs_gfa(spark, path)
+    n = links.groupBy(F.col("from_id").alias("id")).agg(F.count("*").alias("links"))
+    return segments.join(n, "id", "left").select("seq", F.coalesce("links", F.lit(0)).alias("links"))
+
+
+@query(f"WITH RECURSIVE {unitigs_sql(21)} SELECT substr(seq, 1, 21) AS first_node, substr(seq, -21) AS last_node, n_kmers, round(mean, 6) AS mean, l = 0 AS free_left, r = 0 AS free_right FROM us")
+def un_nodes(spark, sf):
+    g = graph(spark, sf, 21)
+    return g.unitig_nodes(g.unitigs()).withColumn("mean", F.round("mean", 6))
+
+
+@query(f"WITH {READS} SELECT CAST(CASE lang WHEN 'de' THEN 0 WHEN 'en' THEN 1 WHEN 'es' THEN 2 ELSE 3 END AS INTEGER) AS bank_id, count(*) AS reads, CAST(sum(length(d)) AS BIGINT) AS total_nt FROM r GROUP BY 1")
+def src_album(spark, sf):
+    """A FASTA file a language, named by an album."""
+    path = _files(spark, "album")
+    rows = _lettered(spark, sf)
+    for b in BANKS:
+        wr.write_fasta(rows.where(F.col("comment").endswith(f" {b}")), f"{path}/{b}.fa")
+    wr.write_album(spark, [f"{b}.fa" for b in BANKS], f"{path}/album.txt")
+    return rd.album(spark, f"{path}/album.txt").groupBy("bank_id").agg(F.count("*").alias("reads"), F.sum(F.length("seq")).alias("total_nt"))
+
+
+@query(f"WITH {_SUPER}, per AS (SELECT read_id, count(*) AS runs FROM s GROUP BY read_id) SELECT CAST(count(*) AS BIGINT) AS reads, round(avg(runs), 6) AS mean, round(var_pop(runs), 6) AS variance FROM per")
+def ag_superkmers_statistics(spark, sf):
+    runs = mz.superkmers(fixed_reads(spark, sf), 15, 5).groupBy("read_id").agg(F.count("*").alias("runs"))
+    return runs.agg(F.count("*").alias("reads"), F.round(F.avg("runs"), 6).alias("mean"), F.round(F.var_pop("runs"), 6).alias("variance"))
+
+
+@query(f"WITH {banks_sql(15)} SELECT kmer FROM n WHERE c1 + c3 BETWEEN 3 AND 1000")
+def ag_solid_selected_sum(spark, sf):
+    return _banks(spark, sf).where(ct.solid("sum", [(3, 1000)], 4, select=[1, 3])).select("kmer")
+
+
+@query(f"WITH {counts_sql(41)} SELECT CAST(sum(list_reduce(list_transform(range(10, 42), lambda i: CAST(substr(kmer, i, 1) AS HUGEINT)), lambda a, b: a * 4 + b)) % 18446744073709551616 AS VARCHAR) AS checksum FROM n")
+def ag_checksum_k41(spark, sf):
+    return ct.checksum(ct.count_kmers(clean_reads(spark, sf), 41))
+
+
+# ---------------------------------------------------------------- simplification
+
+
+@query(f"WITH RECURSIVE {unitigs_sql(21)} SELECT seq FROM us WHERE (l = 0) <> (r = 0) AND around IS NOT NULL AND (n_kmers <= 2.5 * 21 OR (n_kmers <= 10 * 21 AND around >= 2 * mean))")
+def sp_tips(spark, sf):
+    return sp.doomed_tips(graph(spark, sf, 21), sp.Limits())
+
+
+@query(f"WITH RECURSIVE {unitigs_sql(21)}, en AS (SELECT *, least(substr(seq, 1, 20) || substr(seq, -20), {rc_sql('substr(seq, -20)')} || {rc_sql('substr(seq, 1, 20)')}) AS ends FROM us WHERE l > 0 AND r > 0 AND n_kmers <= 3 * 21 + 100), bs AS (SELECT *, first_value(seq) OVER w AS best, first_value(n_kmers) OVER w AS best_n FROM en WINDOW w AS (PARTITION BY ends ORDER BY mean DESC, n_kmers DESC, seq DESC)) SELECT seq FROM bs WHERE seq <> best AND abs(n_kmers - best_n) <= 50")
+def sp_bulges(spark, sf):
+    return sp.doomed_bulges(graph(spark, sf, 21), sp.Limits())
+
+
+@query(f"WITH RECURSIVE {unitigs_sql(21)} SELECT seq FROM us WHERE l > 0 AND r > 0 AND n_kmers <= 9 * 21 AND around >= 4 * mean")
+def sp_connections(spark, sf):
+    return sp.doomed_connections(graph(spark, sf, 21), sp.Limits())
+
+
+@query(f"WITH RECURSIVE {unitigs_sql(21)} SELECT seq, round(mean, 6) AS mean, round(around, 6) AS around FROM us WHERE around IS NOT NULL")
+def sp_coverage(spark, sf):
+    """Mean abundance of each unitig and of what it hangs on."""
+    return sp.coverage(graph(spark, sf, 21)).select("seq", F.round("mean", 6).alias("mean"), F.round("around", 6).alias("around"))
+
+
+@query()
+def sp_simplify(spark, sf):
+    """All rounds: no SQL; tests/test_goldens.py has graphs with known results."""
+    return sp.simplify(graph(spark, sf, 31), rounds=30).nodes
+
+
+# ---------------------------------------------------------------- traversal
+
+#: Walks from every node in its canonical orientation along simple paths, and why each stops.
+_WALKS = f"""{counts_sql(31, 3)}, {edges_sql(31)}, {_WALK}, tw AS (SELECT kmer AS seed, kmer AS o, kmer AS s, 0 AS len FROM n UNION ALL SELECT tw.seed, lk.nx, tw.s || substr(lk.nx, -1), tw.len + 1 FROM tw JOIN lk ON lk.o = tw.o WHERE tw.o <> tw.seed OR tw.len = 0),
+te AS (SELECT seed, max(len) AS len, arg_max(s, len) AS text, arg_max(o, len) AS o FROM tw GROUP BY seed), ta AS (SELECT source, count(*) AS outs, min(target) AS nx FROM e GROUP BY source), ti AS (SELECT target, count(*) AS ins FROM e GROUP BY target),
+ts AS (SELECT seed, text, CASE WHEN len > 0 AND o = seed THEN 'loop' WHEN outs IS NULL THEN 'no_extension' WHEN outs > 1 THEN 'out_branching' WHEN ins > 1 THEN 'in_branching' ELSE 'mirror' END AS stop FROM te LEFT JOIN ta ON ta.source = te.o LEFT JOIN ti ON ti.target = ta.nx)"""
+
+
+def _canonical_seeds(g: DeBruijnGraph):
+    return g.nodes.select(F.col("kmer").alias("seed"))
+
+
+@query(f"WITH RECURSIVE {_WALKS} SELECT seed, text, stop FROM ts")
+def tr_unitig_walks(spark, sf):
+    g = graph(spark, sf, 31)
+    return tr.unitig_walks(tr.Paths(g), _canonical_seeds(g))
+
+
+@query(f"WITH RECURSIVE {_WALKS} SELECT stop, count(*) AS walks FROM ts GROUP BY stop")
+def tr_stop_statistics(spark, sf):
+    g = graph(spark, sf, 31)
+    return tr.stop_statistics(tr.unitig_walks(tr.Paths(g), _canonical_seeds(g)))
+
+
+@query()
+def tr_bubbles(spark, sf):
+    """No SQL: tests/test_traversal.py compares bubbles, contigs and extensions node by node."""
+    return tr.bubbles(tr.Paths(graph(spark, sf, 31)))
+
+
+@query()
+def tr_contig_walks(spark, sf):
+    g = graph(spark, sf, 31)
+    return tr.contig_walks(tr.Paths(g), g.branching().select(F.col("kmer").alias("seed"))).withColumn("bubbles", F.size("bubbles"))
+
+
+@query()
+def tr_extensions(spark, sf):
+    g = graph(spark, sf, 31)
+    return tr.extensions(tr.Paths(g), g.branching().select(F.col("kmer").alias("seed")), max_depth=300, max_nodes=50)
+
+
+# ---------------------------------------------------------------- read stores
+
+
+@query(f"WITH {counts_sql(21, 3)}, s AS (SELECT read_id, pos FROM km WHERE kmer IN (SELECT kmer FROM n)), g AS (SELECT read_id, min(pos) AS lo, max(pos) AS hi FROM s GROUP BY read_id) SELECT read_id FROM g WHERE hi - lo >= 21")
+def cp_anchorable_reads(spark, sf):
+    return rs.anchorable_reads(clean_reads(spark, sf), graph(spark, sf, 21), "read_id")
+
+
+@query(f"WITH {FIXED}, {km_sql(9, 'read_id')}, n AS (SELECT kmer, count(*) AS c FROM km GROUP BY kmer HAVING count(*) >= 3), s AS (SELECT read_id, pos FROM km WHERE kmer IN (SELECT kmer FROM n)), p AS (SELECT r.read_id, i, d FROM r, range(0, 32) t(i)), c AS (SELECT p.read_id, p.i, count(s.pos) AS cover FROM p LEFT JOIN s ON s.read_id = p.read_id AND s.pos BETWEEN p.i - 8 AND p.i GROUP BY 1, 2) SELECT read_id, string_agg(CASE WHEN cover >= 2 THEN '@' ELSE 'I' END, '' ORDER BY i) AS quality FROM c GROUP BY read_id")
+def cp_quality_smoothing(spark, sf):
+    reads = fixed_reads(spark, sf).withColumn("quality", F.lit("I" * 32))
+    rows = reads.select(F.explode(enc.canonical_kmers(F.col("d"), 9)).alias("kmer"))
+    solid = rows.groupBy("kmer").count().where("count >= 3").select("kmer")
+    return rs.smooth_quality(reads, solid, 9, 2, "read_id").select("read_id", "quality")

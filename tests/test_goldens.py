@@ -10,6 +10,7 @@ from strandloom.operators.simplify import simplify
 from strandloom.plans import options as opt
 from strandloom.sources import readers as rd
 from strandloom.sources import writers as wr
+from tests import golden_sequences as gs
 
 
 def reads(spark, *seqs):
@@ -161,3 +162,106 @@ def test_loops_that_do_not_settle(spark, monkeypatch):
     with pytest.raises(RuntimeError):
         iterate.components(path, most=1)
     assert {r.component for r in iterate.components(path).collect()} == {0}
+
+
+# ---------------------------------------------------------------- counting, minimizers, validity
+
+
+def test_checksum_of_31mers(spark):
+    r = reads(spark, "GATCGATTCTTAGCACGTCCCCCCCTACACCCAAT")
+    counts = ct.count_kmers(r, 31)
+    assert {int(x.kmer, 4) for x in counts.collect()} == {0x1CA68D1E55561150, 0x09CA68D1E5556115, 0x2729A34795558454, 0x32729A3479555845, 0x0AFEE3FFF1ED8309}
+    assert int(ct.checksum(counts).first().checksum) == 0x8B0C176C3B43D207
+
+
+DIRECT = [("AAGTGAC", p) for p in range(7, -1, -1)] + [("AACATTG", p) for p in (8, 7, 6)]
+CANONICAL = [("AAGTGAC", p) for p in range(7, 0, -1)] + [("AATGTTA", 8)] + [("AACATTG", p) for p in range(8, -1, -1)] + [("AACACAC", 8)]
+
+
+@pytest.mark.parametrize("seq, canon, want", [("ATGTCTGAAGTGACCTAACATTGCA", False, DIRECT), ("ATGTCTGAAGTGACCTAACATTGCAGTGTGTT", True, CANONICAL)])
+def test_minimizers(spark, seq, canon, want):
+    rows = reads(spark, seq).select(F.posexplode(enc.kmers(F.col("d"), 15)).alias("pos", "kmer"))
+    got = rows.orderBy("pos").select(enc.letters(mz.minimizer(F.col("kmer"), 7, canon)).alias("m"), mz.minimizer_position(F.col("kmer"), 7, canon).alias("p")).collect()
+    assert [(x.m, x.p) for x in got] == want
+    per_read = reads(spark, seq).select(F.transform(mz.kmer_minimizers(F.col("d"), 15, 7, canon), enc.letters).alias("a")).first().a
+    assert per_read == [m for m, _ in want]
+
+
+def test_validity_of_windows(spark):
+    seq = "ACGNCNTGCTAGCTATTTAGCTTTAGANAGTAGATGACGCNC"
+    got = reads(spark, seq).select(F.transform(enc.kmers(F.col("d"), 11), enc.is_valid).alias("a")).first().a
+    assert len(got) == 32 and [i for i, x in enumerate(got) if x] == [*range(6, 17), 28, 29]
+    s = ct.bank_statistics(reads(spark, seq), 11).first()
+    assert (s.kmers_nb_valid, s.kmers_nb_invalid) == (13, 19)
+
+
+def test_counts_of_kilobases(spark):
+    r = reads(spark, gs.KILOBASE_1, gs.KILOBASE_2, gs.KILOBASE_3)
+    for k, want in ((9, [2540, 151, 18, 3, 2, 0]), (11, [2667, 41, 0]), (13, [2690, 12, 0]), (15, [2691, 5, 0])):
+        n = ct.count_kmers(r, k).agg(*[F.count_if(F.col("abundance") >= i).alias(f"n{i}") for i in range(1, len(want) + 1)]).first()
+        assert list(n) == want
+
+
+def test_solidity_of_three_overlapping_banks(spark):
+    r = reads(spark, "CGCTACAGCAGCTAGTT", "GCTACAGCAGCTAGTTA", "CTACAGCAGCTAGTTAC").withColumn("bank", F.col("read_id"))
+    counts = ct.bank_counts(r, 15, "bank", [0, 1, 2]).persist()
+    for least, want in ((1, (1, 5, 5)), (2, (0, 0, 3)), (3, (0, 0, 1))):
+        assert tuple(counts.where(ct.solid(kind, [(least, 10**6)], 3)).count() for kind in ("min", "max", "sum")) == want
+
+
+#: (least, greatest): solid k-mers by min, max, sum, all, one.
+RANGES = {(1, 10**6): (1, 15, 15, 1, 15), (2, 10**6): (0, 2, 3, 0, 2), (3, 10**6): (0, 0, 1, 0, 0), (1, 1): (1, 13, 12, 0, 14), (1, 2): (1, 15, 14, 1, 15), (1, 3): (1, 15, 14, 1, 15), (2, 2): (0, 2, 2, 0, 2), (3, 3): (0, 0, 0, 0, 0), (3, 5): (0, 0, 1, 0, 0)}
+
+
+def test_solidity_table(spark):
+    r = reads(spark, "CGCTATCGCTA", "CGCTATAGTTA", "CGCTAACGCTA").withColumn("bank", F.col("read_id"))
+    counts = ct.bank_counts(r, 5, "bank", [0, 1, 2]).persist()
+    for bounds, want in RANGES.items():
+        n = counts.agg(*[F.count_if(ct.solid(kind, [bounds], 3)).alias(kind) for kind in ("min", "max", "sum", "all", "one")]).first()
+        assert tuple(n) == want, bounds
+
+
+# ---------------------------------------------------------------- graphs
+
+
+def ends_of(unitigs):
+    """A unitig has two ends, one if it is a single k-mer."""
+    return sum(1 if n == 1 else 2 for n in unitigs)
+
+
+GRAPHS = {
+    "tip": ([gs.LEFT, gs.TIP, gs.RIGHT], [7, 308, 309], 624, 617, 2),
+    "bubble": ([gs.LEFT, *[gs.BUBBLE_STRONG] * 3, gs.BUBBLE_WEAK, gs.RIGHT_OF_BUBBLE], [21, 21, 280, 312], 634, 613, 2),
+    "connection": ([*[gs.LEFT] * 5, *[gs.RIGHT] * 5, gs.TIP, *[gs.OTHER] * 5], [6, 145, 295, 308, 309], 1063, 1057, 4),
+}
+
+
+@pytest.mark.parametrize("name", GRAPHS)
+def test_simplified_graphs(spark, name):
+    seqs, sizes, before, after, ends = GRAPHS[name]
+    g = DeBruijnGraph.from_reads(reads(spark, *seqs), 21)
+    g = DeBruijnGraph(g.nodes.persist(), 21)
+    assert g.nodes.count() == before and sorted(x.n_kmers for x in g.unitigs().collect()) == sizes
+    left = simplify(g)
+    assert left.nodes.count() == after and ends_of(x.n_kmers for x in left.unitigs().collect()) == ends
+
+
+def test_neighbours_of_5mers(spark):
+    near = lambda seqs, node, out: {x[0] for x in (lambda g, o: (g.successors(o) if out else g.predecessors(o)).select(enc.letters(F.col("successor" if out else "predecessor"))))(DeBruijnGraph.from_reads(reads(spark, *seqs), 5), spark.createDataFrame([(node.translate(str.maketrans("ACTG", "0123")),)], "o string")).collect()}
+    first = ["AGGCGA", "TTGCGA", "GCGAT", "GCGAA"]
+    assert near(first, "GGCGA", True) == {"GCGAA", "GCGAT"} and near(first, "GCGAT", False) == {"GGCGA", "TGCGA"}
+    more = ["AGGCGA", "TTGCGA", "GCGAT", "CGATA", "CGATT"]
+    assert near(more, "GCGAT", True) == {"CGATA", "CGATT"} and near(more, "ATCGC", True) == {"TCGCC", "TCGCA"} and near(more, "ATCGC", False) == {"TATCG", "AATCG"}
+
+
+def test_branching_successors(spark):
+    r = reads(spark, "AGGCGCTAGGGAGAGGATGATGAAA", "AGGCGCTCGGGAGAGGATGATGAAA", "AGGCGCTTGGGAGAGGATGATGAAA")
+    e = DeBruijnGraph.from_reads(r, 7).branching_edges().select(enc.letters(F.col("source")).alias("a"), enc.letters(F.col("target")).alias("b")).collect()
+    assert [x.b for x in e if x.a == "AGGCGCT"] == ["GGGAGAG"] * 3
+
+
+def test_queried_abundance(spark):
+    r = reads(spark, *["CATTGATAGTGGACC"] * 4)
+    g = DeBruijnGraph.from_reads(r, 10)
+    got = g.abundance_of(spark.createDataFrame([("CATTGATAGT",), ("ACTATCAATG",)], "s string").select(enc.digits(F.col("s")).alias("q")), "q")
+    assert [x.abundance for x in got.collect()] == [4, 4]
