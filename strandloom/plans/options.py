@@ -55,6 +55,32 @@ def parse(text: str) -> Options:
     return replace(out, minimizer_size=min(size, out.kmer_size - 1))
 
 
+#: What each option means, by field.
+MEANINGS = {
+    "kmer_size": "letters of a k-mer",
+    "abundance_min": "smallest abundance of a solid k-mer, one for each bank or 'auto'",
+    "abundance_max": "greatest abundance of a solid k-mer",
+    "histo_max": "last bin of the histogram",
+    "solidity_kind": "sum, min, max, all, one, custom or a registered kind",
+    "solidity_custom": "for custom: a 0 or 1 for each bank",
+    "minimizer_type": "0: in order of letters, 1: rarest first",
+    "minimizer_size": "letters of a minimizer",
+    "bloom": "accepted; membership is exact",
+    "debloom": "accepted; membership is exact",
+    "debloom_impl": "accepted; membership is exact",
+    "branching_type": "accepted; branching nodes are computed when asked for",
+    "in_": "banks to read, separated by commas",
+    "out": "folder of the stored graph",
+}
+
+
+def usage() -> str:
+    """The options, their defaults and meanings, a line each."""
+    own = Options()
+    names = {f: "-" + f.rstrip("_").replace("_", "-") for f in Options.__dataclass_fields__}
+    return "\n".join(f"{names[f]:<20} {MEANINGS[f]} [{getattr(own, f)}]" for f in names)
+
+
 def build(reads: DataFrame, options: Options, d: str = "d", bank: str = "bank_id") -> DeBruijnGraph:
     """Count, find cutoffs where asked, filter by solidity. Filters and false positives only decide
     how membership is stored elsewhere; joins are exact here, so these options change nothing."""

@@ -18,6 +18,7 @@ from strandloom.operators import traversal as tr
 from strandloom.operators.graph import DeBruijnGraph, dense_ids, read_branching
 from strandloom.operators.iterate import checkpoint_dir, cut
 from strandloom.plans import options as opt
+from strandloom.plans import tools
 from strandloom.sources import readers as rd
 from strandloom.sources import writers as wr
 
@@ -787,6 +788,14 @@ def gr_from_options(spark, sf):
     return opt.build(clean_reads(spark, sf), opt.parse("-kmer-size 9 -abundance-min 1,2 -solidity-kind all"), bank="lang").nodes
 
 
+@query(f"WITH {counts_sql(21, 3)} SELECT kmer, abundance FROM n")
+def gr_tool_build(spark, sf):
+    """From FASTA files to a stored graph, by option string."""
+    path = _files(spark, "tool")
+    wr.write_fasta(_lettered(spark, sf), f"{path}/reads.fa")
+    return tools.build_graph(spark, f"-in {path}/reads.fa -kmer-size 21 -abundance-min 3 -out {path}/graph").nodes
+
+
 @query(f"WITH RECURSIVE {counts_sql(31, 3)}, {degrees_sql(31)}, u AS (SELECT DISTINCT {canon_sql('source')} AS a, {canon_sql('target')} AS b FROM e), w AS (SELECT kmer, 0 AS level FROM deg WHERE NOT (indegree = 1 AND outdegree = 1) UNION SELECT u.b, w.level + 1 FROM w JOIN u ON u.a = w.kmer WHERE w.level < 3) SELECT kmer, min(level) AS level FROM w GROUP BY kmer")
 def gr_levels_around_branching(spark, sf):
     g = graph(spark, sf, 31)

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from strandloom.functions import encoding as enc
 from strandloom.operators import counting as ct
 from strandloom.operators.graph import DeBruijnGraph
+from strandloom.plans import options as opt
+from strandloom.plans import tools
 from strandloom.sources import readers as rd
 from strandloom.streaming import counter
 
@@ -68,3 +70,14 @@ def test_counts_of_a_stream(spark, tmp_path):
     run()
     want = ct.count_kmers(spark.createDataFrame([("01230",), ("0123",), ("4440123",)], "d string"), 3)
     assert sorted(map(tuple, counter.kept_counts(spark, str(tmp_path / "out")).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_tools(spark, tmp_path):
+    rows = tools.generate_bank(spark, str(tmp_path / "a.fa"), 300, 50, 20, 2)
+    back = rd.fasta(spark, str(tmp_path / "a.fa"))
+    assert sorted(x.seq for x in back.collect()) == sorted(x.read for x in rows.collect())
+    g = tools.build_graph(spark, f"-in {tmp_path}/a.fa -kmer-size 15 -abundance-min 2 -out {tmp_path}/g")
+    info = {x.key: x.value for x in DeBruijnGraph.info(spark, str(tmp_path / "g")).collect()}
+    assert g.k == 15 and g.nodes.count() == int(info["kmers_nb_solid"]) == 286 and info["seq_number"] == "20"
+    assert tools.check_graph(spark, str(tmp_path / "g")).first().nb_solids == 286
+    assert all(f"-{x}" in opt.usage() for x in ("kmer-size", "in", "out"))
