@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.encoding import canonical, neighbours, revcomp
 from strandloom.operators.counting import checksum, count_kmers
+from strandloom.operators.histogram import discrete_class, discrete_value
 from strandloom.operators.iterate import components, cut, drop
 
 
@@ -88,9 +89,11 @@ class DeBruijnGraph:
         """The rows whose k-mer, in either orientation, is a node."""
         return kmers.join(self.nodes.select(F.col("kmer").alias("_c")), canonical(F.col(col)) == F.col("_c"), "left_semi")
 
-    def abundance_of(self, kmers: DataFrame, col: str = "kmer") -> DataFrame:
-        """The rows that are nodes, with ``abundance``."""
-        return kmers.join(self.nodes.select(F.col("kmer").alias("_c"), "abundance"), canonical(F.col(col)) == F.col("_c")).drop("_c")
+    def abundance_of(self, kmers: DataFrame, col: str = "kmer", classes: bool = False) -> DataFrame:
+        """The rows that are nodes, with ``abundance``; with ``classes``, also its class and the value that
+        stands for the class (exact up to 70)."""
+        found = kmers.join(self.nodes.select(F.col("kmer").alias("_c"), "abundance"), canonical(F.col(col)) == F.col("_c")).drop("_c")
+        return found.withColumns({"class": discrete_class(F.col("abundance")), "value": discrete_value(F.col("abundance"))}) if classes else found
 
     def neighbours_of(self, some: DataFrame) -> DataFrame:
         """Distinct neighbours of a set of nodes (column kmer)."""

@@ -19,6 +19,7 @@ from strandloom.operators.graph import DeBruijnGraph, dense_ids, read_branching
 from strandloom.operators.iterate import checkpoint_dir, cut
 from strandloom.plans import options as opt
 from strandloom.plans import tools
+from strandloom.sources import kff
 from strandloom.sources import readers as rd
 from strandloom.sources import writers as wr
 
@@ -237,6 +238,13 @@ def snk_kff_sections(spark, sf):
     return wr.kff_sections(graph(spark, sf, 21).nodes, 21)
 
 
+@query(f"WITH {counts_sql(21, 3)} SELECT kmer, abundance FROM n")
+def snk_kff_round_trip(spark, sf):
+    path = _files(spark, "kff")
+    files = cut(kff.write_kff(graph(spark, sf, 21).nodes, 21, path))
+    return kff.read_kff(files, path)
+
+
 # ---------------------------------------------------------------- iterator algebra
 
 
@@ -576,6 +584,13 @@ def jn_abundance_lookup(spark, sf):
     return g.abundance_of(asked, "q").select("read_id", F.col("pos").cast("bigint").alias("pos"), "abundance")
 
 
+@query(f"WITH {counts_sql(9, 3)}, {_THR}, c AS (SELECT kmer, abundance, max(i) AS class, max(v) AS value FROM n JOIN t ON v <= abundance GROUP BY kmer, abundance) SELECT read_id, pos, abundance, class, value FROM km JOIN c USING (kmer)")
+def gr_query_abundance(spark, sf):
+    g = graph(spark, sf, 9)
+    asked = clean_reads(spark, sf).select("read_id", F.posexplode(enc.kmers(F.col("d"), 9)).alias("pos", "q"))
+    return g.abundance_of(asked, "q", classes=True).select("read_id", F.col("pos").cast("bigint").alias("pos"), "abundance", "class", "value")
+
+
 @query(f"WITH {counts_sql(21, 3)}, {degrees_sql(21)}, h AS (SELECT read_id, count(*) AS c FROM km WHERE kmer IN (SELECT kmer FROM deg WHERE NOT (indegree = 1 AND outdegree = 1)) GROUP BY read_id) SELECT coalesce(c, 0) AS n_branching, count(*) AS n_reads FROM r LEFT JOIN h USING (read_id) GROUP BY 1")
 def jn_reads_branching(spark, sf):
     return read_branching(graph(spark, sf, 21), clean_reads(spark, sf), "read_id", enc.canonical_kmers(F.col("d"), 21))
