@@ -6,6 +6,7 @@ import textwrap
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from strandloom.llm import hilbert_ann, html_text, language_id, lattice_dedup, license_scan, maxent_lm, warc
@@ -204,6 +205,54 @@ def test_language_model_base(spark):
         assert x.score < 0
 
 
+def test_language_model_is_a_distribution(spark):
+    """In any context, the probabilities of all known words and of one unknown word a member make one."""
+    rng = random.Random(4)
+    vocabulary = [f"{rng.choice('abcdefgh')}{i}{rng.choice(['en', 'er', 'ing', 'st', 'x'])}" for i in range(400)]
+    texts = [" ".join(rng.choices(vocabulary, weights=[1 / (i + 1) for i in range(400)], k=80)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counts = Scratch(spark, "t").table(maxent_lm.count_words(docs), "c")
+    model, n, v = maxent_lm.train(docs, counts, head=200)
+    known = sorted({w for t in texts for w in t.split()})
+    ends = [f"{'q' * 9}{i}{t}" for i in range(300) for t in ("en", "er", "ng", "st")]  # words never seen
+
+    def log10(context, words):
+        t = maxent_lm.tokens_of(*maxent_lm_buffers([f"{context} {w}" for w in words]))
+        leaf, _, p_class, _, p_member = model.predict(t)
+        at = np.flatnonzero(np.diff(t.doc, append=len(words)) != 0) - 1  # the last word of each text
+        return leaf[at], np.log10(p_class[at, leaf[at] // 16].astype(float) * p_member[at, leaf[at] % 16])
+
+    c = Counter(w for t in texts for w in t.split())
+    for context in ("", known[0], f"{known[3]} {known[7]}"):
+        leaf, lp = log10(context, known)
+        total = sum(10 ** (p - model.log_share[m]) * (c[w] + 1) for w, m, p in zip(known, leaf, lp, strict=True))
+        t = maxent_lm.tokens_of(*maxent_lm_buffers([context]))  # the end token
+        leaf, _, p_class, _, p_member = model.predict(t)
+        total += float(p_class[-1, leaf[-1] // 16] * p_member[-1, leaf[-1] % 16]) * (len(texts) + 1) / 10 ** model.log_share[0]
+        # members keep one share for words never seen; those without any known word are such a share alone
+        q = maxent_lm.tokens_of(*maxent_lm_buffers([f"{context} {w}" for w in ends]))
+        leaf, _, p_class, _, p_member = model.predict(q)
+        at = np.flatnonzero(np.diff(q.doc, append=len(ends)) != 0) - 1
+        every = (p_class[at[0]][:, None] * model.softmax(model.log_member, member_rows(model, q, at[0]))).reshape(-1)
+        total += sum(every[m] / 10 ** model.log_share[m] for m in range(maxent_lm.HEADS, maxent_lm.LEAVES))
+        total += sum(every[m] for m in range(1, maxent_lm.HEADS) if 10 ** model.log_share[m] <= 1.0)
+        assert abs(total - 1) < 1e-3, (context, total)
+    scored = maxent_lm.score(docs, model, counts, n, v, ["doc_id"])
+    assert scored.where("score <= base_score").count() < 30  # it learns
+
+
+def maxent_lm_buffers(texts):
+    from strandloom.llm.common import text_buffers
+
+    return text_buffers(pa.array(texts))
+
+
+def member_rows(model, t, i):
+    """Rows of weights of the members of all classes, in the context of token i."""
+    one = maxent_lm.Tokens(*(np.repeat(x[i : i + 1], 16) for x in (t.words, t.tails, t.doc, t.before, t.before2)), 1)
+    return model.rows_of(one, np.arange(16))[1]
+
+
 def test_main_text(spark):
     page = lambda body: f"<html><head><title>t</title></head><body><nav><a href='/'>menu</a></nav>{body}<footer>&copy; f</footer></body></html>"
     rows = [(i, "http://h.example/x", page(f"<div class='post-{i}'><h1>A &amp; b {i}</h1><p>Long  enough\n text {i}<br>more<p>next</div><div class='comments'>c</div>"), "x") for i in range(5)]
@@ -225,6 +274,20 @@ def test_main_text_keeps_what_is_beside_the_largest_container():
     assert text(f"<div class='list'><a href='/a'>One</a> | <a href='/b'>Another page</a></div><div class='post'>{long}</div>") == long.strip()
 
 
+def test_main_text_by_names_of_elements():
+    text = lambda body: (lambda p: p.text(p.best()[0]))(html_text.Page(f"<body><nav class='top'><a href='/'>menu</a></nav>{body}<footer>f</footer></body>"))
+    long = ("long text of the body " * 20).strip()
+    for name in ("content no-sidebar", "wrap has-menu", "content-sidebar-wrap", "layout-with-sidebar"):
+        assert text(f"<div class='{name}'><p>{long}</p></div>") == long, name
+    assert text(f"<form id='aspnet'><div class='post'><h1>T</h1><p>{long}</p></div></form>") == f"T\n\n{long}"
+    assert text(f"<article><p>{long}</p><p class='advert'>Buy now<p>More</article>") == f"{long}\n\nMore"
+    assert text(f"<article><p>{long} <span class='share'>Share <b>it</b></span>end</p></article>") == f"{long} end"
+    assert text(f"<article><p>{long}</p></article><div class='comments-container'>{'comment ' * 200}</div>") == long
+    assert text(f"<div class='post'><p>{long}</p></div><form><p>Search</p><input name='q'></form>") == long
+    assert text(f"<div class='site-footer'>x</div><div class='post'><p>{long}</p><li class='related'>r</li></div>") == long
+    assert text("<div class='post'><p>a</p></div><span class='ad'>never closed") == "a"
+
+
 def test_licences(spark):
     mit = license_scan.KNOWN[0][1]
     texts = [mit, "Copyright (c) 2020 A\n\n" + mit.upper(), mit.replace("sublicense", "sub-licence").replace(",", " ;"), mit + " and more", "", None, "Copyright 1", "...", "Released under the MIT Licence"]
