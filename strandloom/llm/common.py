@@ -38,16 +38,20 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def bounded_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+def bounded_batches(spark: SparkSession, most: int = 2 << 20, rows: int = 512) -> None:
     """Rows with whole texts go to Python in batches of ``most`` bytes (or one row) instead of 10,000
-    rows, which may be any size: that bounds what a task holds on either side. Sets Spark's setting for
-    the session, where it is larger."""
+    rows, and are read from Parquet ``rows`` at a time instead of 4,096, which may be any size: that
+    bounds what a task holds on either side. Sets Spark's settings for the session, where they are
+    larger."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark.conf.get(key, "64m").lower().removesuffix("b")
     unit = {"k": 10, "m": 20, "g": 30}.get(now[-1:], 0)
     size = int(now[:-1] if unit else now) << unit
     if size <= 0 or size > most:
         spark.conf.set(key, str(most))
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    if int(spark.conf.get(key, "4096")) > rows:
+        spark.conf.set(key, str(rows))
 
 
 def own_prefix(columns: list[str]) -> str:
@@ -104,7 +108,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 # ---------------------------------------------------------------- rows of a task
 
 
-def _trim() -> None:
+def give_back() -> None:
     """Give what is free back to the operating system: a Python worker is used again by tasks of other
     steps, which otherwise come on top of the memory that this step held at its peak."""
     pa.default_memory_pool().release_unused()
@@ -123,7 +127,7 @@ def released(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]
         finally:
             _POWERS.clear()
             gc.collect()
-            _trim()
+            give_back()
 
     return run
 
@@ -194,7 +198,7 @@ _POWERS: dict[str, np.ndarray] = {}
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS.get("p", ())) < n:
-        n = max(n, CHUNK_BYTES + (CHUNK_BYTES >> 3))
+        n += n >> 3
         up, down = np.full(n, _P, dtype=U64), np.full(n, _P_INV, dtype=U64)
         up[0] = down[0] = 1
         _POWERS["p"], _POWERS["q"] = np.cumprod(up), np.cumprod(down)

@@ -11,7 +11,8 @@ separator. Whole texts are parsed, all texts of a run in step.
 
 Edge cases: a null text, or one without letters, is ``und`` with score 0; a null label or a null text
 is not learned from; ties go to the language that sorts first; without any label every text with
-letters is ``und`` too; repeated rows each give a row; a null id counts as not held out and is not
+letters is ``und`` too; an empty table gives no rows; a very long text is parsed whole, by itself, in
+about 50 bytes of memory for each of its letters; repeated rows each give a row; a null id counts as not held out and is not
 learned from."""
 
 from __future__ import annotations
@@ -222,6 +223,7 @@ def train(documents: DataFrame, id_col: str = "doc_id", text: str = "text", lang
     where a language has none that is shorter, its shortest text is taken). Ranks are cut in
     each partition before the shuffle, so a language of most rows moves ``docs_per_language`` rows a
     partition."""
+    bounded_batches(documents.sparkSession)
     rows = documents.where(F.col(id_col).isNotNull() & F.col(lang).isNotNull() & F.col(text).isNotNull())
     rows = rows.select(F.col(lang).alias("l"), F.col(text).alias("t"), F.xxhash64(F.col(id_col).cast("string")).alias("h"))
     size = F.length("t")

@@ -8,7 +8,9 @@ a match.
 
 Edge cases: a null text has a null digest and matches nothing; a text without letters or digits
 counts as empty, has the digest of the empty string and matches nothing; repeated rows each give a
-row; extra columns of the input are not read unless asked for by ``keep``."""
+row; a null id is carried along; an empty table gives no rows; a very long text goes through the
+expressions whole, a row by itself; extra columns of the input are not read unless asked for by
+``keep``."""
 
 from __future__ import annotations
 

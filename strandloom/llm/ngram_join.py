@@ -27,7 +27,8 @@ are 64-bit hashes, and classes 64-bit hashes of sets.
 Edge cases: a null or empty text (or one of white space) has an empty set and links with nothing; a
 text of fewer words than a shingle is one shingle, its whole sequence; a null id is a row with a
 null component that links with nothing; repeated rows and ids are in one class or apart by their
-texts; an empty table gives no rows; columns besides id and text are not read."""
+texts; an empty table gives no rows; a very long text is hashed whole, by itself, in about 50 bytes of memory
+for each of its own; columns besides id and text are not read."""
 
 from __future__ import annotations
 
