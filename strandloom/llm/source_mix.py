@@ -26,6 +26,8 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandloom.llm.common import bounded_batches, own_prefix
+
 Path = tuple[str, ...]
 BUCKETS = 4096
 
@@ -77,31 +79,34 @@ def mix_sources(documents: DataFrame, levels: dict[str, Column], weights: Mappin
     """The rows taken, a row for each pass that takes it, with ``epoch`` (from 0) and ``n_tokens``.
     ``budget`` in tokens; all tokens of the documents unless given."""
     spark = documents.sparkSession
-    names = [f"_level{i}" for i in range(len(levels))]
+    bounded_batches(spark)
     columns = [c for c in documents.columns if c not in ("epoch", "n_tokens")]
+    own = own_prefix(columns)
+    names = [f"{own}level{i}" for i in range(len(levels))]
+    passes, rest, place, bucket, total, need, before, cut_at, at = (own + c for c in ("passes", "rest", "place", "bucket", "sum", "need", "before", "cut", "at"))
     rows = documents.select(*columns, word_tokens(F.col(text)).alias("n_tokens"), *[F.coalesce(c.cast("string"), F.lit("(none)")).alias(n) for n, c in zip(names, levels.values(), strict=True)])
     totals = rows.groupBy(*names).agg(F.sum("n_tokens").alias("n")).limit(max_leaves + 1).collect()
     if len(totals) > max_leaves:
         raise ValueError(f"more than {max_leaves} leaves; raise max_leaves")
     supply = {tuple(x[:-1]): int(x.n) for x in totals}
     give = budgets(supply, weights, sum(supply.values()) if budget is None else budget, max_epochs)
-    leaves = spark.createDataFrame([(*p, give[p] // n, give[p] % n) for p, n in supply.items()], ", ".join([*(f"{n} string" for n in names), "_passes long", "_rest long"]))
+    leaves = spark.createDataFrame([(*p, give[p] // n, give[p] % n) for p, n in supply.items()], ", ".join([*(f"{n} string" for n in names), f"{passes} long", f"{rest} long"]))
     # As many leaves as max_leaves at most, so they may go to every task.
     rows = rows.join(F.broadcast(leaves), names)
-    place = F.xxhash64(F.lit(seed), F.col("_passes"), F.col(id_col).cast("string"), F.xxhash64(text))
-    rows = rows.withColumn("_place", place).withColumn("_bucket", F.shiftrightunsigned("_place", 64 - BUCKETS.bit_length() + 1).cast("int"))
-    whole = rows.where("_passes > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_passes").cast("int") - 1)))
-    part = rows.where("_rest > 0")
-    sums = part.groupBy(*names, "_bucket").agg(F.sum("n_tokens").alias("_sum"), F.first("_rest").alias("_need"))
-    upto = Window.partitionBy(*names).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(upto), F.lit(0)))
-    cut = sums.where("_before < _need AND _before + _sum >= _need").select(*names, F.col("_bucket").alias("_cut"), "_before")
-    part = part.join(F.broadcast(cut), names).where("_bucket <= _cut")
-    inside = Window.partitionBy(*names).orderBy("_place", id_col).rowsBetween(Window.unboundedPreceding, -1)
-    sure = part.where("_bucket < _cut")
-    last = part.where("_bucket = _cut").withColumn("_at", F.col("_before") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).where("_at < _rest")
+    order = F.xxhash64(F.lit(seed), F.col(passes), F.col(id_col).cast("string"), F.xxhash64(text))
+    rows = rows.withColumn(place, order).withColumn(bucket, F.shiftrightunsigned(place, 64 - BUCKETS.bit_length() + 1).cast("int"))
+    whole = rows.where(F.col(passes) > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col(passes).cast("int") - 1)))
+    part = rows.where(F.col(rest) > 0)
+    sums = part.groupBy(*names, bucket).agg(F.sum("n_tokens").alias(total), F.first(rest).alias(need))
+    upto = Window.partitionBy(*names).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn(before, F.coalesce(F.sum(total).over(upto), F.lit(0)))
+    cut = sums.where((F.col(before) < F.col(need)) & (F.col(before) + F.col(total) >= F.col(need))).select(*names, F.col(bucket).alias(cut_at), before)
+    part = part.join(F.broadcast(cut), names).where(F.col(bucket) <= F.col(cut_at))
+    inside = Window.partitionBy(*names).orderBy(place, id_col).rowsBetween(Window.unboundedPreceding, -1)
+    sure = part.where(F.col(bucket) < F.col(cut_at))
+    last = part.where(F.col(bucket) == F.col(cut_at)).withColumn(at, F.col(before) + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).where(F.col(at) < F.col(rest))
     out = [*columns, "epoch", "n_tokens"]
-    once = [p.withColumn("epoch", F.col("_passes").cast("int")).select(*out) for p in (sure, last)]
+    once = [p.withColumn("epoch", F.col(passes).cast("int")).select(*out) for p in (sure, last)]
     return whole.select(*out).unionByName(once[0]).unionByName(once[1])
 
 
