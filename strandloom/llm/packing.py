@@ -15,7 +15,9 @@ The outcome is that of best-fit decreasing piece by piece, in one sort of the pi
 
 Edge cases: a null or empty text is the piece with the end token alone; pieces of equal length and
 repeated rows are told apart by their place in the sort; an empty table gives no rows; special-token
-strings in a text are tokenised as the tokenizer's file says; a null id is carried along as null."""
+strings in a text are tokenised as the tokenizer's file says; a null id is carried along as null; a very
+long text is tokenised whole, by itself, in about 50 bytes of memory for each of its own, and cut into
+pieces after that; columns besides id and text are not read."""
 
 from __future__ import annotations
 
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
-from strandloom.llm.common import U64, Scratch, mix, released, shuffle_partitions, span_hashes, text_chunks, word_spans
+from strandloom.llm.common import U64, Scratch, give_back, mix, released, shuffle_partitions, span_hashes, text_chunks, word_spans
 
 # ---------------------------------------------------------------- tokens
 
@@ -196,8 +198,9 @@ def tokenize_pieces(documents: DataFrame, tokenizer: str, capacity: int, end: in
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordTokens(tokenizer)
+        give_back()  # what reading the tokenizer's file took
         for batch in batches:
-            for lo, hi, data, offsets in text_chunks(batch.column(1), 1 << 19):
+            for lo, hi, data, offsets in text_chunks(batch.column(1), 1 << 18):
                 flat, begins = words.encode(data, offsets, end)
                 row, piece, start, length, crc, parts = [], [], [], [], [], []
                 for i, (a, b) in enumerate(zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)):
@@ -313,8 +316,8 @@ def pack(pieces: DataFrame, scratch: Scratch, capacity: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *cols], names=[*(batch.schema.names[i] for i in kept), "sequence_id", "offset"])
 
     # A task counts on from what it has seen of a (partition, length), so each sorted partition
-    # is brought to one task, in any order: pieces of one length are interchangeable.
-    same = dealt.repartition(n, "_part")
+    # is brought to one task, in an order of its own: a task that is run again deals as it did before.
+    same = dealt.repartition(n, "_part").sortWithinPartitions("_part", F.desc("length"), *[c for c in pieces.columns if c not in ("ids", "length")])
     return same.mapInArrow(task, dealt.drop("_part").schema.add("sequence_id", "long").add("offset", "long"))
 
 
