@@ -8,8 +8,8 @@ frames that it wants.
 Records with equal payloads are stored once: the one with the smallest id is a ``response``, the
 others are ``revisit`` records that refer to it. Which payloads repeat is found by an aggregation
 over digests (partial sums before the shuffle, so a payload that a third of all pages share moves
-one row a task), and pages meet their digest's first id in a join that Spark may split where one
-digest is hot.
+one row a task), and pages meet their digest's first id in a broadcast of these digests where there
+are few (measured), else in a join that Spark may split where one digest is hot.
 
 Edge cases: a null payload counts as empty; a null id is written as ``null`` and read back as null,
 is never the first of a group that has ids, and a group of null ids only holds responses; rows that
@@ -37,6 +37,9 @@ from strandloom.llm.common import Scratch, shuffle_partitions
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
+#: Digests that repeat, of about 60 bytes, that are sent to every task.
+MOST_BROADCAST = 500_000
+
 INDEX_SCHEMA = "record_id string, bundle string, frame int, frame_offset long, length long"
 RECORD_SCHEMA = "record_id string, record_type string, url string, payload_bytes long, payload_digest string, refers_to string, payload binary"
 
@@ -169,6 +172,11 @@ def plan_records(pages: DataFrame, id_col: str, url: str, payload: str, min_revi
     p = p.withColumn("_digest", F.sha1(F.col("_payload").cast("binary")))
     size = F.octet_length("_payload")
     repeated = p.where(size >= min_revisit_bytes).groupBy("_digest").agg(F.min("_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1 AND _first IS NOT NULL").select("_digest", "_first")
+    # Measured: digests that repeat are few enough to go to every task, so no payload moves; else a join
+    # that can be split.
+    repeated = Scratch(pages.sparkSession, "repeated").table(repeated, "digests")
+    if repeated.count() <= MOST_BROADCAST:
+        repeated = F.broadcast(repeated)
     revisit = F.col("_first").isNotNull() & ~F.col("_id").eqNullSafe(F.col("_first")) & (size >= min_revisit_bytes)
     return p.join(repeated, "_digest", "left").select("_id", "_url", "_payload", F.when(revisit, F.col("_first")).alias("_refers_to"))
 
