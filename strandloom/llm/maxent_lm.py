@@ -6,10 +6,11 @@ before, the one before that (a skip), and both together. A member is one of the
 or all other words with the same two last letters (hashed); within a member words have their
 smoothed share of its counts, and each member of many words keeps one share for words never seen.
 
-Training is distributed: in each round every task sums, over its documents, how often features and
-outcomes met and how often the model expected them to; the sums of all tasks make the gradient, and
-each weight moves by it, scaled by the expectation. Rounds take disjoint shares of the documents, so
-one pass over the training data is made in all. Counts of all training words stay in Spark; the
+Training is stochastic gradient ascent in large steps, distributed: in each round every task sums, over
+its documents, how often features and outcomes met and how often the model expected them to; the sums
+of all tasks make the gradient, and each weight moves by it, scaled by the expectation. Rounds take
+disjoint shares of the documents: every document is used in one step, and one pass over the training
+data is made in all. Counts of all training words stay in Spark; the
 weights have a size set by parameters and are the only thing that is broadcast, with the counts of
 the ``head`` most frequent words. Tokens outside of these meet their counts in a join.
 
@@ -17,7 +18,8 @@ Words are 64-bit hashes of ``[^\\x20\\x09-\\x0D]+`` with A-Z as a-z; each text e
 
 Edge cases: a null or empty text is the end token alone; a null id is not held out; repeated rows
 each give a row with the same scores; without training rows every count is zero; an empty table
-gives no rows; columns besides id and text are not read."""
+gives no rows; a very long text is scored whole, by itself, in some 500 bytes of memory for each of its
+words; columns besides id and text are not read."""
 
 from __future__ import annotations
 
@@ -28,14 +30,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from strandloom.llm.common import U64, Scratch, mix, text_chunks, word_hashes
+from strandloom.llm.common import U64, Scratch, mix, released, text_chunks, word_hashes
 from strandloom.llm.language_id import fold_of
 
 WIDE = 16  # outcomes of each softmax
 LEAVES = WIDE * WIDE
 HEADS = LEAVES // 2  # members that are one word; the end token is the first
-END, START, MANY = U64(0x0E4D), U64(0x57A7), U64(0)
+END, START = U64(0x0E4D), U64(0x57A7)
 _SALTS = [U64(0x9AE16A3B2F90404F), U64(0xC949D7C7509E6557), U64(0x8CB92BA72F3D8DD7)]
 FEATURES = len(_SALTS)
 
@@ -174,14 +177,30 @@ def count_words(documents: DataFrame, text: str = "text", most: int = 1 << 21) -
         if n:
             yield flush()
 
-    found = documents.select(text).mapInArrow(task, "h long, leaf int, c long")
+    found = documents.select(text).mapInArrow(released(task), "h long, leaf int, c long")
     return found.groupBy("h").agg(F.min("leaf").alias("leaf"), F.sum("c").alias("c"))
 
 
+def frequent(counts: DataFrame, head: int) -> list:
+    """The most frequent words, ``head`` at most, by (falling count, hash). Counts are binned first (a few
+    hundred rows), so only the words of the bins that fit come to the driver, whatever the number of
+    partitions."""
+    bins = counts.groupBy(F.floor(F.log2(F.col("c").cast("double")) * 16).alias("b")).agg(F.count("*").alias("n"), F.min("c").alias("least")).orderBy(F.desc("b")).collect()
+    have, least = 0, None
+    for x in bins:
+        have += x.n
+        if have > head:
+            break
+        least = x.least
+    if least is None:
+        return []
+    return sorted(counts.where(F.col("c") >= least).collect(), key=lambda x: (-x.c, x.h))
+
+
 def start_model(counts: DataFrame, head: int, shape: Shape) -> tuple[Model, int, int]:
     """(model without weights, all tokens, distinct tokens)."""
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    top = counts.orderBy(F.desc("c"), "h").limit(head).collect()  # ``head`` rows at most
+    top = frequent(counts, head)
     words = np.array([x.h for x in top], dtype=np.int64).view(U64)
     leaves = np.array([x.leaf for x in top], dtype=np.int64)
     own = [i for i, w in enumerate(words) if w != END][: HEADS - 1]
@@ -227,7 +246,7 @@ def gradient_round(documents: DataFrame, model: Model, text: str = "text") -> tu
         if len(used):
             yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(seen[used, k]) for k in range(WIDE)), *(pa.array(expected[k][used]) for k in range(WIDE))], names=names)
 
-    got = documents.select(text).mapInArrow(task, "row int, " + ", ".join(f"{c} double" for c in names[1:]))
+    got = documents.select(text).mapInArrow(released(task), "row int, " + ", ".join(f"{c} double" for c in names[1:]))
     seen, expected = np.zeros((model.shape.rows, WIDE)), np.zeros((model.shape.rows, WIDE))
     for x in got.groupBy("row").agg(*[F.sum(c).alias(c) for c in names[1:]]).collect():  # a row for each row of weights
         seen[x.row], expected[x.row] = x[1 : WIDE + 1], x[WIDE + 1 :]
@@ -250,45 +269,36 @@ def train(documents: DataFrame, counts: DataFrame, id_col: str = "doc_id", text:
 
 
 def score(documents: DataFrame, model: Model, counts: DataFrame, n: int, v: int, keep: list[str], text: str = "text") -> DataFrame:
-    """``keep`` columns with n_tokens, n_known, base_score and score."""
+    """``keep`` columns with n_tokens, n_known, base_score and score. Texts are read once; a document's
+    words that the model does not hold itself are kept as hashes, and meet their counts in a join. The
+    table of the first pass numbers its rows, so rows that repeat are apart."""
+    scratch = Scratch(documents.sparkSession, "scores")
     held = documents.sparkSession.sparkContext.broadcast(model)
-    rows = documents.withColumn("_k", F.xxhash64(*keep, text))
+    names = ["_n", "_known", "_raw", "_gain", "_missed"]
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         log_counts = np.log10(model.counts + 1.0)
         for batch in batches:
-            out = []
-            for _, _, t in _runs(batch, batch.num_columns - 1):
+            for lo, hi, t in _runs(batch, batch.num_columns - 1):
                 leaf, _, p_class, _, p_member = model.predict(t)
                 every = np.arange(len(leaf))
                 gain = np.log10(p_class[every, leaf // WIDE]).astype(np.float64) + np.log10(p_member[every, leaf % WIDE]) - model.log_share[leaf]
                 at, hit = model.look_up(t.words)
                 raw = np.where(hit, log_counts[at], 0.0) if len(log_counts) else np.zeros(len(leaf))
-                out.append([np.bincount(t.doc, minlength=t.texts), np.bincount(t.doc, hit, t.texts).astype(np.int64), np.bincount(t.doc, raw, t.texts), np.bincount(t.doc, gain, t.texts)])
-            if out:
-                cols = [pa.array(np.concatenate(c)) for c in zip(*out, strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *cols], names=[*batch.schema.names[:-1], "n_tokens", "known", "raw", "gain"])
-
-    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held.value
-        for batch in batches:
-            key = batch.column(0).to_numpy()
-            for lo, _, t in _runs(batch, 1):
-                _, hit = model.look_up(t.words)
                 miss = np.flatnonzero(~hit)
-                h = np.concatenate([t.words[miss], np.full(t.texts, MANY)]).view(np.int64)
-                d = key[lo + np.concatenate([t.doc[miss], np.arange(t.texts)])]
-                yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(h)], names=["k", "h"])
-
-    scored = rows.select(*keep, "_k", text).mapInArrow(parts, rows.select(*keep, "_k").schema.add("n_tokens", "long").add("known", "long").add("raw", "double").add("gain", "double"))
-    # Rare words: a row for each occurrence finds its count; a row for each document tells how
-    # many rows share its key, as repeated rows all add to it.
-    missed = rows.select("_k", text).mapInArrow(rest, "k long, h long")
-    missed = missed.join(counts.select("h", "c"), "h", "left").groupBy("k").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 1.0)).alias("more"), F.count("c").alias("more_known"), F.count_if(F.col("h") == int(MANY)).alias("times"))
-    raw = F.col("raw") + F.col("more") / F.col("times")
-    out = scored.join(missed, F.col("_k") == F.col("k"))
-    return out.select(*keep, "n_tokens", (F.col("known") + F.col("more_known") / F.col("times")).cast("long").alias("n_known"), (raw - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1)))).alias("base_score"), (raw + F.col("gain")).alias("score"))
+                ends = np.concatenate([[0], np.cumsum(np.bincount(t.doc[miss], minlength=t.texts))])
+                missed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(t.words[miss].view(np.int64)))
+                sums = [np.bincount(t.doc, minlength=t.texts), np.bincount(t.doc, hit, t.texts).astype(np.int64), np.bincount(t.doc, raw, t.texts), np.bincount(t.doc, gain, t.texts)]
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[:-1]), *map(pa.array, sums), missed], names=[*keep, *names])
+
+    schema = documents.select(*keep).schema.add("_n", "long").add("_known", "long").add("_raw", "double").add("_gain", "double").add("_missed", T.ArrayType(T.LongType()))
+    scored = scratch.table(documents.select(*keep, text).mapInArrow(released(parts), schema).withColumn("_k", F.monotonically_increasing_id()), "first")
+    rare = scored.select("_k", F.explode("_missed").alias("h")).join(counts.select("h", "c"), "h", "left")
+    rare = rare.groupBy("_k").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 1.0)).alias("more"), F.count("c").alias("more_known"))
+    raw = F.col("_raw") + F.coalesce("more", F.lit(0.0))
+    out = scored.drop("_missed").join(rare, "_k", "left")
+    return out.select(*keep, F.col("_n").alias("n_tokens"), (F.col("_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), (raw - F.col("_n") * F.log10(F.lit(float(n + v + 1)))).alias("base_score"), (raw + F.col("_gain")).alias("score"))
 
 
 # ---------------------------------------------------------------- query
