@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from strandloom.functions.encoding import canonical, neighbours, revcomp
 from strandloom.operators.counting import checksum, count_kmers
 from strandloom.operators.histogram import discrete_class, discrete_value
-from strandloom.operators.iterate import components, cut, drop
+from strandloom.operators import compaction
+from strandloom.operators.iterate import components, cut, drop, ranked, smallest_on_rings
 
 
 class DeBruijnGraph:
@@ -161,30 +162,34 @@ class DeBruijnGraph:
 
     def chains(self) -> DataFrame:
         """(o, head, rank, circular): every oriented node's place on its maximal simple path, by
-        pointer jumping: log2 of the longest path rounds, each one join of what is not settled yet.
-        Cycles are cut at their smallest k-mer; of a cycle and its mirror image, the one that has
-        this k-mer in its canonical orientation stays."""
-        before = cut(self.links().select(F.col("next").alias("o"), F.col("o").alias("before")))
-        start = self.oriented().select("o").join(before, "o", "left")
-        paths, rings = _jump(start)
-        paths = paths.select("o", F.col("ptr").alias("head"), "rank", F.lit(False).alias("circular"))
+        pointer jumping. Cycles are cut at their smallest k-mer; of a cycle and its mirror image, the
+        one that has this k-mer in its canonical orientation stays."""
+        before = self.links().select(F.col("next").alias("o"), F.col("o").alias("before"))
+        paths, rings = ranked(self.oriented().select("o").join(before, "o", "left"))
+        out = paths.select("o", F.col("ptr").alias("head"), "rank", F.lit(False).alias("circular"))
         if rings is None:
-            return paths
-        low = _smallest(rings)
+            return out
+        c = canonical(F.col("o"))
+        low = smallest_on_rings(rings, F.struct(c.alias("c"), F.when(F.col("o") == c, 0).otherwise(1).alias("s")))
         first = F.col("o") == F.col("low.c")
-        again, _ = _jump(low.where("low.s = 0").join(before, "o").select("o", F.when(~first, F.col("before")).alias("before")))
-        return paths.unionByName(again.select("o", F.col("ptr").alias("head"), "rank", F.lit(True).alias("circular")))
+        again, _ = ranked(low.where("low.s = 0").select("o", "low").join(rings, "o").select("o", F.when(~first, F.col("before")).alias("before")))
+        drop(low)
+        drop(rings)
+        return out.unionByName(again.select("o", F.col("ptr").alias("head"), "rank", F.lit(True).alias("circular")))
 
     def unitigs(self) -> DataFrame:
-        """(seq, n_kmers, circular, abundances, kc): maximal simple paths as canonical digits, with
-        the abundances along them. A unitig is gathered in one group: its rows are its own length."""
+        """A table (seq, n_kmers, circular, abundances, kc): maximal simple paths as canonical digits, with
+        the abundances along them. For odd k, k-mers are compacted in buckets, and only pieces that cross
+        buckets are put together by rounds over all tasks; for even k, where a k-mer may be its own mirror
+        image, by ranks of all nodes. A unitig is gathered in one group: its rows are its pieces."""
+        if self.k % 2 and self.k > 2:
+            return compaction.unitigs(self.nodes, self.k)
         chain = self.chains().withColumn("kmer", canonical(F.col("o"))).join(self.nodes, "kmer")
         rows = chain.groupBy("head", "circular").agg(F.sort_array(F.collect_list(F.struct("rank", F.substr("o", F.lit(-1)).alias("nt"), "abundance"))).alias("x"))
         seq = F.concat(F.substr("head", F.lit(1), F.lit(self.k - 1)), F.array_join(F.col("x.nt"), ""))
         rows = rows.select(seq.alias("s"), "circular", F.col("x.abundance").alias("a"))
         keep = F.col("circular") | (F.col("s") <= revcomp(F.col("s")))
-        out = rows.where(keep).select(F.col("s").alias("seq"), F.size("a").cast("bigint").alias("n_kmers"), "circular", F.col("a").alias("abundances"), F.aggregate("a", F.lit(0).cast("bigint"), lambda p, x: p + x).alias("kc"))
-        return out
+        return rows.where(keep).select(F.col("s").alias("seq"), F.size("a").cast("bigint").alias("n_kmers"), "circular", F.col("a").alias("abundances"), F.aggregate("a", F.lit(0).cast("bigint"), lambda p, x: p + x).alias("kc"))
 
     def unitig_links(self, unitigs: DataFrame) -> DataFrame:
         """(from_seq, from_sign, to_seq, to_sign): unitigs that overlap in k - 1 letters, in all
@@ -216,7 +221,7 @@ class DeBruijnGraph:
         direct = e.join(ends.select(F.col("o").alias("source")), "source", "left_semi").join(ends.select(F.col("o").alias("target")), "target", "left_semi").select("source", "target", F.lit(1).cast("bigint").alias("distance"))
         # simple nodes in chains among themselves: each has one way in and one way out
         within = e.join(inner.select(F.col("o").alias("source")), "source", "left_semi").join(inner.select(F.col("o").alias("target")), "target", "left_semi")
-        state, _ = _jump(inner.join(within.select(F.col("target").alias("o"), F.col("source").alias("before")), "o", "left"))
+        state, _ = ranked(inner.join(within.select(F.col("target").alias("o"), F.col("source").alias("before")), "o", "left"))
         enter = e.join(ends.select(F.col("o").alias("source")), "source", "left_semi").select(F.col("source").alias("from"), F.col("target").alias("ptr"))
         leave = e.join(ends.select(F.col("o").alias("target")), "target", "left_semi").select(F.col("source").alias("o"), F.col("target").alias("to"))
         paths = state.join(enter, "ptr").join(leave, "o").select(F.col("from").alias("source"), F.col("to").alias("target"), (F.col("rank") + 2).alias("distance"))
@@ -253,44 +258,6 @@ class DeBruijnGraph:
         return pairs.where(F.struct("source") <= F.struct(revcomp(F.col("target")))).select("source", "target")
 
 
-def _jump(start: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """From (o, before), before null at heads: ((o, ptr, rank) of what a head leads to: the head and the
-    steps from it; (o, before) of what goes round in cycles, or None).
-
-    Pointers double each round. A round that settles nothing leaves cycles alone: a path that is not
-    settled yet always has nodes whose heads are within the next reach."""
-    head = F.col("before").isNull()
-    count = {"left": F.count_if(F.col("rank") > 0)}
-    state = cut(start.select("o", "before", F.coalesce("before", "o").alias("ptr"), F.when(head, 0).otherwise(1).cast("bigint").alias("rank")), **count)
-    left = state.measured["left"]
-    done, open_ = state.where("rank = 0").select("o", "ptr", "rank"), state.where("rank > 0")
-    count = {"left": F.count_if(~F.col("settled"))}
-    while left:
-        q = done.select(F.col("o").alias("q"), F.col("ptr").alias("qp"), F.col("rank").alias("qr"), F.lit(True).alias("settled"))
-        q = q.unionAll(open_.select("o", "ptr", "rank", F.lit(False)))
-        new = cut(open_.join(q, F.col("ptr") == F.col("q")).select("o", "before", F.col("qp").alias("ptr"), (F.col("rank") + F.col("qr")).alias("rank"), "settled"), **count)
-        if new.measured["left"] == left:
-            return done, open_.select("o", "before")
-        left = new.measured["left"]
-        done, open_ = done.unionByName(new.where("settled").select("o", "ptr", "rank")), new.where("NOT settled").drop("settled")
-    return done, None
-
-
-def _smallest(rings: DataFrame) -> DataFrame:
-    """(o, low): the smallest (canonical k-mer, 1 if reversed) of each node's cycle, from (o, before).
-    Windows double until none finds anything smaller: then they agree all around."""
-    c = canonical(F.col("o"))
-    key = F.struct(c.alias("c"), F.when(F.col("o") == c, 0).otherwise(1).alias("s"))
-    state, count = cut(rings.select("o", F.col("before").alias("ptr"), key.alias("low"), F.lit(True).alias("fell"))), {"fell": F.count_if("fell")}
-    while True:
-        q = state.select(F.col("o").alias("q"), F.col("ptr").alias("qp"), F.col("low").alias("ql"))
-        new = cut(state.join(q, F.col("ptr") == F.col("q")).select("o", F.col("qp").alias("ptr"), F.least("low", "ql").alias("low"), (F.col("ql") < F.col("low")).alias("fell")), **count)
-        drop(state)
-        state = new
-        if not state.measured["fell"]:
-            return state.select("o", "low")
-
-
 def read_branching(graph: DeBruijnGraph, reads: DataFrame, id_col: str, kmers: Column) -> DataFrame:
     """(n_branching, n_reads): how many k-mers of a read branch, and of how many reads."""
     rows = reads.select(id_col, F.explode(kmers).alias("kmer"))

@@ -6,7 +6,12 @@ import atexit
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,3 +91,87 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     low = e.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component"))
     roots = low.select(F.col("component").alias("node"), "component").distinct()
     return low.unionByName(roots)
+
+
+#: Rows of a loop that one task takes over: some ten bytes each, so a bounded part of its memory.
+ONE_TASK = 1 << 20
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rest of a loop of ``ranked`` in one task: rows (o, before, ptr, rank, settled); gives those that were
+    not settled. What is not settled in the end goes round in rings."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    t = pa.Table.from_batches(held).combine_chunks()
+    o = t.column("o")
+    ptr = pc.index_in(t.column("ptr"), value_set=o.combine_chunks()).to_numpy().copy()
+    rank, settled = (t.column(c).to_numpy().copy() for c in ("rank", "settled"))
+    asked = np.flatnonzero(~settled)
+    left = asked
+    while len(left):
+        p = ptr[left]
+        rank[left] += rank[p]
+        end = settled[p]
+        ptr[left], settled[left] = ptr[p], end
+        if not end.any():
+            break
+        left = left[~end]
+    rows = pa.array(asked)
+    yield from pa.table([o.take(rows), t.column("before").take(rows), t.column("ptr").take(pa.array(ptr[asked])), pa.array(rank[asked]), pa.array(settled[asked])], names=["o", "before", "ptr", "rank", "settled"]).to_batches(10_000)
+
+
+def ranked(start: DataFrame, one_task: int = ONE_TASK) -> tuple[DataFrame, DataFrame | None]:
+    """From (o, before), before null at heads: tables ((o, ptr, rank): the head that leads to a node and the steps
+    from it; (o, before) of what goes round in rings, or None).
+
+    Pointers double each round. In the loop are open rows and the settled rows that one of them asks for, at
+    most as many: a settled row that nobody asks for now is never asked for again. When no more than
+    ``one_task`` rows are left, one task settles them. A round that settles nothing leaves rings alone: a path
+    that is not settled yet always has nodes whose heads are within the next reach."""
+    head, count = F.col("before").isNull(), {"n": F.count(F.lit(1)), "open": F.count_if(~F.col("settled"))}
+    columns = ["o", "before", "ptr", "rank", "settled"]
+    state = cut(start.select("o", "before", F.coalesce("before", "o").alias("ptr"), F.when(head, 0).otherwise(1).cast("bigint").alias("rank"), head.alias("settled")), **count)
+    tables, left, size = [state], state.measured["open"], state.measured["n"]
+    done, open_, pool = [state.where("settled")], state.where("NOT settled"), state.where("settled")
+    rings = None
+    while left:
+        if size <= one_task:
+            last = pool.unionByName(open_).select(*columns)
+            kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in last.schema)
+            end = cut(last.repartition(1).mapInArrow(_settle, kinds), **count)
+            tables.append(end)
+            done.append(end.where("settled"))
+            if end.measured["open"]:
+                rings = end.where("NOT settled")
+            break
+        q = pool.unionByName(open_).select(F.col("o").alias("q"), F.col("ptr").alias("qp"), F.col("rank").alias("qr"), "settled", F.col("before").alias("qb"))
+        new = cut(open_.drop("settled").join(q, F.col("ptr") == F.col("q")).select("o", "before", F.col("qp").alias("ptr"), (F.col("rank") + F.col("qr")).alias("rank"), "settled", "q", "qb", "qr"), **count)
+        tables.append(new)
+        if new.measured["open"] == left:
+            rings = open_
+            break
+        left, size = new.measured["open"], 2 * left
+        ends = new.where("settled")
+        done.append(ends)
+        asked = ends.select(F.col("q").alias("o"), F.col("qb").alias("before"), "ptr", F.col("qr").alias("rank"), "settled")
+        open_, pool = new.where("NOT settled").select(*columns), ends.select(*columns).unionByName(asked)
+    out = cut(reduce(DataFrame.unionByName, [d.select("o", "ptr", "rank") for d in done]))
+    if rings is not None:
+        rings = cut(rings.select("o", "before"))
+    for t in tables:
+        drop(t)
+    return out, rings
+
+
+def smallest_on_rings(rings: DataFrame, key: Column) -> DataFrame:
+    """A table (o, low): the smallest key of each node's ring, from (o, before). Windows double until none finds
+    anything smaller: then they agree all around."""
+    state, count = cut(rings.select("o", F.col("before").alias("ptr"), key.alias("low"), F.lit(True).alias("fell"))), {"fell": F.count_if("fell")}
+    while True:
+        q = state.select(F.col("o").alias("q"), F.col("ptr").alias("qp"), F.col("low").alias("ql"))
+        new = cut(state.join(q, F.col("ptr") == F.col("q")).select("o", F.col("qp").alias("ptr"), F.least("low", "ql").alias("low"), (F.col("ql") < F.col("low")).alias("fell")), **count)
+        drop(state)
+        state = new
+        if not state.measured["fell"]:
+            return state
