@@ -258,14 +258,13 @@ def glued(parts: DataFrame, pairs: DataFrame, k: int, overlap: int) -> DataFrame
     in ``pairs`` (each in one pair at most) are joined; parts without such an end are not in it. ``overlap``:
     letters that joined parts share, k if they share a k-mer, else k - 1. Of a path and its mirror image, the
     one that has its part of smallest pid the right way round. Rings begin anywhere."""
-    pairs = cut(pairs)
     flip = lambda c: F.col(c).bitwiseXOR(F.lit(1).cast("bigint"))
     before = pairs.select(F.explode(F.array(F.struct(flip("b").alias("o"), F.col("a").alias("before")), F.struct(flip("a").alias("o"), F.col("b").alias("before")))).alias("x")).select("x.*")
     # of a part with one joined end, the other end begins a path
     nodes = before.select(F.explode(F.array(F.struct(F.col("o"), F.col("before")), F.struct(flip("o").alias("o"), F.lit(None).cast("bigint").alias("before")))).alias("x")).select("x.*")
     paths, rings = ranked(nodes.groupBy("o").agg(F.max("before").alias("before")))
     made = paths.select("o", F.col("ptr").alias("head"), "rank", F.lit(False).alias("circular"))
-    tables = [pairs, paths]
+    tables = [paths]
     if rings is not None:
         low = smallest_on_rings(rings, F.col("o"))
         again, _ = ranked(rings.join(low, "o").select("o", F.when(F.col("o") != F.col("low"), F.col("before")).alias("before")))

@@ -98,8 +98,8 @@ ONE_TASK = 1 << 20
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rest of a loop of ``ranked`` in one task: rows (o, before, ptr, rank, settled); gives those that were
-    not settled. What is not settled in the end goes round in rings."""
+    """The rest of a loop of ``ranked`` in one task: rows (o, before, ptr, rank, settled, new); gives those that are
+    ``new`` or were not settled. What is not settled in the end goes round in rings."""
     held = [b for b in batches if b.num_rows]
     if not held:
         return
@@ -107,8 +107,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     o = t.column("o")
     ptr = pc.index_in(t.column("ptr"), value_set=o.combine_chunks()).to_numpy().copy()
     rank, settled = (t.column(c).to_numpy().copy() for c in ("rank", "settled"))
-    asked = np.flatnonzero(~settled)
-    left = asked
+    asked, left = np.flatnonzero(~settled | t.column("new").to_numpy()), np.flatnonzero(~settled)
     while len(left):
         p = ptr[left]
         rank[left] += rank[p]
@@ -137,11 +136,12 @@ def ranked(start: DataFrame, one_task: int = ONE_TASK) -> tuple[DataFrame, DataF
     rings = None
     while left:
         if size <= one_task:
+            new = len(tables) == 1  # then the task also gives what is settled from the start
             last = pool.unionByName(open_).select(*columns)
             kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in last.schema)
-            end = cut(last.repartition(1).mapInArrow(_settle, kinds), **count)
+            end = cut(last.withColumn("new", F.lit(new)).repartition(1).mapInArrow(_settle, kinds), **count)
             tables.append(end)
-            done.append(end.where("settled"))
+            done = [end.where("settled")] if new else [*done, end.where("settled")]
             if end.measured["open"]:
                 rings = end.where("NOT settled")
             break
@@ -156,9 +156,13 @@ def ranked(start: DataFrame, one_task: int = ONE_TASK) -> tuple[DataFrame, DataF
         done.append(ends)
         asked = ends.select(F.col("q").alias("o"), F.col("qb").alias("before"), "ptr", F.col("qr").alias("rank"), "settled")
         open_, pool = new.where("NOT settled").select(*columns), ends.select(*columns).unionByName(asked)
-    out = cut(reduce(DataFrame.unionByName, [d.select("o", "ptr", "rank") for d in done]))
     if rings is not None:
         rings = cut(rings.select("o", "before"))
+    out = reduce(DataFrame.unionByName, [d.select("o", "ptr", "rank") for d in done])
+    if len(done) == 1:  # a part of the last table, which stays
+        out.written = tables.pop().written
+    else:
+        out = cut(out)
     for t in tables:
         drop(t)
     return out, rings
