@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions.encoding import revcomp
@@ -272,7 +272,7 @@ def glued(parts: DataFrame, pairs: DataFrame, k: int, overlap: int) -> DataFrame
         tables += [rings, low, again]
     keep = made.groupBy("head").agg(F.min(flip("o")).alias("m")).where("m % 2 = 0").select("head")
     along = made.join(keep, "head", "left_semi").withColumn("pid", F.shiftright("o", 1)).join(parts.select("pid", "seq", "abundances"), "pid")
-    straight = F.col("o") % 2 == 1
+    straight = F.col("o").bitwiseAND(F.lit(1).cast("bigint")) == 1
     item = F.struct("rank", F.when(straight, F.col("seq")).otherwise(revcomp(F.col("seq"))).alias("s"), F.when(straight, F.col("abundances")).otherwise(F.reverse("abundances")).alias("a"))
     rows = along.groupBy("head", "circular").agg(F.sort_array(F.collect_list(item)).alias("x"))
     shared = overlap - (k - 1)  # k-mers that joined parts have in common
@@ -330,7 +330,3 @@ def unitigs(nodes: DataFrame, k: int) -> DataFrame:
     for t in used:
         drop(t)
     return out
-
-
-def first_kmer(seq: Column, k: int) -> Column:
-    return F.substr(seq, F.lit(1), F.lit(k))

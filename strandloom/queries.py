@@ -17,6 +17,7 @@ from strandloom.operators import simplify as sp
 from strandloom.operators import traversal as tr
 from strandloom.operators.graph import DeBruijnGraph, dense_ids, read_branching
 from strandloom.operators.iterate import checkpoint_dir, cut
+from strandloom.operators.unitig_graph import UnitigGraph
 from strandloom.plans import options as opt
 from strandloom.plans import tools
 from strandloom.sources import kff
@@ -894,6 +895,20 @@ def ag_checksum_k41(spark, sf):
     return ct.checksum(ct.count_kmers(clean_reads(spark, sf), 41))
 
 
+@query(f"WITH RECURSIVE {unitigs_sql(21)} SELECT substr(seq, 1, 21) AS first_node, substr(seq, -21) AS last_node, n_kmers, round(mean, 6) AS mean, r AS ways FROM us UNION ALL SELECT {rc_sql('substr(seq, -21)')}, {rc_sql('substr(seq, 1, 21)')}, n_kmers, round(mean, 6), l FROM us")
+def un_longest_avance(spark, sf):
+    """How far a walk without a choice comes from each end of a unitig."""
+    return UnitigGraph.build(graph(spark, sf, 21)).longest_avance().withColumn("mean", F.round("mean", 6))
+
+
+@query(f"WITH RECURSIVE {unitigs_sql(21)}, dead AS (SELECT seq FROM us WHERE (l = 0) <> (r = 0)) SELECT kmer, abundance FROM n WHERE kmer NOT IN (SELECT kmer FROM um WHERE seq IN (SELECT seq FROM dead))")
+def un_delete(spark, sf):
+    """k-mers of the graph of unitigs without those that have one dead end."""
+    g = UnitigGraph.build(graph(spark, sf, 21))
+    free = g.ways().groupBy("uid").agg(F.count_if(F.col("ways") == 0).alias("free"))
+    return g.without_unitigs(free.where("free = 1").select("uid")).nodes
+
+
 # ---------------------------------------------------------------- simplification
 
 
