@@ -136,10 +136,9 @@ def nearest(vectors: DataFrame, scratch: Scratch, queries: Column, k: int = 10,
     # Equal vectors once, with the ids that a result can show.
     ids = smallest_ids(rows.select("v", "id"), ["v"], "id", k + 1).groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     index = ids.withColumn("rep", F.element_at("ids", 1))
-    power = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    moments = index.agg(F.avg(power), *[F.avg(F.col("v")[i].cast("double")) for i in range(dim)]).first()
-    mean = np.array(moments[1:], dtype=np.float64)
-    spread = float(np.sqrt(max(moments[0] - mean @ mean, 0.0) / dim))
+    entry = [F.col("v")[i].cast("double") for i in range(dim)]
+    moments = index.agg(*[f(e) for f in (F.avg, F.var_pop) for e in entry]).first()  # sums about running means: offsets do no harm
+    mean, spread = np.array(moments[:dim], dtype=np.float64), float(np.sqrt(np.mean(moments[dim:])))
     shape = Curves(dim, mean, spread, curves, dims, bits, seed)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +189,7 @@ def nearest(vectors: DataFrame, scratch: Scratch, queries: Column, k: int = 10,
                 if m == b or m == a:
                     continue
                 for q in range(m, b, 256):
-                    got = best(v[q : min(q + 256, b)], reps[q : min(q + 256, b)], v[a:m], reps[a:m], k + 1)
+                    got = best(v[q : min(q + 256, b)], reps[q : min(q + 256, b)], v[a:m], reps[a:m], k + 1, shape.mean)
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in got], names=["query", "rep", "score"])
 
     part = F.pmod(F.xxhash64("curve", "cell"), F.lit(1 << 30))
@@ -207,16 +206,31 @@ def nearest(vectors: DataFrame, scratch: Scratch, queries: Column, k: int = 10,
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score")
 
 
-def best(q: np.ndarray, q_ids: np.ndarray, v: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The ``k`` nearest of ``v`` to each of ``q``, ties to the smaller id, with exact distances."""
-    rough = (v * v).sum(axis=1)[None, :] - 2.0 * (q @ v.T)
-    more = min(k + 8, len(v))
-    found = np.argpartition(rough, more - 1, axis=1)[:, :more] if more < len(v) else np.broadcast_to(np.arange(len(v)), (len(q), len(v)))
-    exact = np.sqrt(((v[found] - q[:, None, :]) ** 2).sum(axis=2))
-    order = np.lexsort((ids[found], exact), axis=1)[:, :k]
-    rows = np.repeat(np.arange(len(q)), order.shape[1])
-    picked = np.take_along_axis(found, order, axis=1).ravel()
-    return q_ids[rows], ids[picked], np.take_along_axis(exact, order, axis=1).ravel()
+def best(q: np.ndarray, q_ids: np.ndarray, v: np.ndarray, ids: np.ndarray, k: int, centre: np.ndarray | float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` nearest of ``v`` to each of ``q``, ties to the smaller id, with exact distances.
+
+    Rough squares of distances come from a matrix product of vectors minus ``centre``. Rounding moves them by
+    less than ``slack``, so whatever is within twice that of the k-th rough value is compared exactly."""
+    near, far = v - centre, q - centre
+    size, own = np.einsum("ij,ij->i", near, near), np.sqrt(np.einsum("ij,ij->i", far, far))
+    rough = size[None, :] - 2.0 * (far @ near.T)
+    k = min(k, len(v))
+    kth = np.partition(rough, k - 1, axis=1)[:, k - 1]
+    slack = 4 * (v.shape[1] + 8) * np.finfo(np.float64).eps * (own + np.sqrt(size.max())) ** 2
+    close = ~(rough > (kth + 2 * slack)[:, None])  # what is no number is close too
+    out: list[tuple[np.ndarray, ...]] = []
+    for at in range(0, len(q), 16):
+        row, col = np.nonzero(close[at : at + 16])
+        row += at
+        exact = np.empty(len(row))
+        for i in range(0, len(row), 1 << 14):
+            r, c = row[i : i + (1 << 14)], col[i : i + (1 << 14)]
+            exact[i : i + (1 << 14)] = np.sqrt(((v[c] - q[r]) ** 2).sum(axis=1))
+        order = np.lexsort((ids[col], exact, row))
+        place = np.arange(len(order)) - np.searchsorted(row, row)  # np.nonzero goes row by row
+        order = order[place < k]
+        out.append((q_ids[row[order]], ids[col[order]], exact[order]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
 # ---------------------------------------------------------------- query
