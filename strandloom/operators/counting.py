@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.encoding import canonical_kmers, kmers, valid_windows
 from strandloom.functions.minimizers import superkmers
+from strandloom.functions.packed import WORD, packed_rows, unpacked, words
 from strandloom.operators.iterate import cut
 
 
@@ -21,10 +22,18 @@ def kmer_rows(reads: DataFrame, k: int, keep: tuple[str, ...] = (), d: str = "d"
 
 
 def count_kmers(reads: DataFrame, k: int, d: str = "d", canon: bool = True) -> DataFrame:
-    """(kmer, abundance): partial counts before the only shuffle."""
+    """(kmer, abundance): partial counts before the only shuffle. Up to k = 62, what is shuffled are packed k-mers
+    (8 or 16 bytes); the digits are made from the counts, where somebody reads them."""
+    if k <= 2 * WORD:
+        return packed_counts(reads, k, d, canon).select(unpacked(k).alias("kmer"), "abundance")
     return kmer_rows(reads, k, (), d, canon).groupBy("kmer").agg(F.count("*").alias("abundance"))
 
 
+def packed_counts(reads: DataFrame, k: int, d: str = "d", canon: bool = True) -> DataFrame:
+    """(w0[, w1], abundance) of packed k-mers."""
+    return packed_rows(reads, k, (), d, canon).groupBy(*words(k)).agg(F.count("*").alias("abundance"))
+
+
 def count_kmers_by_minimizer(reads: DataFrame, k: int, m: int, id_col: str = "read_id", d: str = "d", most: int = 255) -> DataFrame:
     """As ``count_kmers``, but super-k-mers are shuffled instead of k-mers: a run of n k-mers moves
     n + k - 1 letters, not n * k, and k-mers are counted where their minimizer is."""
@@ -35,8 +44,11 @@ def count_kmers_by_minimizer(reads: DataFrame, k: int, m: int, id_col: str = "re
 
 def bank_counts(reads: DataFrame, k: int, bank: str, banks: list, d: str = "d") -> DataFrame:
     """(kmer, c0, c1, ...): abundance in each of the banks, in the order given."""
-    rows = kmer_rows(reads, k, (bank,), d)
-    return rows.groupBy("kmer").agg(*[F.count_if(F.col(bank) == b).alias(f"c{i}") for i, b in enumerate(banks)])
+    counts = [F.count_if(F.col(bank) == b).alias(f"c{i}") for i, b in enumerate(banks)]
+    if k > 2 * WORD:
+        return kmer_rows(reads, k, (bank,), d).groupBy("kmer").agg(*counts)
+    found = packed_rows(reads, k, (bank,), d).groupBy(*words(k)).agg(*counts)
+    return found.select(unpacked(k).alias("kmer"), *[f"c{i}" for i in range(len(banks))])
 
 
 def full_ranges(ranges: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:

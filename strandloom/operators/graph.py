@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.functions import packed
 from strandloom.functions.encoding import canonical, neighbours, revcomp
 from strandloom.operators.counting import checksum, count_kmers
 from strandloom.operators.histogram import discrete_class, discrete_value
@@ -60,14 +61,36 @@ class DeBruijnGraph:
         b = o.select(F.col("o").alias("target"), F.substr("o", F.lit(1), F.lit(k - 1)).alias("overlap"))
         return a.join(b, "overlap").select("source", "target", F.substr("target", F.lit(-1)).alias("nt"))
 
+    def incidences(self) -> DataFrame:
+        """(kmer, junction, enters, side): the two ends of each node. A junction is the (k - 1)-mer at an end in the
+        smaller orientation; the right end (1) enters its own, the left one (0) leaves it, the other way round
+        where it is mirrored. Up to k = 31 all are packed; a node that is its own mirror image has one end."""
+        k = self.k
+        if k <= packed.WORD:
+            w = F.col("kmer")
+            rows = self.nodes.select(packed.packed(F.col("kmer"), k).alias("kmer"))
+            ends, rc, own = (packed.prefix_word(w), packed.suffix_word(w, k)), (lambda j: packed.revcomp_word(j, k - 1)), packed.revcomp_word(w, k)
+        else:
+            w = F.col("kmer")
+            rows = self.nodes.select("kmer")
+            ends, rc, own = (F.substr("kmer", F.lit(1), F.lit(k - 1)), F.substr("kmer", F.lit(2))), revcomp, revcomp(w)
+        end = lambda side, j: F.struct(F.lit(side).alias("side"), j.alias("j"), rc(j).alias("m"))
+        both = F.when(w == own, F.array(end(1, ends[1]))).otherwise(F.array(end(0, ends[0]), end(1, ends[1])))
+        x = rows.select("kmer", F.explode(both).alias("x")).select("kmer", "x.*")
+        enters = F.when(F.col("j") == F.col("m"), F.lit(None)).otherwise((F.col("j") < F.col("m")) == (F.col("side") == 1))
+        return x.select("kmer", F.least("j", "m").alias("junction"), enters.alias("enters"), "side")
+
     def degrees(self) -> DataFrame:
-        """(kmer, indegree, outdegree) of each node in its canonical orientation."""
-        out = self.edges().groupBy("source").agg(F.count("*").alias("n"))
-        o = self.oriented().join(out, F.col("o") == F.col("source"), "left")
-        forward = F.sum(F.when(F.col("o") == F.col("kmer"), F.coalesce("n", F.lit(0))))
-        # what enters a node leaves its mirror image; a palindrome is its own
-        backward = F.sum(F.when((F.col("o") != F.col("kmer")) | (F.col("o") == revcomp(F.col("kmer"))), F.coalesce("n", F.lit(0))))
-        return o.groupBy("kmer").agg(F.coalesce(backward, F.lit(0)).alias("indegree"), F.coalesce(forward, F.lit(0)).alias("outdegree"))
+        """(kmer, indegree, outdegree) of each node in its canonical orientation. Nodes meet at their junctions, eight
+        at most, and see there how many ways go on; a second shuffle brings both ends of a node together."""
+        end = F.struct("kmer", "enters", "side")
+        # at a junction that is its own mirror image (enters is null), every end comes in and goes out
+        met = self.incidences().groupBy("junction").agg(F.collect_list(end).alias("x"), F.count_if("enters").alias("n_in"), F.count_if(~F.col("enters")).alias("n_out"), F.count("*").alias("n"))
+        ways = F.when(F.col("e.enters").isNull(), F.col("n")).when(F.col("e.enters"), F.col("n_out")).otherwise(F.col("n_in"))
+        each = met.select(F.explode("x").alias("e"), "n_in", "n_out", "n").select("e.kmer", "e.side", ways.alias("ways"))
+        out = each.groupBy("kmer").agg(F.max(F.when(F.col("side") == 0, F.col("ways"))).alias("l"), F.max(F.when(F.col("side") == 1, F.col("ways"))).alias("r"))
+        name = packed.unpacked(self.k) if self.k <= packed.WORD else F.col("w0")
+        return out.withColumnRenamed("kmer", "w0").select(name.alias("kmer"), F.coalesce("l", "r").alias("indegree"), F.col("r").alias("outdegree"))
 
     def neighbours(self) -> DataFrame:
         """(kmer, direction, nt, neighbour): extensions that are nodes; direction 1 right, 2 left."""
