@@ -922,6 +922,14 @@ def sp_bulges(spark, sf):
     return sp.doomed_bulges(graph(spark, sf, 21), sp.Limits())
 
 
+@query()
+def sp_bulges_paths(spark, sf):
+    """The most covered other way of each short unitig between junctions. No SQL: tests/test_bulge_paths.py walks it
+    step by step."""
+    found = sp.bulge_paths(graph(spark, sf, 21), sp.Limits())
+    return found.select("id", F.round("mean", 6).alias("mean"), F.size("path").alias("unitigs"), "path_kmers", F.round("path_mean", 6).alias("path_mean"))
+
+
 @query(f"WITH RECURSIVE {unitigs_sql(21)} SELECT seq FROM us WHERE l > 0 AND r > 0 AND n_kmers <= 9 * 21 AND around >= 4 * mean")
 def sp_connections(spark, sf):
     return sp.doomed_connections(graph(spark, sf, 21), sp.Limits())
