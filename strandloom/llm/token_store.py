@@ -41,7 +41,7 @@ from strandloom.llm.common import Scratch, give_back, released, shuffle_partitio
 from strandloom.llm.packing import WordTokens
 
 MAGIC, SCALE, LOW = b"STRRANS1", 20, 1 << 31
-LANES, STEPS, SEGMENTS = 512, 256, 4
+LANES, STEPS, SEGMENTS = 1024, 256, 2
 U64, U32 = np.uint64, np.uint32
 
 #: Arrays of a file's index and their types.
@@ -248,7 +248,7 @@ def token_rows(documents: DataFrame, tokenizer: str, end: int, id_col: str = "do
         give_back()
         seq = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for lo, hi, data, offsets in text_chunks(batch.column(1), 1 << 18):
+            for lo, hi, data, offsets in text_chunks(batch.column(1), 1 << 19):
                 flat, begins = words.encode(data, offsets, end)
                 width = np.dtype(wide).itemsize
                 ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer((begins * width).astype(np.int64).tobytes()), pa.py_buffer(flat.astype(wide).tobytes())]).cast(pa.binary())
