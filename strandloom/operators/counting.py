@@ -123,6 +123,20 @@ def checksum(kmers_df: DataFrame, col: str = "kmer") -> DataFrame:
     return kmers_df.agg(F.pmod(F.sum(v), F.lit("18446744073709551616").cast("decimal(38,0)")).cast("string").alias("checksum"))
 
 
+def checksum_words(kmers_df: DataFrame, k: int, col: str = "kmer") -> DataFrame:
+    """Sum of the k-mers' numbers modulo 2**(64 n), n being the words of 64 bits that hold one, as hexadecimal text.
+    Limbs of 32 bits (16 digits) are summed each by itself; carries go up once, in the one row of sums."""
+    limbs = 2 * -(-2 * k // 64)
+    whole = F.lpad(F.col(col), 16 * limbs, "0")
+    part = lambda i: F.conv(F.substr(whole, F.lit(16 * (limbs - 1 - i) + 1), F.lit(16)), 4, 10).cast("decimal(20,0)")
+    out = kmers_df.agg(*[F.coalesce(F.sum(part(i)), F.lit(0)).cast("decimal(38,0)").alias(f"s{i}") for i in range(limbs)])
+    out = out.withColumn("carry", F.lit(0).cast("bigint"))
+    for i in range(limbs):
+        s = F.col(f"s{i}") + F.col("carry")
+        out = out.withColumn(f"s{i}", s.cast("decimal(38,0)")).withColumn("carry", F.expr(f"s{i} div 4294967296")).withColumn(f"s{i}", F.expr(f"cast(s{i} % 4294967296 as bigint)"))
+    return out.select(F.concat(*[F.lower(F.lpad(F.hex(f"s{i}"), 8, "0")) for i in reversed(range(limbs))]).alias("checksum"))
+
+
 def shared_kmers(counts: DataFrame, n: int, lo: int, hi: int) -> DataFrame:
     """(i, j, shared), i <= j: k-mers that are in range in both banks, from one pass."""
     inside = [F.col(f"c{i}").between(lo, hi) for i in range(n)]

@@ -909,6 +909,24 @@ def un_delete(spark, sf):
     return g.without_unitigs(free.where("free = 1").select("uid")).nodes
 
 
+def _words_sql(k: int) -> str:
+    """Limbs of 16 digits, summed apart, with carries; k of 33 to 64."""
+    limb = lambda i: f"list_reduce(list_transform(range({1 + 16 * (3 - i)}, {17 + 16 * (3 - i)}), lambda j: CAST(substr(x, j, 1) AS HUGEINT)), lambda a, b: a * 4 + b)"
+    sums = ", ".join(f"sum({limb(i)}) AS s{i}" for i in range(4))
+    return f"""WITH {counts_sql(k)}, p AS (SELECT lpad(kmer, 64, '0') AS x FROM n), s AS (SELECT {sums} FROM p), c1 AS (SELECT *, s1 + s0 // 4294967296 AS t1 FROM s), c2 AS (SELECT *, s2 + t1 // 4294967296 AS t2 FROM c1), c3 AS (SELECT *, s3 + t2 // 4294967296 AS t3 FROM c2)
+SELECT format('{{:08x}}{{:08x}}{{:08x}}{{:08x}}', CAST(t3 % 4294967296 AS BIGINT), CAST(t2 % 4294967296 AS BIGINT), CAST(t1 % 4294967296 AS BIGINT), CAST(s0 % 4294967296 AS BIGINT)) AS checksum FROM c3"""
+
+
+@query(_words_sql(41))
+def ag_checksum_words_k41(spark, sf):
+    return ct.checksum_words(ct.count_kmers(clean_reads(spark, sf), 41), 41)
+
+
+@query(_words_sql(63))
+def ag_checksum_words_k63(spark, sf):
+    return ct.checksum_words(ct.count_kmers(clean_reads(spark, sf), 63), 63)
+
+
 # ---------------------------------------------------------------- simplification
 
 

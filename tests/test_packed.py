@@ -71,3 +71,13 @@ def test_limits(spark):
     with pytest.raises(ValueError):
         packed.words(63)
     assert DeBruijnGraph.from_reads(spark.createDataFrame([], "d string"), 21).degrees().count() == 0
+
+
+def test_checksum_of_several_words(spark):
+    rng = random.Random(1)
+    for k in (21, 41, 63, 70):
+        names = [text(rng, k) for _ in range(40)] + ["3" * k] * 5
+        n = 64 * -(-2 * k // 64)
+        got = ct.checksum_words(spark.createDataFrame([(s,) for s in names], "kmer string"), k).first().checksum
+        assert len(got) == n // 4 and int(got, 16) == sum(map(number, names)) % (1 << n)
+    assert int(ct.checksum_words(spark.createDataFrame([], "kmer string"), 41).first().checksum, 16) == 0
