@@ -769,7 +769,7 @@ def gr_branching_edges(spark, sf):
 
 @query(f"WITH RECURSIVE {counts_sql(31, 3)}, {edges_sql(31)}, u AS (SELECT DISTINCT {canon_sql('source')} AS a, {canon_sql('target')} AS b FROM e), w AS (SELECT kmer, kmer AS root FROM n UNION SELECT u.b, w.root FROM w JOIN u ON u.a = w.kmer) SELECT kmer, min(root) AS component FROM w GROUP BY kmer")
 def gr_components(spark, sf):
-    return graph(spark, sf, 31).components()
+    return UnitigGraph.build(graph(spark, sf, 31)).components()
 
 
 @query(f"WITH RECURSIVE {counts_sql(31, 3)}, {degrees_sql(31)}, br AS (SELECT kmer FROM deg WHERE NOT (indegree = 1 AND outdegree = 1)), wk AS (SELECT e.source, e.target AS o, 1 AS len FROM e WHERE {canon_sql('e.source')} IN (SELECT kmer FROM br) UNION ALL SELECT wk.source, e.target, wk.len + 1 FROM wk JOIN e ON e.source = wk.o WHERE {canon_sql('wk.o')} NOT IN (SELECT kmer FROM br)) SELECT source, CAST(len AS BIGINT) AS distance FROM wk WHERE o = source")
