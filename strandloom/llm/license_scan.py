@@ -1,6 +1,6 @@
 """License scans by canonical digest lookup, with DataFrame functions only.
 
-A text is brought to a canonical form (lower case; lines with a copyright notice dropped; equivalent
+A text is brought to a canonical form (lower case; lines that are a copyright notice as a whole dropped; equivalent
 spellings made one; everything but letters and digits one space), digested whole, and looked up
 among the digests of known licence texts, which went through the same expressions. Equal digests
 mean equal canonical texts, whole text against whole text: a licence inside a longer document is not
@@ -99,11 +99,24 @@ RULES: list[tuple[str, str]] = [
 ]
 
 
-#: What Spark applies in place of the first rule, which also takes lines that a licence's own text
-#: begins with 'copyright' when it is wrapped there, and leaves a line 'all rights reserved' below a
-#: notice. RE2 has no lookahead, so SQL keeps the first rule; both agree on texts without such lines.
+#: Words of statements: a line that begins like a notice and holds one of them is a term, not a notice.
+STATEMENTS = "is|are|was|were|be|may|must|shall|should|can|cannot|will|would|do|does|not|no|never|only|if|unless|without|except|you|your|owe|pay|use|uses|used|using|forbidden|prohibited|permitted|allowed|required|granted|subject|provided|agree|this|that|these|any|all(?! rights reserved)"
+#: Abbreviations whose full stop ends no sentence.
+ABBREVIATIONS = "inc|ltd|corp|co|jr|sr|dr|mr|ms|st|univ|dept|al"
+_RIGHTS = r"all rights reserved"
+
+#: What Spark applies in place of the first rule. A line is a notice only as a whole: a copyright sign or the word,
+#: then years and holders (160 characters at most), perhaps 'all rights reserved' there or on the next line. A line
+#: with a word of ``STATEMENTS``, with a second sentence, or that goes on as a licence's own text does when it is
+#: wrapped ('copyright notice', 'copyright holders') stays. RE2 has no lookahead, so SQL keeps the first rule; both
+#: agree on texts without such lines.
 NOTICES: list[tuple[str, str]] = [
-    (r"(^|\n)[^a-z0-9\n]*(copyright(?!s?\s+(notice|holder|owner|licen[cs]e|law|interest|statement)s?\b)|\(c\)|©)[^\n]*(\n[^a-z0-9]*all rights reserved[^a-z0-9\n]*(?=\n|$))?", r"\1"),
+    (
+        r"(^|\n)[^\p{L}\p{N}\n(©]*(?:copyright(?![\p{L}\p{N}])|\(c\)|©)(?!s?\s+(?:notice|holder|owner|licen[cs]e|law|interest|statement)s?\b)"
+        rf"(?![^\n]*\b(?:{STATEMENTS})\b)(?![^\n]*\b(?!(?:{ABBREVIATIONS})\b)\p{{L}}{{2,}}[.;!?]+[ \t]+(?!{_RIGHTS})[\p{{L}}]{{2}})"
+        rf"[^\n]{{0,160}}(?=\n|$)(\n[^a-z0-9\n]*{_RIGHTS}[^a-z0-9\n]*(?=\n|$))?",
+        r"\1",
+    ),
 ]
 
 

@@ -307,3 +307,12 @@ def test_wrapped_licences(spark):
     df = spark.createDataFrame([(i, t, want) for i, (want, t) in enumerate(rows)], "doc_id long, text string, want string")
     got = license_scan.license_scan(df, keep=("doc_id", "want"))
     assert got.where("license_id IS NULL OR license_id <> want").count() == 0
+
+
+def test_terms_are_no_notices(spark):
+    licence, mit = license_scan.KNOWN[0]
+    terms = ["(c) You owe the author 10 % of all income.", "Copyright 2020 X. Commercial use is forbidden.", "Copyright 2020 Example Group. Commercial redistribution costs extra.", "copyrighted works may not be used", "Copyright (c) 2020 A, all copies must be paid", "Copyright " + "word " * 40]
+    notices = ["Copyright (c) 2019-2021 Jane Q. Doe <jane@example.org>", "# (C) 2020 Example Inc. and others. All rights reserved.", "\u00a9 The Regents of a University\nAll Rights Reserved.", "Copyright: 2001, 2003 by A. B. Name, Ltd.", "Copyright <YEAR> <COPYRIGHT HOLDER>"]
+    rows = [(i, None, f"{mit}\n{t}") for i, t in enumerate(terms)] + [(10 + i, licence, f"{t}\n\n{mit}") for i, t in enumerate(notices)]
+    got = license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, want string, text string"), keep=("doc_id", "want"))
+    assert got.where("NOT (license_id <=> want)").collect() == []
