@@ -15,6 +15,7 @@ from strandloom.operators import membership as mb
 from strandloom.operators import reads as rs
 from strandloom.operators import simplify as sp
 from strandloom.operators import traversal as tr
+from strandloom.operators.contigs import contigs as disjoint_contigs
 from strandloom.operators.graph import DeBruijnGraph, dense_ids, read_branching
 from strandloom.operators.iterate import checkpoint_dir, cut
 from strandloom.operators.unitig_graph import UnitigGraph
@@ -1001,6 +1002,13 @@ def tr_contig_walks(spark, sf):
     return tr.contig_walks(tr.Paths(g), g.branching().select(F.col("kmer").alias("seed"))).withColumn("bubbles", F.size("bubbles"))
 
 
+@query()
+def tr_contigs(spark, sf):
+    """Contigs that share no node, from all unitigs, longest first; no SQL: tests/test_contigs.py takes the seeds one
+    after the other, node by node."""
+    return disjoint_contigs(tr.Paths(graph(spark, sf, 31)))
+
+
 @query()
 def tr_extensions(spark, sf):
     g = graph(spark, sf, 31)
