@@ -215,11 +215,11 @@ def snk_fastq_gz_round_trip(spark, sf):
 
 @query(f"WITH {READS} SELECT comment, seq, CASE WHEN seq = '' THEN '' ELSE 'I' END AS letter FROM ({_LETTERS_SQL})")
 def snk_fastq_format_round_trip(spark, sf):
-    """Written and read by the session's format, in ranges of 64 KB."""
+    """Written and read by the format of the session."""
     fm.register(spark)
     path = _files(spark, "fastq-format")
     _lettered(spark, sf).drop("quality").write.format("fastq").option("quality", "I").mode("append").save(path)
-    return spark.read.format("fastq").option("splitBytes", 1 << 16).load(path).select("comment", "seq", F.coalesce(F.array_join(F.array_distinct(F.split("quality", "")), ""), F.lit("")).alias("letter"))
+    return spark.read.format("fastq").load(path).select("comment", "seq", F.coalesce(F.array_join(F.array_distinct(F.split("quality", "")), ""), F.lit("")).alias("letter"))
 
 
 @query(f"WITH {READS} SELECT CAST(CASE lang WHEN 'de' THEN 0 WHEN 'en' THEN 1 WHEN 'es' THEN 2 ELSE 3 END AS INTEGER) AS bank_id, count(*) AS seq_number, CAST(sum(length(d)) AS BIGINT) AS total_nt FROM r GROUP BY 1")
