@@ -57,23 +57,25 @@ class Brute:
             if at == seed:
                 return text, "loop"
 
-    def tail_of_dead_end(self, o):
-        """Whether what leads to o is one simple path with a dead end, of 3 k nodes at most."""
-        n = 1
-        while True:
-            before = self.into(o)
-            if not before:
-                return n <= 3 * self.k
-            if len(before) > 1 or len(self.out(before[0])) > 1:
+    def short_side(self, o, p):
+        """Whether nothing is left of the ways back from p, a node before o, within 3 k + 1 levels of ten nodes."""
+        seen, level = {can(o), can(p)}, [p]
+        for _ in range(3 * self.k + 1):
+            before = {can(q): q for x in level for q in self.into(x) if can(q) not in seen}
+            seen |= set(before)
+            level = list(before.values())
+            if not level:
+                return True
+            if len(level) > 10 and _ < 3 * self.k:
                 return False
-            o, n = before[0], n + 1
+        return False
 
     def end_of(self, fork, bounds):
         seen, front, depth = {can(fork)}, [fork], 0
         while True:
             if depth > 0:
                 for o in front:
-                    if any(can(p) not in seen and not self.tail_of_dead_end(p) for p in self.into(o)):
+                    if any(can(p) not in seen and not self.short_side(o, p) for p in self.into(o)):
                         return None, depth, "in_branching"
             nxt = []
             for o in front:
