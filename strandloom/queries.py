@@ -12,6 +12,7 @@ from strandloom.functions import minimizers as mz
 from strandloom.operators import counting as ct
 from strandloom.operators import histogram as hg
 from strandloom.operators import membership as mb
+from strandloom.operators import processors as pr
 from strandloom.operators import reads as rs
 from strandloom.operators import simplify as sp
 from strandloom.operators import traversal as tr
@@ -428,6 +429,16 @@ def ag_bank_counts(spark, sf):
     return _banks(spark, sf)
 
 
+@query(f"""WITH {banks_sql(15)}, t AS (SELECT *, c0 + c1 + c2 + c3 AS s FROM n), k AS (SELECT * FROM t WHERE s >= 3)
+SELECT 'totals' AS processor, unnest(['distinct', 'occurrences', 'most']) AS key, unnest([count(*), CAST(coalesce(sum(s), 0) AS BIGINT), coalesce(max(s), 0)]) AS value FROM t
+UNION ALL SELECT 'solid', unnest(['solid', 'weak']), unnest([count(*) FILTER (WHERE s >= 3), count(*) FILTER (WHERE s < 3)]) FROM t
+UNION ALL SELECT 'histogram', CAST(least(s, 10000) AS VARCHAR), count(*) FROM k GROUP BY least(s, 10000)
+UNION ALL SELECT 'shared', unnest(['{"', '".join(f"{a}-{b}" for i, a in enumerate(BANKS) for b in BANKS[i:])}']), unnest([{", ".join(f"count(*) FILTER (WHERE c{i} > 0 AND c{j} > 0)" for i in range(4) for j in range(i, 4))}]) FROM k""")
+def ag_count_processors(spark, sf):
+    """Four processors in one pass; the last two see what the second lets through."""
+    return pr.process_in_chain(_banks(spark, sf), pr.Totals(), pr.Solid(3), pr.Histogram(), pr.SharedBanks(BANKS))
+
+
 _SOLID = {
     "sum": ("sum", [(3, 2147483647)], None, "c0 + c1 + c2 + c3 >= 3"),
     "min": ("min", [(1, 50)], None, "least(c0, c1, c2, c3) BETWEEN 1 AND 50"),
