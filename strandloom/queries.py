@@ -17,6 +17,7 @@ from strandloom.operators import reads as rs
 from strandloom.operators import simplify as sp
 from strandloom.operators import traversal as tr
 from strandloom.operators.contigs import contigs as disjoint_contigs
+from strandloom.operators.extend import ordered_extensions
 from strandloom.operators.graph import DeBruijnGraph, dense_ids, read_branching
 from strandloom.operators.iterate import checkpoint_dir, cut
 from strandloom.operators.unitig_graph import UnitigGraph
@@ -1036,6 +1037,22 @@ def tr_extensions(spark, sf):
     return tr.extensions(tr.Paths(g), g.branching().select(F.col("kmer").alias("seed")), max_depth=300, max_nodes=50)
 
 
+@query()
+def tr_extensions_depth(spark, sf):
+    """Depth first, from branching nodes in both orientations. No SQL: tests/test_extend.py has a stack."""
+    g = graph(spark, sf, 31)
+    seeds = g.branching().select("kmer").join(g.oriented(), "kmer").select(F.col("o").alias("seed"))
+    return ordered_extensions(tr.Paths(g), seeds, max_depth=300, max_nodes=50)
+
+
+@query()
+def tr_extensions_contigs(spark, sf):
+    """Breadth first, across bubbles, from branching nodes in both orientations."""
+    g = graph(spark, sf, 31)
+    seeds = g.branching().select("kmer").join(g.oriented(), "kmer").select(F.col("o").alias("seed"))
+    return ordered_extensions(tr.Paths(g), seeds, max_depth=300, max_nodes=50, order="breadth", kind="contig")
+
+
 # ---------------------------------------------------------------- read stores
 
 
