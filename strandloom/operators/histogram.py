@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 DISCRETE_STEPS = [(70, 1), (15, 2), (40, 10), (25, 20), (40, 100), (25, 200), (40, 1000)]
 
 
-def histogram(counts: DataFrame, most: int = 10_000, col: str = "abundance") -> DataFrame:
-    """(idx, abundance): k-mers of each abundance; what is beyond ``most`` is in the last bin."""
-    return counts.groupBy(F.least(F.col(col), F.lit(most)).cast("bigint").alias("idx")).agg(F.count("*").alias("abundance"))
+def histogram(counts: DataFrame, most: int | None = 10_000, col: str = "abundance") -> DataFrame:
+    """(idx, abundance): k-mers of each abundance; what is beyond ``most`` is in the last bin. None: a bin for each."""
+    idx = F.col(col) if most is None else F.least(F.col(col), F.lit(most))
+    return counts.groupBy(idx.cast("bigint").alias("idx")).agg(F.count("*").alias("abundance"))
 
 
 def histogram_2d(counts: DataFrame, n: int, most: int = 10_000, most_first: int = 255) -> DataFrame:
