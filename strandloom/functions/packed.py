@@ -1,9 +1,9 @@
 """k-mers packed into 64-bit integers, two bits a letter: one word up to k = 31, two words (the first k - 31 letters
-and the last 31) up to k = 62. The order of the numbers is that of the digit strings.
+and the last 31) up to k = 62, three up to k = 93. The order of the numbers is that of the digit strings.
 
 A read becomes k-mers in one pass: windows of 1, 2, 4, ... letters are put together from two halves each, for
 both strands at once, so a window of k letters takes 2 * log2(k) operations on arrays, whatever k is, and
-work is linear in the read. Columns of packed k-mers are ``w0`` and, for k > 31, ``w1``."""
+work is linear in the read. Columns of packed k-mers are ``w0`` and, for k > 31, ``w1``, for k > 62, ``w2``."""
 
 from __future__ import annotations
 
@@ -25,7 +25,18 @@ def words(k: int) -> list[str]:
     """Names of the columns of a packed k-mer."""
     if k > 2 * WORD:
         raise ValueError(f"k-mers are packed up to k = {2 * WORD}")
-    return ["w0"] if k <= WORD else ["w0", "w1"]
+    return columns(k)
+
+
+#: Letters that packed rows and counts can have.
+MOST = 3 * WORD
+
+
+def columns(k: int) -> list[str]:
+    """As ``words``, up to three."""
+    if k > MOST:
+        raise ValueError(f"packed rows have up to {MOST} letters")
+    return [f"w{i}" for i in range(-(-k // WORD))]
 
 
 # ---------------------------------------------------------------- reads to words
@@ -56,20 +67,45 @@ def packed_windows(codes: np.ndarray, k: int, canon: bool = True) -> list[np.nda
     if k <= WORD:
         ((f, r),) = _windows(codes, [k]).values()
         return [np.minimum(f, r) if canon else f]
-    n = len(codes) - k + 1
-    w = _windows(codes, sorted({k - WORD, WORD}))
-    (hf, hr), (lf, lr) = w[k - WORD], w[WORD]
-    f = [hf[:n], lf[k - WORD :][:n]]
+    n, m = len(codes) - k + 1, -(-k // WORD)
+    first = k - WORD * (m - 1)
+    w = _windows(codes, sorted({first, WORD}))
+    size = lambda i: WORD if i else first
+    f = [w[size(i)][0][first + WORD * (i - 1) if i else 0 :][:n] for i in range(m)]
     if not canon:
         return f
-    r = [hr[WORD:][:n], lr[:n]]
-    less = (f[0] < r[0]) | ((f[0] == r[0]) & (f[1] <= r[1]))
+    r = [w[size(i)][1][k - first - WORD * i :][:n] for i in range(m)]
+    less, same = np.zeros(n, bool), np.ones(n, bool)
+    for a, b in zip(f, r, strict=True):
+        less |= same & (a < b)
+        same &= a == b
     return [np.where(less, a, b) for a, b in zip(f, r, strict=True)]
 
 
+def read_blocks(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(digits, windows) of blocks of reads, the only column: digits one after the other (4 where none), and where a
+    valid window of ``k`` begins inside of one read."""
+    for batch in batches:
+        text = batch.column(0).fill_null("")
+        wide = pa.types.is_large_string(text.type)
+        _, at, data = text.buffers()
+        if not len(text) or data is None:
+            continue
+        ends = np.frombuffer(at, np.int64 if wide else np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64)
+        codes = _DIGIT[np.frombuffer(data, np.uint8)[: ends[-1]]]
+        for a in range(int(ends[0]), int(ends[-1]) - k + 1, BLOCK):
+            part = codes[a : a + BLOCK + k - 1]
+            n = len(part) - k + 1
+            if n < 1:
+                break
+            bad = np.concatenate([[0], np.cumsum(part > 3)])
+            row = np.searchsorted(ends, np.arange(a, a + n), "right") - 1
+            yield part, np.flatnonzero((bad[k:] == bad[:-k]) & (np.arange(a, a + n) + k <= ends[row + 1]))
+
+
 def packed_rows(reads: DataFrame, k: int, keep: tuple[str, ...] = (), d: str = "d", canon: bool = True) -> DataFrame:
-    """(keep, w0[, w1]): a row for each valid k-mer of a read, in the order of the read. Null reads have none."""
-    names = words(k)
+    """(keep, w0[, w1, w2]): a row for each valid k-mer of a read, in the order of the read. Null reads have none."""
+    names = columns(k)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,9 +138,10 @@ def packed_rows(reads: DataFrame, k: int, keep: tuple[str, ...] = (), d: str = "
 
 
 def unpacked(k: int) -> Column:
-    """The digit string of columns w0, w1."""
+    """The digit string of columns w0, w1, w2."""
     text = lambda c, n: F.lpad(F.conv(F.col(c).cast("string"), 10, 4), n, "0")
-    return text("w0", k) if k <= WORD else F.concat(text("w0", k - WORD), text("w1", WORD))
+    names = columns(k)
+    return text("w0", k) if k <= WORD else F.concat(text("w0", k - WORD * (len(names) - 1)), *[text(c, WORD) for c in names[1:]])
 
 
 def packed(d: Column, k: int) -> Column:

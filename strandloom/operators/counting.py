@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.encoding import canonical_kmers, kmers, valid_windows
 from strandloom.functions.minimizers import superkmers
-from strandloom.functions.packed import WORD, packed_rows, unpacked, words
+from strandloom.functions.packed import MOST, WORD, columns, packed_rows, unpacked
 from strandloom.operators.iterate import cut
 
 
@@ -22,16 +22,16 @@ def kmer_rows(reads: DataFrame, k: int, keep: tuple[str, ...] = (), d: str = "d"
 
 
 def count_kmers(reads: DataFrame, k: int, d: str = "d", canon: bool = True) -> DataFrame:
-    """(kmer, abundance): partial counts before the only shuffle. Up to k = 62, what is shuffled are packed k-mers
-    (8 or 16 bytes); the digits are made from the counts, where somebody reads them."""
-    if k <= 2 * WORD:
+    """(kmer, abundance): partial counts before the only shuffle. Up to k = 93, what is shuffled are packed k-mers
+    (8, 16 or 24 bytes); the digits are made from the counts, where somebody reads them."""
+    if k <= MOST:
         return packed_counts(reads, k, d, canon).select(unpacked(k).alias("kmer"), "abundance")
     return kmer_rows(reads, k, (), d, canon).groupBy("kmer").agg(F.count("*").alias("abundance"))
 
 
 def packed_counts(reads: DataFrame, k: int, d: str = "d", canon: bool = True) -> DataFrame:
-    """(w0[, w1], abundance) of packed k-mers."""
-    return packed_rows(reads, k, (), d, canon).groupBy(*words(k)).agg(F.count("*").alias("abundance"))
+    """(w0[, w1, w2], abundance) of packed k-mers."""
+    return packed_rows(reads, k, (), d, canon).groupBy(*columns(k)).agg(F.count("*").alias("abundance"))
 
 
 def count_kmers_by_minimizer(reads: DataFrame, k: int, m: int, id_col: str = "read_id", d: str = "d", most: int = 255) -> DataFrame:
@@ -45,9 +45,9 @@ def count_kmers_by_minimizer(reads: DataFrame, k: int, m: int, id_col: str = "re
 def bank_counts(reads: DataFrame, k: int, bank: str, banks: list, d: str = "d") -> DataFrame:
     """(kmer, c0, c1, ...): abundance in each of the banks, in the order given."""
     counts = [F.count_if(F.col(bank) == b).alias(f"c{i}") for i, b in enumerate(banks)]
-    if k > 2 * WORD:
+    if k > MOST:
         return kmer_rows(reads, k, (bank,), d).groupBy("kmer").agg(*counts)
-    found = packed_rows(reads, k, (bank,), d).groupBy(*words(k)).agg(*counts)
+    found = packed_rows(reads, k, (bank,), d).groupBy(*columns(k)).agg(*counts)
     return found.select(unpacked(k).alias("kmer"), *[f"c{i}" for i in range(len(banks))])
 
 
@@ -123,13 +123,20 @@ def checksum(kmers_df: DataFrame, col: str = "kmer") -> DataFrame:
     return kmers_df.agg(F.pmod(F.sum(v), F.lit("18446744073709551616").cast("decimal(38,0)")).cast("string").alias("checksum"))
 
 
-def checksum_words(kmers_df: DataFrame, k: int, col: str = "kmer") -> DataFrame:
+def checksum_words(kmers_df: DataFrame, k: int, col: str | None = "kmer") -> DataFrame:
     """Sum of the k-mers' numbers modulo 2**(64 n), n being the words of 64 bits that hold one, as hexadecimal text.
-    Limbs of 32 bits (16 digits) are summed each by itself; carries go up once, in the one row of sums."""
+    Limbs of 32 bits (16 digits) are summed each by itself, in halves; carries go up once, in the one row of sums.
+    No ``col``: k-mers are packed (``packed_counts``), and limbs are cut from their words."""
     limbs = 2 * -(-2 * k // 64)
-    whole = F.lpad(F.col(col), 16 * limbs, "0")
-    part = lambda i: F.conv(F.substr(whole, F.lit(16 * (limbs - 1 - i) + 1), F.lit(16)), 4, 10).cast("decimal(20,0)")
-    out = kmers_df.agg(*[F.coalesce(F.sum(part(i)), F.lit(0)).cast("decimal(38,0)").alias(f"s{i}") for i in range(limbs)])
+    if col is None:
+        names, bits = columns(k), 2 * WORD
+        part = lambda i: reduce(lambda a, b: a.bitwiseOR(b), [_moved(F.col(c), bits * (len(names) - 1 - j) - 32 * i) for j, c in enumerate(names) if -bits < bits * (len(names) - 1 - j) - 32 * i < 32] or [F.lit(0).cast("bigint")]).bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint"))
+    else:
+        whole = F.lpad(F.col(col), 16 * limbs, "0")
+        part = lambda i: F.conv(F.substr(whole, F.lit(16 * (limbs - 1 - i) + 1), F.lit(16)), 4, 10).cast("bigint")
+    sums = kmers_df.select(*[part(i).alias(f"p{i}") for i in range(limbs)])
+    half = lambda x: F.coalesce(F.sum(x), F.lit(0)).cast("decimal(38,0)")
+    out = sums.agg(*[(half(F.shiftright(f"p{i}", 16)) * F.lit(65536).cast("decimal(6,0)") + half(F.col(f"p{i}").bitwiseAND(F.lit(65535).cast("bigint")))).cast("decimal(38,0)").alias(f"s{i}") for i in range(limbs)])
     out = out.withColumn("carry", F.lit(0).cast("bigint"))
     for i in range(limbs):
         s = F.col(f"s{i}") + F.col("carry")
@@ -137,6 +144,11 @@ def checksum_words(kmers_df: DataFrame, k: int, col: str = "kmer") -> DataFrame:
     return out.select(F.concat(*[F.lower(F.lpad(F.hex(f"s{i}"), 8, "0")) for i in reversed(range(limbs))]).alias("checksum"))
 
 
+def _moved(w: Column, bits: int) -> Column:
+    """A word that begins ``bits`` above (below, if negative) the bits that are looked at."""
+    return F.shiftleft(w, bits) if bits > 0 else F.shiftrightunsigned(w, -bits) if bits else w
+
+
 def shared_kmers(counts: DataFrame, n: int, lo: int, hi: int) -> DataFrame:
     """(i, j, shared), i <= j: k-mers that are in range in both banks, from one pass."""
     inside = [F.col(f"c{i}").between(lo, hi) for i in range(n)]
