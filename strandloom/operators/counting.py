@@ -14,6 +14,10 @@ from strandloom.functions.packed import MOST, WORD, columns, packed_rows, unpack
 from strandloom.operators.iterate import cut
 
 
+#: Tasks that minimizers are dealt to.
+BUCKETS = 256
+
+
 def kmer_rows(reads: DataFrame, k: int, keep: tuple[str, ...] = (), d: str = "d", canon: bool = True) -> DataFrame:
     """One row for each valid k-mer. Reads are cut at invalid letters before k-mers are made, so no
     k-mer is looked at again; the work is linear in the read."""
@@ -36,8 +40,9 @@ def packed_counts(reads: DataFrame, k: int, d: str = "d", canon: bool = True) ->
 
 def count_kmers_by_minimizer(reads: DataFrame, k: int, m: int, id_col: str = "read_id", d: str = "d", most: int = 255) -> DataFrame:
     """As ``count_kmers``, but super-k-mers are shuffled instead of k-mers: a run of n k-mers moves
-    n + k - 1 letters, not n * k, and k-mers are counted where their minimizer is."""
-    runs = superkmers(reads, k, m, id_col, d, most).repartition("minimizer")
+    n + k - 1 letters, not n * k, and k-mers are counted where their minimizer is. Runs are small and become many
+    k-mers, so they are dealt to a fixed number of tasks that are not put together by the size of what they read."""
+    runs = superkmers(reads, k, m, id_col, d, most).repartition(min(4**m, BUCKETS), "minimizer")
     rows = runs.select("minimizer", F.explode(canonical_kmers(F.col("seq"), k)).alias("kmer"))
     return rows.groupBy("minimizer", "kmer").agg(F.count("*").alias("abundance")).select("kmer", "abundance")
 

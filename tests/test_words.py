@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandloom.functions.packed import unpacked
 from strandloom.operators import counting as ct
@@ -30,3 +31,10 @@ def test_words(spark, k):
     total = f"{sum(int(x, 4) for x in want) % (1 << size):0{size // 4}x}"
     assert ct.checksum_words(counts, k, None).first().checksum == total
     assert ct.checksum_words(ct.count_kmers(reads, k), k).first().checksum == total
+
+
+def test_minimizers_are_dealt_to_many_tasks(spark):
+    _, reads = sample(spark)
+    found = ct.count_kmers_by_minimizer(reads.where("d IS NOT NULL"), 15, 5)
+    assert found.rdd.getNumPartitions() == ct.BUCKETS
+    assert found.agg(F.sum("abundance")).first()[0] == ct.kmer_rows(reads, 15).count()
