@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.encoding import canonical, canonical_kmers, is_valid, kmers, let
+from strandloom.functions.packed import packed_rows, packed_windows, read_blocks, unpacked
 
 
 def mmers(kmer: Column, m: int, canon: bool = True) -> Column:
@@ -57,10 +60,33 @@ def rank_of(ranks: dict[str, int], m: int) -> Callable[[Column], Column]:
 def frequency_ranks(reads: DataFrame, m: int, d: str = "d") -> DataFrame:
     """(mmer, rank): canonical m-mers of all reads, rarest first. 4**m rows at most, which bounds
     the window's single partition."""
-    counts = reads.select(F.explode(canonical_kmers(F.col(d), m)).alias("mmer")).groupBy("mmer").count()
+    counts = packed_rows(reads, m, (), d).groupBy("w0").count().select(unpacked(m).alias("mmer"), "count")
     return counts.withColumn("rank", F.row_number().over(Window.orderBy("count", "mmer")) - 1).select("mmer", F.col("rank").cast("bigint").alias("rank"), F.col("count").alias("n"))
 
 
+def tallies_by_rank(reads: DataFrame, k: int, m: int, ranks: dict[str, int], d: str = "d") -> DataFrame:
+    """(minimizer, kmers): of how many valid k-mers of all reads an m-mer is the one with the smallest rank (m-mers
+    without a rank come last, the smaller first). A task tallies its reads in an array of 4**m numbers."""
+    table = np.full(4**m, 4**m, np.int64)
+    for mmer, rank in ranks.items():
+        table[int(mmer, 4)] = rank
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(4**m, np.int64)
+        for part, inside in read_blocks(batches, k):
+            (w,) = packed_windows(part & 3, m)
+            key = table[w] << 2 * m | w
+            least = key[: len(part) - k + 1]
+            for j in range(1, k - m + 1):
+                least = np.minimum(least, key[j : j + len(least)])
+            n += np.bincount(least[inside] & (4**m - 1), minlength=4**m)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], names=["w0", "n"])
+
+    found = reads.select(d).mapInArrow(task, "w0 bigint, n bigint")
+    return found.groupBy("w0").agg(F.sum("n").alias("kmers")).select(unpacked(m).alias("minimizer"), "kmers")
+
+
 def kmer_minimizers(d: Column, k: int, m: int, canon: bool = True) -> Column:
     """Array of the minimizers of a read's k-mers, null for invalid ones. m-mers are made once a read;
     each k-mer takes the smallest of its own. An m-mer with an invalid letter is the empty text, which
