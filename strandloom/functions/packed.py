@@ -103,9 +103,11 @@ def read_blocks(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[np.
             yield part, np.flatnonzero((bad[k:] == bad[:-k]) & (np.arange(a, a + n) + k <= ends[row + 1]))
 
 
-def packed_rows(reads: DataFrame, k: int, keep: tuple[str, ...] = (), d: str = "d", canon: bool = True) -> DataFrame:
-    """(keep, w0[, w1, w2]): a row for each valid k-mer of a read, in the order of the read. Null reads have none."""
+def packed_rows(reads: DataFrame, k: int, keep: tuple[str, ...] = (), d: str = "d", canon: bool = True, pos: str | None = None) -> DataFrame:
+    """(keep, [pos,] w0[, w1, w2]): a row for each valid k-mer of a read, in the order of the read. Null reads have none.
+    ``pos`` names the k-mer's place in its read, from 0."""
     names = columns(k)
+    place = [pos] if pos else []
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,13 +126,14 @@ def packed_rows(reads: DataFrame, k: int, keep: tuple[str, ...] = (), d: str = "
                 bad = np.concatenate([[0], np.cumsum(part > 3)])
                 row = np.searchsorted(ends, np.arange(a, a + n), "right") - 1
                 good = np.flatnonzero((bad[k:] == bad[:-k]) & (np.arange(a, a + n) + k <= ends[row + 1]))
-                made = [pa.array(w[good]) for w in packed_windows(part & 3, k, canon)]
+                made = [pa.array(a + good - ends[row[good]])] if pos else []
+                made += [pa.array(w[good]) for w in packed_windows(part & 3, k, canon)]
                 for i in range(0, len(good), 1 << 16):
                     s = slice(i, i + (1 << 16))
                     which = pa.array(row[good[s]])
-                    yield pa.RecordBatch.from_arrays([*(batch.column(j).take(which) for j in range(len(keep))), *(w[s] for w in made)], names=[*keep, *names])
+                    yield pa.RecordBatch.from_arrays([*(batch.column(j).take(which) for j in range(len(keep))), *(w[s] for w in made)], names=[*keep, *place, *names])
 
-    shape = ", ".join([*(f"`{c}` {reads.schema[c].dataType.simpleString()}" for c in keep), *(f"{w} bigint" for w in names)])
+    shape = ", ".join([*(f"`{c}` {reads.schema[c].dataType.simpleString()}" for c in keep), *(f"{w} bigint" for w in (*place, *names))])
     return reads.select(*keep, d).mapInArrow(task, shape)
 
 

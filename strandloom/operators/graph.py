@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import packed
-from strandloom.functions.encoding import canonical, neighbours, revcomp
+from strandloom.functions.encoding import canonical, canonical_kmers, neighbours, revcomp
 from strandloom.operators.counting import checksum, count_kmers
 from strandloom.operators.histogram import discrete_class, discrete_value
 from strandloom.operators import compaction
@@ -119,6 +119,18 @@ class DeBruijnGraph:
         found = kmers.join(self.nodes.select(F.col("kmer").alias("_c"), "abundance"), canonical(F.col(col)) == F.col("_c")).drop("_c")
         return found.withColumns({"class": discrete_class(F.col("abundance")), "value": discrete_value(F.col("abundance"))}) if classes else found
 
+    def among_reads(self, reads: DataFrame, keep: tuple[str, ...], d: str = "d", pos: str | None = None, some: DataFrame | None = None) -> DataFrame:
+        """(keep, [pos,] abundance): the k-mers of reads that are nodes; of ``some`` nodes (kmer) if given, then without
+        abundances. Up to k = 31 both sides meet as packed words, not as texts."""
+        if self.k > packed.WORD:
+            raise ValueError("k-mers of reads are looked up by one word")
+        rows = packed.packed_rows(reads, self.k, keep, d, pos=pos)
+        named = [*keep, *([pos] if pos else [])]
+        word = packed.packed(F.col("kmer"), self.k).alias("w0")
+        if some is not None:
+            return rows.join(some.select(word), "w0", "left_semi").select(*named)
+        return rows.join(self.nodes.select(word, "abundance"), "w0").select(*named, "abundance")
+
     def neighbours_of(self, some: DataFrame) -> DataFrame:
         """Distinct neighbours of a set of nodes (column kmer)."""
         return self.neighbours().join(some, "kmer", "left_semi").select(F.col("neighbour").alias("kmer")).distinct()
@@ -313,10 +325,15 @@ class DeBruijnGraph:
         return pairs.where(F.struct("source") <= F.struct(revcomp(F.col("target")))).select("source", "target")
 
 
-def read_branching(graph: DeBruijnGraph, reads: DataFrame, id_col: str, kmers: Column) -> DataFrame:
-    """(n_branching, n_reads): how many k-mers of a read branch, and of how many reads."""
-    rows = reads.select(id_col, F.explode(kmers).alias("kmer"))
-    hit = rows.join(graph.branching().select("kmer"), "kmer", "left_semi").groupBy(id_col).agg(F.count("*").alias("n"))
+def read_branching(graph: DeBruijnGraph, reads: DataFrame, id_col: str, kmers: Column | None = None, d: str = "d") -> DataFrame:
+    """(n_branching, n_reads): how many k-mers of a read branch, and of how many reads. The k-mers of column ``d``,
+    unless a column of arrays is given."""
+    some = graph.branching().select("kmer")
+    if kmers is None and graph.k <= packed.WORD:
+        found = graph.among_reads(reads, (id_col,), d, some=some)
+    else:
+        found = reads.select(id_col, F.explode(canonical_kmers(F.col(d), graph.k) if kmers is None else kmers).alias("kmer")).join(some, "kmer", "left_semi")
+    hit = found.groupBy(id_col).agg(F.count("*").alias("n"))
     every = reads.select(id_col).join(hit, id_col, "left").select(F.coalesce("n", F.lit(0)).alias("n_branching"))
     return every.groupBy("n_branching").agg(F.count("*").alias("n_reads"))
 
