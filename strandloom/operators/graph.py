@@ -226,16 +226,19 @@ class DeBruijnGraph:
         keep = F.col("circular") | (F.col("s") <= revcomp(F.col("s")))
         return rows.where(keep).select(F.col("s").alias("seq"), F.size("a").cast("bigint").alias("n_kmers"), "circular", F.col("a").alias("abundances"), F.aggregate("a", F.lit(0).cast("bigint"), lambda p, x: p + x).alias("kc"))
 
-    def unitig_links(self, unitigs: DataFrame) -> DataFrame:
+    def unitig_links(self, unitigs: DataFrame, name: str = "seq") -> DataFrame:
         """(from_seq, from_sign, to_seq, to_sign): unitigs that overlap in k - 1 letters, in all
-        orientations. An overlap of fewer than three letters is an error."""
+        orientations; by another column of ``unitigs`` if one is named. An overlap of fewer than three letters is an
+        error."""
         k = self.k
         if k < 4:
             raise ValueError("unitigs are linked for k of 4 at least")
-        both = unitigs.select("seq", F.explode(F.array(F.struct(F.lit("+").alias("sign"), F.col("seq").alias("s")), F.struct(F.lit("-").alias("sign"), revcomp(F.col("seq")).alias("s")))).alias("x")).select("seq", "x.*")
-        a = both.select(F.col("seq").alias("from_seq"), F.col("sign").alias("from_sign"), F.substr("s", F.lit(-(k - 1))).alias("overlap"))
-        b = both.select(F.col("seq").alias("to_seq"), F.col("sign").alias("to_sign"), F.substr("s", F.lit(1), F.lit(k - 1)).alias("overlap"))
-        return a.join(b, "overlap").select("from_seq", "from_sign", "to_seq", "to_sign")
+        first, last = F.substr("seq", F.lit(1), F.lit(k - 1)), F.substr("seq", F.lit(-(k - 1)))
+        way = lambda sign, begins, ends: F.struct(F.lit(sign).alias("sign"), begins.alias("begins"), ends.alias("ends"))
+        both = unitigs.select(name, F.explode(F.array(way("+", first, last), way("-", revcomp(last), revcomp(first)))).alias("x")).select(name, "x.*")
+        a = both.select(F.col(name).alias(f"from_{name}"), F.col("sign").alias("from_sign"), F.col("ends").alias("overlap"))
+        b = both.select(F.col(name).alias(f"to_{name}"), F.col("sign").alias("to_sign"), F.col("begins").alias("overlap"))
+        return a.join(b, "overlap").select(f"from_{name}", "from_sign", f"to_{name}", "to_sign")
 
     def unitig_nodes(self, unitigs: DataFrame) -> DataFrame:
         """(first_node, last_node, n_kmers, mean, free_left, free_right) of unitigs: the oriented nodes at
@@ -350,3 +353,17 @@ def dense_ids(nodes: DataFrame, parts: int) -> DataFrame:
     offset = F.create_map(*[F.lit(x) for pair in before.items() for x in pair]) if before else F.create_map()
     w = Window.partitionBy("p").orderBy("kmer")
     return ranged.select("kmer", (F.row_number().over(w) - 1 + F.element_at(offset, F.col("p"))).cast("bigint").alias("id")) if before else nodes.select("kmer", F.lit(0).cast("bigint").alias("id"))
+
+
+def numbered(rows: DataFrame, by: str) -> DataFrame:
+    """``rows`` with ``id``: numbers from 0 in the order of a column. Rows are range-partitioned and sorted inside of their
+    partition once, and moved by what lies before it; there are as many partitions as in any shuffle."""
+    parts = max(8, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    held = cut(rows.repartitionByRange(parts, by).sortWithinPartitions(by).withColumn("_m", F.monotonically_increasing_id()))
+    part, inside = F.shiftright("_m", 33), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1).cast("bigint"))
+    before, total = [], 0
+    for p, n in sorted(tuple(x) for x in held.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()):  # a row a partition
+        before += [F.lit(p).cast("bigint"), F.lit(total).cast("bigint")]
+        total += n
+    base = F.element_at(F.create_map(*before), part) if before else F.lit(0).cast("bigint")
+    return held.withColumn("id", base + inside).drop("_m")
