@@ -99,16 +99,34 @@ class DeBruijnGraph:
 
     def successors(self, oriented: DataFrame, nt: str | None = None) -> DataFrame:
         """(o, nt, successor) of oriented k-mers (column o), of one nucleotide if given."""
+        if self.k <= packed.WORD:
+            return self._beside(oriented, nt, True)
         ext = F.explode(F.array(*[F.lit(x) for x in ("0123" if nt is None else nt)])).alias("nt")
         found = oriented.select("o", ext).withColumn("successor", F.concat(F.substr("o", F.lit(2)), "nt"))
         return found.join(self.nodes.select(F.col("kmer").alias("_c")), canonical(F.col("successor")) == F.col("_c"), "left_semi")
 
     def predecessors(self, oriented: DataFrame, nt: str | None = None) -> DataFrame:
         """(o, nt, predecessor) of oriented k-mers."""
+        if self.k <= packed.WORD:
+            return self._beside(oriented, nt, False)
         ext = F.explode(F.array(*[F.lit(x) for x in ("0123" if nt is None else nt)])).alias("nt")
         found = oriented.select("o", ext).withColumn("predecessor", F.concat("nt", F.substr("o", F.lit(1), F.lit(self.k - 1))))
         return found.join(self.nodes.select(F.col("kmer").alias("_c")), canonical(F.col("predecessor")) == F.col("_c"), "left_semi")
 
+    def _beside(self, oriented: DataFrame, nt: str | None, after: bool) -> DataFrame:
+        """``successors`` or ``predecessors`` up to k = 31: a k-mer meets the nodes that share its k - 1 letters at their
+        packed word, one row a node and orientation; the letter that is left is the nucleotide."""
+        k, w = self.k, F.col("w")
+        both = self.nodes.select(packed.packed(F.col("kmer"), k).alias("w")).select(F.explode(F.array_distinct(F.array(w, packed.revcomp_word(w, k)))).alias("w"))
+        shared, letter = (packed.prefix_word(w), w.bitwiseAND(F.lit(3).cast("bigint"))) if after else (packed.suffix_word(w, k), F.shiftright(w, 2 * (k - 1)))
+        nodes = both.select(shared.alias("_j"), letter.cast("tinyint").alias("_n"))
+        if nt is not None:
+            nodes = nodes.where(F.col("_n").isin([int(x) for x in nt]))
+        kept = F.substr("o", F.lit(2)) if after else F.substr("o", F.lit(1), F.lit(k - 1))
+        valid = (F.length(kept) == k - 1) & (F.translate(kept, "0123", "") == "")
+        met = oriented.select("o").where(valid).withColumn("_j", packed.packed(kept, k - 1)).join(nodes, "_j").select("o", F.col("_n").cast("string").alias("nt"))
+        return met.withColumn("successor", F.concat(kept, "nt")) if after else met.withColumn("predecessor", F.concat("nt", kept))
+
     def contains(self, kmers: DataFrame, col: str = "kmer") -> DataFrame:
         """The rows whose k-mer, in either orientation, is a node."""
         return kmers.join(self.nodes.select(F.col("kmer").alias("_c")), canonical(F.col(col)) == F.col("_c"), "left_semi")
